@@ -47,7 +47,7 @@ def quarter_from_sheet(sheet: Column) -> Column:
 
 def year_of_quarter(quarter: Column) -> Column:
     """Year of an ISO quarter string; an impossible date gives NULL."""
-    return F.year(F.try_to_date(quarter, F.lit("yyyy-MM-dd")))
+    return F.year(F.try_to_date(quarter, "yyyy-MM-dd"))
 
 
 def quarter_label(year: Column, quarter_no: Column) -> Column:
@@ -92,7 +92,7 @@ def py_strip(text: Column) -> Column:
 def fmt_fixed(x: Column, decimals: int) -> Column:
     """``f"{x:.Nf}"`` -- half-even on the exact binary value, no grouping."""
     pattern = "0." + "0" * decimals if decimals > 0 else "0"
-    return F.format_number(x, pattern)
+    return F.call_function("format_number", x, F.lit(pattern))
 
 
 def basename(path: Column) -> Column:

@@ -312,3 +312,160 @@ register(
     "years", lambda sp, sf: agg.years(marked(sp, sf)),
     S.rounded("SELECT DISTINCT year FROM marked"), ops="A9",
 )
+
+# --- 7. ingest (S2, P1-P13, J4, P25) over grids rendered from the tables --------
+
+
+def _grid(spark: SparkSession, sf: str) -> DataFrame:
+    from periodix.sources.grid import render_sheets
+
+    return render_sheets(*panel.filing_layouts(spark, sf))
+
+
+def _sheet_normalise(spark: SparkSession, sf: str) -> DataFrame:
+    from periodix.operators.normalise import normalise_sheets
+
+    return normalise_sheets(_grid(spark, sf))[0]
+
+
+def _parse_quality(spark: SparkSession, sf: str) -> DataFrame:
+    from periodix.operators.normalise import parse_quality
+
+    return parse_quality(_grid(spark, sf))
+
+
+# Sheet names carry the reporting date as 01.MM.20YY; earlier years do not
+# parse (P1) and their sheets are pruned, exactly as the reference does.
+register(
+    "sheet_normalise", _sheet_normalise,
+    S.rounded("SELECT * FROM filings WHERE year >= 2000", money=MONEY_ROW[:6]),
+    money=MONEY_ROW[:6], ops="S2 S3 P1-P13 J4",
+)
+register(
+    "parse_quality", _parse_quality,
+    S.rounded("""SELECT file, '01.' || substr(quarter, 6, 2) || '.' || substr(quarter, 1, 4) AS sheet,
+        count(*) AS rows_seen,
+        count_if(mfo_name IS NOT NULL AND assets IS NOT NULL AND portfolio_gross IS NOT NULL) AS rows_kept,
+        count_if(NOT (mfo_name IS NOT NULL AND assets IS NOT NULL AND portfolio_gross IS NOT NULL))
+          AS rows_incomplete,
+        CAST(0 AS BIGINT) AS rows_quarantined,
+        count_if(mfo_name IS NOT NULL AND assets IS NOT NULL AND portfolio_gross IS NOT NULL)
+          / count(*) AS accuracy
+        FROM (SELECT * REPLACE (CASE WHEN format = 'old' THEN net_loans / 0.92 ELSE portfolio_gross END
+                                AS portfolio_gross) FROM parsed)
+        WHERE year >= 2000 GROUP BY 1, 2""", ratio=("accuracy",)),
+    ratio=("accuracy",), ops="P25",
+)
+
+# --- 8. text: summary lines, chunks (R1-R3) --------------------------------------
+
+from periodix.operators import retrieval as R  # noqa: E402
+from periodix.operators import text as TX  # noqa: E402
+from periodix.sources.tables import read_table  # noqa: E402
+
+
+def _summary_docs(spark: SparkSession, sf: str) -> DataFrame:
+    return TX.summary_lines(agg.yearly_market(marked(spark, sf)))
+
+
+_SUMMARY_SQL = f"""
+  SELECT 'summary_0' AS id, 0 AS line_no, 'Market Overview' AS text
+  UNION ALL
+  SELECT 'summary_' || CAST(row_number() OVER (ORDER BY year) AS VARCHAR) AS id,
+         CAST(row_number() OVER (ORDER BY year) AS INTEGER) AS line_no,
+         CAST(year AS VARCHAR) || ': ' || CAST(mfo_count AS VARCHAR) || ' MFOs, Assets '
+           || printf('%.1f', total_assets / 1e9) || 'B KZT, NPL '
+           || coalesce(printf('%.2f', avg_npl_pct), 'nan') || '%' AS text
+  FROM (SELECT year, {S.MARKET_AGGS} FROM marked GROUP BY year)"""
+register(
+    "summary_lines", lambda sp, sf: _summary_docs(sp, sf).select("id", "line_no", "text"),
+    S.rounded(_SUMMARY_SQL), ops="R1 R3 A12 P21",
+)
+
+
+def _doc_chunks(spark: SparkSession, sf: str) -> DataFrame:
+    docs = read_table(spark, sf, "documents", "doc_id", "text", "lang", "source")
+    return TX.chunk_lines(docs, keep=("lang", "source"))
+
+
+_CHUNKS_CTE = f"""chunks AS (
+  SELECT doc_id, lang, source, CAST(i AS INTEGER) AS chunk_no, parts[i + 1] AS text FROM (
+    SELECT doc_id, lang, source, parts, unnest(range(len(parts))) AS i FROM (
+      SELECT doc_id, lang, source,
+             list_filter(list_transform(string_split(text, chr(10)),
+                                        lambda x: regexp_replace(x, '{S.STRIP_RE}', '', 'g')),
+                         lambda x: x <> '') AS parts
+      FROM documents)))"""
+register(
+    "chunks", lambda sp, sf: _doc_chunks(sp, sf).select("doc_id", "chunk_no", "text"),
+    S.rounded(f"WITH {_CHUNKS_CTE} SELECT doc_id, chunk_no, text FROM chunks", panel=False),
+    ops="R2 R3",
+)
+
+# --- 9. retrieval (R6-R9) ----------------------------------------------------------
+
+
+def _cosine_topk(spark: SparkSession, sf: str) -> DataFrame:
+    emb = read_table(spark, sf, "embeddings", "vec_id", "embedding", "label")
+    cents = R.label_centroids(emb).select(F.col("label").alias("qid"), F.col("centroid").alias("vec"))
+    return R.cosine_topk(emb, cents, k=10).withColumn("rank", F.col("rank").cast("int"))
+
+
+register(
+    "cosine_topk", _cosine_topk,
+    S.rounded("""
+  WITH pos AS (SELECT label, generate_subscripts(embedding, 1) AS i, unnest(embedding) AS x FROM embeddings),
+  c AS (SELECT label, list(v ORDER BY i) AS centroid
+        FROM (SELECT label, i, avg(CAST(x AS DOUBLE)) AS v FROM pos GROUP BY label, i) GROUP BY label),
+  s AS (SELECT c.label AS qid, e.vec_id AS doc_id,
+               list_cosine_similarity(c.centroid, CAST(e.embedding AS DOUBLE[])) AS similarity
+        FROM c CROSS JOIN embeddings e)
+  SELECT qid, CAST(rank AS INTEGER) AS rank, doc_id, similarity FROM (
+    SELECT *, row_number() OVER (PARTITION BY qid ORDER BY similarity DESC, doc_id) AS rank FROM s)
+  WHERE rank <= 10""", ratio=("similarity",), panel=False),
+    ratio=("similarity",), ops="R6 R7 T6 J3",
+)
+
+_TOK = r"list_filter(regexp_split_to_array(lower({t}), '[^\p{{L}}\p{{N}}]+'), lambda x: x <> '')"
+
+
+def _lexical_sql(doc_cte: str, doc_from: str, q_from: str, qid: str, k: int) -> str:
+    return f"""WITH {doc_cte},
+  dt AS (SELECT doc_id, chunk_no, token, count(*) AS d_tf FROM
+         (SELECT doc_id, chunk_no, unnest({_TOK.format(t='text')}) AS token FROM {doc_from}) GROUP BY ALL),
+  qt AS (SELECT {qid}, token, count(*) AS q_tf FROM
+         (SELECT {qid}, unnest({_TOK.format(t='text')}) AS token FROM {q_from}) GROUP BY ALL),
+  dn AS (SELECT doc_id, chunk_no, sqrt(sum(d_tf * d_tf)) AS d_norm FROM dt GROUP BY ALL),
+  qn AS (SELECT {qid}, sqrt(sum(q_tf * q_tf)) AS q_norm FROM qt GROUP BY ALL),
+  dots AS (SELECT {qid}, doc_id, chunk_no, sum(q_tf * d_tf) AS dot FROM qt JOIN dt USING (token) GROUP BY ALL),
+  s AS (SELECT {qid}, doc_id, chunk_no, dot / (q_norm * d_norm) AS similarity
+        FROM dots JOIN qn USING ({qid}) JOIN dn USING (doc_id, chunk_no)),
+  r AS (SELECT *, CAST(row_number() OVER (PARTITION BY {qid} ORDER BY similarity DESC, doc_id, chunk_no)
+                       AS INTEGER) AS rank FROM s)
+  SELECT {qid}, rank, doc_id, chunk_no, round(similarity, 6) AS similarity FROM r WHERE rank <= {k}"""
+
+
+def _lexical_topk(spark: SparkSession, sf: str, **where: str) -> DataFrame:
+    chunks = _doc_chunks(spark, sf)
+    if where:
+        chunks = R.metadata_filter(
+            chunks.withColumn("metadata", F.create_map(F.lit("type"), F.lit("document"),
+                                                       F.lit("lang"), F.col("lang"),
+                                                       F.lit("source"), F.col("source"))),
+            **where)
+    bench = read_table(spark, sf, "benchmark", "item_id", "text")
+    return R.lexical_topk(chunks.select("doc_id", "chunk_no", "text"), bench, 3,
+                          ["doc_id", "chunk_no"], ["item_id"])
+
+
+register(
+    "lexical_topk", _lexical_topk,
+    _lexical_sql(_CHUNKS_CTE, "chunks", "benchmark", "item_id", 3),
+    ratio=("similarity",), ops="R7 R8",
+)
+register(
+    "metadata_search", lambda sp, sf: _lexical_topk(sp, sf, type="document", lang="en"),
+    _lexical_sql(_CHUNKS_CTE + ",\n en_chunks AS (SELECT * FROM chunks WHERE lang = 'en')",
+                 "en_chunks", "benchmark", "item_id", 3),
+    ratio=("similarity",), ops="R9",
+)
