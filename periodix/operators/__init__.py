@@ -1,0 +1 @@
+"""DataFrame -> DataFrame operators (see README's coverage table for IDs)."""

@@ -207,13 +207,3 @@ def source_attribution(df: DataFrame, keys: tuple[str, ...] = ("year",)) -> Data
         F.array_sort(F.collect_set("file")).alias("sources"),
         F.count(F.lit(1)).alias("n_records"),
     )
-
-
-def structured_query(results: dict[str, DataFrame], name: str, **filters) -> DataFrame:
-    """A named result filtered by equality on each keyword."""
-    if name not in results:
-        raise KeyError(f"unknown result {name!r}; have {sorted(results)}")
-    out = results[name]
-    for col, val in filters.items():
-        out = out.filter(F.col(col) == F.lit(val))
-    return out

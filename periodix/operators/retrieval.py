@@ -196,25 +196,35 @@ YEAR_PATTERN = r"((?:19|20)\d{2})"
 
 def hybrid_answers(questions: DataFrame, yearly: DataFrame, docs: DataFrame, k: int = 2,
                    qid: str = "qid", question: str = "question") -> DataFrame:
-    """Route a question naming a year to the structured yearly row
-    (equi-join on year), everything else to lexical search; contexts merged.
+    """A question naming years gets the structured yearly rows of those
+    years (equi-join on year, lines in year order); any other question goes
+    to lexical search over ``docs``.  Output: route, context, answer.
     """
     q = questions.select(qid, question).withColumn(
-        "year", F.regexp_extract(F.col(question), YEAR_PATTERN, 1)
+        "_years", F.array_distinct(F.regexp_extract_all(F.col(question), F.lit(YEAR_PATTERN), 1))
     )
-    structured = q.filter(F.col("year") != "").join(
-        yearly.select(F.col("year").cast("string").alias("year"),
-                      T.summary_line(F.col("year"), F.col("mfo_count"), F.col("total_assets"),
-                                     F.col("avg_npl_pct")).alias("fact")),
-        "year", "left",
-    ).select(qid, question, F.lit("structured").alias("route"), "fact")
-    semantic_q = q.filter(F.col("year") == "").select(qid, question)
+    facts = yearly.select(
+        F.col("year").cast("string").alias("_year"),
+        T.summary_line(F.col("year"), F.col("mfo_count"), F.col("total_assets"),
+                       F.col("avg_npl_pct")).alias("_line"),
+    )
+    asked = q.filter(F.size("_years") > 0).select(qid, F.explode("_years").alias("_year"))
+    structured = (
+        asked.join(facts, "_year")
+        .groupBy(qid)
+        .agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_year", "_line"))),
+                                      lambda s: s["_line"]), T.CONTEXT_SEPARATOR).alias("_ctx"))
+    )
+    routed = q.filter(F.size("_years") > 0).select(qid, question).join(structured, qid, "left").select(
+        qid, question, F.lit("structured").alias("route"), F.col("_ctx")
+    )
+    semantic_q = q.filter(F.size("_years") == 0).select(qid, question)
     semantic = answer_questions(semantic_q, docs, k, qid, question).select(
-        qid, question, F.lit("semantic").alias("route"), F.col("context").alias("fact")
+        qid, question, F.lit("semantic").alias("route"), F.col("context").alias("_ctx")
     )
-    both = structured.unionByName(semantic)
+    both = routed.unionByName(semantic)
     return both.select(
         qid, question, "route",
-        F.coalesce(F.col("fact"), F.lit("")).alias("context"),
-        T.context_answer(F.col("fact")).alias("answer"),
+        F.coalesce(F.col("_ctx"), F.lit("")).alias("context"),
+        T.context_answer(F.col("_ctx")).alias("answer"),
     )

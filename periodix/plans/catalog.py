@@ -469,3 +469,143 @@ register(
                  "en_chunks", "benchmark", "item_id", 3),
     ratio=("similarity",), ops="R9",
 )
+
+# --- 10. question answering (R10-R13, R15) and evaluation (R16) ------------------
+
+from periodix.operators import evaluation as EV  # noqa: E402
+
+
+def _chunk_docs(spark: SparkSession, sf: str) -> DataFrame:
+    c = _doc_chunks(spark, sf)
+    return c.select(F.concat(F.col("doc_id").cast("string"), F.lit("_"), F.col("chunk_no").cast("string"))
+                    .alias("id"), "text")
+
+
+def _user_turns(spark: SparkSession, sf: str) -> DataFrame:
+    conv = read_table(spark, sf, "conversations", "conv_id", "turn", "role", "text")
+    return conv.filter(F.col("role") == "user").select(
+        F.concat(F.col("conv_id").cast("string"), F.lit(":"), F.col("turn").cast("string")).alias("qid"),
+        F.col("text").alias("question"),
+    )
+
+
+def _batch_qa(spark: SparkSession, sf: str) -> DataFrame:
+    return R.answer_questions(_user_turns(spark, sf), _chunk_docs(spark, sf), k=2)
+
+
+_NL2 = "chr(10) || chr(10)"
+_PROMPT_SQL = ("'You are an analyst for the National Bank of Kazakhstan.' || " + _NL2 +
+               " || 'Context:' || chr(10) || coalesce(context, '') || " + _NL2 +
+               " || 'Question: ' || question || " + _NL2 +
+               " || 'Provide a concise, data-driven answer in 2-3 sentences.'")
+
+
+def _qa_sql(docs_cte: str, questions_cte: str, k: int) -> str:
+    return f"""WITH {docs_cte},
+  qs AS ({questions_cte}),
+  dt AS (SELECT id, token, count(*) AS d_tf FROM
+         (SELECT id, unnest({_TOK.format(t='text')}) AS token FROM docs) GROUP BY ALL),
+  qt AS (SELECT qid, token, count(*) AS q_tf FROM
+         (SELECT qid, unnest({_TOK.format(t='question')}) AS token FROM qs) GROUP BY ALL),
+  dn AS (SELECT id, sqrt(sum(d_tf * d_tf)) AS d_norm FROM dt GROUP BY ALL),
+  qn AS (SELECT qid, sqrt(sum(q_tf * q_tf)) AS q_norm FROM qt GROUP BY ALL),
+  dots AS (SELECT qid, id, sum(q_tf * d_tf) AS dot FROM qt JOIN dt USING (token) GROUP BY ALL),
+  s AS (SELECT qid, id, dot / (q_norm * d_norm) AS similarity FROM dots JOIN qn USING (qid) JOIN dn USING (id)),
+  r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY similarity DESC, id) AS rank FROM s),
+  ctx AS (SELECT qid, string_agg(d.text, {_NL2} ORDER BY r.rank) AS context
+          FROM r JOIN docs d USING (id) WHERE rank <= {k} GROUP BY qid),
+  a AS (SELECT qs.qid, qs.question, ctx.context FROM qs LEFT JOIN ctx USING (qid))
+  SELECT qid, question, coalesce(context, '') AS context,
+         'Context:' || chr(10) || coalesce(context, '') AS answer,
+         {_PROMPT_SQL} AS prompt
+  FROM a"""
+
+
+_CHUNK_DOCS_CTE = _CHUNKS_CTE + """,
+  docs AS (SELECT CAST(doc_id AS VARCHAR) || '_' || CAST(chunk_no AS VARCHAR) AS id, text FROM chunks)"""
+_USER_TURNS_SQL = ("SELECT CAST(conv_id AS VARCHAR) || ':' || CAST(turn AS VARCHAR) AS qid, text AS question "
+                   "FROM conversations WHERE role = 'user'")
+register(
+    "batch_qa", lambda sp, sf: _batch_qa(sp, sf).select("qid", "question", "context", "answer"),
+    "SELECT qid, question, context, answer FROM ("
+    + _qa_sql(_CHUNK_DOCS_CTE, _USER_TURNS_SQL, 2) + ")",
+    ops="R15 R10 R12 S10",
+)
+register(
+    "prompt", lambda sp, sf: _batch_qa(sp, sf).select("qid", "prompt"),
+    "SELECT qid, prompt FROM (" + _qa_sql(_CHUNK_DOCS_CTE, _USER_TURNS_SQL, 2) + ")",
+    ops="R11",
+)
+
+
+def _year_questions(spark: SparkSession, sf: str) -> DataFrame:
+    """Questions derived from the data: one per year and type."""
+    m = marked(spark, sf)
+    yearly = agg.yearly_market(m)
+    top1 = rankings.top_n(m, n=1).select("year", F.col("mfo_name").alias("leader"))
+    from pyspark.sql import Window
+
+    # one row per year: the global-min window runs over a calendar-bounded table
+    base = yearly.join(top1, "year", "left").withColumn("y0", F.min("year").over(Window.partitionBy()))
+    y = F.col("year").cast("string")
+    return base.select(
+        F.explode(F.array(
+            F.struct(F.concat(F.lit("What is the average NPL in "), y, F.lit("?")).alias("question"),
+                     F.col("avg_npl_pct").cast("string").alias("expected"),
+                     F.lit("numerical").alias("type")),
+            F.struct(F.concat(F.lit("Which MFO was the leader by assets in "), y, F.lit("?")).alias("question"),
+                     F.col("leader").alias("expected"), F.lit("text").alias("type")),
+            F.struct(F.concat(F.lit("How has NPL changed from "), F.col("y0").cast("string"),
+                              F.lit(" to "), y, F.lit("?")).alias("question"),
+                     F.lit("trend_analysis").alias("expected"), F.lit("analytical").alias("type")),
+        )).alias("q")
+    ).select("q.*").withColumn("qid", F.col("question"))
+
+
+def _summary_qa(spark: SparkSession, sf: str) -> DataFrame:
+    qs = _year_questions(spark, sf)
+    return R.answer_questions(qs.select("qid", "question"), _summary_docs(spark, sf).select("id", "text"), k=2)
+
+
+def _hybrid(spark: SparkSession, sf: str) -> DataFrame:
+    qs = _year_questions(spark, sf).select("qid", "question")
+    m = marked(spark, sf)
+    return R.hybrid_answers(qs, agg.yearly_market(m), TX.summary_lines(agg.yearly_market(m)).select("id", "text"))
+
+
+def _eval_scores(spark: SparkSession, sf: str) -> DataFrame:
+    qs = _year_questions(spark, sf)
+    answers = _hybrid(spark, sf).select("question", "answer")
+    records = EV.attach_expected(answers, qs.select("question", "expected", "type"))
+    return EV.accuracy(EV.score(records))
+
+
+register("summary_qa", lambda sp, sf: _summary_qa(sp, sf).select("qid", "question", "context", "answer"),
+         None, ops="R7 R10 R12 over summary lines")
+register("hybrid_answers", _hybrid, None, ops="R13")
+register("eval_scores", _eval_scores, None, ratio=("accuracy",), ops="R16 J5")
+
+# --- 11. registry views: preview, structured query (A6, P23, P24) -----------------
+
+from periodix.plans import results as RS  # noqa: E402
+
+
+def _results(spark: SparkSession, sf: str) -> dict[str, DataFrame]:
+    return RS.compute_all(RS.prepare(filings(spark, sf), persist=False))
+
+
+register(
+    "preview",
+    lambda sp, sf: RS.preview(_results(sp, sf), "raw").select("mfo_name", "quarter", "year", "assets",
+                                                              "npl_pct", "is_leader"),
+    S.rounded("""SELECT mfo_name, quarter, year, assets, npl_pct, is_leader FROM marked
+        ORDER BY quarter, mfo_name, file, no LIMIT 100""", money=("assets",), ratio=("npl_pct",)),
+    money=("assets",), ratio=("npl_pct",), ops="P23 T5",
+)
+register(
+    "structured_query",
+    lambda sp, sf: RS.structured_query(_results(sp, sf), "yearly_market", year=2000),
+    S.rounded(f"SELECT year, {S.MARKET_AGGS} FROM marked WHERE year = 2000 GROUP BY year",
+              money=MARKET_MONEY, ratio=("avg_npl_pct",)),
+    money=MARKET_MONEY, ratio=("avg_npl_pct",), ops="P24 P18",
+)

@@ -1,0 +1 @@
+"""Readers (workbook directories, parquet tables, panel adapter) and sinks."""
