@@ -5,11 +5,11 @@ is a header-less positional grid, one row per sheet row (S3).  Everything
 here is DataFrame code; the only Python in ingest is the workbook decoder
 in ``sources/xlsx.py``.
 
-Plan shape: one aggregation per (file, sheet) finds the header row and the
-sheet width (partial aggregate, a few bytes per sheet), that per-sheet table
-is joined back on (file, sheet) (AQE broadcasts it at runtime once its real
-size is known), and a single projection dispatches both layouts -- no
-per-sheet Python, no driver loop, no second pass over data rows.
+Plan shape: one partial aggregation per (file, sheet) finds the header row
+and the sheet width, one equi-join picks each sheet's layout row, both tiny
+per-sheet tables are joined back (broadcast by AQE), and a single
+projection dispatches both layouts -- no per-sheet Python, no driver loop,
+no task holding a whole sheet.
 """
 
 from __future__ import annotations
@@ -63,6 +63,13 @@ def annotate_sheets(cells: DataFrame) -> DataFrame:
     Returns data-region rows (row_idx >= header + 2) with columns
     file, sheet, row_idx, cells, quarter, header_row, width, has_buckets,
     is_record (P6 serial test).
+
+    Per-sheet facts come from one partial aggregation (a few bytes per
+    sheet) and one equi-join that picks the row after each header (at most
+    one row per sheet); both small tables are joined back on (file, sheet)
+    and AQE broadcasts them once their real size is known.  No task ever
+    holds a whole sheet.  ``cells`` is read three times: persist or
+    checkpoint it when it is expensive to recompute (``read_filings`` does).
     """
     dated = cells.withColumn("quarter", quarter_from_sheet(F.col("sheet"))).filter(
         F.col("quarter").isNotNull()
@@ -72,13 +79,14 @@ def annotate_sheets(cells: DataFrame) -> DataFrame:
         F.min(F.when(is_header, F.col("row_idx"))).alias("header_row"),
         F.max(F.size("cells")).alias("width"),
     ).filter(F.col("header_row").isNotNull())
-    tagged = dated.join(meta, ["file", "sheet"])
-    layout = tagged.filter(F.col("row_idx") == F.col("header_row") + 1).select(
+    after_header = meta.select("file", "sheet", (F.col("header_row") + 1).alias("row_idx"))
+    layout = dated.join(after_header, ["file", "sheet", "row_idx"]).select(
         "file", "sheet", _layout_hit().alias("has_buckets")
     )
-    region = tagged.filter(F.col("row_idx") >= F.col("header_row") + 2)
     return (
-        region.join(layout, ["file", "sheet"], "left")
+        dated.join(meta, ["file", "sheet"])
+        .filter(F.col("row_idx") >= F.col("header_row") + 2)
+        .join(layout, ["file", "sheet"], "left")
         .withColumn("has_buckets", F.coalesce("has_buckets", F.lit(False)))
         .withColumn("is_record", F.coalesce(_cell(0).rlike(SERIAL_PATTERN), F.lit(False)))
     )

@@ -8,8 +8,9 @@ Documents are never shuffled and no pair table is materialised.  A question
 set over the budget is split into hash batches, each within the budget, and
 the per-batch results are unioned -- still exact.
 
-Lexical (R8, the stand-in encoder): term-frequency vectors and an inverted
-index equi-join on the token (no cross join), cosine = dot / (|q| |d|).
+Lexical (R8, the stand-in encoder): the same shape -- question term
+postings are broadcast (byte-checked, hash-batched), document partitions
+compute exact sparse dot products in numpy, cosine = dot / (|q| |d|).
 
 Every ranking is a total order: similarity desc, then document id asc.
 """
@@ -27,6 +28,92 @@ TOKEN_SPLIT = r"[^\p{L}\p{N}]+"
 DEFAULT_BROADCAST_BYTES = 64 << 20
 
 
+# --- exact per-partition top-k -------------------------------------------
+
+class _TopK:
+    """Running exact top-k per question over candidate batches.
+
+    Order: similarity desc, then document id columns asc -- the same total
+    order the final Spark ``row_number`` uses, so keeping k per partition
+    never drops a global winner, ties included.
+    """
+
+    def __init__(self, nq: int, k: int):
+        self.nq, self.k = nq, k
+        self.row = np.empty(0, dtype=np.int64)
+        self.sim = np.empty(0, dtype=np.float64)
+        self.ids: list[np.ndarray] | None = None
+        self.thr = np.full(nq, -np.inf)
+
+    def offer(self, sims: np.ndarray, ids: list[np.ndarray]) -> None:
+        """``sims``: (nq, B) with -inf for "no match"; ``ids``: B-long arrays."""
+        nq, b = sims.shape
+        if b == 0:
+            return
+        if b > self.k:
+            kth = -np.partition(-sims, self.k - 1, axis=1)[:, self.k - 1]
+        else:
+            kth = np.full(nq, -np.inf)
+        keep = (sims >= kth[:, None]) & (sims >= self.thr[:, None]) & np.isfinite(sims)
+        r, c = np.nonzero(keep)
+        row = np.concatenate([self.row, r])
+        sim = np.concatenate([self.sim, sims[r, c]])
+        new_ids = [col[c] for col in ids]
+        ids_all = new_ids if self.ids is None else [np.concatenate([o, n]) for o, n in zip(self.ids, new_ids)]
+        sort_keys = [_sortable(col) for col in reversed(ids_all)] + [-sim, row]
+        order = np.lexsort(sort_keys)
+        row, sim = row[order], sim[order]
+        ids_all = [col[order] for col in ids_all]
+        first = np.searchsorted(row, row, side="left")
+        rank = np.arange(len(row)) - first
+        sel = rank < self.k
+        self.row, self.sim = row[sel], sim[sel]
+        self.ids = [col[sel] for col in ids_all]
+        full = np.bincount(self.row, minlength=nq) >= self.k
+        last = np.full(nq, -np.inf)
+        if len(self.row):
+            ends = np.r_[np.nonzero(np.diff(self.row))[0], len(self.row) - 1]
+            last[self.row[ends]] = self.sim[ends]
+        self.thr = np.where(full, last, -np.inf)
+
+
+def _sortable(col: np.ndarray) -> np.ndarray:
+    if col.dtype.kind in "iufb":
+        return col
+    # strings: code-point order == Spark's UTF-8 byte order
+    return np.unique(col.astype(str), return_inverse=True)[1]
+
+
+def _batches_of_queries(q: DataFrame, key_cols: list[str], est_bytes: int, budget: int):
+    n_batches = max(1, -(-est_bytes // budget))
+    if n_batches == 1:
+        return [q]
+    h = F.pmod(F.xxhash64(*key_cols), F.lit(n_batches))
+    return [q.filter(h == b) for b in range(n_batches)]
+
+
+def _merge_topk(partials: list[DataFrame], qcols: list[str], doc_ids: list[str], k: int) -> DataFrame:
+    merged = partials[0]
+    for p in partials[1:]:
+        merged = merged.unionByName(p)
+    w = Window.partitionBy(*qcols).orderBy(F.desc("similarity"), *[F.asc(c) for c in doc_ids])
+    return (merged.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+            .select(*qcols, "rank", *doc_ids, "similarity"))
+
+
+def _out_schema(queries: DataFrame, qcols: list[str], docs: DataFrame, doc_ids: list[str]) -> str:
+    cols = [f"`{c}` {queries.schema[c].dataType.simpleString()}" for c in qcols]
+    cols += [f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in doc_ids]
+    return ", ".join(cols + ["similarity DOUBLE"])
+
+
+def _emit(top: _TopK, qvals: list[np.ndarray], qcols: list[str], doc_ids: list[str]) -> pd.DataFrame:
+    data = {c: v[top.row] for c, v in zip(qcols, qvals)}
+    data.update(dict(zip(doc_ids, top.ids)))
+    data["similarity"] = top.sim
+    return pd.DataFrame(data)
+
+
 # --- dense ------------------------------------------------------------------
 
 def label_centroids(vectors: DataFrame, label: str = "label", vec: str = "embedding") -> DataFrame:
@@ -42,39 +129,22 @@ def label_centroids(vectors: DataFrame, label: str = "label", vec: str = "embedd
     )
 
 
-def _partition_topk(bq, k: int, doc_id: str, doc_vec: str):
+def _dense_scorer(bq, k: int, doc_ids: list[str], doc_vec: str, qcols: list[str]):
     def run(batches):
-        qids, qmat = bq.value  # broadcast once per executor, not per task
+        qvals, qmat = bq.value  # broadcast: deserialised once per worker
         qnorm = np.linalg.norm(qmat, axis=1)
-        best_ids = None  # (nq, <=k) doc ids kept so far
-        best_sim = None
+        top = _TopK(len(qnorm), k)
         for pdf in batches:
             if pdf.empty:
                 continue
-            ids = pdf[doc_id].to_numpy()
             mat = np.vstack([np.asarray(v, dtype=np.float64) for v in pdf[doc_vec]])
             dnorm = np.linalg.norm(mat, axis=1)
             with np.errstate(divide="ignore", invalid="ignore"):
-                sims = (mat @ qmat.T) / np.outer(dnorm, qnorm)  # (nd, nq)
-            sims = sims.T
-            cand_ids = np.broadcast_to(ids, sims.shape)
-            if best_ids is not None:
-                sims = np.concatenate([best_sim, sims], axis=1)
-                cand_ids = np.concatenate([best_ids, cand_ids], axis=1)
-            sims = np.where(np.isnan(sims), -np.inf, sims)
-            # total order: similarity desc, doc id asc
-            order = np.lexsort((cand_ids, -sims), axis=1)[:, :k]
-            best_sim = np.take_along_axis(sims, order, axis=1)
-            best_ids = np.take_along_axis(cand_ids, order, axis=1)
-        if best_ids is None:
-            return
-        nq, kk = best_ids.shape
-        keep = np.isfinite(best_sim).ravel()
-        yield pd.DataFrame({
-            "qid": np.repeat(qids, kk)[keep],
-            "doc_id": best_ids.ravel()[keep],
-            "similarity": best_sim.ravel()[keep],
-        })
+                sims = (qmat @ mat.T) / np.outer(qnorm, dnorm)
+            sims[~np.isfinite(sims)] = -np.inf
+            top.offer(sims, [pdf[c].to_numpy() for c in doc_ids])
+        if len(top.row):
+            yield _emit(top, qvals, qcols, doc_ids)
 
     return run
 
@@ -87,78 +157,135 @@ def cosine_topk(docs: DataFrame, queries: DataFrame, k: int = 3, doc_id: str = "
     Returns ``(qid, rank, doc_id, similarity)``; fewer than ``k`` documents
     give fewer rows; documents with a zero vector are never returned.
     """
-    spark = docs.sparkSession
     q = queries.select(F.col(query_id).alias("qid"), F.col(query_vec).alias("vec"))
     stats = q.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("vec")).alias("d")).first()
-    n, dim = int(stats["n"]), int(stats["d"] or 0)
-    if n == 0:
-        return spark.createDataFrame([], f"qid {q.schema['qid'].dataType.simpleString()}, rank INT, "
-                                         f"doc_id {docs.schema[doc_id].dataType.simpleString()}, similarity DOUBLE")
-    per_query = max(1, 8 * dim)
-    n_batches = max(1, -(-n * per_query // max_broadcast_bytes))
-    qid_type = q.schema["qid"].dataType.simpleString()
-    did_type = docs.schema[doc_id].dataType.simpleString()
-    schema = f"qid {qid_type}, doc_id {did_type}, similarity DOUBLE"
-    slim = docs.select(doc_id, doc_vec)
+    est = int(stats["n"]) * 8 * max(1, int(stats["d"] or 0))
+    slim = docs.select(F.col(doc_id).alias("doc_id"), F.col(doc_vec).alias("_vec"))
+    schema = _out_schema(q, ["qid"], slim, ["doc_id"])
     partials = []
-    for b in range(n_batches):
-        batch = q if n_batches == 1 else q.filter(F.pmod(F.xxhash64("qid"), F.lit(n_batches)) == b)
-        rows = batch.collect()  # bounded: at most max_broadcast_bytes of vectors
+    for batch in _batches_of_queries(q, ["qid"], est, max_broadcast_bytes):
+        rows = batch.collect()  # bounded by max_broadcast_bytes
         if not rows:
             continue
-        qids = np.array([r["qid"] for r in rows])
+        qvals = [np.array([r["qid"] for r in rows])]
         qmat = np.vstack([np.asarray(r["vec"], dtype=np.float64) for r in rows])
-        bq = spark.sparkContext.broadcast((qids, qmat))
-        partials.append(slim.mapInPandas(_partition_topk(bq, k, doc_id, doc_vec), schema))
-    merged = partials[0]
-    for p in partials[1:]:
-        merged = merged.unionByName(p)
-    w = Window.partitionBy("qid").orderBy(F.desc("similarity"), F.asc("doc_id"))
-    return (merged.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
-            .select("qid", "rank", "doc_id", "similarity"))
+        bq = docs.sparkSession.sparkContext.broadcast((qvals, qmat))
+        partials.append(slim.mapInPandas(_dense_scorer(bq, k, ["doc_id"], "_vec", ["qid"]), schema))
+    if not partials:
+        return docs.sparkSession.createDataFrame([], schema + ", rank INT").select(
+            "qid", "rank", "doc_id", "similarity")
+    return _merge_topk(partials, ["qid"], ["doc_id"], k)
 
 
 # --- lexical ----------------------------------------------------------------
 
 def tokens(text) -> "F.Column":
-    """Lower-cased letter/digit runs of a text column."""
+    """Lower-cased letter/digit runs of a text column (JVM-side)."""
     return F.filter(F.split(F.lower(text), TOKEN_SPLIT), lambda x: x != "")
 
 
 def term_frequencies(df: DataFrame, ids: list[str], text_col: str = "text") -> DataFrame:
-    """``(ids..., token, tf)``; the partial aggregate collapses each
-    document's tokens inside the task that exploded them."""
+    """``(ids..., token, tf)`` term-frequency vectors as a table."""
     return (df.select(*ids, F.explode(tokens(F.col(text_col))).alias("token"))
             .groupBy(*ids, "token").agg(F.count(F.lit(1)).alias("tf")))
 
 
-def lexical_scores(docs: DataFrame, queries: DataFrame, doc_ids: list[str], query_ids: list[str],
-                   doc_text: str = "text", query_text: str = "text") -> DataFrame:
-    """Cosine of term-frequency vectors for every (question, document)
-    pair that shares at least one token (the inverted-index join)."""
-    dtf = term_frequencies(docs, doc_ids, doc_text).withColumnRenamed("tf", "d_tf")
-    qtf = term_frequencies(queries, query_ids, query_text).withColumnRenamed("tf", "q_tf")
-    dn = dtf.groupBy(*doc_ids).agg(F.sqrt(F.sum(F.col("d_tf") * F.col("d_tf"))).alias("d_norm"))
-    qn = qtf.groupBy(*query_ids).agg(F.sqrt(F.sum(F.col("q_tf") * F.col("q_tf"))).alias("q_norm"))
-    dots = qtf.join(dtf, "token").groupBy(*query_ids, *doc_ids).agg(
-        F.sum(F.col("q_tf") * F.col("d_tf")).alias("dot")
-    )
-    return (dots.join(qn, query_ids).join(dn, doc_ids)
-            .withColumn("similarity", F.col("dot") / (F.col("q_norm") * F.col("d_norm")))
-            .drop("dot", "q_norm", "d_norm"))
+def _postings(rows, qcols: list[str]):
+    """Driver side, bounded batch: question term postings in CSR form."""
+    from collections import Counter
+
+    per_term: dict[str, list[tuple[int, int]]] = {}
+    qnorm = np.zeros(len(rows))
+    for qi, r in enumerate(rows):
+        counts = Counter(r["_toks"] or [])
+        qnorm[qi] = np.sqrt(float(sum(v * v for v in counts.values())))
+        for t, v in counts.items():
+            per_term.setdefault(t, []).append((qi, v))
+    vocab = sorted(per_term)
+    sizes = np.array([len(per_term[t]) for t in vocab], dtype=np.int64)
+    ptr = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
+    flat = [p for t in vocab for p in per_term[t]]
+    post_q = np.array([p[0] for p in flat], dtype=np.int64)
+    post_tf = np.array([p[1] for p in flat], dtype=np.float64)
+    qvals = [np.array([r[c] for r in rows]) for c in qcols]
+    return qvals, vocab, ptr, post_q, post_tf, qnorm
+
+
+_PRODUCTS_PER_STEP = 8_000_000
 
 
-def rank_hits(scores: DataFrame, query_ids: list[str], doc_ids: list[str], k: int) -> DataFrame:
-    """Top-k per question (group-limited ``row_number``, total order)."""
-    w = Window.partitionBy(*query_ids).orderBy(F.desc("similarity"), *[F.asc(c) for c in doc_ids])
-    return scores.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+def _lexical_scorer(bq, k: int, doc_ids: list[str], qcols: list[str]):
+    def run(batches):
+        qvals, vocab, ptr, post_q, post_tf, qnorm = bq.value
+        vindex = pd.Index(vocab)
+        nq = len(qnorm)
+        top = _TopK(nq, k)
+        step = max(1, _PRODUCTS_PER_STEP // max(nq, 1))
+        for pdf in batches:
+            for lo in range(0, len(pdf), step):
+                sub = pdf.iloc[lo:lo + step]
+                toks = sub["_toks"].to_numpy()
+                lens = np.fromiter((0 if t is None else len(t) for t in toks), np.int64, len(toks))
+                if lens.sum() == 0:
+                    continue
+                flat = np.concatenate([np.asarray(t, dtype=object) for t in toks if t is not None and len(t)])
+                doc = np.repeat(np.arange(len(sub)), lens)
+                codes, uniq = pd.factorize(flat)
+                key = doc * len(uniq) + codes
+                ukey, tf = np.unique(key, return_counts=True)
+                d_of, c_of = ukey // len(uniq), ukey % len(uniq)
+                tf = tf.astype(np.float64)
+                dnorm = np.sqrt(np.bincount(d_of, weights=tf * tf, minlength=len(sub)))
+                term = vindex.get_indexer(uniq)[c_of]
+                m = term >= 0
+                d_of, tf, term = d_of[m], tf[m], term[m]
+                start = ptr[term]
+                cnt = ptr[term + 1] - start
+                total = int(cnt.sum())
+                dot = np.zeros(len(sub) * nq)
+                if total:
+                    rep = np.repeat(np.arange(len(term)), cnt)
+                    pos = start[rep] + (np.arange(total) - np.repeat(np.cumsum(cnt) - cnt, cnt))
+                    dot = np.bincount(d_of[rep] * nq + post_q[pos], weights=tf[rep] * post_tf[pos],
+                                      minlength=len(sub) * nq)
+                dot = dot.reshape(len(sub), nq).T  # (nq, B)
+                with np.errstate(divide="ignore", invalid="ignore"):
+                    sims = dot / (qnorm[:, None] * dnorm[None, :])
+                sims[dot == 0] = -np.inf
+                top.offer(sims, [sub[c].to_numpy() for c in doc_ids])
+        if len(top.row):
+            yield _emit(top, qvals, qcols, doc_ids)
+
+    return run
 
 
 def lexical_topk(docs: DataFrame, queries: DataFrame, k: int, doc_ids: list[str],
-                 query_ids: list[str], doc_text: str = "text", query_text: str = "text") -> DataFrame:
-    """R7 over the lexical encoder: ``(query ids, rank, doc ids, similarity)``."""
-    scores = lexical_scores(docs, queries, doc_ids, query_ids, doc_text, query_text)
-    return rank_hits(scores, query_ids, doc_ids, k).select(*query_ids, "rank", *doc_ids, "similarity")
+                 query_ids: list[str], doc_text: str = "text", query_text: str = "text",
+                 max_broadcast_bytes: int = DEFAULT_BROADCAST_BYTES) -> DataFrame:
+    """R7 over the lexical encoder (R8): ``(query ids, rank, doc ids, similarity)``.
+
+    cosine = sum(tf_q * tf_d) / (|q| |d|) over shared tokens, exact.  Only
+    documents sharing a token with the question can be returned.  Question
+    postings are broadcast in byte-checked hash batches; each document
+    partition scores its Arrow batches with vectorised sparse products and
+    keeps its own top-k; documents and pairs are never shuffled.
+    """
+    q = queries.select(*query_ids, tokens(F.col(query_text)).alias("_toks"))
+    stats = q.agg(F.count(F.lit(1)).alias("n"), F.sum(F.size("_toks")).alias("t")).first()
+    est = int(stats["n"]) * 64 + int(stats["t"] or 0) * 48
+    slim = docs.select(*doc_ids, tokens(F.col(doc_text)).alias("_toks"))
+    schema = _out_schema(q, query_ids, slim, doc_ids)
+    partials = []
+    for batch in _batches_of_queries(q, query_ids, est, max_broadcast_bytes):
+        rows = batch.collect()  # bounded by max_broadcast_bytes
+        if not rows:
+            continue
+        bq = docs.sparkSession.sparkContext.broadcast(_postings(rows, query_ids))
+        partials.append(slim.mapInPandas(_lexical_scorer(bq, k, doc_ids, query_ids), schema))
+    if not partials:
+        return docs.sparkSession.createDataFrame([], schema + ", rank INT").select(
+            *query_ids, "rank", *doc_ids, "similarity")
+    return _merge_topk(partials, query_ids, doc_ids, k)
 
 
 def metadata_filter(docs: DataFrame, **where: str) -> DataFrame:

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from periodix.operators import aggregates as agg
 from periodix.operators import changes, leaders, metrics, rankings
+from periodix.operators.normalise import union_layouts
 from periodix.plans import sql as S
 from periodix.sources import panel
 
@@ -75,7 +76,7 @@ register(
     money=MONEY_ROW[:6], ops="P11 P12 P13 U1",
 )
 register(
-    "union_layouts", lambda sp, sf: panel.filings_parsed(sp, sf),
+    "union_layouts", lambda sp, sf: union_layouts(*panel.filing_layouts(sp, sf)),
     S.rounded("SELECT * FROM parsed", money=MONEY_ROW[:6]),
     money=MONEY_ROW[:6], ops="U1",
 )
@@ -319,7 +320,12 @@ register(
 def _grid(spark: SparkSession, sf: str) -> DataFrame:
     from periodix.sources.grid import render_sheets
 
-    return render_sheets(*panel.filing_layouts(spark, sf))
+    from periodix.session import ensure_checkpoint_dir
+
+    # The grid is read three times by the normaliser: materialise it once in
+    # the shared checkpoint folder (cuts lineage, survives executor loss).
+    ensure_checkpoint_dir(spark)
+    return render_sheets(panel.filings_parsed(spark, sf)).checkpoint(eager=True)
 
 
 def _sheet_normalise(spark: SparkSession, sf: str) -> DataFrame:

@@ -1,9 +1,9 @@
 """Render parsed filings back into positional sheet grids (``cells`` rows).
 
 Used to feed the ingest operators from the driver's tables: every data row
-becomes one grid row by a narrow projection (no window; the entity number
-is the row position, gaps read as blank rows), and each sheet gets a title,
-header, layout and totals row from one small per-sheet aggregate.
+becomes one grid row (the entity number is its row position, so gaps read as
+blank rows), and each sheet gets a title, header, layout and totals row from
+one small per-sheet aggregate.
 """
 
 from __future__ import annotations
@@ -22,6 +22,7 @@ TOTAL = "Итого"
 # ----------------------------------------------------------------------------
 
 FIRST_DATA_ROW = 3
+_NULL = F.lit(None).cast("string")
 
 
 def _lits(values: list[str | None]) -> Column:
@@ -33,41 +34,38 @@ def sheet_name(quarter: Column) -> Column:
     return F.concat(F.lit("01."), F.substring(quarter, 6, 2), F.lit("."), F.substring(quarter, 1, 4))
 
 
-def render_sheets(new: DataFrame, old: DataFrame) -> DataFrame:
-    """Parsed rows of both layouts -> ``cells(file, sheet, row_idx, cells)``."""
+def render_sheets(parsed: DataFrame) -> DataFrame:
+    """Parsed rows of both layouts -> ``cells(file, sheet, row_idx, cells)``.
+
+    Data rows are a narrow projection; the four frame rows of each sheet come
+    from one partial aggregation (one row per sheet) -- no task holds a sheet.
+    """
     s = lambda c: F.col(c).cast("string")
-    row_idx = (F.lit(FIRST_DATA_ROW) + F.col("no").cast("int")).alias("row_idx")
-    new_rows = new.select(
-        "file", sheet_name(F.col("quarter")).alias("sheet"), row_idx,
-        F.array(s("no"), s("mfo_name"), s("assets"), s("portfolio_gross"), s("del_31_60"),
-                s("del_61_90"), s("del_90_plus"), s("liabilities"), s("equity"), s("profit")).alias("cells"),
-        F.lit(True).alias("_new"), F.col("assets"),
-    )
-    old_rows = old.select(
-        "file", sheet_name(F.col("quarter")).alias("sheet"), row_idx,
-        F.array(s("no"), s("mfo_name"), s("assets"), s("net_loans"), s("liabilities"),
-                s("equity")).alias("cells"),
-        F.lit(False).alias("_new"), F.col("assets"),
+    new = F.col("format") == "new"
+    sheet = sheet_name(F.col("quarter")).alias("sheet")
+    data = parsed.select(
+        "file", sheet,
+        (F.lit(FIRST_DATA_ROW) + F.col("no").cast("int")).alias("row_idx"),
+        F.when(new, F.array(
+            s("no"), s("mfo_name"), s("assets"), s("portfolio_gross"), s("del_31_60"),
+            s("del_61_90"), s("del_90_plus"), s("liabilities"), s("equity"), s("profit"),
+        )).otherwise(F.array(s("no"), s("mfo_name"), s("assets"), s("net_loans"), s("liabilities"),
+                             s("equity"))).alias("cells"),
     )
-    data = new_rows.unionByName(old_rows)
-    per_sheet = data.groupBy("file", "sheet", "_new").agg(
-        F.max("row_idx").alias("_last"), F.sum("assets").alias("_total")
+    per_sheet = parsed.groupBy("file", sheet, new.alias("_new")).agg(
+        F.max(F.col("no").cast("int")).alias("_last"), F.sum("assets").alias("_total")
     )
-    new_flag = F.col("_new")
-    width = F.when(new_flag, F.lit(len(HEADER_NEW))).otherwise(F.lit(len(HEADER_OLD)))
-    title = F.concat(F.array(F.concat(F.lit(TITLE), F.col("sheet"))),
-                     F.array_repeat(F.lit(None).cast("string"), width - 1))
-    totals = F.concat(F.array(F.lit(None).cast("string"), F.lit(TOTAL), F.col("_total").cast("string")),
-                      F.array_repeat(F.lit(None).cast("string"), width - 3))
-    meta = per_sheet.select(
-        "file", "sheet",
-        F.explode(F.array(
-            F.struct(F.lit(0).alias("row_idx"), title.alias("cells")),
-            F.struct(F.lit(1).alias("row_idx"),
-                     F.when(new_flag, _lits(HEADER_NEW)).otherwise(_lits(HEADER_OLD)).alias("cells")),
-            F.struct(F.lit(2).alias("row_idx"),
-                     F.when(new_flag, _lits(LAYOUT_NEW)).otherwise(_lits(LAYOUT_OLD)).alias("cells")),
-            F.struct((F.col("_last") + 1).alias("row_idx"), totals.alias("cells")),
-        )).alias("r"),
-    ).select("file", "sheet", "r.row_idx", "r.cells")
-    return data.select("file", "sheet", "row_idx", "cells").unionByName(meta)
+    is_new = F.col("_new")
+    width = F.when(is_new, F.lit(len(HEADER_NEW))).otherwise(F.lit(len(HEADER_OLD)))
+    title = F.concat(F.array(F.concat(F.lit(TITLE), F.col("sheet"))), F.array_repeat(_NULL, width - 1))
+    totals = F.concat(F.array(_NULL, F.lit(TOTAL), F.col("_total").cast("string")),
+                      F.array_repeat(_NULL, width - 3))
+    frame = per_sheet.select("file", "sheet", F.explode(F.array(
+        F.struct(F.lit(0).alias("row_idx"), title.alias("cells")),
+        F.struct(F.lit(1).alias("row_idx"),
+                 F.when(is_new, _lits(HEADER_NEW)).otherwise(_lits(HEADER_OLD)).alias("cells")),
+        F.struct(F.lit(2).alias("row_idx"),
+                 F.when(is_new, _lits(LAYOUT_NEW)).otherwise(_lits(LAYOUT_OLD)).alias("cells")),
+        F.struct((F.col("_last") + FIRST_DATA_ROW + 1).alias("row_idx"), totals.alias("cells")),
+    )).alias("r")).select("file", "sheet", F.col("r.row_idx").cast("int").alias("row_idx"), "r.cells")
+    return data.unionByName(frame)

@@ -189,7 +189,11 @@ def read_filings(spark: SparkSession, directory: str, mode: str = "quarantine",
     """
     from periodix.operators.normalise import normalise_sheets
 
-    raw = scan_workbooks(spark, directory)
+    from pyspark import StorageLevel
+
+    # Decoding is the expensive step and the normaliser reads cells three
+    # times: keep the decoded grid (lost blocks are recomputed from lineage).
+    raw = scan_workbooks(spark, directory).persist(StorageLevel.MEMORY_AND_DISK)
     cells = raw.filter(F.col("error").isNull()).drop("error")
     decode_errors = raw.filter(F.col("error").isNotNull()).select("file", "sheet", "error")
     filings, sheet_errors = normalise_sheets(cells, mode=mode)
