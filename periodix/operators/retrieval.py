@@ -92,6 +92,15 @@ def _batches_of_queries(q: DataFrame, key_cols: list[str], est_bytes: int, budge
     return [q.filter(h == b) for b in range(n_batches)]
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Text and vector work is CPU-bound per row: when the input has fewer
+    partitions than the cluster has cores (e.g. one large row group), deal
+    rows out round-robin so every core works; a well-partitioned input (the
+    normal case at scale) is returned untouched, with no shuffle."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def _merge_topk(partials: list[DataFrame], qcols: list[str], doc_ids: list[str], k: int) -> DataFrame:
     merged = partials[0]
     for p in partials[1:]:
@@ -160,7 +169,7 @@ def cosine_topk(docs: DataFrame, queries: DataFrame, k: int = 3, doc_id: str = "
     q = queries.select(F.col(query_id).alias("qid"), F.col(query_vec).alias("vec"))
     stats = q.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("vec")).alias("d")).first()
     est = int(stats["n"]) * 8 * max(1, int(stats["d"] or 0))
-    slim = docs.select(F.col(doc_id).alias("doc_id"), F.col(doc_vec).alias("_vec"))
+    slim = spread(docs.select(F.col(doc_id).alias("doc_id"), F.col(doc_vec).alias("_vec")))
     schema = _out_schema(q, ["qid"], slim, ["doc_id"])
     partials = []
     for batch in _batches_of_queries(q, ["qid"], est, max_broadcast_bytes):
@@ -273,7 +282,7 @@ def lexical_topk(docs: DataFrame, queries: DataFrame, k: int, doc_ids: list[str]
     q = queries.select(*query_ids, tokens(F.col(query_text)).alias("_toks"))
     stats = q.agg(F.count(F.lit(1)).alias("n"), F.sum(F.size("_toks")).alias("t")).first()
     est = int(stats["n"]) * 64 + int(stats["t"] or 0) * 48
-    slim = docs.select(*doc_ids, tokens(F.col(doc_text)).alias("_toks"))
+    slim = spread(docs.select(*doc_ids, tokens(F.col(doc_text)).alias("_toks")))
     schema = _out_schema(q, query_ids, slim, doc_ids)
     partials = []
     for batch in _batches_of_queries(q, query_ids, est, max_broadcast_bytes):

@@ -390,7 +390,7 @@ register(
 
 
 def _doc_chunks(spark: SparkSession, sf: str) -> DataFrame:
-    docs = read_table(spark, sf, "documents", "doc_id", "text", "lang", "source")
+    docs = R.spread(read_table(spark, sf, "documents", "doc_id", "text", "lang", "source"))
     return TX.chunk_lines(docs, keep=("lang", "source"))
 
 
@@ -544,9 +544,17 @@ register(
 )
 
 
-def _year_questions(spark: SparkSession, sf: str) -> DataFrame:
+def _prepared(spark: SparkSession, sf: str) -> DataFrame:
+    """The leader-marked panel written once to the shared checkpoint folder,
+    for queries that run several jobs over it (cuts lineage; reliable)."""
+    from periodix.session import ensure_checkpoint_dir
+
+    ensure_checkpoint_dir(spark)
+    return marked(spark, sf).checkpoint(eager=True)
+
+
+def _year_questions(m: DataFrame) -> DataFrame:
     """Questions derived from the data: one per year and type."""
-    m = marked(spark, sf)
     yearly = agg.yearly_market(m)
     top1 = rankings.top_n(m, n=1).select("year", F.col("mfo_name").alias("leader"))
     from pyspark.sql import Window
@@ -569,19 +577,26 @@ def _year_questions(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _summary_qa(spark: SparkSession, sf: str) -> DataFrame:
-    qs = _year_questions(spark, sf)
-    return R.answer_questions(qs.select("qid", "question"), _summary_docs(spark, sf).select("id", "text"), k=2)
+    m = _prepared(spark, sf)
+    qs = _year_questions(m)
+    docs = TX.summary_lines(agg.yearly_market(m)).select("id", "text")
+    return R.answer_questions(qs.select("qid", "question"), docs, k=2)
+
+
+def _hybrid_on(m: DataFrame) -> DataFrame:
+    qs = _year_questions(m).select("qid", "question")
+    yearly = agg.yearly_market(m)
+    return R.hybrid_answers(qs, yearly, TX.summary_lines(yearly).select("id", "text"))
 
 
 def _hybrid(spark: SparkSession, sf: str) -> DataFrame:
-    qs = _year_questions(spark, sf).select("qid", "question")
-    m = marked(spark, sf)
-    return R.hybrid_answers(qs, agg.yearly_market(m), TX.summary_lines(agg.yearly_market(m)).select("id", "text"))
+    return _hybrid_on(_prepared(spark, sf))
 
 
 def _eval_scores(spark: SparkSession, sf: str) -> DataFrame:
-    qs = _year_questions(spark, sf)
-    answers = _hybrid(spark, sf).select("question", "answer")
+    m = _prepared(spark, sf)
+    qs = _year_questions(m)
+    answers = _hybrid_on(m).select("question", "answer")
     records = EV.attach_expected(answers, qs.select("question", "expected", "type"))
     return EV.accuracy(EV.score(records))
 

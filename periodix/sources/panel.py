@@ -37,7 +37,7 @@ def cents(col: str) -> Column:
     x100 = F.col(col) * 100
     near_tie = F.abs(x100 - F.floor(x100) - 0.5) < 1e-6
     exact = (F.col(col).cast("decimal(18,2)") * 100).cast("long")
-    return F.when(near_tie, exact).otherwise(F.round(x100).cast("long"))
+    return F.when(near_tie, exact).otherwise(F.rint(x100).cast("long"))
 
 
 def _round_cents(num_1e4: Column) -> Column:
@@ -65,19 +65,25 @@ def supplier_quarter_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
         "l_suppkey", "l_linenumber", "l_extendedprice", "l_discount", "l_tax", "l_shipdate",
     )
     day = F.to_date("l_shipdate")
-    px = cents("l_extendedprice")
-    disc = cents("l_discount")
-    tax = cents("l_tax")
-    net = _round_cents(px * (F.lit(100) - disc))
+    # One projection computes each line's cents once; the aggregate then sums
+    # plain BIGINT columns (no repeated per-row expressions inside the sums).
+    lines = li.select(
+        "l_suppkey", "l_linenumber", F.year(day).alias("year"), F.quarter(day).alias("qtr"),
+        cents("l_extendedprice").alias("px"), cents("l_discount").alias("_dc"), cents("l_tax").alias("_tc"),
+    ).select(
+        "l_suppkey", "l_linenumber", "year", "qtr", "px",
+        _round_cents(F.col("px") * (F.lit(100) - F.col("_dc"))).alias("net"),
+        _round_cents(F.col("px") * F.col("_dc")).alias("disc"),
+        _round_cents(F.col("px") * F.col("_tc")).alias("tax"),
+    )
     ln = F.col("l_linenumber")
+    net = F.col("net")
     sums = {
-        "px": px, "net": net,
+        "px": F.col("px"), "net": net,
         "d1": F.when(ln == 5, net), "d2": F.when(ln == 6, net), "d3": F.when(ln == 7, net),
-        "disc": _round_cents(px * disc), "tax": _round_cents(px * tax),
+        "disc": F.col("disc"), "tax": F.col("tax"),
     }
-    per_key = li.groupBy(
-        "l_suppkey", F.year(day).alias("year"), F.quarter(day).alias("qtr")
-    ).agg(*[F.sum(v).alias(k) for k, v in sums.items()])
+    per_key = lines.groupBy("l_suppkey", "year", "qtr").agg(*[F.sum(v).alias(k) for k, v in sums.items()])
 
     sup = read_table(spark, sf_dir, "supplier", "s_suppkey", "s_name")
     joined = per_key.join(sup, per_key.l_suppkey == sup.s_suppkey)
