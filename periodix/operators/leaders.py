@@ -1,6 +1,8 @@
 """Running asset share per period and the market-leader flag.
 
-Two physical strategies with the same result:
+Two physical strategies with the same result (``method="auto"``, the
+default, measures the largest period with one tiny aggregate and picks the
+window below ``AUTO_RANGE_ROWS`` rows, the range scan above):
 
 * ``method="window"`` -- one ROWS-frame window per period.  Catalyst plans a
   single hash shuffle on the period and one sort.  Parallelism is the number
@@ -25,6 +27,17 @@ from pyspark.sql import types as T
 
 from periodix.functions.columns import LEADER_THRESHOLD
 
+# Above this many rows in one period, one task would sort too much: use the
+# range-partitioned scan instead of a per-period window.
+AUTO_RANGE_ROWS = 4_000_000
+
+
+def choose_method(df: DataFrame, period: str = "quarter") -> str:
+    """Size check behind the strategy choice: rows in the largest period
+    (a partial aggregate; one small row per period reaches the driver)."""
+    biggest = df.groupBy(period).count().agg(F.max("count")).first()[0] or 0
+    return "range" if biggest > AUTO_RANGE_ROWS else "window"
+
 
 def _order_cols(df: DataFrame, size: str, entity: str) -> list[Column]:
     cols = [F.desc(size), F.asc(entity)]
@@ -34,10 +47,12 @@ def _order_cols(df: DataFrame, size: str, entity: str) -> list[Column]:
 
 
 def running_share(df: DataFrame, period: str = "quarter", size: str = "assets",
-                  entity: str = "mfo_name", method: str = "window",
+                  entity: str = "mfo_name", method: str = "auto",
                   partitions: int | None = None) -> DataFrame:
     """``cumulative_share`` = running sum of ``size`` (largest first) over
     the period total.  ROWS frame, so ties on ``size`` never share a value."""
+    if method == "auto":
+        method = choose_method(df, period)
     if method == "window":
         order = Window.partitionBy(period).orderBy(*_order_cols(df, size, entity))
         running = F.sum(size).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))
@@ -45,11 +60,11 @@ def running_share(df: DataFrame, period: str = "quarter", size: str = "assets",
         return df.withColumn("cumulative_share", F.try_divide(running, total))
     if method == "range":
         return _running_share_ranged(df, period, size, entity, partitions)
-    raise ValueError("method must be 'window' or 'range'")
+    raise ValueError("method must be 'auto', 'window' or 'range'")
 
 
 def mark_leaders(df: DataFrame, threshold: float = LEADER_THRESHOLD, period: str = "quarter",
-                 size: str = "assets", entity: str = "mfo_name", method: str = "window",
+                 size: str = "assets", entity: str = "mfo_name", method: str = "auto",
                  partitions: int | None = None) -> DataFrame:
     """W1 + W2: ``is_leader`` = running share <= threshold (inclusive).
 

@@ -47,6 +47,20 @@ def union_layouts(*parts: DataFrame) -> DataFrame:
     return out.select(*FILINGS_COLUMNS)
 
 
+def dedupe_filings(df: DataFrame, keys: tuple[str, ...] = ("mfo_name", "quarter"),
+                   prefer: str = "file") -> DataFrame:
+    """Opt-in: one row per (entity, period) when the same filing arrives in
+    several files (the reference double-counts them).  Keeps the row from the
+    greatest ``prefer`` value (e.g. the latest file name).
+
+    A ``max_by`` aggregate: partial aggregation collapses copies on the map
+    side, so a heavily duplicated key never lands whole in one task.
+    """
+    others = [c for c in df.columns if c not in keys]
+    best = F.max_by(F.struct(*others), F.struct(F.col(prefer), *[F.col(c) for c in others if c != prefer]))
+    return df.groupBy(*keys).agg(best.alias("_row")).select(*keys, "_row.*").select(*df.columns)
+
+
 def _cell(i: int) -> Column:
     return F.get(F.col("cells"), i)
 

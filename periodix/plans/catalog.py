@@ -56,7 +56,7 @@ def enriched(spark: SparkSession, sf: str) -> DataFrame:
     return metrics.enrich_metrics(filings(spark, sf))
 
 
-def marked(spark: SparkSession, sf: str, method: str = "window") -> DataFrame:
+def marked(spark: SparkSession, sf: str, method: str = "auto") -> DataFrame:
     return leaders.mark_leaders(enriched(spark, sf), method=method)
 
 
@@ -103,6 +103,21 @@ register(
     ratio=("over30_pct", "npl_pct"), ops="P15b",
 )
 
+def _dedupe(spark: SparkSession, sf: str) -> DataFrame:
+    from periodix.operators.normalise import dedupe_filings
+
+    f = filings(spark, sf)
+    # every filing arrives a second time in an earlier "amended" file
+    copies = f.withColumn("file", F.concat(F.lit("amended_"), F.col("file")))
+    return dedupe_filings(f.unionByName(copies))
+
+
+register(
+    "dedupe_filings", _dedupe,
+    S.rounded("SELECT * FROM filings", money=MONEY_ROW[:6]),
+    money=MONEY_ROW[:6], ops="U1/U2 opt-in dedupe",
+)
+
 # --- 2. leaders (W1, W2) ------------------------------------------------------
 
 _LEADER_SQL = S.rounded(
@@ -111,8 +126,8 @@ _LEADER_SQL = S.rounded(
 )
 register(
     "leaders",
-    lambda sp, sf: marked(sp, sf).select("mfo_name", "quarter", "year", "assets",
-                                          "cumulative_share", "is_leader"),
+    lambda sp, sf: marked(sp, sf, method="window").select("mfo_name", "quarter", "year", "assets",
+                                                          "cumulative_share", "is_leader"),
     _LEADER_SQL, money=("assets",), ratio=("cumulative_share",), ops="W1 W2 J1 T3",
 )
 register(
@@ -630,3 +645,17 @@ register(
               money=MARKET_MONEY, ratio=("avg_npl_pct",)),
     money=MARKET_MONEY, ratio=("avg_npl_pct",), ops="P24 P18",
 )
+
+# --- 12. semantic search through the encoder hook (R4, R5, R7) ---------------------
+
+from periodix.operators import encoding as EN  # noqa: E402
+
+
+def _semantic_search(spark: SparkSession, sf: str) -> DataFrame:
+    docs = EN.embed(_chunk_docs(spark, sf), "text", "embedding")
+    qs = EN.embed(read_table(spark, sf, "benchmark", "item_id", "text"), "text", "vec")
+    return R.cosine_topk(docs, qs, k=3, doc_id="id", doc_vec="embedding",
+                         query_id="item_id", query_vec="vec")
+
+
+register("semantic_search", _semantic_search, None, ratio=("similarity",), ops="R4 R5 R7")

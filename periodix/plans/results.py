@@ -38,7 +38,7 @@ PREVIEW = {
 }
 
 
-def prepare(filings: DataFrame, method: str = "window", persist: bool = True) -> DataFrame:
+def prepare(filings: DataFrame, method: str = "auto", persist: bool = True) -> DataFrame:
     """P14/P15 + W1/W2 on the normalised filings; persisted for reuse.
 
     ``MEMORY_AND_DISK`` blocks lost with an executor are recomputed from
