@@ -616,10 +616,58 @@ def _eval_scores(spark: SparkSession, sf: str) -> DataFrame:
     return EV.accuracy(EV.score(records))
 
 
+_YEARLY_CTE = f"yearly AS (SELECT year, {S.MARKET_AGGS} FROM marked GROUP BY year)"
+_YEAR_QS_SQL = """SELECT q AS qid, q AS question FROM (
+    SELECT 'What is the average NPL in ' || CAST(year AS VARCHAR) || '?' AS q FROM yearly
+    UNION ALL SELECT 'Which MFO was the leader by assets in ' || CAST(year AS VARCHAR) || '?' FROM yearly
+    UNION ALL SELECT 'How has NPL changed from ' || CAST(y0 AS VARCHAR) || ' to ' || CAST(year AS VARCHAR) || '?'
+      FROM yearly JOIN (SELECT min(year) AS y0 FROM yearly) m ON true)"""
+_LINE_SQL = ("CAST(year AS VARCHAR) || ': ' || CAST(mfo_count AS VARCHAR) || ' MFOs, Assets ' "
+             "|| printf('%.1f', total_assets / 1e9) || 'B KZT, NPL ' "
+             "|| coalesce(printf('%.2f', avg_npl_pct), 'nan') || '%'")
+_YEAR_RE = r"((?:19|20)\d{2})"
+_HYBRID_SQL = f"""WITH {_YEARLY_CTE},
+  qs AS ({_YEAR_QS_SQL}),
+  facts AS (SELECT CAST(year AS VARCHAR) AS y, {_LINE_SQL} AS line FROM yearly),
+  asked AS (SELECT qid, unnest(list_distinct(regexp_extract_all(question, '{_YEAR_RE}', 1))) AS y FROM qs),
+  ctx AS (SELECT qid, string_agg(line, {_NL2} ORDER BY y) AS context FROM asked JOIN facts USING (y) GROUP BY qid)
+  SELECT qs.qid, qs.question, 'structured' AS route, coalesce(ctx.context, '') AS context,
+         'Context:' || chr(10) || coalesce(ctx.context, '') AS answer
+  FROM qs LEFT JOIN ctx USING (qid)
+  WHERE len(regexp_extract_all(qs.question, '{_YEAR_RE}', 1)) > 0
+  UNION ALL
+  SELECT qid, question, 'semantic' AS route, context, answer FROM (
+    {_qa_sql(_YEARLY_CTE + ", docs AS (" + _SUMMARY_SQL + ")",
+             "SELECT * FROM (" + _YEAR_QS_SQL + ") WHERE len(regexp_extract_all(question, '"
+             + _YEAR_RE + "', 1)) = 0", 2)})"""
+_NUMS = r"regexp_extract_all(coalesce(answer, ''), '-?\d+(?:[.,]\d+)?')"
+_EVAL_SQL = f"""WITH {_YEARLY_CTE}, h AS ({_HYBRID_SQL}),
+  lead AS (SELECT year, mfo_name FROM ({_TOP_SQL.format(metric="assets", n=1, extra="")})),
+  expected AS (
+    SELECT 'What is the average NPL in ' || CAST(year AS VARCHAR) || '?' AS question,
+           CAST(avg_npl_pct AS VARCHAR) AS expected, 'numerical' AS type FROM yearly
+    UNION ALL SELECT 'Which MFO was the leader by assets in ' || CAST(y.year AS VARCHAR) || '?', l.mfo_name, 'text'
+      FROM yearly y LEFT JOIN lead l ON y.year = l.year
+    UNION ALL SELECT 'How has NPL changed from ' || CAST(y0 AS VARCHAR) || ' to ' || CAST(year AS VARCHAR) || '?',
+           'trend_analysis', 'analytical' FROM yearly JOIN (SELECT min(year) AS y0 FROM yearly) m ON true),
+  rec AS (SELECT h.question, h.answer, e.expected, e.type FROM h LEFT JOIN expected e USING (question)),
+  scored AS (SELECT type, coalesce(CASE type
+      WHEN 'numerical' THEN list_bool_or(list_transform({_NUMS},
+          lambda s: abs(TRY_CAST(replace(s, ',', '.') AS DOUBLE)
+                        - TRY_CAST(replace(expected, ',', '.') AS DOUBLE)) <= 0.01))
+      WHEN 'text' THEN contains(lower(coalesce(answer, '')), lower(expected))
+      WHEN 'analytical' THEN length(regexp_replace(coalesce(answer, ''), '{S.STRIP_RE}', '', 'g')) > 0
+      END, false) AS passed FROM rec)
+  SELECT CASE WHEN grouping(type) = 1 THEN 'all' ELSE type END AS type,
+         count(*) AS n_tests, count_if(passed) AS n_passed, count_if(passed) / count(*) AS accuracy
+  FROM scored GROUP BY ROLLUP (type)"""
 register("summary_qa", lambda sp, sf: _summary_qa(sp, sf).select("qid", "question", "context", "answer"),
-         None, ops="R7 R10 R12 over summary lines")
-register("hybrid_answers", _hybrid, None, ops="R13")
-register("eval_scores", _eval_scores, None, ratio=("accuracy",), ops="R16 J5")
+         S.rounded("SELECT qid, question, context, answer FROM ("
+                   + _qa_sql(_YEARLY_CTE + ", docs AS (" + _SUMMARY_SQL + ")", _YEAR_QS_SQL, 2) + ")"),
+         ops="R7 R10 R12 over summary lines")
+register("hybrid_answers", _hybrid, S.rounded(_HYBRID_SQL), ops="R13")
+register("eval_scores", _eval_scores, S.rounded(_EVAL_SQL, ratio=("accuracy",)), ratio=("accuracy",),
+         ops="R16 J5")
 
 # --- 11. registry views: preview, structured query (A6, P23, P24) -----------------
 
