@@ -177,8 +177,8 @@ def latest_year_kpis(df: DataFrame, unit: float = BILLION) -> DataFrame:
 
 
 def years(df: DataFrame) -> DataFrame:
-    """The distinct years (slider domain); max is ``kpis().max_year``."""
-    return df.select("year").distinct()
+    """The distinct years, sorted (slider domain); max is ``kpis().max_year``."""
+    return df.select("year").distinct().orderBy("year")
 
 
 def npl_drivers(df: DataFrame, n: int = 10, entity: str = "mfo_name") -> DataFrame:

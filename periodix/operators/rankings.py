@@ -33,3 +33,11 @@ def top_n(df: DataFrame, n: int = 10, metric: str = "assets", entity: str = "mfo
         .filter(F.col("rank") <= n)
         .select(*cols, "rank")
     )
+
+
+def top_chart_frame(df: DataFrame, year: int, n: int = 10, unit: float = 1e9) -> DataFrame:
+    """P18 + T4 + P21: one year's top-n, assets in ``unit``s, sorted ascending
+    (the frame behind the top-entities bar chart)."""
+    top = top_n(df, n=n).filter(F.col("year") == F.lit(year))
+    return top.select("rank", "mfo_name", "quarter", (F.col("assets") / F.lit(unit)).alias("assets_bn"),
+                      "npl_pct", "is_leader").orderBy(F.asc("assets_bn"), F.desc("rank"))

@@ -19,6 +19,7 @@ from periodix.operators import changes, leaders, metrics, rankings
 from periodix.operators.normalise import union_layouts
 from periodix.plans import sql as S
 from periodix.sources import panel
+from periodix.sources.tables import read_table
 
 Builder = Callable[[SparkSession, str], DataFrame]
 
@@ -56,8 +57,20 @@ def enriched(spark: SparkSession, sf: str) -> DataFrame:
     return metrics.enrich_metrics(filings(spark, sf))
 
 
-def marked(spark: SparkSession, sf: str, method: str = "auto") -> DataFrame:
-    return leaders.mark_leaders(enriched(spark, sf), method=method)
+_ENTITY_COUNTS: dict[str, int] = {}
+
+
+def _leader_method(spark: SparkSession, sf: str) -> str:
+    """The panel has at most one row per (entity, quarter), so the entity
+    count bounds every quarter's size: a cheap proven bound (a count of the
+    small entity table) instead of aggregating the whole panel to measure."""
+    if sf not in _ENTITY_COUNTS:
+        _ENTITY_COUNTS[sf] = read_table(spark, sf, "supplier", "s_suppkey").count()
+    return "range" if _ENTITY_COUNTS[sf] > leaders.AUTO_RANGE_ROWS else "window"
+
+
+def marked(spark: SparkSession, sf: str, method: str | None = None) -> DataFrame:
+    return leaders.mark_leaders(enriched(spark, sf), method=method or _leader_method(spark, sf))
 
 
 MONEY_ROW = ("assets", "net_loans", "portfolio_gross", "del_31_60", "del_61_90", "del_90_plus",
@@ -265,6 +278,13 @@ register(
               money=("assets", "portfolio_gross"), ratio=("npl_pct",)),
     money=("assets", "portfolio_gross"), ratio=("npl_pct",), ops="T2",
 )
+register(
+    "top_chart_frame", lambda sp, sf: rankings.top_chart_frame(marked(sp, sf), 2000),
+    S.rounded("""SELECT rank, mfo_name, quarter, assets / 1e9 AS assets_bn, npl_pct, is_leader FROM ("""
+              + _TOP_SQL.format(metric="assets", n=10, extra="") + """) WHERE year = 2000""",
+              ratio=("assets_bn", "npl_pct")),
+    ratio=("assets_bn", "npl_pct"), ops="P18 T4 P21",
+)
 register(
     "latest_period",
     lambda sp, sf: agg.latest_period(marked(sp, sf)).select("mfo_name", "quarter", "year", "assets"),
@@ -382,7 +402,6 @@ register(
 
 from periodix.operators import retrieval as R  # noqa: E402
 from periodix.operators import text as TX  # noqa: E402
-from periodix.sources.tables import read_table  # noqa: E402
 
 
 def _summary_docs(spark: SparkSession, sf: str) -> DataFrame:

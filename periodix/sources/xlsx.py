@@ -198,8 +198,10 @@ def read_filings(spark: SparkSession, directory: str, mode: str = "quarantine",
     decode_errors = raw.filter(F.col("error").isNotNull()).select("file", "sheet", "error")
     filings, sheet_errors = normalise_sheets(cells, mode=mode)
     if require_rows:
-        if raw.isEmpty():
-            raise ValueError(f"No workbooks found in {directory}")
-        if filings.isEmpty():
-            raise ValueError("No data extracted from any workbook")
+        listing = (spark.read.format("binaryFile").option("pathGlobFilter", "*.xlsx")
+                   .option("recursiveFileLookup", "false").load(directory).select("path"))
+        if listing.isEmpty():  # S1: only the file listing, contents are not read
+            raise ValueError(f"No Excel files found in {directory}")
+        if filings.isEmpty():  # S5
+            raise ValueError("No data extracted from any files")
     return filings, decode_errors.unionByName(sheet_errors)
