@@ -143,15 +143,16 @@ def _dense_scorer(bq, k: int, doc_ids: list[str], doc_vec: str, qcols: list[str]
         qvals, qmat = bq.value  # broadcast: deserialised once per worker
         qnorm = np.linalg.norm(qmat, axis=1)
         top = _TopK(len(qnorm), k)
+        step = max(1, _CELLS_PER_STEP // max(len(qnorm), 1))  # bounds the (nq x B) block
         for pdf in batches:
-            if pdf.empty:
-                continue
-            mat = np.vstack([np.asarray(v, dtype=np.float64) for v in pdf[doc_vec]])
-            dnorm = np.linalg.norm(mat, axis=1)
-            with np.errstate(divide="ignore", invalid="ignore"):
-                sims = (qmat @ mat.T) / np.outer(qnorm, dnorm)
-            sims[~np.isfinite(sims)] = -np.inf
-            top.offer(sims, [pdf[c].to_numpy() for c in doc_ids])
+            for lo in range(0, len(pdf), step):
+                sub = pdf.iloc[lo:lo + step]
+                mat = np.vstack([np.asarray(v, dtype=np.float64) for v in sub[doc_vec]])
+                dnorm = np.linalg.norm(mat, axis=1)
+                with np.errstate(divide="ignore", invalid="ignore"):
+                    sims = (qmat @ mat.T) / np.outer(qnorm, dnorm)
+                sims[~np.isfinite(sims)] = -np.inf
+                top.offer(sims, [sub[c].to_numpy() for c in doc_ids])
         if len(top.row):
             yield _emit(top, qvals, qcols, doc_ids)
 
@@ -220,16 +221,41 @@ def _postings(rows, qcols: list[str]):
     return qvals, vocab, ptr, post_q, post_tf, qnorm
 
 
+# Memory bounds inside one task: at most this many (question, document)
+# similarity cells and this many term-postings products per step.
+_CELLS_PER_STEP = 8_000_000
 _PRODUCTS_PER_STEP = 8_000_000
 
 
+def _sparse_dot(d_of, term, tf, ptr, post_q, post_tf, n_docs: int, nq: int) -> np.ndarray:
+    """Exact (nq, n_docs) dot products from (doc, term, tf) entries and the
+    question postings, expanded in chunks of at most _PRODUCTS_PER_STEP."""
+    dot = np.zeros(n_docs * nq)
+    start = ptr[term]
+    cnt = ptr[term + 1] - start
+    ends = np.cumsum(cnt)
+    lo = 0
+    while lo < len(term):
+        hi = int(np.searchsorted(ends, (ends[lo] - cnt[lo]) + _PRODUCTS_PER_STEP, side="right"))
+        hi = max(hi, lo + 1)
+        c = cnt[lo:hi]
+        total = int(c.sum())
+        if total:
+            rep = np.repeat(np.arange(lo, hi), c)
+            pos = start[rep] + (np.arange(total) - np.repeat(np.cumsum(c) - c, c))
+            dot += np.bincount(d_of[rep] * nq + post_q[pos], weights=tf[rep] * post_tf[pos],
+                               minlength=n_docs * nq)
+        lo = hi
+    return dot.reshape(n_docs, nq).T
+
+
 def _lexical_scorer(bq, k: int, doc_ids: list[str], qcols: list[str]):
     def run(batches):
         qvals, vocab, ptr, post_q, post_tf, qnorm = bq.value
         vindex = pd.Index(vocab)
         nq = len(qnorm)
         top = _TopK(nq, k)
-        step = max(1, _PRODUCTS_PER_STEP // max(nq, 1))
+        step = max(1, _CELLS_PER_STEP // max(nq, 1))  # bounds the (nq x B) block
         for pdf in batches:
             for lo in range(0, len(pdf), step):
                 sub = pdf.iloc[lo:lo + step]
@@ -248,16 +274,7 @@ def _lexical_scorer(bq, k: int, doc_ids: list[str], qcols: list[str]):
                 term = vindex.get_indexer(uniq)[c_of]
                 m = term >= 0
                 d_of, tf, term = d_of[m], tf[m], term[m]
-                start = ptr[term]
-                cnt = ptr[term + 1] - start
-                total = int(cnt.sum())
-                dot = np.zeros(len(sub) * nq)
-                if total:
-                    rep = np.repeat(np.arange(len(term)), cnt)
-                    pos = start[rep] + (np.arange(total) - np.repeat(np.cumsum(cnt) - cnt, cnt))
-                    dot = np.bincount(d_of[rep] * nq + post_q[pos], weights=tf[rep] * post_tf[pos],
-                                      minlength=len(sub) * nq)
-                dot = dot.reshape(len(sub), nq).T  # (nq, B)
+                dot = _sparse_dot(d_of, term, tf, ptr, post_q, post_tf, len(sub), nq)
                 with np.errstate(divide="ignore", invalid="ignore"):
                     sims = dot / (qnorm[:, None] * dnorm[None, :])
                 sims[dot == 0] = -np.inf
