@@ -38,8 +38,8 @@ class _TopK:
     never drops a global winner, ties included.
     """
 
-    def __init__(self, nq: int, k: int):
-        self.nq, self.k = nq, k
+    def __init__(self, nq: int, k: int, n_keys: int | None = None):
+        self.nq, self.k, self.n_keys = nq, k, n_keys
         self.row = np.empty(0, dtype=np.int64)
         self.sim = np.empty(0, dtype=np.float64)
         self.ids: list[np.ndarray] | None = None
@@ -60,7 +60,8 @@ class _TopK:
         sim = np.concatenate([self.sim, sims[r, c]])
         new_ids = [col[c] for col in ids]
         ids_all = new_ids if self.ids is None else [np.concatenate([o, n]) for o, n in zip(self.ids, new_ids)]
-        sort_keys = [_sortable(col) for col in reversed(ids_all)] + [-sim, row]
+        keys = ids_all if self.n_keys is None else ids_all[:self.n_keys]
+        sort_keys = [_sortable(col) for col in reversed(keys)] + [-sim, row]
         order = np.lexsort(sort_keys)
         row, sim = row[order], sim[order]
         ids_all = [col[order] for col in ids_all]
@@ -101,13 +102,14 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
-def _merge_topk(partials: list[DataFrame], qcols: list[str], doc_ids: list[str], k: int) -> DataFrame:
+def _merge_topk(partials: list[DataFrame], qcols: list[str], doc_ids: list[str], k: int,
+                payload: list[str] | tuple = ()) -> DataFrame:
     merged = partials[0]
     for p in partials[1:]:
         merged = merged.unionByName(p)
     w = Window.partitionBy(*qcols).orderBy(F.desc("similarity"), *[F.asc(c) for c in doc_ids])
     return (merged.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
-            .select(*qcols, "rank", *doc_ids, "similarity"))
+            .select(*qcols, "rank", *doc_ids, "similarity", *payload))
 
 
 def _out_schema(queries: DataFrame, qcols: list[str], docs: DataFrame, doc_ids: list[str]) -> str:
@@ -249,12 +251,12 @@ def _sparse_dot(d_of, term, tf, ptr, post_q, post_tf, n_docs: int, nq: int) -> n
     return dot.reshape(n_docs, nq).T
 
 
-def _lexical_scorer(bq, k: int, doc_ids: list[str], qcols: list[str]):
+def _lexical_scorer(bq, k: int, doc_ids: list[str], qcols: list[str], payload: list[str]):
     def run(batches):
         qvals, vocab, ptr, post_q, post_tf, qnorm = bq.value
         vindex = pd.Index(vocab)
         nq = len(qnorm)
-        top = _TopK(nq, k)
+        top = _TopK(nq, k, n_keys=len(doc_ids))
         step = max(1, _CELLS_PER_STEP // max(nq, 1))  # bounds the (nq x B) block
         for pdf in batches:
             for lo in range(0, len(pdf), step):
@@ -278,40 +280,44 @@ def _lexical_scorer(bq, k: int, doc_ids: list[str], qcols: list[str]):
                 with np.errstate(divide="ignore", invalid="ignore"):
                     sims = dot / (qnorm[:, None] * dnorm[None, :])
                 sims[dot == 0] = -np.inf
-                top.offer(sims, [sub[c].to_numpy() for c in doc_ids])
+                top.offer(sims, [sub[c].to_numpy() for c in doc_ids + payload])
         if len(top.row):
-            yield _emit(top, qvals, qcols, doc_ids)
+            yield _emit(top, qvals, qcols, doc_ids + payload)
 
     return run
 
 
 def lexical_topk(docs: DataFrame, queries: DataFrame, k: int, doc_ids: list[str],
                  query_ids: list[str], doc_text: str = "text", query_text: str = "text",
-                 max_broadcast_bytes: int = DEFAULT_BROADCAST_BYTES) -> DataFrame:
+                 max_broadcast_bytes: int = DEFAULT_BROADCAST_BYTES,
+                 payload: tuple[str, ...] = ()) -> DataFrame:
     """R7 over the lexical encoder (R8): ``(query ids, rank, doc ids, similarity)``.
 
     cosine = sum(tf_q * tf_d) / (|q| |d|) over shared tokens, exact.  Only
     documents sharing a token with the question can be returned.  Question
     postings are broadcast in byte-checked hash batches; each document
     partition scores its Arrow batches with vectorised sparse products and
-    keeps its own top-k; documents and pairs are never shuffled.
+    keeps its own top-k; documents and pairs are never shuffled.  ``payload``
+    columns of the winning documents (e.g. their text) ride along, so callers
+    need no second pass over the documents.
     """
     q = queries.select(*query_ids, tokens(F.col(query_text)).alias("_toks"))
     stats = q.agg(F.count(F.lit(1)).alias("n"), F.sum(F.size("_toks")).alias("t")).first()
     est = int(stats["n"]) * 64 + int(stats["t"] or 0) * 48
-    slim = spread(docs.select(*doc_ids, tokens(F.col(doc_text)).alias("_toks")))
-    schema = _out_schema(q, query_ids, slim, doc_ids)
+    payload = list(payload)
+    slim = spread(docs.select(*doc_ids, *payload, tokens(F.col(doc_text)).alias("_toks")))
+    schema = _out_schema(q, query_ids, slim, doc_ids + payload)
     partials = []
     for batch in _batches_of_queries(q, query_ids, est, max_broadcast_bytes):
         rows = batch.collect()  # bounded by max_broadcast_bytes
         if not rows:
             continue
         bq = docs.sparkSession.sparkContext.broadcast(_postings(rows, query_ids))
-        partials.append(slim.mapInPandas(_lexical_scorer(bq, k, doc_ids, query_ids), schema))
+        partials.append(slim.mapInPandas(_lexical_scorer(bq, k, doc_ids, query_ids, payload), schema))
     if not partials:
         return docs.sparkSession.createDataFrame([], schema + ", rank INT").select(
-            *query_ids, "rank", *doc_ids, "similarity")
-    return _merge_topk(partials, query_ids, doc_ids, k)
+            *query_ids, "rank", *doc_ids, "similarity", *payload)
+    return _merge_topk(partials, query_ids, doc_ids, k, payload)
 
 
 def metadata_filter(docs: DataFrame, **where: str) -> DataFrame:
@@ -331,10 +337,9 @@ def answer_questions(questions: DataFrame, docs: DataFrame, k: int = 2, qid: str
     Every question gets a row: ``context`` (top-k texts, best first),
     ``answer`` (context-only answer) and ``prompt``.
     """
-    hits = lexical_topk(docs.select(doc_id, doc_text), questions.select(qid, question), k,
-                        [doc_id], [qid], doc_text, question)
-    texts = hits.join(docs.select(doc_id, F.col(doc_text).alias("_doc_text")), doc_id)
-    ctx = T.contexts(texts, qid=qid, rank="rank", text="_doc_text")
+    hits = lexical_topk(docs.select(doc_id, F.col(doc_text).alias("_dtext")), questions.select(qid, question),
+                        k, [doc_id], [qid], "_dtext", question, payload=("_dtext",))
+    ctx = T.contexts(hits, qid=qid, rank="rank", text="_dtext")
     out = questions.select(qid, question).join(ctx, qid, "left")
     return out.select(
         qid, question,
