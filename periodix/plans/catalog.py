@@ -693,8 +693,9 @@ register("eval_scores", _eval_scores, S.rounded(_EVAL_SQL, ratio=("accuracy",)),
 from periodix.plans import results as RS  # noqa: E402
 
 
-def _results(spark: SparkSession, sf: str) -> dict[str, DataFrame]:
-    return RS.compute_all(RS.prepare(filings(spark, sf), persist=False))
+def _results(spark: SparkSession, sf: str, *names: str) -> dict[str, DataFrame]:
+    prepared = RS.prepare(filings(spark, sf), method=_leader_method(spark, sf), persist=False)
+    return RS.compute_all(prepared, names=names)
 
 
 register(
@@ -707,7 +708,7 @@ register(
 )
 register(
     "structured_query",
-    lambda sp, sf: RS.structured_query(_results(sp, sf), "yearly_market", year=2000),
+    lambda sp, sf: RS.structured_query(_results(sp, sf, "yearly_market"), "yearly_market", year=2000),
     S.rounded(f"SELECT year, {S.MARKET_AGGS} FROM marked WHERE year = 2000 GROUP BY year",
               money=MARKET_MONEY, ratio=("avg_npl_pct",)),
     money=MARKET_MONEY, ratio=("avg_npl_pct",), ops="P24 P18",

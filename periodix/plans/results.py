@@ -48,11 +48,13 @@ def prepare(filings: DataFrame, method: str = "auto", persist: bool = True) -> D
     return marked.persist(StorageLevel.MEMORY_AND_DISK) if persist else marked
 
 
-def compute_all(marked: DataFrame, strategies: dict[str, Strategy] | None = None) -> dict[str, DataFrame]:
-    """Every strategy applied to the same prepared panel."""
+def compute_all(marked: DataFrame, strategies: dict[str, Strategy] | None = None,
+                names: tuple[str, ...] | None = None) -> dict[str, DataFrame]:
+    """Every strategy (or the ``names`` subset) on the same prepared panel."""
     out = {"raw": marked}
     for name, fn in (strategies or STRATEGIES).items():
-        out[name] = fn(marked)
+        if names is None or name in names:
+            out[name] = fn(marked)
     return out
 
 

@@ -144,3 +144,14 @@ def test_latest_year_simple_mean(panel):
 def test_kpis(panel):
     r = agg.kpis(panel).first()
     assert (r["n_records"], r["n_mfos"], r["min_year"], r["max_year"]) == (8, 3, 2023, 2024)
+
+
+def test_auto_switches_to_range_above_bound(spark, panel, monkeypatch):
+    from periodix.operators import leaders as L
+
+    monkeypatch.setattr(L, "AUTO_RANGE_ROWS", 1)
+    assert L.choose_method(panel) == "range"
+    base = panel.drop("cumulative_share", "is_leader")
+    a = _by_key(panel, "cumulative_share", "is_leader")
+    b = _by_key(L.mark_leaders(base, partitions=2), "cumulative_share", "is_leader")
+    assert all(approx(a[k][0], b[k][0]) and a[k][1] == b[k][1] for k in a)
