@@ -168,12 +168,17 @@ def latest_year(df: DataFrame) -> DataFrame:
 
 
 def latest_year_kpis(df: DataFrame, unit: float = BILLION) -> DataFrame:
-    """Latest year's *unweighted* mean NPL % and total assets in ``unit``s
-    (deliberately not A3's weighted mean)."""
-    return latest_year(df).groupBy("year").agg(
+    """A8 (+P19, P21): latest year's *unweighted* mean NPL % and total assets
+    in ``unit``s (deliberately not A3's weighted mean).
+
+    Aggregated per year first (one pass, one row per year), then the latest
+    year's row is picked from that calendar-bounded table.
+    """
+    per_year = df.groupBy("year").agg(
         F.avg("npl_pct").alias("mean_npl_pct"),
         (F.sum("assets") / F.lit(unit)).alias("total_assets_bn"),
     )
+    return per_year.orderBy(F.desc("year")).limit(1)
 
 
 def years(df: DataFrame) -> DataFrame:

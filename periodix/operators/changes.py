@@ -1,8 +1,9 @@
 """Period-over-period NPL changes.
 
 QoQ uses ``lag`` (the previous *reported* quarter, so a gap makes one step
-span several quarters); YoY is an equi self-join on the date twelve months
-earlier -- never ``lag(4)``, which would be wrong across gaps.
+span several quarters); YoY takes the value of the date exactly twelve
+months earlier (a RANGE frame on a month index) -- never ``lag(4)``, which
+would be wrong across gaps.
 """
 
 from __future__ import annotations
@@ -14,24 +15,25 @@ from periodix.operators.aggregates import quarterly_market
 
 
 def _with_changes(df: DataFrame, value: str, keys: list[str]) -> DataFrame:
+    """One window pass: ``lag`` for QoQ, and for YoY the value exactly twelve
+    months earlier via a RANGE frame on a month index (empty frame -> NULL),
+    which equals an equi self-join on the date a year before -- without a
+    second scan or a join."""
     qdate = F.to_date("quarter")
-    base = df.withColumn("_qdate", qdate)
-    w = Window.partitionBy(*keys).orderBy("_qdate") if keys else Window.orderBy("_qdate")
-    with_lag = base.withColumns({
+    month = F.year(qdate) * 12 + F.month(qdate)
+    base = df.withColumn("_m", month)
+    w = Window.partitionBy(*keys).orderBy("_m") if keys else Window.orderBy("_m")
+    year_ago = w.rangeBetween(-12, -12)
+    out = base.withColumns({
         "prev_quarter": F.lag("quarter").over(w),
         "_prev": F.lag(value).over(w),
+        "_year_ago": F.first(value).over(year_ago),
     })
-    year_ago = base.select(
-        *keys,
-        F.add_months("_qdate", 12).alias("_qdate"),
-        F.col(value).alias("_year_ago"),
-    )
-    out = with_lag.join(year_ago, [*keys, "_qdate"], "left")
     return out.withColumns({
         "qoq_change": F.col(value) - F.col("_prev"),
         "yoy_change": F.col(value) - F.col("_year_ago"),
         "qoq_rel": F.try_divide(F.col(value) - F.col("_prev"), F.col("_prev")),
-    }).drop("_qdate", "_prev", "_year_ago")
+    }).drop("_m", "_prev", "_year_ago")
 
 
 def npl_changes_market(df: DataFrame) -> DataFrame:

@@ -1,8 +1,9 @@
 """Top-n entities per year at the year's latest reporting date.
 
-``row_number() <= n`` over (year) is planned by Catalyst as a partial
-``WindowGroupLimit`` before the shuffle and a final one after it, so each map
-task ships at most ``n`` rows per year -- a hot year is never moved whole.
+``row_number() <= n`` over (year, quarter) is planned by Catalyst as a
+partial ``WindowGroupLimit`` before the shuffle and a final one after it, so
+each map task ships at most ``n`` rows per quarter -- a hot year is never
+moved whole, and the panel is scanned once.
 """
 
 from __future__ import annotations
@@ -10,29 +11,30 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from periodix.operators.aggregates import latest_period
 
 TOP_COLUMNS = ["mfo_name", "year", "quarter", "assets", "portfolio_gross", "npl_pct", "is_leader"]
 
 
 def top_n(df: DataFrame, n: int = 10, metric: str = "assets", entity: str = "mfo_name",
-          group: str = "year") -> DataFrame:
-    """T1 (metric=assets) / T2 (any metric): rank 1..n per group.
-
-    Ties on the metric are broken by entity name (then file), so the ranking
-    is a total order and reproducible.
+          group: str = "year", period: str = "quarter") -> DataFrame:
+    """T1 (metric=assets) / T2 (any metric): rank 1..n per group at the
+    group's latest period (P17).
+
+    One pass: rank within each (group, period) -- a group-limited
+    ``row_number`` keeps at most ``n`` rows per period on the map side --
+    then keep the candidates of the group's latest period (at most ``n`` per
+    period reach that second, tiny window).  Ties on the metric are broken by
+    entity name (then file), so the ranking is a total order.
     """
-    latest = latest_period(df, group=group)
     order = [F.desc(metric), F.asc(entity)] + [F.asc(c) for c in ("file",) if c in df.columns]
-    w = Window.partitionBy(group).orderBy(*order)
+    ranked = df.withColumn("rank", F.row_number().over(Window.partitionBy(group, period).orderBy(*order)))
+    cand = ranked.filter(F.col("rank") <= n)
+    latest = F.max(period).over(Window.partitionBy(group))
+    top = cand.withColumn("_latest", latest).filter(F.col(period) == F.col("_latest"))
     cols = [c for c in TOP_COLUMNS if c in df.columns]
     if metric not in cols:
         cols.append(metric)
-    return (
-        latest.withColumn("rank", F.row_number().over(w))
-        .filter(F.col("rank") <= n)
-        .select(*cols, "rank")
-    )
+    return top.select(*cols, "rank")
 
 
 def top_chart_frame(df: DataFrame, year: int, n: int = 10, unit: float = 1e9) -> DataFrame:
