@@ -7,24 +7,76 @@ Pandas UDF.  The built-in default is a deterministic feature-hashing encoder
 (signed token counts hashed into ``dim`` buckets, L2-normalised), so the
 semantic-search path runs end to end with no external model; a real model
 plugs in through the same hook.
+
+The default encoder runs JVM-side (``hash_codes``, ``counts_from_codes``,
+``l2_normalised``): tokens, an md5 bucket per token and the bucket counts
+are array functions in three projections -- no Python worker, no shuffle.
+``hashing_encoder`` is the same encoder as a Python hook (for plugging
+into ``embed`` or for tests).
 """
 
 from __future__ import annotations
 
-import zlib
+import hashlib
 from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 Encoder = Callable[[pd.Series], list]
 
 
-def hashing_encoder(dim: int = 64) -> Encoder:
-    """Signed feature hashing of lower-cased letter/digit tokens."""
+DEFAULT_DIM = 64
+_SIGN_BIT = 1 << 31
+
+
+def _token_hash(tok: Column) -> Column:
+    """First 32 bits of the token's md5, as an unsigned BIGINT."""
+    return F.conv(F.substring(F.md5(tok), 1, 8), 16, 10).cast("long")
+
+
+def hash_codes(text: Column, dim: int = DEFAULT_DIM) -> Column:
+    """One code per lower-cased letter/digit token: its bucket
+    ``hash % dim``, plus ``dim`` when bit 31 of the hash is set (negative
+    sign).  A NULL text is an empty text."""
+    from periodix.operators.retrieval import tokens
+
+    toks = F.coalesce(tokens(text), F.array().cast("array<string>"))
+    hashes = F.transform(toks, _token_hash)  # one md5 per token
+    return F.transform(hashes, lambda h: ((h % dim) + F.shiftright(h, 31) * dim).cast("int"))
+
+
+def counts_from_codes(codes: Column, dim: int = DEFAULT_DIM) -> Column:
+    """Signed bucket counts ``ARRAY<DOUBLE>`` from ``hash_codes``: bucket
+    ``i`` = (#codes ``i``) - (#codes ``i + dim``), counted with native
+    ``array_remove`` scans.  ``codes`` should be a column reference (it is
+    read once per bucket)."""
+    n = F.size(codes)
+    return F.transform(
+        F.sequence(F.lit(0), F.lit(dim - 1)),
+        lambda i: ((n - F.size(F.array_remove(codes, i)))
+                   - (n - F.size(F.array_remove(codes, i + dim)))).cast("double"),
+    )
+
+
+def l2_norm(vec: Column) -> Column:
+    """Euclidean length of an array column."""
+    return F.sqrt(F.aggregate(vec, F.lit(0.0), lambda acc, x: acc + x * x))
+
+
+def l2_normalised(vec: Column, norm: Column | None = None) -> Column:
+    """``vec / |vec|``; a zero vector stays zero.  Pass ``norm`` as a column
+    reference to compute it once per row rather than once per element."""
+    n = l2_norm(vec) if norm is None else norm
+    return F.transform(vec, lambda x: F.when(n > 0, x / n).otherwise(x))
+
+
+def hashing_encoder(dim: int = DEFAULT_DIM) -> Encoder:
+    """``hash_codes`` -> ``counts_from_codes`` -> ``l2_normalised`` as a
+    Python hook (same vectors)."""
     import regex
 
     splitter = regex.compile(r"[^\p{L}\p{N}]+")
@@ -36,23 +88,32 @@ def hashing_encoder(dim: int = 64) -> Encoder:
             for tok in splitter.split((text or "").lower()):
                 if not tok:
                     continue
-                h = zlib.crc32(tok.encode("utf-8"))
-                vec[h % dim] += 1.0 if (h >> 31) & 1 == 0 else -1.0
+                h = int(hashlib.md5(tok.encode("utf-8")).hexdigest()[:8], 16)
+                vec[h % dim] += 1.0 if h < _SIGN_BIT else -1.0
             n = np.linalg.norm(vec)
-            out.append((vec / n if n else vec).astype(np.float32))
+            out.append(vec / n if n else vec)
         return out
 
     return encode
 
 
 def embed(df: DataFrame, text_col: str = "text", out_col: str = "embedding",
-          encoder: Encoder | None = None) -> DataFrame:
-    """Add ``out_col ARRAY<FLOAT>`` computed by ``encoder`` in Arrow batches."""
-    enc = encoder or hashing_encoder()
+          encoder: Encoder | None = None, dim: int = DEFAULT_DIM) -> DataFrame:
+    """Add ``out_col``: the JVM hashing encoder by default (``ARRAY<DOUBLE>``,
+    unit length), or ``encoder`` applied in Arrow batches (``ARRAY<FLOAT>``)."""
+    if encoder is None:
+        codes, counts, norm = (f"_{out_col}_{x}" for x in ("codes", "counts", "norm"))
+        # separate projections: each token is hashed once, counts and the
+        # norm are computed once per row
+        return (df.withColumn(codes, hash_codes(F.col(text_col), dim))
+                .withColumn(counts, counts_from_codes(F.col(codes), dim))
+                .withColumn(norm, l2_norm(F.col(counts)))
+                .withColumn(out_col, l2_normalised(F.col(counts), F.col(norm)))
+                .drop(codes, counts, norm))
 
     @F.pandas_udf(T.ArrayType(T.FloatType()))
     def _encode(texts: pd.Series) -> pd.Series:
-        return pd.Series(enc(texts))
+        return pd.Series([np.asarray(v, dtype=np.float32) for v in encoder(texts)])
 
     return df.withColumn(out_col, _encode(F.col(text_col)))
 

@@ -742,4 +742,31 @@ def _semantic_search(spark: SparkSession, sf: str) -> DataFrame:
                          query_id="item_id", query_vec="vec")
 
 
-register("semantic_search", _semantic_search, None, ratio=("similarity",), ops="R4 R5 R7")
+def _hashed_vectors_sql(name: str, source: str, dim: int = EN.DEFAULT_DIM) -> str:
+    """``{name}(id, v)``: the default encoder's unit vectors, relationally."""
+    return f"""{name}_h AS (
+    SELECT id, ('0x' || substr(md5(t), 1, 8))::BIGINT AS h
+    FROM (SELECT id, unnest({_TOK.format(t='text')}) AS t FROM {source})),
+  {name}_c AS (SELECT id, h % {dim} AS b, sum(CASE WHEN h < 2147483648 THEN 1.0 ELSE -1.0 END) AS c
+               FROM {name}_h GROUP BY ALL),
+  {name}_r AS (SELECT x.id, list(coalesce(c.c, 0.0) ORDER BY r.b) AS v
+               FROM {source} x CROSS JOIN (SELECT range AS b FROM range({dim})) r
+               LEFT JOIN {name}_c c ON c.id = x.id AND c.b = r.b GROUP BY x.id),
+  {name} AS (SELECT id, list_transform(v, lambda x: x / n) AS v
+             FROM (SELECT id, v, sqrt(list_sum(list_transform(v, lambda x: x * x))) AS n FROM {name}_r)
+             WHERE n > 0)"""
+
+
+register(
+    "semantic_search", _semantic_search,
+    S.rounded(f"""WITH {_CHUNK_DOCS_CTE},
+  items AS (SELECT item_id AS id, text FROM benchmark),
+  {_hashed_vectors_sql("dv", "docs")},
+  {_hashed_vectors_sql("qv", "items")},
+  s AS (SELECT q.id AS qid, d.id AS doc_id, list_cosine_similarity(q.v, d.v) AS similarity
+        FROM qv q CROSS JOIN dv d)
+  SELECT qid, CAST(rank AS INTEGER) AS rank, doc_id, similarity FROM (
+    SELECT *, row_number() OVER (PARTITION BY qid ORDER BY similarity DESC, doc_id) AS rank FROM s)
+  WHERE rank <= 3""", ratio=("similarity",), panel=False),
+    ratio=("similarity",), ops="R4 R5 R7",
+)

@@ -149,3 +149,22 @@ def test_cosine_plan_has_no_cartesian(spark, budget):
     cents = R.label_centroids(emb).select(F.col("label").alias("qid"), F.col("centroid").alias("vec"))
     plan = R.cosine_topk(emb, cents, k=3, max_broadcast_bytes=budget)._jdf.queryExecution().executedPlan().toString()
     assert "Cartesian" not in plan and "BroadcastNestedLoopJoin" not in plan
+
+
+def test_jvm_encoder_equals_python_hook(spark):
+    """The JVM default encoder and the Python hook give the same vectors."""
+    from periodix.operators import encoding as EN
+
+    docs = spark.read.parquet(f"{SF_SMALL}/documents.parquet").select("doc_id", "text")
+    extra = spark.createDataFrame([(-1, None), (-2, ""), (-3, "... !!"), (-4, "Ещё раз: NPL 7,6%")],
+                                  "doc_id BIGINT, text STRING")
+    docs = docs.unionByName(extra)
+    got = {r["doc_id"]: np.asarray(r["embedding"]) for r in EN.embed(docs, "text", "embedding").collect()}
+    rows = docs.collect()
+    want = EN.hashing_encoder()(pd.Series([r["text"] for r in rows]))
+    assert len(got) == len(rows)
+    for r, w in zip(rows, want):
+        assert got[r["doc_id"]].shape == (EN.DEFAULT_DIM,)
+        assert np.array_equal(got[r["doc_id"]], w), r["doc_id"]
+    assert not got[-1].any() and not got[-3].any()
+    assert abs(np.linalg.norm(got[-4]) - 1.0) < 1e-12
