@@ -225,8 +225,13 @@ def _postings(rows, qcols: list[str]):
 
 # Memory bounds inside one task: at most this many (question, document)
 # similarity cells and this many term-postings products per step.
-_CELLS_PER_STEP = 8_000_000
+_CELLS_PER_STEP = 2_000_000
 _PRODUCTS_PER_STEP = 8_000_000
+# A term whose (share of the step's documents) x (share of the questions)
+# reaches this goes through one dense matrix product instead of the sparse
+# postings expansion: a BLAS multiply-add is far cheaper than a scattered one,
+# so the dense path wins once a term touches this share of all cells.
+_DENSE_TERM_SHARE = 0.01
 
 
 def _sparse_dot(d_of, term, tf, ptr, post_q, post_tf, n_docs: int, nq: int) -> np.ndarray:
@@ -251,6 +256,38 @@ def _sparse_dot(d_of, term, tf, ptr, post_q, post_tf, n_docs: int, nq: int) -> n
     return dot.reshape(n_docs, nq).T
 
 
+def _dense_terms(term: np.ndarray, n_docs: int, ptr: np.ndarray, nq: int) -> np.ndarray:
+    """Frequent terms of this step (e.g. function words), most frequent
+    first, at most as many as keep both dense blocks within _CELLS_PER_STEP."""
+    in_docs = np.bincount(term, minlength=len(ptr) - 1)  # (doc, term) entries are unique
+    share = (in_docs / max(n_docs, 1)) * (np.diff(ptr) / max(nq, 1))
+    cand = np.nonzero(share >= _DENSE_TERM_SHARE)[0]
+    cap = _CELLS_PER_STEP // max(nq, n_docs, 1)
+    return cand[np.argsort(-share[cand], kind="stable")][:cap]
+
+
+def _dot(d_of, term, tf, ptr, post_q, post_tf, n_docs: int, nq: int) -> np.ndarray:
+    """Exact (nq, n_docs) dot products: frequent terms as one dense product
+    (integer-valued doubles, so sums are exact), the rest sparse."""
+    dense = _dense_terms(term, n_docs, ptr, nq)
+    if len(dense) == 0:
+        return _sparse_dot(d_of, term, tf, ptr, post_q, post_tf, n_docs, nq)
+    col = np.full(len(ptr) - 1, -1, dtype=np.int64)
+    col[dense] = np.arange(len(dense))
+    c = col[term]
+    m = c >= 0
+    doc_block = np.zeros((len(dense), n_docs))
+    doc_block[c[m], d_of[m]] = tf[m]
+    lens = ptr[dense + 1] - ptr[dense]
+    pos = np.repeat(ptr[dense] - np.cumsum(lens) + lens, lens) + np.arange(int(lens.sum()))
+    q_block = np.zeros((nq, len(dense)))
+    q_block[post_q[pos], np.repeat(np.arange(len(dense)), lens)] = post_tf[pos]
+    dot = q_block @ doc_block
+    if not m.all():
+        dot += _sparse_dot(d_of[~m], term[~m], tf[~m], ptr, post_q, post_tf, n_docs, nq)
+    return dot
+
+
 def _lexical_scorer(bq, k: int, doc_ids: list[str], qcols: list[str], payload: list[str]):
     def run(batches):
         qvals, vocab, ptr, post_q, post_tf, qnorm = bq.value
@@ -276,7 +313,7 @@ def _lexical_scorer(bq, k: int, doc_ids: list[str], qcols: list[str], payload: l
                 term = vindex.get_indexer(uniq)[c_of]
                 m = term >= 0
                 d_of, tf, term = d_of[m], tf[m], term[m]
-                dot = _sparse_dot(d_of, term, tf, ptr, post_q, post_tf, len(sub), nq)
+                dot = _dot(d_of, term, tf, ptr, post_q, post_tf, len(sub), nq)
                 with np.errstate(divide="ignore", invalid="ignore"):
                     sims = dot / (qnorm[:, None] * dnorm[None, :])
                 sims[dot == 0] = -np.inf

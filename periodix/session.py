@@ -21,6 +21,10 @@ DEFAULT_CONF = {
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
+    # one BLAS thread per task slot: the scorers' matrix products run in
+    # every Python worker at once (a cluster sets the same executor env)
+    "spark.executorEnv.OPENBLAS_NUM_THREADS": "1",
+    "spark.executorEnv.OMP_NUM_THREADS": "1",
 }
 
 

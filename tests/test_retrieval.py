@@ -168,3 +168,23 @@ def test_jvm_encoder_equals_python_hook(spark):
         assert np.array_equal(got[r["doc_id"]], w), r["doc_id"]
     assert not got[-1].any() and not got[-3].any()
     assert abs(np.linalg.norm(got[-4]) - 1.0) < 1e-12
+
+
+@pytest.mark.parametrize("share", [0.0, 0.01, 0.2, 2.0])
+def test_dense_term_path_equals_sparse(monkeypatch, share):
+    """Frequent terms through the dense product give the exact sparse dots."""
+    rng = np.random.default_rng(7)
+    nq, n_docs, vocab = 37, 53, 40
+    zipf = 1.0 / np.arange(1, vocab + 1)
+    rows = [{"qid": i, "_toks": [f"t{t}" for t in rng.choice(vocab, rng.integers(0, 12), p=zipf / zipf.sum())]}
+            for i in range(nq)]
+    _, terms, ptr, post_q, post_tf, _ = R._postings(rows, ["qid"])
+    entries = {(int(d), int(t)): int(rng.integers(1, 4))
+               for d, t in zip(rng.integers(0, n_docs, 400), rng.choice(len(terms), 400))}
+    d_of = np.array([d for d, _ in entries], dtype=np.int64)
+    term = np.array([t for _, t in entries], dtype=np.int64)
+    tf = np.array(list(entries.values()), dtype=np.float64)
+    want = R._sparse_dot(d_of, term, tf, ptr, post_q, post_tf, n_docs, nq)
+    monkeypatch.setattr(R, "_DENSE_TERM_SHARE", share)
+    got = R._dot(d_of, term, tf, ptr, post_q, post_tf, n_docs, nq)
+    assert np.array_equal(got, want)
