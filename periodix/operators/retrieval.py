@@ -94,10 +94,14 @@ def _batches_of_queries(q: DataFrame, key_cols: list[str], est_bytes: int, budge
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Text and vector work is CPU-bound per row: when the input has fewer
+    """Text and vector work is CPU-bound per row: when a table read has fewer
     partitions than the cluster has cores (e.g. one large row group), deal
     rows out round-robin so every core works; a well-partitioned input (the
-    normal case at scale) is returned untouched, with no shuffle."""
+    normal case at scale) is returned untouched, with no shuffle.
+
+    Apply it to a file read, where counting partitions plans only the scan.
+    The scorers below do not call it: on a derived input (after a shuffle)
+    counting partitions would execute the whole upstream plan once more."""
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
@@ -172,7 +176,7 @@ def cosine_topk(docs: DataFrame, queries: DataFrame, k: int = 3, doc_id: str = "
     q = queries.select(F.col(query_id).alias("qid"), F.col(query_vec).alias("vec"))
     stats = q.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("vec")).alias("d")).first()
     est = int(stats["n"]) * 8 * max(1, int(stats["d"] or 0))
-    slim = spread(docs.select(F.col(doc_id).alias("doc_id"), F.col(doc_vec).alias("_vec")))
+    slim = docs.select(F.col(doc_id).alias("doc_id"), F.col(doc_vec).alias("_vec"))
     schema = _out_schema(q, ["qid"], slim, ["doc_id"])
     partials = []
     for batch in _batches_of_queries(q, ["qid"], est, max_broadcast_bytes):
@@ -342,7 +346,7 @@ def lexical_topk(docs: DataFrame, queries: DataFrame, k: int, doc_ids: list[str]
     stats = q.agg(F.count(F.lit(1)).alias("n"), F.sum(F.size("_toks")).alias("t")).first()
     est = int(stats["n"]) * 64 + int(stats["t"] or 0) * 48
     payload = list(payload)
-    slim = spread(docs.select(*doc_ids, *payload, tokens(F.col(doc_text)).alias("_toks")))
+    slim = docs.select(*doc_ids, *payload, tokens(F.col(doc_text)).alias("_toks"))
     schema = _out_schema(q, query_ids, slim, doc_ids + payload)
     partials = []
     for batch in _batches_of_queries(q, query_ids, est, max_broadcast_bytes):

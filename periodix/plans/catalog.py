@@ -464,7 +464,7 @@ register(
 def _cosine_topk(spark: SparkSession, sf: str) -> DataFrame:
     emb = read_table(spark, sf, "embeddings", "vec_id", "embedding", "label")
     cents = R.label_centroids(emb).select(F.col("label").alias("qid"), F.col("centroid").alias("vec"))
-    return R.cosine_topk(emb, cents, k=10).withColumn("rank", F.col("rank").cast("int"))
+    return R.cosine_topk(R.spread(emb), cents, k=10).withColumn("rank", F.col("rank").cast("int"))
 
 
 register(
