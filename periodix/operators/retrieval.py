@@ -93,6 +93,29 @@ def _batches_of_queries(q: DataFrame, key_cols: list[str], est_bytes: int, budge
     return [q.filter(h == b) for b in range(n_batches)]
 
 
+def _question_batches(q: DataFrame, key_cols: list[str], stats: list, estimate, budget: int):
+    """Collected question rows in byte-bounded batches.
+
+    One pass measures the question side.  When it needs several hash
+    batches, it is persisted (MEMORY_AND_DISK) first, so each batch scans
+    the cached questions instead of recomputing their pipeline; it is
+    released when the broadcasts hold the data."""
+    from pyspark import StorageLevel
+
+    est = estimate(q.agg(*stats).first())
+    many = est > budget
+    if many:
+        q = q.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        for batch in _batches_of_queries(q, key_cols, est, budget):
+            rows = batch.collect()  # bounded by the byte budget
+            if rows:
+                yield rows
+    finally:
+        if many:
+            q.unpersist()
+
+
 def spread(df: DataFrame) -> DataFrame:
     """Text and vector work is CPU-bound per row: when a table read has fewer
     partitions than the cluster has cores (e.g. one large row group), deal
@@ -174,15 +197,12 @@ def cosine_topk(docs: DataFrame, queries: DataFrame, k: int = 3, doc_id: str = "
     give fewer rows; documents with a zero vector are never returned.
     """
     q = queries.select(F.col(query_id).alias("qid"), F.col(query_vec).alias("vec"))
-    stats = q.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("vec")).alias("d")).first()
-    est = int(stats["n"]) * 8 * max(1, int(stats["d"] or 0))
     slim = docs.select(F.col(doc_id).alias("doc_id"), F.col(doc_vec).alias("_vec"))
     schema = _out_schema(q, ["qid"], slim, ["doc_id"])
     partials = []
-    for batch in _batches_of_queries(q, ["qid"], est, max_broadcast_bytes):
-        rows = batch.collect()  # bounded by max_broadcast_bytes
-        if not rows:
-            continue
+    stats = [F.count(F.lit(1)).alias("n"), F.max(F.size("vec")).alias("d")]
+    estimate = lambda st: int(st["n"]) * 8 * max(1, int(st["d"] or 0))
+    for rows in _question_batches(q, ["qid"], stats, estimate, max_broadcast_bytes):
         qvals = [np.array([r["qid"] for r in rows])]
         qmat = np.vstack([np.asarray(r["vec"], dtype=np.float64) for r in rows])
         bq = docs.sparkSession.sparkContext.broadcast((qvals, qmat))
@@ -343,16 +363,13 @@ def lexical_topk(docs: DataFrame, queries: DataFrame, k: int, doc_ids: list[str]
     need no second pass over the documents.
     """
     q = queries.select(*query_ids, tokens(F.col(query_text)).alias("_toks"))
-    stats = q.agg(F.count(F.lit(1)).alias("n"), F.sum(F.size("_toks")).alias("t")).first()
-    est = int(stats["n"]) * 64 + int(stats["t"] or 0) * 48
     payload = list(payload)
     slim = docs.select(*doc_ids, *payload, tokens(F.col(doc_text)).alias("_toks"))
     schema = _out_schema(q, query_ids, slim, doc_ids + payload)
     partials = []
-    for batch in _batches_of_queries(q, query_ids, est, max_broadcast_bytes):
-        rows = batch.collect()  # bounded by max_broadcast_bytes
-        if not rows:
-            continue
+    stats = [F.count(F.lit(1)).alias("n"), F.sum(F.size("_toks")).alias("t")]
+    estimate = lambda st: int(st["n"]) * 64 + int(st["t"] or 0) * 48
+    for rows in _question_batches(q, query_ids, stats, estimate, max_broadcast_bytes):
         bq = docs.sparkSession.sparkContext.broadcast(_postings(rows, query_ids))
         partials.append(slim.mapInPandas(_lexical_scorer(bq, k, doc_ids, query_ids, payload), schema))
     if not partials:
