@@ -46,3 +46,14 @@ def test_top_n_uses_group_limit(spark):
 
 def test_auto_method_picks_window_for_small_periods(spark):
     assert choose_method(C.enriched(spark, SF_SMALL)) == "window"
+
+
+def test_broadcast_only_from_measured_sizes(spark):
+    """No broadcast from planning-time estimates; AQE broadcasts the small
+    side of the supplier join once its shuffle has run and been measured."""
+    df = C.REGISTRY["yearly_market"].run(spark, SF_SMALL)
+    assert "BroadcastExchange" not in _plan(df)
+    df.collect()
+    final = _plan(df)
+    assert "isFinalPlan=true" in final
+    assert "BroadcastHashJoin" in final
