@@ -22,7 +22,6 @@ TOTAL = "Итого"
 # ----------------------------------------------------------------------------
 
 FIRST_DATA_ROW = 3
-_NULL = F.lit(None).cast("string")
 
 
 def _lits(values: list[str | None]) -> Column:
@@ -38,7 +37,8 @@ def render_sheets(parsed: DataFrame) -> DataFrame:
     """Parsed rows of both layouts -> ``cells(file, sheet, row_idx, cells)``.
 
     Data rows are a narrow projection; the four frame rows of each sheet come
-    from one partial aggregation (one row per sheet) -- no task holds a sheet.
+    from one partial aggregation of those rows (one row per sheet) -- no task
+    holds a sheet.
     """
     s = lambda c: F.col(c).cast("string")
     new = F.col("format") == "new"
@@ -52,14 +52,19 @@ def render_sheets(parsed: DataFrame) -> DataFrame:
         )).otherwise(F.array(s("no"), s("mfo_name"), s("assets"), s("net_loans"), s("liabilities"),
                              s("equity"))).alias("cells"),
     )
-    per_sheet = parsed.groupBy("file", sheet, new.alias("_new")).agg(
-        F.max(F.col("no").cast("int")).alias("_last"), F.sum("assets").alias("_total")
+    # Aggregated from the rendered rows (not from ``parsed``): both union
+    # branches then share one subtree, so its exchanges are reused and the
+    # input is computed once.
+    per_sheet = data.groupBy("file", "sheet", (F.size("cells") == len(HEADER_NEW)).alias("_new")).agg(
+        (F.max("row_idx") - F.lit(FIRST_DATA_ROW)).alias("_last"),
+        F.sum(F.get(F.col("cells"), 2).try_cast("double")).alias("_total"),
     )
     is_new = F.col("_new")
     width = F.when(is_new, F.lit(len(HEADER_NEW))).otherwise(F.lit(len(HEADER_OLD)))
-    title = F.concat(F.array(F.concat(F.lit(TITLE), F.col("sheet"))), F.array_repeat(_NULL, width - 1))
-    totals = F.concat(F.array(_NULL, F.lit(TOTAL), F.col("_total").cast("string")),
-                      F.array_repeat(_NULL, width - 3))
+    null = F.lit(None).cast("string")
+    title = F.concat(F.array(F.concat(F.lit(TITLE), F.col("sheet"))), F.array_repeat(null, width - 1))
+    totals = F.concat(F.array(null, F.lit(TOTAL), F.col("_total").cast("string")),
+                      F.array_repeat(null, width - 3))
     frame = per_sheet.select("file", "sheet", F.explode(F.array(
         F.struct(F.lit(0).alias("row_idx"), title.alias("cells")),
         F.struct(F.lit(1).alias("row_idx"),
