@@ -3,12 +3,15 @@ those that SQL can express."""
 
 from __future__ import annotations
 
-from periodix.llm import sharding
+from periodix.llm import quality, sharding, tokenfiles
 
 QUERIES = {
+    "op4_line_frequency": quality.op4_line_frequency,
+    "op5_arrow_sequences": tokenfiles.op5_arrow_sequences,
     "op6_byte_shards": sharding.op6_byte_shards,
 }
 
 SQL = {
+    "op4_line_frequency": quality.SQL,
     "op6_byte_shards": sharding.SQL,
 }
