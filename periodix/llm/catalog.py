@@ -3,15 +3,18 @@ those that SQL can express."""
 
 from __future__ import annotations
 
-from periodix.llm import quality, sharding, tokenfiles
+from periodix.llm import packing, quality, sharding, tokenfiles, warc
 
 QUERIES = {
     "op4_line_frequency": quality.op4_line_frequency,
     "op5_arrow_sequences": tokenfiles.op5_arrow_sequences,
     "op6_byte_shards": sharding.op6_byte_shards,
+    "op7_dictionary_warc": warc.op7_dictionary_warc,
+    "op10_nnls_packing": packing.op10_nnls_packing,
 }
 
 SQL = {
     "op4_line_frequency": quality.SQL,
     "op6_byte_shards": sharding.SQL,
+    "op7_dictionary_warc": warc.SQL,
 }

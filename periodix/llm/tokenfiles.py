@@ -30,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from periodix.llm.common import shared_folder, shuffle_partitions, table
+from periodix.llm.common import shared_folder, shuffle_partitions, store, table
 from periodix.llm.encoder import encoder, word_units
 
 LENGTH = 2048        # ids of a sequence
@@ -39,13 +39,6 @@ MANIFEST = "part INT, path STRING, n_docs LONG, n_ids LONG"
 DIGEST = "doc_id LONG, start LONG, n_tokens LONG, ids_crc32 LONG"
 
 
-def store(uri: str):
-    """File system and path of a folder or file name as Spark writes it."""
-    if uri.startswith("file:/") and not uri.startswith("file://"):
-        uri = "file://" + uri[5:]
-    return pafs.FileSystem.from_uri(uri)
-
-
 class SequenceWriter:
     """One task's two Arrow files; holds at most one record batch of ids."""
 
