@@ -49,7 +49,7 @@ class SequenceWriter:
         self.schema = pa.schema(
             [("ids", pa.list_(kind, length)), ("mask", pa.list_(pa.bool_(), length))],
             {"sequence_length": str(length), "end_id": str(end_id)})
-        self.sink = self.fs.open_output_stream(self.path)
+        self.sink = self.fs.open_output_stream(self.path, compression=None)
         self.file = pa.ipc.new_file(self.sink, self.schema)
         self.held: list[np.ndarray] = []
         self.n_held, self.n_ids, self.docs = 0, 0, []
@@ -83,7 +83,7 @@ class SequenceWriter:
         index = pa.table({"doc_id": pa.array([d[0] for d in self.docs], pa.int64()),
                           "start": pa.array([d[1] for d in self.docs], pa.int64()),
                           "n_ids": pa.array([d[2] for d in self.docs], pa.int64())})
-        with self.fs.open_output_stream(self.path + ".index") as out, pa.ipc.new_file(out, index.schema) as f:
+        with self.fs.open_output_stream(self.path + ".index", compression=None) as out, pa.ipc.new_file(out, index.schema) as f:
             f.write_table(index, max_chunksize=1 << 16)
 
 

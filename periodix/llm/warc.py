@@ -113,7 +113,7 @@ def write_archives(pages: DataFrame, folder: str, min_revisit: int = MIN_REVISIT
                 part = TaskContext.get().partitionId()
                 uri = f"{folder}/part-{part:06d}-{uuid.uuid4().hex}.warc.zst"
                 target, name = store(uri)
-                out, n = target.open_output_stream(name), 0
+                out, n = target.open_output_stream(name, compression=None), 0
                 known = zstandard.ZstdCompressionDict(dictionary)
                 zip_ = zstandard.ZstdCompressor(level=level, dict_data=known if dictionary else None)
                 out.write(struct.pack("<II", SKIPPABLE, len(dictionary)) + dictionary)
@@ -136,7 +136,7 @@ def write_archives(pages: DataFrame, folder: str, min_revisit: int = MIN_REVISIT
 def records(uri: str) -> Iterator[tuple[dict, bytes]]:
     """Headers and block of every record of one archive, read as a stream."""
     file_system, path = store(uri)
-    with file_system.open_input_stream(path) as raw:
+    with file_system.open_input_stream(path, compression=None) as raw:
         magic, n = struct.unpack("<II", raw.read(8))
         if magic != SKIPPABLE:
             raise ValueError(f"{uri}: no leading dictionary frame")
@@ -183,7 +183,7 @@ def read_archives(manifest: DataFrame) -> DataFrame:
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = lambda x: None if x is None else int(x)
         for batch in batches:
-            for uri in batch.column(0).to_pylist():
+            for uri, expected in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 out: list[tuple] = []
                 for head, block in records(uri):
                     if head["WARC-Type"] == "warcinfo":
@@ -197,11 +197,14 @@ def read_archives(manifest: DataFrame) -> DataFrame:
                     out.append((number(head.get("WARC-Page-ID")), n, digest, head["WARC-Type"],
                                 number(head.get("WARC-Refers-To-Page-ID"))))
                     if len(out) == 4096:
+                        expected -= len(out)
                         yield _rows(out)
                         out = []
+                if expected != len(out):
+                    raise ValueError(f"{uri}: {expected - len(out)} records are missing")
                 yield _rows(out)
 
-    files = manifest.select("path")
+    files = manifest.select("path", "n_records")
     return files.repartition(max(1, files.count())).mapInArrow(read, RECORDS)
 
 
