@@ -3,9 +3,10 @@ those that SQL can express."""
 
 from __future__ import annotations
 
-from periodix.llm import packing, quality, sharding, tokenfiles, warc
+from periodix.llm import langid, packing, quality, sharding, tokenfiles, warc
 
 QUERIES = {
+    "op3_cross_parsing": langid.op3_cross_parsing,
     "op4_line_frequency": quality.op4_line_frequency,
     "op5_arrow_sequences": tokenfiles.op5_arrow_sequences,
     "op6_byte_shards": sharding.op6_byte_shards,
