@@ -3,7 +3,7 @@ those that SQL can express."""
 
 from __future__ import annotations
 
-from periodix.llm import langid, packing, quality, sharding, tokenfiles, warc
+from periodix.llm import langid, packing, quality, sharding, tokenfiles, toxicity, warc
 
 QUERIES = {
     "op3_cross_parsing": langid.op3_cross_parsing,
@@ -11,6 +11,7 @@ QUERIES = {
     "op5_arrow_sequences": tokenfiles.op5_arrow_sequences,
     "op6_byte_shards": sharding.op6_byte_shards,
     "op7_dictionary_warc": warc.op7_dictionary_warc,
+    "op8_subsequence_svm": toxicity.op8_subsequence_svm,
     "op10_nnls_packing": packing.op10_nnls_packing,
 }
 
