@@ -3,7 +3,7 @@ those that SQL can express."""
 
 from __future__ import annotations
 
-from periodix.llm import langid, packing, quality, sharding, tokenfiles, toxicity, warc
+from periodix.llm import jaccard, langid, packing, quality, sharding, tokenfiles, toxicity, warc
 
 QUERIES = {
     "op3_cross_parsing": langid.op3_cross_parsing,
@@ -12,10 +12,12 @@ QUERIES = {
     "op6_byte_shards": sharding.op6_byte_shards,
     "op7_dictionary_warc": warc.op7_dictionary_warc,
     "op8_subsequence_svm": toxicity.op8_subsequence_svm,
+    "op9_divide_skip": jaccard.op9_divide_skip,
     "op10_nnls_packing": packing.op10_nnls_packing,
 }
 
 SQL = {
+    "op9_divide_skip": jaccard.SQL,
     "op4_line_frequency": quality.SQL,
     "op6_byte_shards": sharding.SQL,
     "op7_dictionary_warc": warc.SQL,
