@@ -3,9 +3,11 @@ those that SQL can express."""
 
 from __future__ import annotations
 
-from periodix.llm import jaccard, langid, packing, quality, sharding, tokenfiles, toxicity, warc
+from periodix.llm import decontaminate, html_text, jaccard, langid, packing, quality, sharding, tokenfiles, toxicity, warc
 
 QUERIES = {
+    "op1_layout_text": html_text.op1_layout_text,
+    "op2_spaced_seeds": decontaminate.op2_spaced_seeds,
     "op3_cross_parsing": langid.op3_cross_parsing,
     "op4_line_frequency": quality.op4_line_frequency,
     "op5_arrow_sequences": tokenfiles.op5_arrow_sequences,

@@ -3,7 +3,9 @@
 Words are runs of bytes other than blank and 0x09 to 0x0D (all ASCII, so
 bytes of UTF-8 serve), A to Z in lower case.  A word's 64-bit hash is a
 polynomial over random byte values modulo 2^64, taken from prefix sums, so a
-buffer of texts costs a few vector operations whatever its words are."""
+buffer of texts costs a few vector operations whatever its words are.  With
+``plain`` a word has letters, digits and bytes above 0x7F only, and all letters
+are in lower case."""
 
 from __future__ import annotations
 
@@ -20,6 +22,7 @@ _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
 _GAP = np.ones(256, bool)
 _GAP[[0x20, *range(0x09, 0x0E)]] = False
+_PLAIN = np.array([c > 127 or chr(c).isalnum() for c in range(256)])
 _powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 
@@ -39,24 +42,25 @@ def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers[0][:n], _powers[1][:n]
 
 
-def words(texts: list[str | None]) -> Iterator[tuple[int, list[np.ndarray]]]:
+def words(texts: list[str | None], plain: bool = False) -> Iterator[tuple[int, list[np.ndarray]]]:
     """Word hashes of each text: yields the number of the first text of a
     chunk and one array per text."""
     chunk, size, first = [], 0, 0
     for k, text in enumerate(texts):
-        data = (text or "").encode("utf-8", "surrogatepass").lower()  # bytes: ASCII only
+        text = (text or "").lower() if plain else text or ""
+        data = text.encode("utf-8", "surrogatepass").lower()  # bytes: ASCII only
         chunk.append(data)
         size += len(data) + 1
         if size >= CHUNK:
-            yield first, _words(chunk)
+            yield first, _words(chunk, plain)
             chunk, size, first = [], 0, k + 1
     if chunk:
-        yield first, _words(chunk)
+        yield first, _words(chunk, plain)
 
 
-def _words(chunk: list[bytes]) -> list[np.ndarray]:
+def _words(chunk: list[bytes], plain: bool) -> list[np.ndarray]:
     data = np.frombuffer(b"\n".join(chunk) + b"\n", np.uint8)
-    inside = _GAP[data]
+    inside = (_PLAIN if plain else _GAP)[data]
     edge = np.flatnonzero(np.diff(np.r_[False, inside].astype(np.int8)))
     starts, ends = edge[::2], edge[1::2]
     up, down = _power(len(data))
