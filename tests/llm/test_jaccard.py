@@ -65,13 +65,13 @@ def test_components_match_brute_force(docs_of, seed, monkeypatch):
         monkeypatch.setattr(J, "CELL", 8)
     rows = corpus(seed) + [(None, "null id shares nothing at all here"), (None, "copy of one text with some words")]
     clash = docs_of(rows).selectExpr("*", "1 AS class", "2 AS label").repartition(5)
-    got = J.join(clash).collect()
+    got = J.join(clash).drop("label", "row").collect()
     assert sorted(map(tuple, got), key=str) == brute(rows)
 
 
 def test_edges(docs_of):
     assert J.join(docs_of([])).count() == 0
-    assert sorted(map(tuple, J.join(docs_of([(3, "a b"), (3, "a b"), (2, "a b"), (1, None)])).collect())) == [
+    assert sorted(map(tuple, J.join(docs_of([(3, "a b"), (3, "a b"), (2, "a b"), (1, None)])).drop("label", "row").collect())) == [
         (1, 0, 1), (2, 1, 2), (3, 1, 2), (3, 1, 2)]
 
 
@@ -96,3 +96,14 @@ def test_word_hashes():
     names = {"".join(rnd.choices("ab", k=rnd.randint(1, 12))) for _ in range(3000)}
     (_, got), = wordhash.words([" ".join(names)])
     assert len(set(got[0].tolist())) == len(names)
+
+
+def test_keep_one(docs_of):
+    rows = corpus(3) + [(None, "copy of one text with some words"), (None, "alone without an id"), (7000, " "), (7000, " ")]
+    rows += [rows[4], (9000, "two rows"), (9000, "of one id")]
+    docs = docs_of(rows).withColumnRenamed("source", "label").repartition(3)
+    kept = J.keep_one(docs)
+    assert kept.columns == docs.columns
+    ids = [i for i, n, c in brute(sorted(set(rows), key=str)) if i == c and i is not None]
+    assert sorted(r["doc_id"] for r in kept.collect() if r["doc_id"] is not None) == sorted(ids)
+    assert [r["text"] for r in kept.collect() if r["doc_id"] is None] == ["alone without an id"]
