@@ -92,29 +92,19 @@ def market_and_segments(df: DataFrame) -> DataFrame:
                       "total_portfolio", "total_npl", "avg_npl_pct")
 
 
-def _weighted_mean_if(cond: Column, value: str, weight: str) -> Column:
-    both = cond & F.col(value).isNotNull() & F.col(weight).isNotNull()
-    return F.try_divide(F.sum(F.when(both, F.col(value) * F.col(weight))),
-                        F.sum(F.when(both, F.col(weight))))
-
-
-def segment_pivot(df: DataFrame, entity: str = "mfo_name") -> DataFrame:
+def segment_pivot(df: DataFrame) -> DataFrame:
     """Leaders vs non-leaders side by side per year, plus the NPL gap.
 
-    Equivalent to a full outer join of the two segment tables on year, done
-    as one conditional aggregation (a side with no rows in a year is NULL).
+    Equivalent to a full outer join of the two segment tables on year: the
+    yearly segments (two rows a year) turned sideways; a side with no rows in
+    a year is NULL.
     """
     out = []
-    for flag, name in SEGMENT_LABELS.items():
-        cond = F.col("is_leader") == F.lit(flag)
-        present = F.count_if(cond) > 0
-        out += [
-            F.when(present, F.countDistinct(F.when(cond, F.col(entity)))).alias(f"{name}_mfo_count"),
-            F.sum(F.when(cond, F.col("assets"))).alias(f"{name}_assets"),
-            F.sum(F.when(cond, F.col("portfolio_gross"))).alias(f"{name}_portfolio"),
-            _weighted_mean_if(cond, "npl_pct", "portfolio_gross").alias(f"{name}_npl_pct"),
-        ]
-    return df.groupBy("year").agg(*out).withColumn(
+    for name in SEGMENT_LABELS.values():
+        pick = lambda c: F.max(F.when(F.col("segment") == name, F.col(c)))  # noqa: B023, E731
+        out += [pick("mfo_count").alias(f"{name}_mfo_count"), pick("total_assets").alias(f"{name}_assets"),
+                pick("total_portfolio").alias(f"{name}_portfolio"), pick("avg_npl_pct").alias(f"{name}_npl_pct")]
+    return yearly_segments(df).groupBy("year").agg(*out).withColumn(
         "npl_gap", F.col("leaders_npl_pct") - F.col("non_leaders_npl_pct")
     )
 

@@ -1,42 +1,25 @@
 """Running asset share per period and the market-leader flag.
 
-Two physical strategies with the same result (``method="auto"``, the
-default, measures the largest period with one tiny aggregate and picks the
-window below ``AUTO_RANGE_ROWS`` rows, the range scan above):
-
-* ``method="window"`` -- one ROWS-frame window per period.  Catalyst plans a
-  single hash shuffle on the period and one sort.  Parallelism is the number
-  of periods, which is fine while one period fits one task.
-* ``method="range"`` -- the scale path for periods too large for one task
-  (e.g. one quarter holding a third of all rows).  The panel is
-  range-partitioned on (period, size desc, entity), so every partition holds a
-  contiguous slice of each period's ordering; it is checkpointed to the shared
-  checkpoint folder (so range sampling and partition contents cannot change
-  between the two passes, and lineage is cut); each partition computes its
-  local running sums in Arrow batches; per-(partition, period) totals -- at
-  most ``partitions + periods`` rows, a proven bound -- are turned into
-  offsets and broadcast back.  No task ever holds more than one partition.
+One strategy at every size.  A period is cut into slices of amounts within a
+few percent of each other (a monotone function of the amount, so slices follow
+the ranking); the running sum is taken inside each slice by a JVM window, and
+the slices above add an offset.  Offsets come from one small aggregate -- at
+most ``64 x SLICES`` rows per period, each a partial sum of its tasks -- so a
+period is spread over as many tasks as it has slices and none holds a period.
+
+Amounts are summed as exact decimals and divided once, so the share does not
+depend on how rows are dealt out, and the inclusive threshold is exact.
 """
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from periodix.functions.columns import LEADER_THRESHOLD
 
-# Above this many rows in one period, one task would sort too much: use the
-# range-partitioned scan instead of a per-period window.
-AUTO_RANGE_ROWS = 4_000_000
-
-
-def choose_method(df: DataFrame, period: str = "quarter") -> str:
-    """Size check behind the strategy choice: rows in the largest period
-    (a partial aggregate; one small row per period reaches the driver)."""
-    biggest = df.groupBy(period).count().agg(F.max("count")).first()[0] or 0
-    return "range" if biggest > AUTO_RANGE_ROWS else "window"
+SLICES = 16  # slices of one doubling of the amount
+EXACT = "decimal(28,6)"
 
 
 def _order_cols(df: DataFrame, size: str, entity: str) -> list[Column]:
@@ -46,80 +29,43 @@ def _order_cols(df: DataFrame, size: str, entity: str) -> list[Column]:
     return cols
 
 
+def _slice(size: Column) -> Column:
+    """Never rises along the ranking: positive amounts by their logarithm,
+    then zero, negative amounts, and missing ones last."""
+    step = F.floor(F.log2(F.abs(size)) * SLICES)
+    return (F.when(size > 0, step).when(size == 0, F.lit(-100_000))
+            .when(size < 0, F.lit(-200_000) - step).otherwise(F.lit(-300_000)).cast("int"))
+
+
 def running_share(df: DataFrame, period: str = "quarter", size: str = "assets",
-                  entity: str = "mfo_name", method: str = "auto",
-                  partitions: int | None = None) -> DataFrame:
+                  entity: str = "mfo_name") -> DataFrame:
     """``cumulative_share`` = running sum of ``size`` (largest first) over
-    the period total.  ROWS frame, so ties on ``size`` never share a value."""
-    if method == "auto":
-        method = choose_method(df, period)
-    if method == "window":
-        order = Window.partitionBy(period).orderBy(*_order_cols(df, size, entity))
-        running = F.sum(size).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-        total = F.sum(size).over(Window.partitionBy(period))
-        return df.withColumn("cumulative_share", F.try_divide(running, total))
-    if method == "range":
-        return _running_share_ranged(df, period, size, entity, partitions)
-    raise ValueError("method must be 'auto', 'window' or 'range'")
+    the period total.  ROWS frame, so ties on ``size`` never share a value; a
+    missing ``size`` has no share and adds nothing."""
+    sliced = df.withColumn("_slice", _slice(F.col(size)))
+    amount = F.col(size).cast(EXACT)
+    sums = sliced.groupBy(F.col(period).alias("_p"), F.col("_slice").alias("_s")).agg(F.sum(amount).alias("_sum"))
+    above = Window.partitionBy("_p").orderBy(F.desc("_s")).rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sums.select(
+        "_p", "_s", F.coalesce(F.sum("_sum").over(above), F.lit(0).cast("decimal(38,6)")).alias("_above"),
+        F.sum("_sum").over(Window.partitionBy("_p")).alias("_total"))
+    order = Window.partitionBy(period, "_slice").orderBy(*_order_cols(df, size, entity))
+    local = F.sum(amount).over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    joined = sliced.withColumn("_local", local).join(
+        offsets, F.col(period).eqNullSafe(F.col("_p")) & (F.col("_slice") == F.col("_s")))
+    share = F.try_divide((F.col("_above") + F.col("_local")).cast("double"), F.col("_total").cast("double"))
+    return joined.withColumn("cumulative_share", F.when(F.col(size).isNotNull(), share)).select(
+        *df.columns, "cumulative_share")
 
 
 def mark_leaders(df: DataFrame, threshold: float = LEADER_THRESHOLD, period: str = "quarter",
-                 size: str = "assets", entity: str = "mfo_name", method: str = "auto",
-                 partitions: int | None = None) -> DataFrame:
+                 size: str = "assets", entity: str = "mfo_name") -> DataFrame:
     """W1 + W2: ``is_leader`` = running share <= threshold (inclusive).
 
     The firm that crosses the threshold is not a leader; a single firm above
     it leaves the period without leaders; a missing share is not a leader.
     """
-    out = running_share(df, period, size, entity, method, partitions)
+    out = running_share(df, period, size, entity)
     return out.withColumn(
         "is_leader", F.coalesce(F.col("cumulative_share") <= F.lit(threshold), F.lit(False))
     )
-
-
-def _running_share_ranged(df: DataFrame, period: str, size: str, entity: str,
-                          partitions: int | None) -> DataFrame:
-    from periodix.session import ensure_checkpoint_dir
-
-    spark = df.sparkSession
-    ensure_checkpoint_dir(spark)
-    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    order = [F.asc(period), *_order_cols(df, size, entity)]
-    ranged = df.repartitionByRange(n, *order).sortWithinPartitions(*order).checkpoint(eager=True)
-
-    # Per-(partition, period) totals: bounded by partitions + periods rows.
-    parts = ranged.groupBy(F.spark_partition_id().alias("_pid"), F.col(period)).agg(
-        F.sum(size).alias("_part_sum")
-    )
-    before = Window.partitionBy(period).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = parts.select(
-        "_pid", period,
-        F.coalesce(F.sum("_part_sum").over(before), F.lit(0.0)).alias("_offset"),
-        F.sum("_part_sum").over(Window.partitionBy(period)).alias("_total"),
-    )
-
-    schema = T.StructType(
-        ranged.schema.fields
-        + [T.StructField("_pid", T.IntegerType()), T.StructField("_local", T.DoubleType())]
-    )
-
-    def local_running(batches):
-        from pyspark import TaskContext
-
-        pid = TaskContext.get().partitionId()
-        carry: dict = {}
-        for pdf in batches:
-            if pdf.empty:
-                continue
-            vals = pdf[size].astype("float64")
-            local = vals.groupby(pdf[period], sort=False).cumsum()
-            base = pdf[period].map(carry).fillna(0.0).astype("float64")
-            local = local + base
-            last = local.groupby(pdf[period], sort=False).last()
-            carry.update(last.to_dict())
-            yield pdf.assign(_pid=pd.Series(pid, index=pdf.index, dtype="int32"), _local=local)
-
-    local = ranged.mapInPandas(local_running, schema)
-    joined = local.join(F.broadcast(offsets), ["_pid", period])
-    share = F.try_divide(F.col("_offset") + F.col("_local"), F.col("_total"))
-    return joined.withColumn("cumulative_share", share).drop("_pid", "_local", "_offset", "_total")

@@ -70,23 +70,8 @@ def enriched(spark: SparkSession, sf: str) -> DataFrame:
     return _plan("enriched", spark, sf, lambda: metrics.enrich_metrics(filings(spark, sf)))
 
 
-_ENTITY_COUNTS: dict[str, int] = {}
-
-
-def _leader_method(spark: SparkSession, sf: str) -> str:
-    """The panel has at most one row per (entity, quarter), so the entity
-    count bounds every quarter's size: a cheap proven bound (a count of the
-    small entity table) instead of aggregating the whole panel to measure."""
-    if sf not in _ENTITY_COUNTS:
-        _ENTITY_COUNTS[sf] = read_table(spark, sf, "supplier", "s_suppkey").count()
-    return "range" if _ENTITY_COUNTS[sf] > leaders.AUTO_RANGE_ROWS else "window"
-
-
-def marked(spark: SparkSession, sf: str, method: str | None = None) -> DataFrame:
-    m = method or _leader_method(spark, sf)
-    if m == "range":  # the range path checkpoints data: never shared between queries
-        return leaders.mark_leaders(enriched(spark, sf), method=m)
-    return _plan("marked", spark, sf, lambda: leaders.mark_leaders(enriched(spark, sf), method=m))
+def marked(spark: SparkSession, sf: str) -> DataFrame:
+    return _plan("marked", spark, sf, lambda: leaders.mark_leaders(enriched(spark, sf)))
 
 
 MONEY_ROW = ("assets", "net_loans", "portfolio_gross", "del_31_60", "del_61_90", "del_90_plus",
@@ -155,27 +140,27 @@ _LEADER_SQL = S.rounded(
 )
 register(
     "leaders",
-    lambda sp, sf: marked(sp, sf, method="window").select("mfo_name", "quarter", "year", "assets",
+    lambda sp, sf: marked(sp, sf).select("mfo_name", "quarter", "year", "assets",
                                                           "cumulative_share", "is_leader"),
     _LEADER_SQL, money=("assets",), ratio=("cumulative_share",), ops="W1 W2 J1 T3",
 )
 register(
     "running_share_ranged",
-    lambda sp, sf: marked(sp, sf, method="range").select(
+    lambda sp, sf: marked(sp, sf).select(
         "mfo_name", "quarter", "year", "assets", "cumulative_share", "is_leader"),
-    _LEADER_SQL, money=("assets",), ratio=("cumulative_share",), ops="W1 W2 (scale path)",
+    _LEADER_SQL, money=("assets",), ratio=("cumulative_share",), ops="W1 W2 (earlier name of the same path)",
 )
 
 # --- 3. aggregates (A1-A4, A10, A11, A13, J2) -----------------------------------
 
 register(
-    "yearly_market", lambda sp, sf: agg.yearly_market(marked(sp, sf)),
+    "yearly_market", lambda sp, sf: agg.yearly_market(enriched(sp, sf)),
     S.rounded(f"SELECT year, {S.MARKET_AGGS} FROM marked GROUP BY year",
               money=MARKET_MONEY, ratio=("avg_npl_pct",)),
     money=MARKET_MONEY, ratio=("avg_npl_pct",), ops="A1 A3 A4 X1",
 )
 register(
-    "quarterly_market", lambda sp, sf: agg.quarterly_market(marked(sp, sf)),
+    "quarterly_market", lambda sp, sf: agg.quarterly_market(enriched(sp, sf)),
     S.rounded(f"SELECT quarter, year, {S.MARKET_AGGS} FROM marked GROUP BY quarter, year",
               money=MARKET_MONEY, ratio=("avg_npl_pct",)),
     money=MARKET_MONEY, ratio=("avg_npl_pct",), ops="A10",
@@ -257,7 +242,7 @@ register(
     money=("total_profit",), ratio=("profit_pct",), ops="A11 P10",
 )
 register(
-    "npl_drivers", lambda sp, sf: agg.npl_drivers(marked(sp, sf), n=10),
+    "npl_drivers", lambda sp, sf: agg.npl_drivers(enriched(sp, sf), n=10),
     S.rounded("""SELECT year, mfo_name, npl, year_npl, npl_share, rank FROM (
         SELECT *, npl / NULLIF(year_npl, 0) AS npl_share,
                CAST(row_number() OVER (PARTITION BY year ORDER BY npl DESC, mfo_name ASC) AS INTEGER) AS rank
@@ -269,7 +254,7 @@ register(
     money=("npl", "year_npl"), ratio=("npl_share",), ops="A13",
 )
 register(
-    "source_attribution", lambda sp, sf: agg.source_attribution(marked(sp, sf)),
+    "source_attribution", lambda sp, sf: agg.source_attribution(enriched(sp, sf)),
     S.rounded("SELECT year, list_sort(list(DISTINCT file)) AS sources, count(*) AS n_records "
               "FROM marked GROUP BY year"),
     ops="R14",
@@ -303,7 +288,7 @@ register(
 )
 register(
     "latest_period",
-    lambda sp, sf: agg.latest_period(marked(sp, sf)).select("mfo_name", "quarter", "year", "assets"),
+    lambda sp, sf: agg.latest_period(enriched(sp, sf)).select("mfo_name", "quarter", "year", "assets"),
     S.rounded("""SELECT m.mfo_name, m.quarter, m.year, m.assets FROM marked m
         JOIN (SELECT year, max(quarter) AS lq FROM marked GROUP BY year) l
         ON m.year = l.year AND m.quarter = l.lq""", money=("assets",)),
@@ -314,7 +299,7 @@ register(
 
 _Q_MARKET = f"SELECT quarter, year, {S.WEIGHTED_NPL} AS avg_npl_pct FROM marked GROUP BY quarter, year"
 register(
-    "npl_changes_market", lambda sp, sf: changes.npl_changes_market(marked(sp, sf)),
+    "npl_changes_market", lambda sp, sf: changes.npl_changes_market(enriched(sp, sf)),
     S.rounded(f"""SELECT a.quarter, a.year, a.avg_npl_pct,
           lag(a.quarter) OVER (ORDER BY CAST(a.quarter AS DATE)) AS prev_quarter,
           a.avg_npl_pct - lag(a.avg_npl_pct) OVER (ORDER BY CAST(a.quarter AS DATE)) AS qoq_change,
@@ -336,11 +321,11 @@ _ENTITY_CHANGES = """SELECT a.mfo_name, a.quarter, a.year, a.npl_pct,
         WINDOW w AS (PARTITION BY a.mfo_name ORDER BY CAST(a.quarter AS DATE))"""
 _CHG = ("npl_pct", "qoq_change", "yoy_change", "qoq_rel")
 register(
-    "npl_changes_entity", lambda sp, sf: changes.npl_changes_entity(marked(sp, sf)),
+    "npl_changes_entity", lambda sp, sf: changes.npl_changes_entity(enriched(sp, sf)),
     S.rounded(_ENTITY_CHANGES, ratio=_CHG), ratio=_CHG, ops="W4 (entity)",
 )
 register(
-    "deteriorating", lambda sp, sf: changes.deteriorating(marked(sp, sf)),
+    "deteriorating", lambda sp, sf: changes.deteriorating(enriched(sp, sf)),
     S.rounded(f"SELECT * FROM ({_ENTITY_CHANGES}) WHERE qoq_change > 0", ratio=_CHG),
     ratio=_CHG, ops="W5",
 )
@@ -348,20 +333,20 @@ register(
 # --- 6. dashboard queries (A7-A9, P18-P24) --------------------------------------
 
 register(
-    "kpis", lambda sp, sf: agg.kpis(marked(sp, sf)),
+    "kpis", lambda sp, sf: agg.kpis(enriched(sp, sf)),
     S.rounded("SELECT count(*) AS n_records, count(DISTINCT mfo_name) AS n_mfos, "
               "min(year) AS min_year, max(year) AS max_year FROM marked"),
     ops="A7",
 )
 register(
-    "latest_year_kpis", lambda sp, sf: agg.latest_year_kpis(marked(sp, sf)),
+    "latest_year_kpis", lambda sp, sf: agg.latest_year_kpis(enriched(sp, sf)),
     S.rounded("""SELECT year, avg(npl_pct) AS mean_npl_pct, sum(assets) / 1e9 AS total_assets_bn
         FROM marked WHERE year = (SELECT max(year) FROM marked) GROUP BY year""",
               ratio=("mean_npl_pct", "total_assets_bn")),
     ratio=("mean_npl_pct", "total_assets_bn"), ops="A8 P19 P21",
 )
 register(
-    "years", lambda sp, sf: agg.years(marked(sp, sf)),
+    "years", lambda sp, sf: agg.years(enriched(sp, sf)),
     S.rounded("SELECT DISTINCT year FROM marked"), ops="A9",
 )
 
@@ -421,7 +406,7 @@ from periodix.operators import text as TX  # noqa: E402
 
 
 def _summary_docs(spark: SparkSession, sf: str) -> DataFrame:
-    return TX.summary_lines(agg.yearly_market(marked(spark, sf)))
+    return TX.summary_lines(agg.yearly_market(enriched(spark, sf)))
 
 
 _SUMMARY_SQL = f"""
@@ -710,7 +695,7 @@ from periodix.plans import results as RS  # noqa: E402
 
 
 def _results(spark: SparkSession, sf: str, *names: str) -> dict[str, DataFrame]:
-    prepared = RS.prepare(filings(spark, sf), method=_leader_method(spark, sf), persist=False)
+    prepared = RS.prepare(filings(spark, sf), persist=False)
     return RS.compute_all(prepared, names=names)
 
 

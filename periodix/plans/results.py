@@ -30,21 +30,28 @@ STRATEGIES: dict[str, Strategy] = {
     "npl_changes": changes.npl_changes_market,
 }
 
-# How each result is previewed (rows, total order).
+# How each result is previewed (rows, total order).  A result that is
+# not listed is shown whole, ordered by all of its columns.
 PREVIEW = {
     "raw": (100, ["quarter", "mfo_name", "file", "no"]),
     "top_mfos": (20, ["year", "rank"]),
     "yearly_market": (None, ["year"]),
+    "yearly_leaders": (None, ["year"]),
+    "yearly_non_leaders": (None, ["year"]),
+    "quarterly_market": (None, ["quarter"]),
+    "quarterly_segments": (None, ["quarter", "segment"]),
+    "npl_changes": (None, ["quarter"]),
 }
 
 
-def prepare(filings: DataFrame, method: str = "auto", persist: bool = True) -> DataFrame:
+def prepare(filings: DataFrame, persist: bool = True) -> DataFrame:
     """P14/P15 + W1/W2 on the normalised filings; persisted for reuse.
 
     ``MEMORY_AND_DISK`` blocks lost with an executor are recomputed from
-    lineage, so a lost executor costs time, not correctness.
+    lineage, so a lost executor costs time, not correctness.  The caller
+    releases a persisted panel with ``unpersist()``.
     """
-    marked = leaders.mark_leaders(metrics.enrich_metrics(filings), method=method)
+    marked = leaders.mark_leaders(metrics.enrich_metrics(filings))
     return marked.persist(StorageLevel.MEMORY_AND_DISK) if persist else marked
 
 
@@ -61,7 +68,7 @@ def compute_all(marked: DataFrame, strategies: dict[str, Strategy] | None = None
 def preview(results: dict[str, DataFrame], name: str, n: int | None = None) -> DataFrame:
     """First ``n`` rows of a result in a stated total order."""
     df = results[name]
-    default_n, order = PREVIEW.get(name, (100, df.columns[:1]))
+    default_n, order = PREVIEW.get(name, (None, df.columns))
     n = default_n if n is None else n
     ordered = df.orderBy(*[c for c in order if c in df.columns])
     return ordered.limit(n) if n is not None else ordered

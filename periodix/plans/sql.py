@@ -59,9 +59,11 @@ enriched AS (
   FROM filings),
 shared AS (
   SELECT *,
-         sum(assets) OVER (PARTITION BY quarter ORDER BY assets DESC, mfo_name ASC, file ASC, no ASC
-                           ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)
-           / NULLIF(sum(assets) OVER (PARTITION BY quarter), 0) AS cumulative_share
+         CAST(sum(CAST(assets AS DECIMAL(28,6))) OVER (
+                PARTITION BY quarter ORDER BY assets DESC, mfo_name ASC, file ASC, no ASC
+                ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS DOUBLE)
+           / NULLIF(CAST(sum(CAST(assets AS DECIMAL(28,6))) OVER (PARTITION BY quarter) AS DOUBLE), 0)
+           AS cumulative_share
   FROM enriched),
 marked AS (
   SELECT *, coalesce(cumulative_share <= 0.8, false) AS is_leader FROM shared)

@@ -65,16 +65,6 @@ def test_zero_guard_variant(spark):
     assert r["npl_pct"] is None
 
 
-def test_range_method_equals_window(spark, panel):
-    base = panel.drop("cumulative_share", "is_leader")
-    ranged = leaders.mark_leaders(base, method="range", partitions=3)
-    a = _by_key(panel, "cumulative_share", "is_leader")
-    b = _by_key(ranged, "cumulative_share", "is_leader")
-    assert a.keys() == b.keys()
-    for k in a:
-        assert approx(a[k][0], b[k][0]) and a[k][1] == b[k][1], k
-
-
 def test_yearly_market(panel):
     rows = {r["year"]: r for r in agg.yearly_market(panel).collect()}
     assert rows[2023]["mfo_count"] == 3 and rows[2024]["mfo_count"] == 3
@@ -144,14 +134,3 @@ def test_latest_year_simple_mean(panel):
 def test_kpis(panel):
     r = agg.kpis(panel).first()
     assert (r["n_records"], r["n_mfos"], r["min_year"], r["max_year"]) == (8, 3, 2023, 2024)
-
-
-def test_auto_switches_to_range_above_bound(spark, panel, monkeypatch):
-    from periodix.operators import leaders as L
-
-    monkeypatch.setattr(L, "AUTO_RANGE_ROWS", 1)
-    assert L.choose_method(panel) == "range"
-    base = panel.drop("cumulative_share", "is_leader")
-    a = _by_key(panel, "cumulative_share", "is_leader")
-    b = _by_key(L.mark_leaders(base, partitions=2), "cumulative_share", "is_leader")
-    assert all(approx(a[k][0], b[k][0]) and a[k][1] == b[k][1] for k in a)

@@ -4,7 +4,6 @@ Cartesian products, group-limited top-k."""
 import pytest
 
 import __spark_entry__ as E
-from periodix.operators.leaders import choose_method
 from periodix.plans import catalog as C
 from tests.conftest import SF_SMALL
 
@@ -44,8 +43,15 @@ def test_top_n_uses_group_limit(spark):
         "WindowGroupLimit" in df._jdf.queryExecution().optimizedPlan().toString()
 
 
-def test_auto_method_picks_window_for_small_periods(spark):
-    assert choose_method(C.enriched(spark, SF_SMALL)) == "window"
+@pytest.mark.parametrize("name", ["years", "kpis", "yearly_market", "npl_drivers", "latest_period"])
+def test_queries_without_the_flag_skip_the_leader_scan(spark, name):
+    plan = _plan(C.REGISTRY[name].run(spark, SF_SMALL))
+    assert "cumulative_share" not in plan and "InPandas" not in plan
+
+
+def test_leader_scan_is_split_and_in_the_jvm(spark):
+    plan = _plan(C.REGISTRY["leaders"].run(spark, SF_SMALL))
+    assert "_slice" in plan and "InPandas" not in plan
 
 
 def test_broadcast_only_from_measured_sizes(spark):

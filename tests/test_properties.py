@@ -1,5 +1,8 @@
-"""Property: the range-partitioned running share equals the plain window
-on random panels (ties, duplicates, zero assets, skewed periods)."""
+"""Property: the sliced running share equals an exact running sum on random
+panels (ties, duplicates, zero, negative and missing assets, skewed periods,
+shares exactly on the threshold)."""
+
+from decimal import Decimal
 
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
@@ -8,23 +11,43 @@ from periodix.operators import leaders
 
 ROW = st.tuples(
     st.sampled_from(["A", "B", "C", "D", "E"]),
-    st.sampled_from(["2023-01-01", "2023-04-01", "2024-01-01"]),
-    st.sampled_from([0.0, 1.0, 2.5, 10.0, 10.0, 40.0]),
+    st.sampled_from(["2023-01-01", "2023-04-01", "2024-01-01", None]),
+    st.sampled_from([0.0, 0.01, 1.0, 2.5, 10.0, 10.1, 40.0, -3.0, None]),
 )
 
 
-@settings(max_examples=6, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
-@given(rows=st.lists(ROW, min_size=1, max_size=40), parts=st.integers(1, 5))
-def test_range_equals_window(spark, rows, parts):
+def exact(rows):
+    out = {}
+    for q in {r[1] for r in rows}:
+        mine = [r for r in rows if r[1] == q]
+        mine.sort(key=lambda r: (r[2] is None, -(r[2] or 0), r[0], r[3], r[4]))
+        total = sum(Decimal(str(r[2])) for r in mine if r[2] is not None)
+        run = Decimal(0)
+        for n, q_, a, f, no in mine:
+            run += Decimal(str(a)) if a is not None else 0
+            share = float(run) / float(total) if a is not None and total else None
+            out[n, q_, f, no] = (share, share is not None and share <= 0.8)
+    return out
+
+
+@settings(max_examples=8, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(rows=st.lists(ROW, min_size=1, max_size=40))
+def test_equals_exact_running_sum(spark, rows):
     data = [(n, q, a, f"f{i % 2}.xlsx", str(i)) for i, (n, q, a) in enumerate(rows)]
     df = spark.createDataFrame(data, "mfo_name STRING, quarter STRING, assets DOUBLE, file STRING, no STRING")
-    key = lambda r: (r["mfo_name"], r["quarter"], r["file"], r["no"])
-    w = {key(r): (r["cumulative_share"], r["is_leader"])
-         for r in leaders.mark_leaders(df, method="window").collect()}
-    g = {key(r): (r["cumulative_share"], r["is_leader"])
-         for r in leaders.mark_leaders(df, method="range", partitions=parts).collect()}
-    assert w.keys() == g.keys()
-    for k in w:
-        a, b = w[k][0], g[k][0]
-        assert (a is None and b is None) or abs(a - b) < 1e-12
-        assert w[k][1] == g[k][1]
+    got = {(r["mfo_name"], r["quarter"], r["file"], r["no"]): (r["cumulative_share"], r["is_leader"])
+           for r in leaders.mark_leaders(df).collect()}
+    assert got == exact(data)
+
+
+def test_threshold_is_inclusive_and_exact(spark):
+    """Many cent amounts whose running share is exactly 0.8 at one row."""
+    amounts = [round(0.1 * k, 2) for k in range(1, 801)]
+    top = sum(Decimal(str(a)) for a in amounts)
+    rows = [(f"m{k:04d}", "2023-01-01", a + 1000.0) for k, a in enumerate(amounts)]
+    total = top + 800 * 1000
+    rows += [(f"s{k:04d}", "2023-01-01", float(total / 4 / 800)) for k in range(800)]
+    df = spark.createDataFrame(rows, "mfo_name STRING, quarter STRING, assets DOUBLE")
+    flags = {r["mfo_name"]: r["is_leader"] for r in leaders.mark_leaders(df).collect()}
+    assert all(flags[f"m{k:04d}"] for k in range(800))
+    assert not any(v for n, v in flags.items() if n.startswith("s"))
