@@ -62,7 +62,7 @@ def corpus(seed):
 @pytest.mark.parametrize("seed", [1, 2])
 def test_components_match_brute_force(docs_of, seed, monkeypatch):
     if seed == 2:  # long lists in several cells
-        monkeypatch.setattr(J, "CELL", 8)
+        monkeypatch.setattr(J, "CELL", 900)
     rows = corpus(seed) + [(None, "null id shares nothing at all here"), (None, "copy of one text with some words")]
     clash = docs_of(rows).selectExpr("*", "1 AS class", "2 AS label").repartition(5)
     got = J.join(clash).drop("label", "row").collect()
@@ -81,10 +81,12 @@ def test_divide_skip_matches_counting():
         core = rng.choice(4000, 80, replace=False)
         sets = [np.unique(np.concatenate([core[rng.random(80) < 0.95], rng.choice(4000, rng.integers(1, 20))])).astype(np.uint64)
                 for _ in range(40)] + [np.unique(rng.choice(4000, 60)).astype(np.uint64) for _ in range(20)]
-        index = J.Index(list(range(60)), sets)
-        for q in sets[::7]:
-            want = [k for k, s in enumerate(sets) if 100 * len(np.intersect1d(q, s)) >= 80 * len(np.union1d(q, s))]
-            assert index.search(q) == want
+        for percent in (50, 80, 100):
+            for index in (J.Index(sets), J.Index(sets[:3])):
+                for q in sets[::7]:
+                    want = [k for k, s in enumerate(index.sets)
+                            if 100 * len(np.intersect1d(q, s)) >= percent * len(np.union1d(q, s))]
+                    assert index.search(q, percent).tolist() == want
 
 
 def test_word_hashes():
