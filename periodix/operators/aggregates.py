@@ -197,8 +197,5 @@ def npl_drivers(df: DataFrame, n: int = 10, entity: str = "mfo_name") -> DataFra
 
 
 def source_attribution(df: DataFrame, keys: tuple[str, ...] = ("year",)) -> DataFrame:
-    """The sorted set of source files behind each aggregate row."""
-    return df.groupBy(*keys).agg(
-        F.array_sort(F.collect_set("file")).alias("sources"),
-        F.count(F.lit(1)).alias("n_records"),
-    )
+    """The source files behind each aggregate row, one row per file."""
+    return df.groupBy(*keys, "file").agg(F.count(F.lit(1)).alias("n_records"))

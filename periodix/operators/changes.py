@@ -22,18 +22,23 @@ def _with_changes(df: DataFrame, value: str, keys: list[str]) -> DataFrame:
     qdate = F.to_date("quarter")
     month = F.year(qdate) * 12 + F.month(qdate)
     base = df.withColumn("_m", month)
-    w = Window.partitionBy(*keys).orderBy("_m") if keys else Window.orderBy("_m")
-    year_ago = w.rangeBetween(-12, -12)
+    # repeated filings of one quarter: in order of file and number, and the
+    # first of them stands for the quarter a year later
+    ties = [c for c in ("file", "no") if c in df.columns]
+    keyed = Window.partitionBy(*keys) if keys else Window.partitionBy()
+    w = keyed.orderBy("_m", *ties)
+    year_ago = keyed.orderBy("_m").rangeBetween(-12, -12)
+    then = F.min_by(value, F.struct(*ties)) if ties else F.first(value)
     out = base.withColumns({
         "prev_quarter": F.lag("quarter").over(w),
         "_prev": F.lag(value).over(w),
-        "_year_ago": F.first(value).over(year_ago),
+        "_year_ago": then.over(year_ago),
     })
     return out.withColumns({
         "qoq_change": F.col(value) - F.col("_prev"),
         "yoy_change": F.col(value) - F.col("_year_ago"),
         "qoq_rel": F.try_divide(F.col(value) - F.col("_prev"), F.col("_prev")),
-    }).drop("_m", "_prev", "_year_ago")
+    }).drop("_m", "_prev", "_year_ago", *ties)
 
 
 def npl_changes_market(df: DataFrame) -> DataFrame:
@@ -49,7 +54,8 @@ def npl_changes_entity(df: DataFrame, entity: str = "mfo_name") -> DataFrame:
     """W4, entity level: each firm's NPL % against its own previous quarter
     and the same quarter a year before (partitioned by entity, so work
     spreads over all firms)."""
-    base = df.select(entity, "quarter", "year", "npl_pct")
+    ties = [c for c in ("file", "no") if c in df.columns]
+    base = df.select(entity, "quarter", "year", "npl_pct", *ties)
     return _with_changes(base, "npl_pct", [entity])
 
 

@@ -13,12 +13,10 @@ bucket code per token, built-in array functions) and counts the codes into
 unit vectors with one ``bincount`` per Arrow batch (Pandas UDF).  Counting
 with array lambdas instead costs one interpreted call per bucket and row:
 about twice the end-to-end time at sf0.1, for bit-identical vectors.
-``hashing_encoder`` is the same encoder as a per-text Python hook.
 """
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Callable
 
 import numpy as np
@@ -31,7 +29,6 @@ Encoder = Callable[[pd.Series], list]
 
 
 DEFAULT_DIM = 64
-_SIGN_BIT = 1 << 31
 
 
 def _token_hash(tok: Column) -> Column:
@@ -65,28 +62,6 @@ def _unit_vectors(codes: pd.Series, dim: int) -> pd.Series:
     return pd.Series(list(np.divide(vec, norm, out=vec.copy(), where=norm > 0)))
 
 
-def hashing_encoder(dim: int = DEFAULT_DIM) -> Encoder:
-    """The default encoder as a per-text Python hook (same vectors)."""
-    import regex
-
-    splitter = regex.compile(r"[^\p{L}\p{N}]+")
-
-    def encode(texts: pd.Series) -> list:
-        out = []
-        for text in texts:
-            vec = np.zeros(dim, dtype=np.float64)
-            for tok in splitter.split((text or "").lower()):
-                if not tok:
-                    continue
-                h = int(hashlib.md5(tok.encode("utf-8")).hexdigest()[:8], 16)
-                vec[h % dim] += 1.0 if h < _SIGN_BIT else -1.0
-            n = np.linalg.norm(vec)
-            out.append(vec / n if n else vec)
-        return out
-
-    return encode
-
-
 def embed(df: DataFrame, text_col: str = "text", out_col: str = "embedding",
           encoder: Encoder | None = None, dim: int = DEFAULT_DIM) -> DataFrame:
     """Add ``out_col``: the hashing encoder by default (``ARRAY<DOUBLE>``,

@@ -41,8 +41,10 @@ def write_evaluation(records: DataFrame, path: str) -> None:
     runs.select("total_tests", "timestamp", "tests").write.mode("overwrite").json(path)
 
 
-def attach_expected(answers: DataFrame, expected: DataFrame, on: str = "question") -> DataFrame:
-    """Answers joined to expected values on the question (left join)."""
+def attach_expected(answers: DataFrame, expected: DataFrame, on: str = "qid") -> DataFrame:
+    """Answers joined to expected values on the question's id (left
+    join); ``expected`` has one row per id, so repeated question texts do not
+    multiply answers."""
     return answers.join(expected, on, "left")
 
 

@@ -37,6 +37,12 @@ def top_n(df: DataFrame, n: int = 10, metric: str = "assets", entity: str = "mfo
     return top.select(*cols, "rank")
 
 
+def top_table(df: DataFrame, year: int, n: int = 10) -> DataFrame:
+    """P20 + T4: one year's ranking as a table of five columns, by rank."""
+    return top_n(df, n=n).filter(F.col("year") == F.lit(year)).select(
+        "rank", "mfo_name", "assets", "npl_pct", "is_leader").orderBy("rank")
+
+
 def top_chart_frame(df: DataFrame, year: int, n: int = 10, unit: float = 1e9) -> DataFrame:
     """P18 + T4 + P21: one year's top-n, assets in ``unit``s, sorted ascending
     (the frame behind the top-entities bar chart)."""

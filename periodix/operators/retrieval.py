@@ -392,13 +392,18 @@ def answer_questions(questions: DataFrame, docs: DataFrame, k: int = 2, qid: str
                      question: str = "question", doc_id: str = "id", doc_text: str = "text") -> DataFrame:
     """R15 (+R10-R12): batch QA over a question table, all in one plan.
 
-    Every question gets a row: ``context`` (top-k texts, best first),
-    ``answer`` (context-only answer) and ``prompt``.
+    Every question row gets a row: ``context`` (top-k texts, best first),
+    ``answer`` (context-only answer) and ``prompt``.  Each distinct question
+    text is scored once, so repeated questions -- and even repeated ids --
+    get the same context and cost no extra search.
     """
-    hits = lexical_topk(docs.select(doc_id, F.col(doc_text).alias("_dtext")), questions.select(qid, question),
-                        k, [doc_id], [qid], "_dtext", question, payload=("_dtext",))
-    ctx = T.contexts(hits, qid=qid, rank="rank", text="_dtext")
-    out = questions.select(qid, question).join(ctx, qid, "left")
+    key = F.sha2(F.coalesce(F.col(question), F.lit("")), 256)
+    asked = questions.select(qid, question, key.alias("_text"))
+    distinct = asked.groupBy("_text").agg(F.first(question).alias("_question"))
+    hits = lexical_topk(docs.select(doc_id, F.col(doc_text).alias("_dtext")), distinct,
+                        k, [doc_id], ["_text"], "_dtext", "_question", payload=("_dtext",))
+    ctx = T.contexts(hits, qid="_text", rank="rank", text="_dtext")
+    out = asked.join(ctx, "_text", "left")
     return out.select(
         qid, question,
         F.coalesce(F.col("context"), F.lit("")).alias("context"),
@@ -408,39 +413,82 @@ def answer_questions(questions: DataFrame, docs: DataFrame, k: int = 2, qid: str
 
 
 YEAR_PATTERN = r"((?:19|20)\d{2})"
-
-
-def hybrid_answers(questions: DataFrame, yearly: DataFrame, docs: DataFrame, k: int = 2,
+# Words that send a question to the ranking or the segment table; the first
+# list that matches wins, other questions about a year go to the yearly table.
+ROUTE_WORDS = {
+    "ranking": ["top", "largest", "biggest", "first", "ranking"],
+    "segment": ["segment", "segments", "leaders", "smaller"],
+}
+
+
+def structured_facts(yearly: DataFrame, segments: DataFrame, top: DataFrame) -> DataFrame:
+    """Lines ``(kind, year, no, line)`` of the three result tables."""
+    figures = lambda: F.concat(
+        F.lit("Assets "), T.fmt_fixed(F.col("assets") / F.lit(T.BILLION), 1), F.lit("B KZT, NPL "),
+        F.coalesce(T.fmt_fixed(F.col("npl"), 2), F.lit("nan")), F.lit("%"))
+    year = F.col("year").cast("string")
+    line = T.summary_line(F.col("year"), F.col("mfo_count"), F.col("total_assets"), F.col("avg_npl_pct"))
+    market = yearly.select(F.lit("yearly").alias("kind"), "year", F.lit(0).alias("no"), line.alias("line"))
+    parts = segments.withColumnsRenamed({"total_assets": "assets", "avg_npl_pct": "npl"}).select(
+        F.lit("segment"), "year", F.when(F.col("segment") == "leaders", 0).otherwise(1),
+        F.concat(year, F.lit(" "), F.col("segment"), F.lit(": "), F.col("mfo_count").cast("string"),
+                 F.lit(" firms, "), figures()))
+    ranks = top.withColumnsRenamed({"npl_pct": "npl"}).select(
+        F.lit("ranking"), "year", "rank",
+        F.concat(year, F.lit(" no. "), F.col("rank").cast("string"), F.lit(": "), F.col("mfo_name"), F.lit(", "), figures()))
+    return market.union(parts).union(ranks)
+
+
+def route_questions(questions: DataFrame, facts: DataFrame, qid: str = "qid", question: str = "question") -> DataFrame:
+    """``(qid, kind, year)`` of the facts each question asks for.
+
+    The kind comes from ``ROUTE_WORDS``; the years are those the question
+    names, or, for a ranking or segment question without one, the latest year
+    there is.  A question that names no table has no row, nor has one whose
+    years have no data: those are left to search.
+    """
+    words = tokens(F.col(question))
+    kind = F.lit("yearly")
+    for name, listed in reversed(ROUTE_WORDS.items()):
+        kind = F.when(F.arrays_overlap(words, F.array(*map(F.lit, listed))), F.lit(name)).otherwise(kind)
+    named = F.array_distinct(F.regexp_extract_all(F.col(question), F.lit(YEAR_PATTERN), 1))
+    q = questions.select(qid, kind.alias("kind"), named.alias("_years"))
+    known = facts.select("kind", "year").distinct()
+    latest = known.groupBy("kind").agg(F.max("year").alias("year"))
+    by_year = q.select(qid, "kind", F.explode(F.col("_years").cast("array<int>")).alias("year")).join(known, ["kind", "year"])
+    no_year = q.filter((F.size("_years") == 0) & (F.col("kind") != "yearly")).select(qid, "kind").join(latest, "kind")
+    return by_year.select(qid, "kind", "year").unionByName(no_year.select(qid, "kind", "year"))
+
+
+def hybrid_answers(questions: DataFrame, yearly: DataFrame, segments: DataFrame, top: DataFrame,
+                   sources: DataFrame, docs: DataFrame, k: int = 2,
                    qid: str = "qid", question: str = "question") -> DataFrame:
-    """A question naming years gets the structured yearly rows of those
-    years (equi-join on year, lines in year order); any other question goes
-    to lexical search over ``docs``.  Output: route, context, answer.
+    """R13 + R14: structured facts and search results in one context.
+
+    Output: ``qid, question, route, context, answer, n_sources``: the route
+    (``yearly``, ``segment``, ``ranking``, or ``semantic`` for questions
+    without structured facts), the facts of the asked years in order followed
+    by the ``k`` nearest texts, and the number of source files behind the
+    facts (listed by ``answer_sources``).  Ids must be unique.
     """
-    q = questions.select(qid, question).withColumn(
-        "_years", F.array_distinct(F.regexp_extract_all(F.col(question), F.lit(YEAR_PATTERN), 1))
-    )
-    facts = yearly.select(
-        F.col("year").cast("string").alias("_year"),
-        T.summary_line(F.col("year"), F.col("mfo_count"), F.col("total_assets"),
-                       F.col("avg_npl_pct")).alias("_line"),
-    )
-    asked = q.filter(F.size("_years") > 0).select(qid, F.explode("_years").alias("_year"))
-    structured = (
-        asked.join(facts, "_year")
-        .groupBy(qid)
-        .agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_year", "_line"))),
-                                      lambda s: s["_line"]), T.CONTEXT_SEPARATOR).alias("_ctx"))
-    )
-    routed = q.filter(F.size("_years") > 0).select(qid, question).join(structured, qid, "left").select(
-        qid, question, F.lit("structured").alias("route"), F.col("_ctx")
-    )
-    semantic_q = q.filter(F.size("_years") == 0).select(qid, question)
-    semantic = answer_questions(semantic_q, docs, k, qid, question).select(
-        qid, question, F.lit("semantic").alias("route"), F.col("context").alias("_ctx")
-    )
-    both = routed.unionByName(semantic)
+    facts = structured_facts(yearly, segments, top)
+    routed = route_questions(questions, facts, qid, question)
+    lines = F.array_sort(F.collect_list(F.struct("year", "no", "line")))  # a few lines per year asked
+    structured = routed.join(facts, ["kind", "year"]).groupBy(qid).agg(
+        F.first("kind").alias("_kind"),
+        F.array_join(F.transform(lines, lambda x: x["line"]), T.CONTEXT_SEPARATOR).alias("_facts"))
+    files = answer_sources(routed, sources, qid).groupBy(qid).agg(F.count(F.lit(1)).alias("_files"))
+    found = answer_questions(questions, docs, k, qid, question).select(qid, question, F.col("context").alias("_near"))
+    both = found.join(structured, qid, "left").join(files, qid, "left")
+    near = F.when(F.col("_near") != "", F.col("_near"))
+    context = F.concat_ws(T.CONTEXT_SEPARATOR, "_facts", near)
     return both.select(
-        qid, question, "route",
-        F.coalesce(F.col("_ctx"), F.lit("")).alias("context"),
-        T.context_answer(F.col("_ctx")).alias("answer"),
-    )
+        qid, question, F.coalesce(F.col("_kind"), F.lit("semantic")).alias("route"), context.alias("context"),
+        T.context_answer(context).alias("answer"), F.coalesce(F.col("_files"), F.lit(0)).alias("n_sources"))
+
+
+def answer_sources(routed: DataFrame, sources: DataFrame, qid: str = "qid") -> DataFrame:
+    """The files behind each question's structured facts, one row per
+    file, from ``sources(year, file, n_records)``."""
+    return routed.select(qid, "year").distinct().join(sources, "year").groupBy(qid, "file").agg(
+        F.sum("n_records").alias("n_records"))

@@ -14,7 +14,6 @@ from periodix.functions.columns import BILLION, fmt_fixed, py_strip
 
 # --- fixed values (rendering of the reference's summary and prompt) ----------
 SUMMARY_TITLE = "Market Overview"
-SUMMARY_LINE = "{year}: {n} MFOs, Assets {assets_bn:.1f}B KZT, NPL {npl:.2f}%"
 CONTEXT_SEPARATOR = "\n\n"
 ANSWER_PREFIX = "Context:\n"
 PROMPT_TEMPLATE = (
@@ -27,7 +26,7 @@ PROMPT_TEMPLATE = (
 
 
 def summary_line(year: Column, n: Column, assets: Column, npl_pct: Column, unit: float = BILLION) -> Column:
-    """One ``SUMMARY_LINE`` as a column (missing NPL prints ``nan``)."""
+    """One overview line as a column (missing NPL prints ``nan``)."""
     return F.concat(
         year.cast("string"), F.lit(": "), n.cast("string"), F.lit(" MFOs, Assets "),
         fmt_fixed(assets / F.lit(unit), 1), F.lit("B KZT, NPL "),

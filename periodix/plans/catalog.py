@@ -107,13 +107,16 @@ register(
 )
 register(
     "enriched_zero_guard",
-    lambda sp, sf: metrics.enrich_metrics(filings(sp, sf), on_zero="zero")
+    # every 11th firm's portfolio is set to zero, so that both branches are taken
+    lambda sp, sf: metrics.enrich_metrics(filings(sp, sf).withColumn(
+        "portfolio_gross", F.when(F.col("no").cast("int") % 11 == 0, 0.0).otherwise(F.col("portfolio_gross"))), on_zero="zero")
     .select("mfo_name", "quarter", "over30_pct", "npl_pct"),
     S.rounded("""SELECT mfo_name, quarter,
         CASE WHEN portfolio_gross > 0 THEN (del_31_60 + del_61_90 + del_90_plus) / portfolio_gross * 100
              ELSE 0.0 END AS over30_pct,
         CASE WHEN portfolio_gross > 0 THEN del_90_plus / portfolio_gross * 100 ELSE 0.0 END AS npl_pct
-        FROM filings""", ratio=("over30_pct", "npl_pct")),
+        FROM (SELECT * REPLACE (CASE WHEN CAST(no AS INTEGER) % 11 = 0 THEN 0.0 ELSE portfolio_gross END
+                                AS portfolio_gross) FROM filings)""", ratio=("over30_pct", "npl_pct")),
     ratio=("over30_pct", "npl_pct"), ops="P15b",
 )
 
@@ -255,8 +258,7 @@ register(
 )
 register(
     "source_attribution", lambda sp, sf: agg.source_attribution(enriched(sp, sf)),
-    S.rounded("SELECT year, list_sort(list(DISTINCT file)) AS sources, count(*) AS n_records "
-              "FROM marked GROUP BY year"),
+    S.rounded("SELECT year, file, count(*) AS n_records FROM marked GROUP BY year, file"),
     ops="R14",
 )
 
@@ -286,6 +288,13 @@ register(
               ratio=("assets_bn", "npl_pct")),
     ratio=("assets_bn", "npl_pct"), ops="P18 T4 P21",
 )
+register(
+    "top_table", lambda sp, sf: rankings.top_table(marked(sp, sf), 2000),
+    S.rounded("SELECT rank, mfo_name, assets, npl_pct, is_leader FROM ("
+              + _TOP_SQL.format(metric="assets", n=10, extra="") + ") WHERE year = 2000",
+              money=("assets",), ratio=("npl_pct",)),
+    money=("assets",), ratio=("npl_pct",), ops="P20 T4 P18",
+)
 register(
     "latest_period",
     lambda sp, sf: agg.latest_period(enriched(sp, sf)).select("mfo_name", "quarter", "year", "assets"),
@@ -354,20 +363,20 @@ register(
 
 
 def _grid(spark: SparkSession, sf: str) -> DataFrame:
-    from periodix.sources.grid import render_sheets
+    from periodix.sources.grid import render_sheets, with_defects
 
     from periodix.session import ensure_checkpoint_dir
 
     # The grid is read three times by the normaliser: materialise it once in
     # the shared checkpoint folder (cuts lineage, survives executor loss).
     ensure_checkpoint_dir(spark)
-    return render_sheets(panel.filings_parsed(spark, sf)).checkpoint(eager=True)
+    return with_defects(render_sheets(panel.filings_parsed(spark, sf))).checkpoint(eager=True)
 
 
-def _sheet_normalise(spark: SparkSession, sf: str) -> DataFrame:
+def _normalised(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     from periodix.operators.normalise import normalise_sheets
 
-    return normalise_sheets(_grid(spark, sf))[0]
+    return normalise_sheets(_grid(spark, sf))
 
 
 def _parse_quality(spark: SparkSession, sf: str) -> DataFrame:
@@ -376,27 +385,44 @@ def _parse_quality(spark: SparkSession, sf: str) -> DataFrame:
     return parse_quality(_grid(spark, sf))
 
 
-# Sheet names carry the reporting date as 01.MM.20YY; earlier years do not
-# parse (P1) and their sheets are pruned, exactly as the reference does.
-register(
-    "sheet_normalise", _sheet_normalise,
-    S.rounded("SELECT * FROM filings WHERE year >= 2000", money=MONEY_ROW[:6]),
+# All years and both layouts go through the sheets; the rules of
+# ``grid.with_defects`` are repeated here.
+_SHIFTED = "CAST(year + 20 AS VARCHAR)"
+_BAD_NUMBER = "CAST(no AS INTEGER) % 13 = 0"
+_SHEETS_CTE = f"""s AS (
+    SELECT *, '01.' || substr(quarter, 6, 2) || '.' || {_SHIFTED} AS sheet,
+           NOT {_BAD_NUMBER} AND mfo_name IS NOT NULL AND assets IS NOT NULL
+             AND coalesce(net_loans, portfolio_gross) IS NOT NULL AS good
+    FROM parsed),
+  january AS (SELECT *, '01.13.' || {_SHIFTED} AS sheet13 FROM s WHERE substr(quarter, 6, 2) = '01')"""
+register(
+    "sheet_normalise", lambda sp, sf: _normalised(sp, sf)[0],
+    S.rounded(f"""SELECT * REPLACE ({_SHIFTED} || substr(quarter, 5) AS quarter, CAST(year + 20 AS INTEGER) AS year)
+        FROM filings WHERE NOT {_BAD_NUMBER}""", money=MONEY_ROW[:6]),
     money=MONEY_ROW[:6], ops="S2 S3 P1-P13 J4",
 )
 register(
     "parse_quality", _parse_quality,
-    S.rounded("""SELECT file, '01.' || substr(quarter, 6, 2) || '.' || substr(quarter, 1, 4) AS sheet,
-        count(*) AS rows_seen,
-        count_if(mfo_name IS NOT NULL AND assets IS NOT NULL AND portfolio_gross IS NOT NULL) AS rows_kept,
-        count_if(NOT (mfo_name IS NOT NULL AND assets IS NOT NULL AND portfolio_gross IS NOT NULL))
-          AS rows_incomplete,
-        CAST(0 AS BIGINT) AS rows_quarantined,
-        count_if(mfo_name IS NOT NULL AND assets IS NOT NULL AND portfolio_gross IS NOT NULL)
-          / count(*) AS accuracy
-        FROM (SELECT * REPLACE (CASE WHEN format = 'old' THEN net_loans / 0.92 ELSE portfolio_gross END
-                                AS portfolio_gross) FROM parsed)
-        WHERE year >= 2000 GROUP BY 1, 2""", ratio=("accuracy",)),
-    ratio=("accuracy",), ops="P25",
+    S.rounded(f"""WITH {_SHEETS_CTE}
+        SELECT file, sheet, count(*) AS rows_seen, count_if(good) AS rows_kept,
+               count_if(NOT good) AS rows_incomplete, CAST(0 AS BIGINT) AS rows_quarantined,
+               count_if(good) / count(*) AS accuracy FROM s GROUP BY 1, 2
+        UNION ALL
+        SELECT file, sheet13, count(*), CAST(0 AS BIGINT), CAST(0 AS BIGINT), count(*), 0.0 FROM january GROUP BY 1, 2
+        UNION ALL
+        SELECT 'narrow_' || file, sheet, count(*), CAST(0 AS BIGINT), CAST(0 AS BIGINT), count(*), 0.0
+        FROM january GROUP BY 1, 2""", ratio=("accuracy",)),
+    ratio=("accuracy",), ops="P25 P13",
+)
+register(
+    "parse_errors", lambda sp, sf: _normalised(sp, sf)[1],
+    S.rounded(f"""WITH {_SHEETS_CTE}
+        SELECT file, sheet13 AS sheet, 'invalid reporting date: ' || {_SHIFTED} || '-13-01' AS error
+        FROM january GROUP BY file, sheet13, year
+        UNION ALL
+        SELECT 'narrow_' || file, sheet, 'sheet narrower than layout: 5 < '
+               || CASE WHEN format = 'old' THEN '6' ELSE '10' END FROM january GROUP BY file, sheet, format"""),
+    ops="S4 P7 P8",
 )
 
 # --- 8. text: summary lines, chunks (R1-R3) --------------------------------------
@@ -535,10 +561,15 @@ def _batch_qa(spark: SparkSession, sf: str) -> DataFrame:
 
 
 _NL2 = "chr(10) || chr(10)"
-_PROMPT_SQL = ("'You are an analyst for the National Bank of Kazakhstan.' || " + _NL2 +
-               " || 'Context:' || chr(10) || coalesce(context, '') || " + _NL2 +
-               " || 'Question: ' || question || " + _NL2 +
-               " || 'Provide a concise, data-driven answer in 2-3 sentences.'")
+
+
+def _quoted(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+_BEFORE, _REST = TX.PROMPT_TEMPLATE.split("{context}")
+_BETWEEN, _AFTER = _REST.split("{question}")
+_PROMPT_SQL = f"{_quoted(_BEFORE)} || coalesce(context, '') || {_quoted(_BETWEEN)} || question || {_quoted(_AFTER)}"
 
 
 def _qa_sql(docs_cte: str, questions_cte: str, k: int) -> str:
@@ -579,98 +610,152 @@ register(
 )
 
 
-def _prepared(spark: SparkSession, sf: str) -> DataFrame:
-    """The leader-marked panel written once to the shared checkpoint folder,
-    for queries that run several jobs over it (cuts lineage; reliable)."""
+def _tables(spark: SparkSession, sf: str) -> dict[str, DataFrame]:
+    """The small result tables that questions are asked and answered from: a
+    few rows a year, aggregated once and kept in the shared checkpoint folder
+    (questions read each of them several times)."""
     from periodix.session import ensure_checkpoint_dir
 
     ensure_checkpoint_dir(spark)
-    return marked(spark, sf).checkpoint(eager=True)
-
-
-def _year_questions(m: DataFrame) -> DataFrame:
-    """Questions derived from the data: one per year and type."""
-    yearly = agg.yearly_market(m)
-    top1 = rankings.top_n(m, n=1).select("year", F.col("mfo_name").alias("leader"))
-    from pyspark.sql import Window
-
-    # one row per year: the global-min window runs over a calendar-bounded table
-    base = yearly.join(top1, "year", "left").withColumn("y0", F.min("year").over(Window.partitionBy()))
+    m, e = marked(spark, sf), enriched(spark, sf)
+    small = {"yearly": agg.yearly_market(e), "segments": agg.yearly_segments(m), "top": rankings.top_n(m, n=3)}
+    return {k: v.coalesce(1).checkpoint(eager=True) for k, v in small.items()} | {"sources": agg.source_attribution(e)}
+
+
+def _questions(t: dict[str, DataFrame]) -> DataFrame:
+    """``(qid, question, expected, type)`` derived from the data: three
+    questions for each year, one for a year without data, and three that name
+    no year."""
+    first = t["top"].filter("rank = 1").select("year", F.col("mfo_name").alias("leader"))
+    base = t["yearly"].join(first, "year", "left")  # one row per year
+    last = base.agg(F.max("year").alias("y"), F.max_by("leader", "year").alias("leader"))
     y = F.col("year").cast("string")
-    return base.select(
-        F.explode(F.array(
-            F.struct(F.concat(F.lit("What is the average NPL in "), y, F.lit("?")).alias("question"),
-                     F.col("avg_npl_pct").cast("string").alias("expected"),
-                     F.lit("numerical").alias("type")),
-            F.struct(F.concat(F.lit("Which MFO was the leader by assets in "), y, F.lit("?")).alias("question"),
-                     F.col("leader").alias("expected"), F.lit("text").alias("type")),
-            F.struct(F.concat(F.lit("How has NPL changed from "), F.col("y0").cast("string"),
-                              F.lit(" to "), y, F.lit("?")).alias("question"),
-                     F.lit("trend_analysis").alias("expected"), F.lit("analytical").alias("type")),
-        )).alias("q")
-    ).select("q.*").withColumn("qid", F.col("question"))
+    row = lambda text, expected, kind: F.struct(
+        text.alias("question"), expected.alias("expected"), F.lit(kind).alias("type"))
+    any_text = F.lit("any text")
+    by_year = base.select(F.explode(F.array(
+        row(F.concat(F.lit("Market NPL ratio of "), y, F.lit("?")), F.col("avg_npl_pct").cast("string"), "numerical"),
+        row(F.concat(F.lit("Which firm was biggest in "), y, F.lit("?")), F.col("leader"), "text"),
+        row(F.concat(F.lit("Compare leaders and smaller firms of "), y, F.lit(".")), any_text, "analytical"),
+    )).alias("q"))
+    others = last.select(F.explode(F.array(
+        row(F.concat(F.lit("Market NPL ratio of "), (F.col("y") + 30).cast("string"), F.lit("?")), any_text, "analytical"),
+        row(F.lit("Who tops the ranking?"), F.col("leader"), "text"),
+        row(F.lit("How do the segments differ?"), any_text, "analytical"),
+        row(F.lit("Give the market overview."), F.lit(TX.SUMMARY_TITLE), "text"),
+    )).alias("q"))
+    return by_year.union(others).select(F.col("q.question").alias("qid"), "q.*")
 
 
 def _summary_qa(spark: SparkSession, sf: str) -> DataFrame:
-    m = _prepared(spark, sf)
-    qs = _year_questions(m)
-    docs = TX.summary_lines(agg.yearly_market(m)).select("id", "text")
-    return R.answer_questions(qs.select("qid", "question"), docs, k=2)
+    t = _tables(spark, sf)
+    docs = TX.summary_lines(t["yearly"]).select("id", "text")
+    return R.answer_questions(_questions(t).select("qid", "question"), docs, k=2)
+
+
+def _hybrid_on(t: dict[str, DataFrame], questions: DataFrame) -> DataFrame:
+    return R.hybrid_answers(questions, t["yearly"], t["segments"], t["top"], t["sources"],
+                            TX.summary_lines(t["yearly"]).select("id", "text"))
 
 
-def _hybrid_on(m: DataFrame) -> DataFrame:
-    qs = _year_questions(m).select("qid", "question")
-    yearly = agg.yearly_market(m)
-    return R.hybrid_answers(qs, yearly, TX.summary_lines(yearly).select("id", "text"))
+def _all_questions(spark: SparkSession, sf: str, t: dict[str, DataFrame]) -> DataFrame:
+    """The derived questions and every user turn of the conversations."""
+    return _questions(t).select("qid", "question").unionByName(_user_turns(spark, sf))
 
 
 def _hybrid(spark: SparkSession, sf: str) -> DataFrame:
-    return _hybrid_on(_prepared(spark, sf))
+    t = _tables(spark, sf)
+    return _hybrid_on(t, _all_questions(spark, sf, t))
+
+
+def _answer_sources(spark: SparkSession, sf: str) -> DataFrame:
+    t = _tables(spark, sf)
+    facts = R.structured_facts(t["yearly"], t["segments"], t["top"])
+    return R.answer_sources(R.route_questions(_all_questions(spark, sf, t), facts), t["sources"])
 
 
 def _eval_scores(spark: SparkSession, sf: str) -> DataFrame:
-    m = _prepared(spark, sf)
-    qs = _year_questions(m)
-    answers = _hybrid_on(m).select("question", "answer")
-    records = EV.attach_expected(answers, qs.select("question", "expected", "type"))
-    return EV.accuracy(EV.score(records))
+    t = _tables(spark, sf)
+    qs = _questions(t)
+    answers = _hybrid_on(t, qs.select("qid", "question")).select("qid", "question", "answer")
+    return EV.accuracy(EV.score(EV.attach_expected(answers, qs.select("qid", "expected", "type"))))
+
 
+def _repeated_qa(spark: SparkSession, sf: str) -> DataFrame:
+    """Every user turn asked twice under different ids."""
+    turns = _user_turns(spark, sf)
+    again = turns.withColumn("qid", F.concat(F.lit("again:"), F.col("qid")))
+    return R.answer_questions(turns.unionByName(again), _chunk_docs(spark, sf), k=2)
 
+
+# The rules of routing, written out for SQL: words are lower-case runs of
+# letters and digits, the ranking list goes before the segment list.
 _YEARLY_CTE = f"yearly AS (SELECT year, {S.MARKET_AGGS} FROM marked GROUP BY year)"
-_YEAR_QS_SQL = """SELECT q AS qid, q AS question FROM (
-    SELECT 'What is the average NPL in ' || CAST(year AS VARCHAR) || '?' AS q FROM yearly
-    UNION ALL SELECT 'Which MFO was the leader by assets in ' || CAST(year AS VARCHAR) || '?' FROM yearly
-    UNION ALL SELECT 'How has NPL changed from ' || CAST(y0 AS VARCHAR) || ' to ' || CAST(year AS VARCHAR) || '?'
-      FROM yearly JOIN (SELECT min(year) AS y0 FROM yearly) m ON true)"""
-_LINE_SQL = ("CAST(year AS VARCHAR) || ': ' || CAST(mfo_count AS VARCHAR) || ' MFOs, Assets ' "
-             "|| printf('%.1f', total_assets / 1e9) || 'B KZT, NPL ' "
-             "|| coalesce(printf('%.2f', avg_npl_pct), 'nan') || '%'")
-_YEAR_RE = r"((?:19|20)\d{2})"
-_HYBRID_SQL = f"""WITH {_YEARLY_CTE},
-  qs AS ({_YEAR_QS_SQL}),
-  facts AS (SELECT CAST(year AS VARCHAR) AS y, {_LINE_SQL} AS line FROM yearly),
-  asked AS (SELECT qid, unnest(list_distinct(regexp_extract_all(question, '{_YEAR_RE}', 1))) AS y FROM qs),
-  ctx AS (SELECT qid, string_agg(line, {_NL2} ORDER BY y) AS context FROM asked JOIN facts USING (y) GROUP BY qid)
-  SELECT qs.qid, qs.question, 'structured' AS route, coalesce(ctx.context, '') AS context,
-         'Context:' || chr(10) || coalesce(ctx.context, '') AS answer
-  FROM qs LEFT JOIN ctx USING (qid)
-  WHERE len(regexp_extract_all(qs.question, '{_YEAR_RE}', 1)) > 0
-  UNION ALL
-  SELECT qid, question, 'semantic' AS route, context, answer FROM (
-    {_qa_sql(_YEARLY_CTE + ", docs AS (" + _SUMMARY_SQL + ")",
-             "SELECT * FROM (" + _YEAR_QS_SQL + ") WHERE len(regexp_extract_all(question, '"
-             + _YEAR_RE + "', 1)) = 0", 2)})"""
-_NUMS = r"regexp_extract_all(coalesce(answer, ''), '-?\d+(?:[.,]\d+)?')"
-_EVAL_SQL = f"""WITH {_YEARLY_CTE}, h AS ({_HYBRID_SQL}),
-  lead AS (SELECT year, mfo_name FROM ({_TOP_SQL.format(metric="assets", n=1, extra="")})),
-  expected AS (
-    SELECT 'What is the average NPL in ' || CAST(year AS VARCHAR) || '?' AS question,
+_FACTS_CTE = f"""{_YEARLY_CTE},
+  seg AS (SELECT year, {_SEG} AS segment, {S.SEGMENT_AGGS} FROM marked GROUP BY year, is_leader),
+  top3 AS ({_TOP_SQL.format(metric="assets", n=3, extra="")}),
+  facts AS (
+    SELECT 'yearly' AS kind, year, 0 AS no, CAST(year AS VARCHAR) || ': ' || CAST(mfo_count AS VARCHAR)
+           || ' MFOs, Assets ' || printf('%.1f', total_assets / 1e9) || 'B KZT, NPL '
+           || coalesce(printf('%.2f', avg_npl_pct), 'nan') || '%' AS line FROM yearly
+    UNION ALL SELECT 'segment', year, CASE WHEN segment = 'leaders' THEN 0 ELSE 1 END,
+           CAST(year AS VARCHAR) || ' ' || segment || ': ' || CAST(mfo_count AS VARCHAR) || ' firms, Assets '
+           || printf('%.1f', total_assets / 1e9) || 'B KZT, NPL ' || coalesce(printf('%.2f', avg_npl_pct), 'nan') || '%' FROM seg
+    UNION ALL SELECT 'ranking', year, rank,
+           CAST(year AS VARCHAR) || ' no. ' || CAST(rank AS VARCHAR) || ': ' || mfo_name || ', Assets '
+           || printf('%.1f', assets / 1e9) || 'B KZT, NPL ' || coalesce(printf('%.2f', npl_pct), 'nan') || '%' FROM top3),
+  lead AS (SELECT year, mfo_name FROM top3 WHERE rank = 1),
+  final AS (SELECT max(year) AS y, arg_max(mfo_name, year) AS leader FROM lead)"""
+_QUESTIONS_SQL = f"""
+    SELECT 'Market NPL ratio of ' || CAST(year AS VARCHAR) || '?' AS question,
            CAST(avg_npl_pct AS VARCHAR) AS expected, 'numerical' AS type FROM yearly
-    UNION ALL SELECT 'Which MFO was the leader by assets in ' || CAST(y.year AS VARCHAR) || '?', l.mfo_name, 'text'
+    UNION ALL SELECT 'Which firm was biggest in ' || CAST(y.year AS VARCHAR) || '?', l.mfo_name, 'text'
       FROM yearly y LEFT JOIN lead l ON y.year = l.year
-    UNION ALL SELECT 'How has NPL changed from ' || CAST(y0 AS VARCHAR) || ' to ' || CAST(year AS VARCHAR) || '?',
-           'trend_analysis', 'analytical' FROM yearly JOIN (SELECT min(year) AS y0 FROM yearly) m ON true),
-  rec AS (SELECT h.question, h.answer, e.expected, e.type FROM h LEFT JOIN expected e USING (question)),
+    UNION ALL SELECT 'Compare leaders and smaller firms of ' || CAST(year AS VARCHAR) || '.', 'any text', 'analytical' FROM yearly
+    UNION ALL SELECT 'Market NPL ratio of ' || CAST(y + 30 AS VARCHAR) || '?', 'any text', 'analytical' FROM final
+    UNION ALL SELECT 'Who tops the ranking?', leader, 'text' FROM final
+    UNION ALL SELECT 'How do the segments differ?', 'any text', 'analytical' FROM final
+    UNION ALL SELECT 'Give the market overview.', {_quoted(TX.SUMMARY_TITLE)}, 'text' FROM final"""
+_YEAR_QS_SQL = "SELECT question AS qid, question FROM derived"
+_YEAR_RE = r"((?:19|20)\d{2})"
+
+
+def _routing_cte(asked: str) -> str:
+    words = _TOK.format(t="question")
+    return f"""{_FACTS_CTE},
+  derived AS ({_QUESTIONS_SQL}),
+  qs0 AS ({asked}),
+  kinds AS (SELECT qid, regexp_extract_all(question, '{_YEAR_RE}', 1) AS ys,
+      CASE WHEN list_has_any({words}, ['top', 'largest', 'biggest', 'first', 'ranking']) THEN 'ranking'
+           WHEN list_has_any({words}, ['segment', 'segments', 'leaders', 'smaller']) THEN 'segment'
+           ELSE 'yearly' END AS kind FROM qs0),
+  named AS (SELECT DISTINCT qid, kind, CAST(unnest(ys) AS INTEGER) AS year FROM kinds),
+  routed AS (SELECT n.* FROM named n WHERE EXISTS (SELECT 1 FROM facts f WHERE f.kind = n.kind AND f.year = n.year)
+             UNION ALL SELECT qid, kind, (SELECT max(year) FROM facts f WHERE f.kind = k.kind) FROM kinds k
+             WHERE len(ys) = 0 AND kind <> 'yearly'),
+  said AS (SELECT qid, any_value(r.kind) AS kind, string_agg(line, {_NL2} ORDER BY f.year, f.no) AS facts
+           FROM routed r JOIN facts f ON r.kind = f.kind AND r.year = f.year GROUP BY qid),
+  per_file AS (SELECT year, file, count(*) AS n_records FROM marked GROUP BY year, file),
+  used AS (SELECT qid, file, CAST(sum(n_records) AS BIGINT) AS n_records
+           FROM (SELECT DISTINCT qid, year FROM routed) JOIN per_file USING (year) GROUP BY qid, file),
+  n_used AS (SELECT qid, count(*) AS n_sources FROM used GROUP BY qid)"""
+
+
+_ALL_QS = _YEAR_QS_SQL + " UNION ALL " + _USER_TURNS_SQL
+
+
+def _hybrid_sql(asked: str) -> str:
+    return f"""WITH {_routing_cte(asked)},
+  near AS ({_qa_sql("docs AS (" + _SUMMARY_SQL + ")", "SELECT * FROM qs0", 2)}),
+  merged AS (SELECT near.qid, near.question, coalesce(said.kind, 'semantic') AS route,
+      concat_ws({_NL2}, said.facts, NULLIF(near.context, '')) AS context, coalesce(n_sources, 0) AS n_sources
+      FROM near LEFT JOIN said USING (qid) LEFT JOIN n_used USING (qid))
+  SELECT *, 'Context:' || chr(10) || context AS answer FROM merged"""
+
+
+_NUMS = r"regexp_extract_all(coalesce(answer, ''), '-?\d+(?:[.,]\d+)?')"
+_EVAL_SQL = f"""WITH h AS ({_hybrid_sql(_YEAR_QS_SQL)}), {_FACTS_CTE}, derived AS ({_QUESTIONS_SQL}),
+  rec AS (SELECT h.question, h.answer, e.expected, e.type FROM h LEFT JOIN derived e ON h.qid = e.question),
   scored AS (SELECT type, coalesce(CASE type
       WHEN 'numerical' THEN list_bool_or(list_transform({_NUMS},
           lambda s: abs(TRY_CAST(replace(s, ',', '.') AS DOUBLE)
@@ -682,12 +767,18 @@ _EVAL_SQL = f"""WITH {_YEARLY_CTE}, h AS ({_HYBRID_SQL}),
          count(*) AS n_tests, count_if(passed) AS n_passed, count_if(passed) / count(*) AS accuracy
   FROM scored GROUP BY ROLLUP (type)"""
 register("summary_qa", lambda sp, sf: _summary_qa(sp, sf).select("qid", "question", "context", "answer"),
-         S.rounded("SELECT qid, question, context, answer FROM ("
-                   + _qa_sql(_YEARLY_CTE + ", docs AS (" + _SUMMARY_SQL + ")", _YEAR_QS_SQL, 2) + ")"),
+         S.rounded(f"WITH {_FACTS_CTE}, derived AS ({_QUESTIONS_SQL}) SELECT qid, question, context, answer FROM ("
+                   + _qa_sql("docs AS (" + _SUMMARY_SQL + ")", _YEAR_QS_SQL, 2) + ")"),
          ops="R7 R10 R12 over summary lines")
-register("hybrid_answers", _hybrid, S.rounded(_HYBRID_SQL), ops="R13")
+register("hybrid_answers", _hybrid, S.rounded(_hybrid_sql(_ALL_QS)), ops="R13 R14")
+register("answer_sources", _answer_sources,
+         S.rounded(f"WITH {_routing_cte(_ALL_QS)} SELECT qid, file, n_records FROM used"), ops="R14")
 register("eval_scores", _eval_scores, S.rounded(_EVAL_SQL, ratio=("accuracy",)), ratio=("accuracy",),
          ops="R16 J5")
+_TWICE = f"{_USER_TURNS_SQL} UNION ALL SELECT 'again:' || qid, question FROM ({_USER_TURNS_SQL})"
+register("repeated_qa", lambda sp, sf: _repeated_qa(sp, sf).select("qid", "question", "context", "answer"),
+         "SELECT qid, question, context, answer FROM (" + _qa_sql(_CHUNK_DOCS_CTE, _TWICE, 2) + ")",
+         ops="R15 S10 J5")
 
 # --- 11. registry views: preview, structured query (A6, P23, P24) -----------------
 

@@ -39,7 +39,7 @@ parsed AS (
          CASE WHEN year >= 1998 THEN CAST(tax AS VARCHAR) END AS profit,
          CASE WHEN year < 1998 THEN 'old' ELSE 'new' END AS format,
          printf('%04d-%02d-01', year, (qtr - 1) * 3 + 1) AS quarter, year,
-         'filings_' || CAST(year AS VARCHAR) || '.xlsx' AS file
+         'filings_' || CAST(year AS VARCHAR) || CASE WHEN qtr <= 2 THEN '_h1' ELSE '_h2' END || '.xlsx' AS file
   FROM raw),
 filings AS (
   SELECT no, mfo_name, assets, net_loans,

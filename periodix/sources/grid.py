@@ -22,6 +22,7 @@ TOTAL = "Итого"
 # ----------------------------------------------------------------------------
 
 FIRST_DATA_ROW = 3
+YEAR_SHIFT = 20  # sheet names carry years 20YY; the panel's are 1995 to 2001
 
 
 def _lits(values: list[str | None]) -> Column:
@@ -29,8 +30,10 @@ def _lits(values: list[str | None]) -> Column:
 
 
 def sheet_name(quarter: Column) -> Column:
-    """``'2023-04-01'`` -> ``'01.04.2023'`` (the reporting-date sheet name)."""
-    return F.concat(F.lit("01."), F.substring(quarter, 6, 2), F.lit("."), F.substring(quarter, 1, 4))
+    """``'1998-04-01'`` -> ``'01.04.2018'`` (the reporting-date sheet name,
+    ``YEAR_SHIFT`` years later)."""
+    year = (F.substring(quarter, 1, 4).cast("int") + F.lit(YEAR_SHIFT)).cast("string")
+    return F.concat(F.lit("01."), F.substring(quarter, 6, 2), F.lit("."), year)
 
 
 def render_sheets(parsed: DataFrame) -> DataFrame:
@@ -74,3 +77,17 @@ def render_sheets(parsed: DataFrame) -> DataFrame:
         F.struct((F.col("_last") + FIRST_DATA_ROW + 1).alias("row_idx"), totals.alias("cells")),
     )).alias("r")).select("file", "sheet", F.col("r.row_idx").cast("int").alias("row_idx"), "r.cells")
     return data.unionByName(frame)
+
+
+def with_defects(cells: DataFrame) -> DataFrame:
+    """The same grids with the faults of real filings, by rule: every 13th
+    firm reports no number for its assets, and each January sheet comes twice
+    more, once under an impossible month and once cut to five columns."""
+    faulty = (F.col("row_idx") >= FIRST_DATA_ROW) & (F.get("cells", 0).try_cast("int") % 13 == 0)
+    blanked = F.concat(F.slice("cells", 1, 2), F.array(F.lit("n/a")), F.slice(F.col("cells"), F.lit(4), F.size("cells")))
+    cells = cells.withColumn("cells", F.when(faulty, blanked).otherwise(F.col("cells")))
+    january = cells.filter(F.col("sheet").startswith("01.01."))
+    month13 = january.withColumn("sheet", F.regexp_replace("sheet", r"^01\.01\.", "01.13."))
+    narrow = january.withColumn("file", F.concat(F.lit("narrow_"), F.col("file"))).withColumn(
+        "cells", F.slice("cells", 1, 5))
+    return cells.unionByName(month13).unionByName(narrow)

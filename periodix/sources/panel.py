@@ -96,7 +96,8 @@ def _tags() -> list[Column]:
     return [
         quarter_label(F.col("year"), F.col("qtr")).alias("quarter"),
         F.col("year").cast("int").alias("year"),
-        F.concat(F.lit("filings_"), F.col("year").cast("string"), F.lit(".xlsx")).alias("file"),
+        F.concat(F.lit("filings_"), F.col("year").cast("string"),
+                 F.when(F.col("qtr") <= 2, "_h1").otherwise("_h2"), F.lit(".xlsx")).alias("file"),
     ]
 
 

@@ -45,14 +45,14 @@ def read_vector_collection(spark: SparkSession, path: str) -> DataFrame:
 def read_questions(spark: SparkSession, path: str) -> DataFrame:
     """A text file of questions, one per line -> ``(qid, question)``.
 
-    The id hashes the file name and the question text, so it is stable
-    across runs.
+    The id hashes the file name and the line's position, so it is stable
+    across runs and a repeated question has an id of its own.
     """
-    lines = spark.read.text(path).select(
-        F.col("value").alias("question"), F.input_file_name().alias("_file")
+    lines = spark.read.text(path, wholetext=True).select(
+        F.posexplode(F.split("value", "\r?\n")).alias("_line", "question"), F.input_file_name().alias("_file")
     )
     return lines.filter(F.trim("question") != "").select(
-        F.sha2(F.concat_ws("\u0000", "_file", "question"), 256).alias("qid"), "question"
+        F.sha2(F.concat_ws("\u0000", "_file", "_line"), 256).alias("qid"), "question"
     )
 
 

@@ -134,3 +134,18 @@ def test_latest_year_simple_mean(panel):
 def test_kpis(panel):
     r = agg.kpis(panel).first()
     assert (r["n_records"], r["n_mfos"], r["min_year"], r["max_year"]) == (8, 3, 2023, 2024)
+
+
+def test_changes_with_repeated_filings_have_one_result(spark):
+    rows = [("A", "2023-01-01", 2023, 4.0, "f1", "1"), ("A", "2023-01-01", 2023, 12.0, "f2", "1"),
+            ("A", "2024-01-01", 2024, 8.0, "f1", "1")]
+    schema = "mfo_name STRING, quarter STRING, year INT, npl_pct DOUBLE, file STRING, no STRING"
+    for order in (rows, rows[::-1], rows[1:] + rows[:1]):
+        got = changes.npl_changes_entity(spark.createDataFrame(order, schema)).collect()
+        assert sorted((r["npl_pct"], r["qoq_change"], r["yoy_change"]) for r in got if r["qoq_change"] is not None) == [
+            (8.0, -4.0, 4.0), (12.0, 8.0, None)]
+
+
+def test_top_table(panel):
+    got = [tuple(r) for r in rankings.top_table(panel, 2023, n=2).collect()]
+    assert [(r[0], r[1], r[2]) for r in got] == [(1, "A", 90.0), (2, "B", 10.0)]

@@ -1,5 +1,6 @@
 """Retrieval against brute force on small fixtures; chunking against Python."""
 
+import hashlib
 import json
 import math
 import os
@@ -112,6 +113,35 @@ def test_answer_and_prompt(spark):
     assert rows[2]["answer"] == "Context:\n"
 
 
+def test_repeated_questions_get_whole_contexts(spark):
+    """Equal questions -- under one id or two -- see the same best hits."""
+    docs = spark.createDataFrame([("d1", "npl npl"), ("d2", "npl and more"), ("d3", "other")], "id STRING, text STRING")
+    qs = spark.createDataFrame([(1, "npl"), (2, "npl"), (2, "npl"), (3, None)], "qid INT, question STRING")
+    got = sorted((r["qid"], r["context"]) for r in R.answer_questions(qs, docs, k=2).collect())
+    both = "npl npl\n\nnpl and more"
+    assert got == [(1, both), (2, both), (2, both), (3, "")]
+
+
+def test_routes(spark):
+    yearly = spark.createDataFrame([(2023, 2, 1e9, 1.0), (2024, 3, 2e9, 2.0)],
+                                   "year INT, mfo_count BIGINT, total_assets DOUBLE, avg_npl_pct DOUBLE")
+    seg = spark.createDataFrame([(2024, "non_leaders", 2, 1e9, 3.0), (2024, "leaders", 1, 1e9, 1.0)],
+                                "year INT, segment STRING, mfo_count BIGINT, total_assets DOUBLE, avg_npl_pct DOUBLE")
+    top = spark.createDataFrame([(2023, 1, "B", 1e9, 1.0), (2024, 1, "A", 2e9, 2.0)],
+                                "year INT, rank INT, mfo_name STRING, assets DOUBLE, npl_pct DOUBLE")
+    sources = spark.createDataFrame([(2024, "x.xlsx", 5), (2024, "y.xlsx", 6), (2023, "x.xlsx", 7)], "year INT, file STRING, n_records BIGINT")
+    docs = spark.createDataFrame([("d", "overview of npl")], "id STRING, text STRING")
+    qs = spark.createDataFrame([(1, "NPL of 2024 and 2023"), (2, "top firm"), (3, "leaders in 2024"), (4, "npl of 2050"), (5, "overview")],
+                               "qid INT, question STRING")
+    got = {r["qid"]: r for r in R.hybrid_answers(qs, yearly, seg, top, sources, docs).collect()}
+    assert [got[k]["route"] for k in range(1, 6)] == ["yearly", "ranking", "segment", "semantic", "semantic"]
+    assert got[1]["context"].split("\n\n") == ["2023: 2 MFOs, Assets 1.0B KZT, NPL 1.00%", "2024: 3 MFOs, Assets 2.0B KZT, NPL 2.00%",
+                                               "overview of npl"]
+    assert got[2]["context"] == "2024 no. 1: A, Assets 2.0B KZT, NPL 2.00%"
+    assert got[3]["context"].startswith("2024 leaders: 1 firms")
+    assert got[4]["context"] == "overview of npl" and got[4]["n_sources"] == 0 and got[1]["n_sources"] == 2
+
+
 def test_summary_lines_format(spark):
     yearly = spark.createDataFrame([(2024, 3, 386706828.0, 14.831986), (2023, 2, 0.125e9, None)],
                                    "year INT, mfo_count BIGINT, total_assets DOUBLE, avg_npl_pct DOUBLE")
@@ -132,7 +162,7 @@ def test_batch_question_file(spark):
 
     d = tempfile.mkdtemp(prefix="periodix-q-")
     with open(os.path.join(d, "queries.txt"), "w") as fh:
-        fh.write("What is the NPL in 2024?\n\nWho leads?\n")
+        fh.write("Any NPL of 2024?\n\nWho leads?\nAny NPL of 2024?\n")
     qs = read_questions(spark, d)
     docs = spark.createDataFrame([("d1", "2024 NPL 7.6%")], "id STRING, text STRING")
     ans = R.answer_questions(qs, docs, k=2)
@@ -140,7 +170,9 @@ def test_batch_question_file(spark):
     write_answers(ans, out)
     recs = [json.loads(line) for f in os.listdir(out) if f.endswith(".json")
             for line in open(os.path.join(out, f))]
-    assert len(recs) == 2 and {r["question"] for r in recs} == {"What is the NPL in 2024?", "Who leads?"}
+    assert sorted(r["question"] for r in recs) == ["Any NPL of 2024?", "Any NPL of 2024?", "Who leads?"]
+    assert len({r["qid"] for r in recs}) == 3
+    assert {r["context"] for r in recs if "2024" in r["question"]} == {"2024 NPL 7.6%"}
 
 
 @pytest.mark.parametrize("budget", [1 << 20])
@@ -151,6 +183,29 @@ def test_cosine_plan_has_no_cartesian(spark, budget):
     assert "Cartesian" not in plan and "BroadcastNestedLoopJoin" not in plan
 
 
+def _hashing_encoder(texts: pd.Series, dim: int = 64) -> list:
+    """The default encoder's vectors, text by text."""
+    out = []
+    for text in texts:
+        vec = np.zeros(dim)
+        for tok in _tok(text or ""):
+            h = int(hashlib.md5(tok.encode()).hexdigest()[:8], 16)
+            vec[h % dim] += 1.0 if h < 1 << 31 else -1.0
+        n = np.linalg.norm(vec)
+        out.append(vec / n if n else vec)
+    return out
+
+
+def test_custom_encoder(spark):
+    """Any function from texts to vectors plugs in."""
+    from periodix.operators import encoding as EN
+
+    docs = spark.createDataFrame([("a", "xx"), ("b", None), ("c", "xxxx")], "id STRING, text STRING")
+    lengths = lambda texts: [[len(t or ""), 1.0] for t in texts]
+    got = {r["id"]: r["embedding"] for r in EN.embed(docs, encoder=lengths).collect()}
+    assert got == {"a": [2.0, 1.0], "b": [0.0, 1.0], "c": [4.0, 1.0]}
+
+
 def test_jvm_encoder_equals_python_hook(spark):
     """The JVM default encoder and the Python hook give the same vectors."""
     from periodix.operators import encoding as EN
@@ -161,7 +216,7 @@ def test_jvm_encoder_equals_python_hook(spark):
     docs = docs.unionByName(extra)
     got = {r["doc_id"]: np.asarray(r["embedding"]) for r in EN.embed(docs, "text", "embedding").collect()}
     rows = docs.collect()
-    want = EN.hashing_encoder()(pd.Series([r["text"] for r in rows]))
+    want = _hashing_encoder(pd.Series([r["text"] for r in rows]))
     assert len(got) == len(rows)
     for r, w in zip(rows, want):
         assert got[r["doc_id"]].shape == (EN.DEFAULT_DIM,)
