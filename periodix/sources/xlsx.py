@@ -12,6 +12,7 @@ grid is DataFrame code (``operators/normalise.py``).
 
 from __future__ import annotations
 
+import datetime as dt
 import io
 import posixpath
 import re
@@ -32,6 +33,17 @@ _PKG_REL_NS = "{http://schemas.openxmlformats.org/package/2006/relationships}"
 _BATCH_ROWS = 8192
 _DATED = re.compile(SHEET_DATE_PATTERN)
 
+# --- fixed values: texts the pandas reader takes for missing values, and the
+# built-in number formats that show dates ------------------------------------
+NA_TEXTS = frozenset([
+    "", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN",
+    "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null",
+])
+DATE_FORMATS = frozenset([14, 15, 16, 17, 18, 19, 20, 21, 22, 27, 28, 29, 30, 31, 32, 33, 34, 35, 36,
+                          45, 46, 47, 50, 51, 52, 53, 54, 55, 56, 57, 58])
+# -----------------------------------------------------------------------------
+_QUOTED = re.compile(r'"[^"]*"|\\.|\[[^\]]*\]|[_*].')
+
 
 def _col_index(ref: str) -> int:
     n = 0
@@ -75,6 +87,28 @@ def _sheets(zf: zipfile.ZipFile) -> list[tuple[str, str]]:
     return out
 
 
+def _date_styles(zf: zipfile.ZipFile) -> set[str]:
+    """Numbers of the cell styles that show dates."""
+    try:
+        root = ET.fromstring(zf.read("xl/styles.xml"))
+    except KeyError:
+        return set()
+    custom = {int(f.get("numFmtId")) for f in root.iter(f"{_NS}numFmt")
+              if re.search("[ymdhs]", _QUOTED.sub("", f.get("formatCode") or ""), re.I)}
+    formats = root.find(f"{_NS}cellXfs")
+    return {str(k) for k, xf in enumerate(formats if formats is not None else [])
+            if int(xf.get("numFmtId") or 0) in DATE_FORMATS | custom}
+
+
+def _epoch(zf: zipfile.ZipFile) -> dt.datetime:
+    pr = ET.fromstring(zf.read("xl/workbook.xml")).find(f"{_NS}workbookPr")
+    return dt.datetime(1904, 1, 1) if pr is not None and pr.get("date1904") in ("1", "true") else dt.datetime(1899, 12, 30)
+
+
+def _iso(moment: dt.datetime) -> str:
+    return moment.strftime("%Y-%m-%d %H:%M:%S")
+
+
 def _shared_strings(zf: zipfile.ZipFile) -> list[str]:
     try:
         data = zf.read("xl/sharedStrings.xml")
@@ -84,7 +118,10 @@ def _shared_strings(zf: zipfile.ZipFile) -> list[str]:
 
 
 def _sheet_rows(zf: zipfile.ZipFile, path: str, shared: list[str]) -> Iterator[tuple[int, list]]:
+    """Rows of one sheet.  Error cells and missing-value texts are blank, and
+    dates are ISO text, as the pandas reader has them."""
     next_row = 0
+    dates, epoch = _date_styles(zf), _epoch(zf)
     with zf.open(path) as fh:
         for _, el in ET.iterparse(fh, events=("end",)):
             if el.tag != f"{_NS}row":
@@ -111,11 +148,17 @@ def _sheet_rows(zf: zipfile.ZipFile, path: str, shared: list[str]) -> Iterator[t
                         val = shared[int(raw)]
                     elif t == "b":
                         val = "True" if raw == "1" else "False"
-                    elif t in ("str", "e"):
+                    elif t == "e":
+                        val = None
+                    elif t == "str":
                         val = raw
+                    elif t == "d":
+                        val = _iso(dt.datetime.fromisoformat(raw.replace("Z", "")))
+                    elif c.get("s") in dates:
+                        val = _iso(epoch + dt.timedelta(seconds=round(float(raw) * 86400)))
                     else:
                         val = _number(raw)
-                if val is not None and val != "":
+                if val is not None and val not in NA_TEXTS:
                     values[col] = val
             el.clear()
             if values:
@@ -125,7 +168,7 @@ def _sheet_rows(zf: zipfile.ZipFile, path: str, shared: list[str]) -> Iterator[t
 
 def _error(file: str, sheet: str | None, msg: str) -> pd.DataFrame:
     return pd.DataFrame({"file": [file], "sheet": [sheet], "row_idx": [None],
-                         "cells": [None], "error": [msg[:500]]})
+                         "cells": [None], "error": [msg]})
 
 
 def decode_workbook(file: str, content: bytes, batch_rows: int = _BATCH_ROWS) -> Iterator[pd.DataFrame]:
@@ -181,11 +224,13 @@ def scan_workbooks(spark: SparkSession, directory: str, glob: str = "*.xlsx") ->
 
 
 def read_filings(spark: SparkSession, directory: str, mode: str = "quarantine",
-                 require_rows: bool = False) -> tuple[DataFrame, DataFrame]:
+                 require_rows: bool = True) -> tuple[DataFrame, DataFrame]:
     """S1-S5 + normalisation: a workbook directory -> (filings, parse_errors).
 
-    ``require_rows=True`` adds the S1/S5 guards (no workbook / nothing
-    extracted -> ``ValueError``); each is one cheap ``isEmpty`` job.
+    The S1/S5 guards (no workbook / nothing extracted -> ``ValueError``) are
+    one cheap ``isEmpty`` job each; ``require_rows=False`` leaves them out.
+    The decoded grid is persisted for the reads of the normaliser and goes
+    with the session's cache (``spark.catalog.clearCache()``).
     """
     from periodix.operators.normalise import normalise_sheets
 
@@ -193,15 +238,16 @@ def read_filings(spark: SparkSession, directory: str, mode: str = "quarantine",
 
     # Decoding is the expensive step and the normaliser reads cells three
     # times: keep the decoded grid (lost blocks are recomputed from lineage).
-    raw = scan_workbooks(spark, directory).persist(StorageLevel.MEMORY_AND_DISK)
-    cells = raw.filter(F.col("error").isNull()).drop("error")
-    decode_errors = raw.filter(F.col("error").isNotNull()).select("file", "sheet", "error")
-    filings, sheet_errors = normalise_sheets(cells, mode=mode)
     if require_rows:
         listing = (spark.read.format("binaryFile").option("pathGlobFilter", "*.xlsx")
                    .option("recursiveFileLookup", "false").load(directory).select("path"))
         if listing.isEmpty():  # S1: only the file listing, contents are not read
             raise ValueError(f"No Excel files found in {directory}")
-        if filings.isEmpty():  # S5
-            raise ValueError("No data extracted from any files")
+    raw = scan_workbooks(spark, directory).persist(StorageLevel.MEMORY_AND_DISK)
+    cells = raw.filter(F.col("error").isNull()).drop("error")
+    decode_errors = raw.filter(F.col("error").isNotNull()).select("file", "sheet", "error")
+    filings, sheet_errors = normalise_sheets(cells, mode=mode)
+    if require_rows and filings.isEmpty():  # S5
+        raw.unpersist()
+        raise ValueError("No data extracted from any files")
     return filings, decode_errors.unionByName(sheet_errors)

@@ -39,13 +39,15 @@ def workbook_stream(spark: SparkSession, directory: str, glob: str = "*.xlsx",
 def _writer(out_dir: str):
     def write_batch(batch: DataFrame, batch_id: int) -> None:
         batch = batch.persist()  # decode each workbook once for both outputs
-        cells = batch.filter(F.col("error").isNull()).drop("error")
-        decode_errors = batch.filter(F.col("error").isNotNull()).select("file", "sheet", "error")
-        filings, sheet_errors = normalise_sheets(cells)
-        filings.write.mode("overwrite").parquet(f"{out_dir}/filings/batch_id={batch_id}")
-        (decode_errors.unionByName(sheet_errors)
-         .write.mode("overwrite").parquet(f"{out_dir}/parse_errors/batch_id={batch_id}"))
-        batch.unpersist()
+        try:
+            cells = batch.filter(F.col("error").isNull()).drop("error")
+            decode_errors = batch.filter(F.col("error").isNotNull()).select("file", "sheet", "error")
+            filings, sheet_errors = normalise_sheets(cells)
+            filings.write.mode("overwrite").parquet(f"{out_dir}/filings/batch_id={batch_id}")
+            (decode_errors.unionByName(sheet_errors)
+             .write.mode("overwrite").parquet(f"{out_dir}/parse_errors/batch_id={batch_id}"))
+        finally:
+            batch.unpersist()
 
     return write_batch
 

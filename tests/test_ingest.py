@@ -3,13 +3,14 @@ quarantine of bad sheets and workbooks (FIXTURES section 1)."""
 
 import os
 import tempfile
+import zipfile
 
 import pytest
 from pyspark.sql import functions as F
 
 from periodix.functions.columns import quarter_from_sheet, to_number
 from periodix.operators.normalise import normalise_sheets, parse_quality
-from periodix.sources.xlsx import read_filings, scan_workbooks
+from periodix.sources.xlsx import decode_workbook, read_filings, scan_workbooks
 from tests.xlsx_util import write_xlsx
 
 N = None
@@ -111,10 +112,42 @@ def test_parse_quality(spark, workbook_dir):
     assert q[("new.xlsx", "01.13.2023")]["rows_quarantined"] == 2
 
 
+def workbook_of_nothing(d):
+    write_xlsx(os.path.join(d, "none.xlsx"), {"01.01.2023": [["no header"]]})
+    return d
+
+
+def test_cell_types(tmp_path):
+    """Error, missing-value and date cells as the pandas reader has them."""
+    main = "http://schemas.openxmlformats.org/spreadsheetml/2006/main"
+    book = str(tmp_path / "t.xlsx")
+    write_xlsx(book, {"01.01.2023": [["x"]]})
+    sheet = (f'<worksheet xmlns="{main}"><sheetData><row r="1"><c r="A1" t="e"><v>#N/A</v></c>'
+             '<c r="B1" t="inlineStr"><is><t>N/A</t></is></c><c r="C1" s="1"><v>43190</v></c><c r="D1" s="2"><v>43190.5</v></c>'
+             '<c r="E1" t="d"><v>2018-03-31T00:00:00Z</v></c><c r="F1" s="0"><v>43190</v></c><c r="G1" t="str"><v>name</v></c></row>'
+             '<row r="2"><c r="A2" t="e"><v>#REF!</v></c></row></sheetData></worksheet>')
+    styles = (f'<styleSheet xmlns="{main}"><numFmts><numFmt numFmtId="170" formatCode="dd.mm.yyyy"/>'
+              '<numFmt numFmtId="171" formatCode="0.0&quot;days&quot;"/></numFmts>'
+              '<cellXfs><xf numFmtId="171"/><xf numFmtId="14"/><xf numFmtId="170"/></cellXfs></styleSheet>')
+    parts = zipfile.ZipFile(book)
+    keep = {n: parts.read(n) for n in parts.namelist() if "worksheets/" not in n}
+    name = [n for n in parts.namelist() if "worksheets/" in n][0]
+    with zipfile.ZipFile(book, "w") as z:
+        for n, data in (keep | {name: sheet, "xl/styles.xml": styles}).items():
+            z.writestr(n, data)
+    with open(book, "rb") as fh:
+        out = list(decode_workbook("t.xlsx", fh.read()))
+    assert [list(x) for x in out[0]["cells"]] == [
+        [None, None, "2018-03-31 00:00:00", "2018-03-31 12:00:00", "2018-03-31 00:00:00", "43190", "name"]]
+
+
 def test_empty_directory_guard(spark):
     d = tempfile.mkdtemp(prefix="periodix-empty-")
-    with pytest.raises(Exception):
-        read_filings(spark, d, require_rows=True)
+    with pytest.raises(ValueError, match="No Excel files found"):
+        read_filings(spark, d)
+    assert read_filings(spark, workbook_of_nothing(d), require_rows=False)[0].count() == 0
+    with pytest.raises(ValueError, match="No data extracted"):
+        read_filings(spark, d)
 
 
 def test_layout_row_all_null_is_old_layout(spark):
