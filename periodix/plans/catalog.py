@@ -74,6 +74,11 @@ def marked(spark: SparkSession, sf: str) -> DataFrame:
     return _plan("marked", spark, sf, lambda: leaders.mark_leaders(enriched(spark, sf)))
 
 
+def marked_of(spark: SparkSession, sf: str, year: int) -> DataFrame:
+    """One year's panel: shares are per quarter, so other years are not read."""
+    return leaders.mark_leaders(metrics.enrich_metrics(panel.filings_panel(spark, sf, year)))
+
+
 MONEY_ROW = ("assets", "net_loans", "portfolio_gross", "del_31_60", "del_61_90", "del_90_plus",
              "over30", "npl")
 PCT_ROW = ("over30_pct", "npl_pct", "cumulative_share")
@@ -282,14 +287,14 @@ register(
     money=("assets", "portfolio_gross"), ratio=("npl_pct",), ops="T2",
 )
 register(
-    "top_chart_frame", lambda sp, sf: rankings.top_chart_frame(marked(sp, sf), 2000),
+    "top_chart_frame", lambda sp, sf: rankings.top_chart_frame(marked_of(sp, sf, 2000), 2000),
     S.rounded("""SELECT rank, mfo_name, quarter, assets / 1e9 AS assets_bn, npl_pct, is_leader FROM ("""
               + _TOP_SQL.format(metric="assets", n=10, extra="") + """) WHERE year = 2000""",
               ratio=("assets_bn", "npl_pct")),
     ratio=("assets_bn", "npl_pct"), ops="P18 T4 P21",
 )
 register(
-    "top_table", lambda sp, sf: rankings.top_table(marked(sp, sf), 2000),
+    "top_table", lambda sp, sf: rankings.top_table(marked_of(sp, sf, 2000), 2000),
     S.rounded("SELECT rank, mfo_name, assets, npl_pct, is_leader FROM ("
               + _TOP_SQL.format(metric="assets", n=10, extra="") + ") WHERE year = 2000",
               money=("assets",), ratio=("npl_pct",)),
@@ -800,7 +805,9 @@ register(
 )
 register(
     "structured_query",
-    lambda sp, sf: RS.structured_query(_results(sp, sf, "yearly_market"), "yearly_market", year=2000),
+    lambda sp, sf: RS.structured_query(
+        {"yearly_market": agg.yearly_market(metrics.enrich_metrics(panel.filings_panel(sp, sf, 2000)))},
+        "yearly_market", year=2000),
     S.rounded(f"SELECT year, {S.MARKET_AGGS} FROM marked WHERE year = 2000 GROUP BY year",
               money=MARKET_MONEY, ratio=("avg_npl_pct",)),
     money=MARKET_MONEY, ratio=("avg_npl_pct",), ops="P24 P18",

@@ -58,12 +58,17 @@ def _money_text(c: str) -> Column:
     return (F.col(c).cast("decimal(36,0)") * F.lit(0.01).cast("decimal(2,2)")).cast("string")
 
 
-def supplier_quarter_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row per (entity name, year, calendar quarter) with cent sums."""
+def supplier_quarter_totals(spark: SparkSession, sf_dir: str, year: int | None = None) -> DataFrame:
+    """One row per (entity name, year, calendar quarter) with cent sums; of
+    one ``year`` only, the scan reads no more (a range on the ship date)."""
     li = read_table(
         spark, sf_dir, "lineitem",
         "l_suppkey", "l_linenumber", "l_extendedprice", "l_discount", "l_tax", "l_shipdate",
     )
+    if year is not None:
+        kind = li.schema["l_shipdate"].dataType
+        first = lambda y: F.lit(f"{y}-01-01").cast(kind)
+        li = li.filter((F.col("l_shipdate") >= first(year)) & (F.col("l_shipdate") < first(year + 1)))
     day = F.to_date("l_shipdate")
     # One projection computes each line's cents once; the aggregate then sums
     # plain BIGINT columns (no repeated per-row expressions inside the sums).
@@ -124,13 +129,13 @@ def filing_layouts(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFra
     return new, old
 
 
-def filings_parsed(spark: SparkSession, sf_dir: str) -> DataFrame:
+def filings_parsed(spark: SparkSession, sf_dir: str, year: int | None = None) -> DataFrame:
     """Both layouts in one pass over lineitem (old rows not yet imputed).
 
     Same rows as ``union_layouts(*filing_layouts(...))``, but the layout is
     chosen per row by one projection, so lineitem is scanned once.
     """
-    t = supplier_quarter_totals(spark, sf_dir).withColumn("equity_c", F.col("px") - F.col("disc"))
+    t = supplier_quarter_totals(spark, sf_dir, year).withColumn("equity_c", F.col("px") - F.col("disc"))
     new = F.col("year") >= OLD_LAYOUT_BEFORE
     out = t.select(
         F.col("suppkey").cast("string").alias("no"),
@@ -150,8 +155,8 @@ def filings_parsed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(*FILINGS_COLUMNS)
 
 
-def filings_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
+def filings_panel(spark: SparkSession, sf_dir: str, year: int | None = None) -> DataFrame:
     """The normalised ``filings`` table: parsed, imputed, null rows dropped."""
     from periodix.operators.metrics import drop_incomplete, impute_old_layout
 
-    return drop_incomplete(impute_old_layout(filings_parsed(spark, sf_dir)))
+    return drop_incomplete(impute_old_layout(filings_parsed(spark, sf_dir, year)))

@@ -27,13 +27,15 @@ def test_lineitem_scan_is_pruned(spark):
         assert unused not in scan
 
 
-def test_latest_year_filter_is_pushed(spark):
-    from periodix.sources.tables import read_table
-    from pyspark.sql import functions as F
-
-    df = read_table(spark, SF_SMALL, "lineitem", "l_shipdate", "l_suppkey").filter(
-        F.col("l_shipdate") >= F.lit("2000-01-01").cast("timestamp_ntz"))
-    assert "PushedFilters: [IsNotNull(l_shipdate), GreaterThanOrEqual(l_shipdate" in _plan(df)
+@pytest.mark.parametrize("name", ["structured_query", "top_chart_frame", "top_table"])
+def test_year_filter_reaches_the_scan(spark, name):
+    spark.conf.set("spark.sql.maxMetadataStringLength", 2000)
+    try:
+        plan = _plan(C.REGISTRY[name].run(spark, SF_SMALL))
+    finally:
+        spark.conf.unset("spark.sql.maxMetadataStringLength")
+    scan = [x for x in plan.splitlines() if "lineitem" in x][0]
+    assert "GreaterThanOrEqual(l_shipdate,2000-01-01" in scan and "LessThan(l_shipdate,2001-01-01" in scan
 
 
 def test_top_n_uses_group_limit(spark):
