@@ -71,8 +71,11 @@ def text_stats(df: DataFrame, text: Column) -> DataFrame:
         strip(chars, SYMBOLS).cast("long").alias("n_symbols"),
         (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long").alias("n_dup_lines"),
         covered.alias("n_repeat_words"),
-    ).withColumn("base_failed", (F.col("n_words") < MIN_WORDS)
-                 | (100 * F.col("n_repeat_words") > MAX_REPEAT * F.col("n_words")))
+        # a filter on the verdict must not move below this projection: it would
+        # be unfolded into the array functions and computed once for each element
+        F.monotonically_increasing_id().alias("_row"),
+    ).withColumn("base_failed", (F.col("_row") >= 0) & (
+        (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT * F.col("n_words")))).drop("_row")
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
