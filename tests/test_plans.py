@@ -12,7 +12,7 @@ def _plan(df) -> str:
     return df._jdf.queryExecution().executedPlan().toString()
 
 
-@pytest.mark.parametrize("name", sorted(E.queries()))
+@pytest.mark.parametrize("name", sorted(C.REGISTRY))
 def test_no_row_udfs_or_cartesian(spark, name):
     plan = _plan(E.queries()[name](spark, SF_SMALL))
     assert "BatchEvalPython" not in plan
