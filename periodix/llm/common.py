@@ -15,6 +15,9 @@ from periodix.session import ensure_checkpoint_dir, ship_package
 SEPARATORS = " \t\n\x0b\x0c\r"
 SEPARATOR_CLASS = "[\\x20\\x09-\\x0D]"
 
+# Rows of an Arrow batch handed to a Python worker.
+BATCH_CONF, BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch", 1000
+
 
 def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
     """One input table by any path Spark can read."""
@@ -26,6 +29,8 @@ def prepare(spark: SparkSession) -> str:
     folder below the shared ``spark.checkpoint.dir``."""
     ship_package(spark)
     ensure_checkpoint_dir(spark)
+    if int(spark.conf.get(BATCH_CONF)) > BATCH_ROWS:  # whole texts: bound what a worker holds
+        spark.conf.set(BATCH_CONF, str(BATCH_ROWS))
     return spark.sparkContext.getCheckpointDir() or ensure_checkpoint_dir(spark)
 
 

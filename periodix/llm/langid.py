@@ -225,7 +225,9 @@ def _udf(texts: dict[str, bytes]):
             yield pd.concat(parts) if parts else pd.DataFrame({"lang_pred": [], "score": [], "bits": []})
 
     run.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.DataFrame]}
-    return F.pandas_udf(run, RESULT)
+    # as if it were not deterministic: a filter on two of its fields would
+    # otherwise be split and run it twice, in two workers for each task
+    return F.pandas_udf(run, RESULT).asNondeterministic()
 
 
 def accepted(language: Column) -> Column:
