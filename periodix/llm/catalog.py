@@ -24,3 +24,7 @@ SQL = {
     "op6_byte_shards": sharding.SQL,
     "op7_dictionary_warc": warc.SQL,
 }
+
+# further results of an operator above; the first query of a number is its own
+MORE = {"op9_link_counts": jaccard.op9_link_counts}
+MORE_SQL = {"op9_link_counts": jaccard.LINKS_SQL}

@@ -1,11 +1,15 @@
 import random
 import re
 
+import duckdb
 import numpy as np
 import pytest
 
+import __spark_entry__ as E
+from check_oracle import _rows
 from periodix.llm import jaccard as J
 from periodix.llm import wordhash
+from tests.conftest import SF_SMALL
 
 
 def shingles(text):
@@ -109,3 +113,28 @@ def test_keep_one(docs_of):
     ids = [i for i, n, c in brute(sorted(set(rows), key=str)) if i == c and i is not None]
     assert sorted(r["doc_id"] for r in kept.collect() if r["doc_id"] is not None) == sorted(ids)
     assert [r["text"] for r in kept.collect() if r["doc_id"] is None] == ["alone without an id"]
+
+
+def brute_links(rows):
+    sets = [shingles(t) for _, t in rows]
+    linked = lambda x, y: 100 * len(x & y) >= 80 * len(x | y)
+    return sorted(((i, sum(linked(x, y) for y in sets if y) - 1 if x else 0) for (i, _), x in zip(rows, sets)), key=str)
+
+
+@pytest.mark.parametrize("seed,cell", [(1, J.CELL), (2, 900), (3, 20_000)])
+def test_link_counts_match_brute_force(docs_of, seed, cell, monkeypatch):
+    monkeypatch.setattr(J, "CELL", cell)  # blocks in one bucket, in many
+    rows = corpus(seed) + [(None, "null id shares nothing at all here"), (None, "copy of one text with some words")]
+    rows += [rows[4], rows[4]]
+    got = J.join(docs_of(rows).repartition(5), links=True)
+    assert got.columns == ["doc_id", "n_shingles", "component_id", "n_links", "label", "row"]
+    assert sorted(map(tuple, got.select("doc_id", "n_links").collect()), key=str) == brute_links(rows)
+    assert J.join(docs_of([]), links=True).count() == 0
+
+
+def test_link_counts_match_oracle(spark):
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{SF_SMALL}/documents.parquet')")
+    got = E.queries()["op9_link_counts"](spark, SF_SMALL).toPandas()
+    assert _rows(got) == _rows(con.execute(E.oracle_sql()["op9_link_counts"]).df())
+    assert got["n_links"].sum() > 0
