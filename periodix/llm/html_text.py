@@ -52,6 +52,7 @@ ENDS = {"li": ({"li"}, {"ul", "ol", "menu", "dir"}), "dt": ({"dt", "dd"}, {"dl"}
 CLOSES_P = (SPACED | frozenset("div section article aside header footer nav main address form center details "
                                "hgroup search li dt dd".split()))
 SCOPE = frozenset("table td th caption html button object template".split())  # a closing tag ends nothing outside
+ROWS = frozenset("td th caption tr thead tbody tfoot".split())  # these end open cells of their table
 
 _TAG = re.compile(r"""<(?:(!--)|([!?])|(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>)""")
 _ATTRIBUTE = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
@@ -222,7 +223,7 @@ class Builder:
             self.pop_to(k)
 
     def close(self, tag: str) -> None:
-        limits = SCOPE if tag not in SCOPE else ({"table"} if tag in ("td", "th", "caption") else set())
+        limits = {"table"} if tag in ROWS else set() if tag in SCOPE else SCOPE
         if (k := self.within({tag}, limits - {tag})) is not None:
             self.pop_to(k)
         elif tag == "br":
@@ -245,13 +246,15 @@ class Builder:
                 return
         elif tag == "tr":
             k = self.within({"table"}, set())
-            if k is not None:
-                loose = lay_out(e.flow)
-                if loose:
-                    e.rows.append((loose, 1, 1))
-                if any(c[0] for c in e.rows):
+            loose = lay_out(e.flow)
+            if loose:
+                e.rows.append((loose, 1, 1))
+            if any(c[0] for c in e.rows):
+                if k is not None:
                     self.stack[k].rows.append(e.rows)
-                return
+                else:  # a row outside any table is laid out on its own
+                    parent.flow.append((set_table([e.rows]), False))
+            return
         elif tag == "table":
             lines = set_table(e.rows)
             around = lay_out(e.flow)  # captions and text outside cells
