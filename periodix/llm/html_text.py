@@ -17,7 +17,9 @@ or length is handled in one pass over its bytes.
   spanning cells included.
 
 Defined results: a null or empty page has an empty text; text outside any
-element counts; unclosed and stray tags never fail; repeated rows give equal
+element counts; unclosed and stray tags never fail; a quote that opens no
+attribute value, or one that is never closed, is an ordinary character of its
+tag, which ends at the next ``>``; repeated rows give equal
 rows; an empty table gives no rows.  Extra input columns are ignored.
 """
 
@@ -54,8 +56,11 @@ CLOSES_P = (SPACED | frozenset("div section article aside header footer nav main
 SCOPE = frozenset("table td th caption html button object template".split())  # a closing tag ends nothing outside
 ROWS = frozenset("td th caption tr thead tbody tfoot".split())  # these end open cells of their table
 
-_TAG = re.compile(r"""<(?:(!--)|([!?])|(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>)""")
-_ATTRIBUTE = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
+# an attribute's name may hold quotes; a quoted run starts only directly after its '=' (possessive: nothing is tried twice)
+_NAMED = r"""[^ \t\n\r\f/>][^ \t\n\r\f/>=]*+"""
+_VALUE = r"""[ \t\n\r\f]*+=[ \t\n\r\f]*+(?:"([^"]*+)"|'([^']*+)'|([^ \t\n\r\f>"'][^ \t\n\r\f>]*+))?+"""
+_TAG = re.compile(rf"""<(?:(!--)|([!?])|(/?)([a-zA-Z][^\s/>]*)((?:[ \t\n\r\f/]++|{_NAMED}(?:{_VALUE.replace("([", "(?:[")})?+)*+)>)""")
+_ATTRIBUTE = re.compile(rf"({_NAMED})(?:{_VALUE})?+")
 _FOLD = re.compile("[ \t\n\r\f]+")
 BREAK = "\0"
 

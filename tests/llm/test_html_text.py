@@ -21,6 +21,10 @@ CASES = [
     ("<dl><dt>t<dd>d1<dd>d2</dl>", "t\n  d1\n  d2"), ("<h1>H</h1>text<hr>more", "H\n\ntext\n\nmore"),
     ("<a title=\"x > y\" href='#'>l</a>", "l"), ("<select><option>a<option>b</select>", "a\nb"), ("a\0b", "a�b"),
     ("<html><head><meta charset=x><body><p>z", "z"),
+    ("<p data-x=don't>It's here</p><p>next</p>", "It's here\n\nnext"),  # stray quotes
+    ("<p class=\"a\"\">Hello \"you\"</p>", "Hello \"you\""), ("<b 'x>y</b>z'", "yz'"), ("<p =\"x>y\">z", "y\">z"),
+    ("<p title=it's'hidden>a", "a"), ("<p title = 'a>b' hidden>no</p>c", "c"), ("<p a=\"b>c", "c"), ("<i a= >d</i>", "d"),
+    ("<a href=x/y'>e</a><br a='>'/>f", "e\nf"),
     ("<tr><td>a<td>b</tr>", "a  b"), ("x</table><tr><td>text", "x\ntext"), ("<tr><td>a<td>b</tr>c", "a  b\nc"),  # rows outside a table
     ("<tbody><tr><td>a<td>b<tr>loose<td>c</tbody>d", "a  b\nc  loose\nd"),
 ]
