@@ -14,14 +14,15 @@ side is broadcast and a test set of any size works.  Words are runs of
 letters and digits in lower case.
 
 Defined results: a null or empty text has no words and no overlap; an item of
-fewer words than a mask spans (``SPAN``) is too short to be evidence; a null
-id is reported as null; repeated rows are reported once; an empty table on
+fewer words than a mask spans (``SPAN``) has no seeds: with ``short`` (as in
+the query) it is found where a document holds all its words in a row, without
+it is no evidence; a null id is reported as null; repeated rows are reported once; an empty table on
 either side gives no rows.  Extra input columns are ignored.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -42,19 +43,21 @@ REGION = "region LONG, doc_id LONG, key LONG, at INT, words BINARY, places ARRAY
 OVERLAP = "doc_id LONG, key LONG, item_id LONG, start INT, n_words INT, n_equal INT"
 
 
-def seeds(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Place and hash of every window under every mask."""
-    n = len(words) - SPAN + 1
-    if n <= 0:
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    out = []
-    for number, mask in enumerate(MASKS):
-        h = np.full(n, number + 1, np.uint64)
+def seeds(words: np.ndarray, whole: Sequence[int] = ()) -> tuple[np.ndarray, np.ndarray]:
+    """Place and hash of every window under every mask, and of all words of
+    every window of a length in ``whole``."""
+    places, out = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
+    for number, mask in [*enumerate(MASKS, 1), *((len(MASKS) + k, "1" * k) for k in whole)]:
+        n = len(words) - len(mask) + 1
+        if n <= 0:
+            continue
+        h = np.full(n, number, np.uint64)
         for k, bit in enumerate(mask):
             if bit == "1":
                 h += words[k:k + n] * wordhash._PLACE[k]
+        places.append(np.arange(n))
         out.append(wordhash.mix(h))
-    return np.tile(np.arange(n), len(MASKS)), np.concatenate(out)
+    return np.concatenate(places), np.concatenate(out)
 
 
 def best_stretch(equal: np.ndarray) -> tuple[int, int, int]:
@@ -66,15 +69,16 @@ def best_stretch(equal: np.ndarray) -> tuple[int, int, int]:
     return start, end - start, int(equal[start:end].sum())
 
 
-def items_of(benchmark: DataFrame) -> DataFrame:
-    """``item_id, item, words, places, seeds`` of every item long enough."""
+def items_of(benchmark: DataFrame, short: bool = False) -> DataFrame:
+    """``item_id, item, words, places, seeds`` of every item long enough; of
+    ``short`` ones the hash of the whole item."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = {k: [] for k in ("item_id", "item", "words", "places", "seeds")}
             ids, keys = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             for first, chunk in wordhash.words(batch.column(2).to_pylist(), plain=True):
                 for k, words in enumerate(chunk, first):
-                    at, hashes = seeds(words)
+                    at, hashes = seeds(words, [len(words)] if short and 0 < len(words) < SPAN else ())
                     if len(at):
                         for name, value in zip(rows, (ids[k], keys[k], words.tobytes(), at.tolist(), hashes.view(np.int64).tolist())):
                             rows[name].append(value)
@@ -85,7 +89,7 @@ def items_of(benchmark: DataFrame) -> DataFrame:
     return keyed.mapInArrow(run, "item_id LONG, item LONG, words BINARY, places ARRAY<INT>, seeds ARRAY<LONG>")
 
 
-def regions(docs: DataFrame, marks: bytes) -> DataFrame:
+def regions(docs: DataFrame, marks: bytes, whole: Sequence[int] = ()) -> DataFrame:
     """Stretches of documents with hits: the words from ``CONTEXT`` before the
     first to ``CONTEXT`` after the last of hits that lie close together."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -95,7 +99,7 @@ def regions(docs: DataFrame, marks: bytes) -> DataFrame:
             ids, keys = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             for first, chunk in wordhash.words(batch.column(2).to_pylist(), plain=True):
                 for k, words in enumerate(chunk, first):
-                    at, hashes = seeds(words)
+                    at, hashes = seeds(words, whole)
                     hit = known.has(hashes)
                     if not hit.any():
                         continue
@@ -106,8 +110,9 @@ def regions(docs: DataFrame, marks: bytes) -> DataFrame:
                         low = max(0, int(at[group[0]]) - CONTEXT)
                         high = int(at[group[-1]]) + SPAN + CONTEXT
                         part = words[low:high]
-                        name = wordhash.mix(np.array([keys[k] & (1 << 64) - 1, (ids[k] or 0) & (1 << 64) - 1, low], np.uint64))
-                        name = wordhash.mix(name[:1] * np.uint64(3) + name[1:2] * np.uint64(5) + name[2:] * np.uint64(7))
+                        name = wordhash.mix(np.array([keys[k] & (1 << 64) - 1, (ids[k] or 0) & (1 << 64) - 1, low, ids[k] is None], np.uint64))
+                        name = wordhash.mix(name[:1] * np.uint64(3) + name[1:2] * np.uint64(5) + name[2:3] * np.uint64(7)
+                                            + name[3:] * np.uint64(11))
                         rows.append((int(name.view(np.int64)[0]), ids[k], keys[k], low, part.tobytes(),
                                      (at[group] - low).tolist(), hashes[group].view(np.int64).tolist()))
             columns = list(zip(*rows)) or [()] * 7
@@ -119,14 +124,17 @@ def regions(docs: DataFrame, marks: bytes) -> DataFrame:
     return keyed.mapInArrow(run, REGION)
 
 
-def overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+def overlaps(docs: DataFrame, benchmark: DataFrame, short: bool = False) -> DataFrame:
     """``doc_id, key, item_id, start, n_words, n_equal``: the best overlap of
-    every document (``key``: xxhash64 of its text) with every test item."""
+    every document (``key``: xxhash64 of its text) with every test item, ``short`` ones
+    (of fewer than ``SPAN`` words) by exact match."""
     prepare(docs.sparkSession)
-    items = cut_lineage(items_of(benchmark))
+    items = cut_lineage(items_of(benchmark, short))
+    n_words = F.floor(F.octet_length("words") / 8)
+    whole = sorted(r["n"] for r in items.select(n_words.alias("n")).where(F.col("n") < SPAN).distinct().collect())  # under SPAN rows
     pairs = F.explode(F.arrays_zip("places", "seeds")).alias("s")
     test = items.select("item", pairs).select("item", F.col("s.places").alias("there"), F.col("s.seeds").alias("seed"))
-    found = cut_lineage(regions(docs, bit_array(test.select("seed").distinct(), "seed")).dropDuplicates(["region"]))
+    found = cut_lineage(regions(docs, bit_array(test.select("seed").distinct(), "seed"), whole).dropDuplicates(["region"]))
     train = found.select("region", pairs).select("region", F.col("s.places").alias("here"), F.col("s.seeds").alias("seed"))
     lines = train.join(test, "seed").select("region", "item", (F.col("here") - F.col("there")).alias("line")).distinct()
     aligned = (lines.join(found.select("region", "doc_id", "key", "at", F.col("words").alias("doc_words")), "region")
@@ -163,4 +171,4 @@ def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 def op2_spaced_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per contaminated document and test item."""
     return overlaps(table(spark, sf_dir, "documents", "doc_id", "text"),
-                    table(spark, sf_dir, "benchmark", "item_id", "text")).drop("key")
+                    table(spark, sf_dir, "benchmark", "item_id", "text"), short=True).drop("key")

@@ -78,3 +78,26 @@ def test_substitutions_and_edges(docs_of, spark):
     assert D.overlaps(docs_of([]), items).count() == 0
     assert D.overlaps(docs_of(rows), items.limit(0)).count() == 0
     assert D.clean(docs_of(rows), items.limit(0)).count() == len(rows)
+
+
+def test_short_items_match_exactly(docs_of, spark):
+    docs, items = corpus(3)
+    items += [(50, "w1é"), (51, "w2é W3é"), (52, "w4é w4é"), (53, "?"), (54, " ".join(items[1][1].split()[:9]))]
+    want = {(r[0], r[1]): r for r in brute(docs, items)}
+    for doc_id, text in docs:
+        d = tokens(text)
+        for item_id, other in items:
+            t = tokens(other)
+            at = [k for k in range(len(d)) if d[k:k + len(t)] == t]
+            if 0 < len(t) < D.SPAN and at:
+                want[doc_id, item_id] = (doc_id, item_id, at[0], len(t), len(t))
+    assert {len(tokens(dict(items)[i])) for _, i in want} >= {1, 6, 9}
+    got = D.overlaps(docs_of(docs).repartition(3), spark.createDataFrame(items, ITEM), short=True).drop("key").collect()
+    assert sorted(map(tuple, got)) == sorted(want.values())
+
+
+def test_null_id_is_not_zero(docs_of, spark):
+    text = " ".join(f"p{k}" for k in range(20))
+    docs, items = docs_of([(0, text), (None, text), (1, "other")]), spark.createDataFrame([(9, text)], ITEM)
+    assert {r["doc_id"] for r in D.overlaps(docs, items).collect()} == {0, None}
+    assert [r["doc_id"] for r in D.clean(docs, items).collect()] == [1]
