@@ -3,7 +3,9 @@ those that SQL can express."""
 
 from __future__ import annotations
 
-from periodix.llm import decontaminate, html_text, jaccard, langid, packing, quality, sharding, tokenfiles, toxicity, warc
+from periodix.llm import (
+    decontaminate, html_text, jaccard, langid, packing, quality, sharding, tokenalign, tokenfiles, toxicity, warc,
+)
 
 QUERIES = {
     "op1_layout_text": html_text.op1_layout_text,
@@ -16,6 +18,7 @@ QUERIES = {
     "op8_subsequence_svm": toxicity.op8_subsequence_svm,
     "op9_divide_skip": jaccard.op9_divide_skip,
     "op10_nnls_packing": packing.op10_nnls_packing,
+    "op13_interval_alignment": tokenalign.op13_interval_alignment,
 }
 
 SQL = {

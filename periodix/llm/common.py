@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import gc
 import uuid
 
 from pyarrow import fs as pafs
@@ -61,3 +63,16 @@ def words_of(text):
     """The words ``[^\\x20\\x09-\\x0D]+`` of a text column (null: none)."""
     parts = F.split(F.coalesce(text, F.lit("")), SEPARATOR_CLASS + "+")
     return F.array_remove(parts, "")
+
+
+@contextlib.contextmanager
+def no_collection():
+    """Holds the cycle collector off while a worker makes very many small
+    objects that form no cycles (walking them costs as much as making them)."""
+    was = gc.isenabled()
+    gc.disable()
+    try:
+        yield
+    finally:
+        if was:
+            gc.enable()
