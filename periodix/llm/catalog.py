@@ -4,7 +4,8 @@ those that SQL can express."""
 from __future__ import annotations
 
 from periodix.llm import (
-    decontaminate, html_text, jaccard, langid, packing, quality, sharding, tokenalign, tokenfiles, toxicity, warc,
+    decontaminate, html_text, jaccard, langid, packing, quality, sharding, substrings, tokenalign, tokenfiles, toxicity, warc,
+    whitening,
 )
 
 QUERIES = {
@@ -18,6 +19,8 @@ QUERIES = {
     "op8_subsequence_svm": toxicity.op8_subsequence_svm,
     "op9_divide_skip": jaccard.op9_divide_skip,
     "op10_nnls_packing": packing.op10_nnls_packing,
+    "op11_rolling_windows": substrings.op11_rolling_windows,
+    "op12_dqds_whitening": whitening.op12_dqds_whitening,
     "op13_interval_alignment": tokenalign.op13_interval_alignment,
 }
 
@@ -26,6 +29,7 @@ SQL = {
     "op4_line_frequency": quality.SQL,
     "op6_byte_shards": sharding.SQL,
     "op7_dictionary_warc": warc.SQL,
+    "op11_rolling_windows": substrings.SQL,
 }
 
 # further results of an operator above; the first query of a number is its own
