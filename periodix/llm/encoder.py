@@ -5,18 +5,26 @@ lets a token span a unit boundary.  ``UnitEncoder`` splits texts at places
 that are such boundaries for certain, hands each distinct unit to the library
 once and remembers the ids of the first ``memory`` distinct units a worker
 sees (a fixed bound on its size); other units are encoded anew in each batch.
-The result equals ``encode(text, add_special_tokens=False)`` id for id.
+Unseen units go to the library many at a time, as one text, and are told apart
+by the bytes their ids stand for; where those do not fit, one by one.  A text
+that holds one of the vocabulary's special strings is encoded as a whole, since
+the library cuts texts there.  The result equals the library's default call
+``encode(text, add_special_tokens=False)`` id for id.
 """
 
 from __future__ import annotations
 
 import os
 import re
+import unicodedata
 
 import numpy as np
 
-MEMORY = 600_000   # distinct units a worker remembers (about 200 bytes each)
-BATCH_CHARS = 1 << 20
+from periodix.llm.common import no_collection
+
+MEMORY = 1_200_000  # distinct units a worker remembers (about 200 bytes each)
+BATCH_CHARS = 1 << 22
+JOINED = 2048       # characters of unseen units encoded in one call (one unit at least)
 
 # Characters that Python counts as white space and the library does not.
 _ODD_SPACE = re.compile("[\x1c-\x1f]")
@@ -41,28 +49,73 @@ def spaced_units(text: str) -> list[str]:
     return _UNIT_START.split(text) if text else []
 
 
+# spaced units with white space at no outer end but the one sign before them
+_CLEAN = re.compile(r"[ \n]\S(?:.*\S)?\Z", re.DOTALL).match
+
+
 class UnitEncoder:
     def __init__(self, path: str, units, memory: int = MEMORY):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # one task, one core
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.units, self.memory, self.known = units, memory, {}
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
+        self.lengths = np.zeros(self.tokenizer.get_vocab_size(), np.int64)  # bytes of each entry
+        for entry, k in self.tokenizer.get_vocab().items():
+            self.lengths[k] = len(entry.removesuffix("</w>"))
+
+    def _one_by_one(self, units: list[str]) -> list[bytes]:
+        return [np.array(e.ids, self.dtype).tobytes()
+                for e in self.tokenizer.encode_batch_fast(units, add_special_tokens=False)]
+
+    def _joined(self, units: list[str]) -> list[bytes]:
+        """Codes of units that boundaries part for certain, from one call."""
+        words = self.units is word_units
+        e = self.tokenizer.encode_batch_fast([(" " if words else "").join(units)], add_special_tokens=False)[0]
+        ids = np.array(e.ids, self.dtype)
+        sizes = [len(u) if u.isascii() else len((unicodedata.normalize("NFC", u).lower() if words else u).encode())
+                 for u in units]
+        ends, want = np.cumsum(self.lengths[ids]), np.cumsum(sizes)
+        cuts = np.searchsorted(ends, want) + 1
+        if not len(ids) or cuts[-1] != len(ids) or (ends[cuts - 1] != want).any():
+            return self._one_by_one(units)
+        data, size = ids.tobytes(), self.dtype.itemsize
+        edges = [0, *(cuts * size).tolist()]
+        return [data[a:b] for a, b in zip(edges, edges[1:])]
+
+    def _codes(self, units: list[str]) -> dict[str, bytes]:
+        """Codes of distinct units."""
+        clean = units if self.units is word_units else [u for u in units if _CLEAN(u)]
+        out = {}
+        if len(clean) < len(units):
+            rest = [u for u in units if not _CLEAN(u)]
+            out.update(zip(rest, self._one_by_one(rest)))
+        if clean:
+            step = np.cumsum(list(map(len, clean))) // JOINED
+            edges = [0, *(np.flatnonzero(np.diff(step)) + 1).tolist(), len(clean)]
+            for a, b in zip(edges, edges[1:]):
+                out.update(zip(clean[a:b], self._joined(clean[a:b])))
+        return out
 
     def _batch(self, texts: list[str]) -> list[bytes]:
-        split = [self.units(t) for t in texts]
-        new = list({u for units in split for u in units if u not in self.known})
-        codes = [np.array(e.ids, self.dtype).tobytes()
-                 for e in self.tokenizer.encode_batch_fast(new, add_special_tokens=False)]
-        room = self.memory - len(self.known)
-        self.known.update(zip(new[:room], codes[:room]))
-        if len(new) <= room:
-            return [b"".join(map(self.known.__getitem__, units)) for units in split]
-        here = dict(zip(new[room:], codes[room:]))
-        known = self.known.get
-        return [b"".join([known(u) or here.get(u, b"") for u in units]) for units in split]
+        with no_collection():
+            whole = {k for k, t in enumerate(texts) if any(s in t for s in self.special)}
+            split = [[] if k in whole else self.units(t) for k, t in enumerate(texts)]
+            known, here = self.known, {}
+            new = list(set().union(*split).difference(known))
+            if new:
+                here = self._codes(new)
+                for u in new[:self.memory - len(known)]:
+                    known[u] = here.pop(u)
+            if here:
+                out = [b"".join([known[u] if u in known else here[u] for u in units]) for units in split]
+            else:
+                out = [b"".join(map(known.__getitem__, units)) for units in split]
+            for k in whole:
+                out[k] = self._one_by_one([texts[k]])[0]
+            return out
 
     def encode(self, texts: list[str]):
         """Yield each text's ids as little-endian bytes of ``dtype``."""

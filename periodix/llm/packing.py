@@ -56,17 +56,23 @@ def pieces(docs: DataFrame, tokenizer_path: str, end_id: int = 0, window: int =
         part, no = TaskContext.get().partitionId(), 0
         code = encoder(tokenizer_path, spaced_units)
         for batch in batches:
-            out: list[tuple] = []
-            ids = batch.column(0).to_pylist()
-            for doc_id, data in zip(ids, code.encode(batch.column(1).to_pylist())):
+            ids, starts, lengths, crcs, totals, heads, tails = columns = [[] for _ in range(7)]
+            for doc_id, data in zip(batch.column(0).to_pylist(), code.encode(batch.column(1).to_pylist())):
                 tokens = np.append(np.frombuffer(data, code.dtype).astype("<u4"), np.uint32(end_id))
                 for at in range(0, len(tokens), window):
                     piece = tokens[at:at + window]
-                    out.append((doc_id, at, len(piece), zlib.crc32(piece.tobytes()), len(tokens),
-                                zlib.crc32(piece[:half].tobytes()), zlib.crc32(piece[half:].tobytes()), part, no))
-                    no += 1
+                    ids.append(doc_id)
+                    starts.append(at)
+                    lengths.append(len(piece))
+                    crcs.append(zlib.crc32(piece))
+                    totals.append(len(tokens))
+                    cuttable = half < len(piece) < window  # only such pieces can be cut once more
+                    heads.append(zlib.crc32(piece[:half]) if cuttable else None)
+                    tails.append(zlib.crc32(piece[half:]) if cuttable else None)
+            n = len(ids)
+            columns += [[part] * n, range(no, no + n)]
+            no += n
             names, kinds = zip(*(x.split() for x in PIECES.split(", ")))
-            columns = list(zip(*out)) or [()] * len(names)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(c, pa.int32() if k == "INT" else pa.int64()) for c, k in zip(columns, kinds)], names=names)
 

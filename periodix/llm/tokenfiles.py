@@ -39,8 +39,12 @@ MANIFEST = "part INT, path STRING, n_docs LONG, n_ids LONG"
 DIGEST = "doc_id LONG, start LONG, n_tokens LONG, ids_crc32 LONG"
 
 
+INDEX_ROWS = 1 << 16  # documents of a record batch of the index
+INDEX = pa.schema([(c, pa.int64()) for c in ("doc_id", "start", "n_ids")])
+
+
 class SequenceWriter:
-    """One task's two Arrow files; holds at most one record batch of ids."""
+    """One task's two Arrow files; holds at most one record batch of each."""
 
     def __init__(self, uri: str, dtype: np.dtype, length: int, end_id: int):
         self.fs, self.path = store(uri)
@@ -51,11 +55,16 @@ class SequenceWriter:
             {"sequence_length": str(length), "end_id": str(end_id)})
         self.sink = self.fs.open_output_stream(self.path, compression=None)
         self.file = pa.ipc.new_file(self.sink, self.schema)
+        self.index_sink = self.fs.open_output_stream(self.path + ".index", compression=None)
+        self.index = pa.ipc.new_file(self.index_sink, INDEX)
         self.held: list[np.ndarray] = []
-        self.n_held, self.n_ids, self.docs = 0, 0, []
+        self.n_held, self.n_ids, self.n_docs, self.docs = 0, 0, 0, []
 
     def add(self, doc_id, ids: np.ndarray) -> None:
         self.docs.append((doc_id, self.n_ids, len(ids)))
+        self.n_docs += 1
+        if len(self.docs) == INDEX_ROWS:
+            self._list()
         self.held.append(ids)
         self.n_held += len(ids)
         self.n_ids += len(ids)
@@ -75,16 +84,18 @@ class SequenceWriter:
                 [pa.FixedSizeListArray.from_arrays(pa.array(flat[cut]), self.length),
                  pa.FixedSizeListArray.from_arrays(pa.array(mask[cut]), self.length)], schema=self.schema))
 
+    def _list(self) -> None:
+        """One record batch of the index."""
+        columns = list(zip(*self.docs)) or [()] * len(INDEX)
+        self.index.write_batch(pa.record_batch([pa.array(c, pa.int64()) for c in columns], schema=INDEX))
+        self.docs = []
+
     def close(self) -> None:
         if self.n_held:
             self._flush(self.n_held)
-        self.file.close()
-        self.sink.close()
-        index = pa.table({"doc_id": pa.array([d[0] for d in self.docs], pa.int64()),
-                          "start": pa.array([d[1] for d in self.docs], pa.int64()),
-                          "n_ids": pa.array([d[2] for d in self.docs], pa.int64())})
-        with self.fs.open_output_stream(self.path + ".index", compression=None) as out, pa.ipc.new_file(out, index.schema) as f:
-            f.write_table(index, max_chunksize=1 << 16)
+        self._list()
+        for x in (self.file, self.sink, self.index, self.index_sink):
+            x.close()
 
 
 def write_token_files(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int = 2,
@@ -108,7 +119,7 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer_path: str, end_id:
                 out.add(doc_id, np.concatenate([np.frombuffer(data, code.dtype), end]))
         if out is not None:
             out.close()
-            yield pa.RecordBatch.from_pylist([{"part": part, "path": uri, "n_docs": len(out.docs),
+            yield pa.RecordBatch.from_pylist([{"part": part, "path": uri, "n_docs": out.n_docs,
                                                "n_ids": out.n_ids}], schema=_arrow(MANIFEST))
 
     slim = docs.select(docs["doc_id"], docs["text"], F.monotonically_increasing_id().alias("_row"))

@@ -14,7 +14,6 @@ BYTE = public_tokenizers.path("byte_bpe_50k.json")
 def check(rows, got, window):
     """Every id of every document lies in exactly one piece; offsets are gapless."""
     whole = Tokenizer.from_file(BYTE)
-    whole.encode_special_tokens = True
     docs = defaultdict(list)
     for doc_id, text in rows:
         docs[doc_id].append(whole.encode(text or "", add_special_tokens=False).ids + [0])

@@ -12,16 +12,16 @@ from periodix.llm.tokenfiles import read_token_files, write_token_files
 
 WORD, BYTE = (public_tokenizers.path(f"{n}.json") for n in ("word_bpe_49k", "byte_bpe_50k"))
 ODD = ["", " ", "\n", "a  b", "a \n b", "\n\nx\n\n\ny ", "tab\there", "It's we'll \x1c odd\x1fspace", "nb\xa0sp \x85 x",
-       "<|endoftext|> and <|startoftext|>", "日本語 テキスト 。", "é é ﬁ Ⅷ", "a\0b c", "x" * 3000, "emoji 🙂🙂 ok", "  lead", "trail  "]
+       "<|endoftext|> and <|startoftext|>", "日本語 テキスト 。", "é é ﬁ Ⅷ", "a\0b c", "x" * 3000, "emoji 🙂🙂 ok", "  lead", "trail  ",
+       "a <|endoftext|> b", "<|endoftext|><|startoftext|>x", "no<|endoftext|>blank <|EndOfText|> <|endoftext |>", "İstanbul ΣΑΣ ǅ ﬀ Å é"]
 
 
 @pytest.mark.parametrize("path,units", [(WORD, word_units), (BYTE, spaced_units)])
 def test_units_equal_whole_text(path, units):
     rnd = random.Random(5)
-    parts = [" ", "\n", "  ", "\t", "\n\n", "The", "er.", "é", "’s", "'s", "12", "\x1d", " ", "ß", "!?", "\0", "́"]
+    parts = [" ", "\n", "  ", "\t", "\n\n", "The", "er.", "é", "’s", "'s", "12", "\x1d", " ", "ß", "!?", "\0", "́", "<|endoftext|>", "İ", "Σ", "Å"]
     texts = ODD + ["".join(rnd.choices(parts, k=rnd.randint(1, 30))) for _ in range(2000)]
     whole = Tokenizer.from_file(path)
-    whole.encode_special_tokens = True
     for memory in (10, 100_000):
         code = UnitEncoder(path, units, memory)
         for _ in range(2):
@@ -31,7 +31,6 @@ def test_units_equal_whole_text(path, units):
 
 def expected(rows):
     whole, start, out = Tokenizer.from_file(WORD), 0, []
-    whole.encode_special_tokens = True
     for doc_id, text in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0)):
         ids = whole.encode(text or "", add_special_tokens=False).ids + [2]
         out.append((doc_id, start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())))
