@@ -1,31 +1,36 @@
 """Exact cosine retrieval, dense and lexical.
 
-Dense (R6/R7): the question set is the small side.  Its vectors are checked
-against a byte budget and broadcast; the (large) document table is scanned
-once in Arrow batches by ``mapInPandas``, each partition keeps only its own
-top-k per question, and a group-limited ``row_number`` merges partitions.
-Documents are never shuffled and no pair table is materialised.  A question
-set over the budget is split into hash batches, each within the budget, and
-the per-batch results are unioned -- still exact.
-
-Lexical (R8, the stand-in encoder): the same shape -- question term
-postings are broadcast (byte-checked, hash-batched), document partitions
-compute exact sparse dot products in numpy, cosine = dot / (|q| |d|).
+Questions meet documents in a blocked theta-join (J3).  Both sides are packed
+into block rows inside their tasks (``DOC_ROWS`` documents, ``QUERY_ROWS``
+questions at most): vectors become a matrix, token lists a small inverted index.
+Each document block goes to one of the slices, each question block to all of
+them, and an equi-join on the slice brings every pair of blocks together in one
+task.  The pair is scored in numpy -- one matrix product, or the products of the
+postings the two blocks share -- and a task keeps only the best ``k`` documents
+of a question; a group-limited ``row_number`` merges the slices.  So neither
+side passes the driver, no row of a pair of documents exists, a task holds a
+block of each side at a time, and partial rows carry ids and similarities only:
+the texts of the winners are joined at the end.
 
 Every ranking is a total order: similarity desc, then document id asc.
 """
 
 from __future__ import annotations
 
+import pickle
+
 import numpy as np
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from periodix.operators import text as T
 
 TOKEN_SPLIT = r"[^\p{L}\p{N}]+"
-DEFAULT_BROADCAST_BYTES = 64 << 20
+DOC_ROWS = 4096       # documents of a block
+QUERY_ROWS = 1024     # questions of a block
+BLOCK_BYTES = 8 << 20  # of a block of vectors
 
 
 # --- exact per-partition top-k -------------------------------------------
@@ -38,8 +43,8 @@ class _TopK:
     never drops a global winner, ties included.
     """
 
-    def __init__(self, nq: int, k: int, n_keys: int | None = None):
-        self.nq, self.k, self.n_keys = nq, k, n_keys
+    def __init__(self, nq: int, k: int):
+        self.nq, self.k = nq, k
         self.row = np.empty(0, dtype=np.int64)
         self.sim = np.empty(0, dtype=np.float64)
         self.ids: list[np.ndarray] | None = None
@@ -60,8 +65,7 @@ class _TopK:
         sim = np.concatenate([self.sim, sims[r, c]])
         new_ids = [col[c] for col in ids]
         ids_all = new_ids if self.ids is None else [np.concatenate([o, n]) for o, n in zip(self.ids, new_ids)]
-        keys = ids_all if self.n_keys is None else ids_all[:self.n_keys]
-        sort_keys = [_sortable(col) for col in reversed(keys)] + [-sim, row]
+        sort_keys = [_sortable(col) for col in reversed(ids_all)] + [-sim, row]
         order = np.lexsort(sort_keys)
         row, sim = row[order], sim[order]
         ids_all = [col[order] for col in ids_all]
@@ -85,37 +89,6 @@ def _sortable(col: np.ndarray) -> np.ndarray:
     return np.unique(col.astype(str), return_inverse=True)[1]
 
 
-def _batches_of_queries(q: DataFrame, key_cols: list[str], est_bytes: int, budget: int):
-    n_batches = max(1, -(-est_bytes // budget))
-    if n_batches == 1:
-        return [q]
-    h = F.pmod(F.xxhash64(*key_cols), F.lit(n_batches))
-    return [q.filter(h == b) for b in range(n_batches)]
-
-
-def _question_batches(q: DataFrame, key_cols: list[str], stats: list, estimate, budget: int):
-    """Collected question rows in byte-bounded batches.
-
-    One pass measures the question side.  When it needs several hash
-    batches, it is persisted (MEMORY_AND_DISK) first, so each batch scans
-    the cached questions instead of recomputing their pipeline; it is
-    released when the broadcasts hold the data."""
-    from pyspark import StorageLevel
-
-    est = estimate(q.agg(*stats).first())
-    many = est > budget
-    if many:
-        q = q.persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        for batch in _batches_of_queries(q, key_cols, est, budget):
-            rows = batch.collect()  # bounded by the byte budget
-            if rows:
-                yield rows
-    finally:
-        if many:
-            q.unpersist()
-
-
 def spread(df: DataFrame) -> DataFrame:
     """Text and vector work is CPU-bound per row: when a table read has fewer
     partitions than the cluster has cores (e.g. one large row group), deal
@@ -123,28 +96,73 @@ def spread(df: DataFrame) -> DataFrame:
     normal case at scale) is returned untouched, with no shuffle.
 
     Apply it to a file read, where counting partitions plans only the scan.
-    The scorers below do not call it: on a derived input (after a shuffle)
+    The joins below do not call it: on a derived input (after a shuffle)
     counting partitions would execute the whole upstream plan once more."""
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
-def _merge_topk(partials: list[DataFrame], qcols: list[str], doc_ids: list[str], k: int,
-                payload: list[str] | tuple = ()) -> DataFrame:
-    merged = partials[0]
-    for p in partials[1:]:
-        merged = merged.unionByName(p)
-    w = Window.partitionBy(*qcols).orderBy(F.desc("similarity"), *[F.asc(c) for c in doc_ids])
-    return (merged.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
-            .select(*qcols, "rank", *doc_ids, "similarity", *payload))
-
-
 def _out_schema(queries: DataFrame, qcols: list[str], docs: DataFrame, doc_ids: list[str]) -> str:
     cols = [f"`{c}` {queries.schema[c].dataType.simpleString()}" for c in qcols]
     cols += [f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in doc_ids]
     return ", ".join(cols + ["similarity DOUBLE"])
 
 
+# --- blocks -------------------------------------------------------------------
+
+def _blocks(df: DataFrame, ids: list[str], value: str, pack, rows: int, slices: int) -> DataFrame:
+    """``slice, block``: the rows of ``df`` in blocks of at most ``rows``, each
+    the ids and ``pack(values)``; a partition's blocks go to slices in turn."""
+    def run(batches):
+        at = TaskContext.get().partitionId()
+        for pdf in batches:
+            for lo in range(0, len(pdf), rows):
+                part = pdf.iloc[lo:lo + rows]
+                block = ([part[c].to_numpy() for c in ids], *pack(part[value].to_numpy()))
+                yield pd.DataFrame({"slice": [at % slices], "block": [pickle.dumps(block, 5)]})
+                at += 1
+
+    return df.select(*ids, value).mapInPandas(run, "slice INT, block BINARY")
+
+
+def _blocked_topk(docs: DataFrame, doc_ids: list[str], queries: DataFrame, qcols: list[str], value: str,
+                  k: int, pack_docs, pack_queries, score, doc_rows: int, query_rows: int) -> DataFrame:
+    """The best ``k`` documents of every question over all pairs of blocks."""
+    slices = max(2, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    schema = _out_schema(queries, qcols, docs, doc_ids)
+    d = _blocks(docs, doc_ids, value, pack_docs, doc_rows, slices).withColumnRenamed("block", "_d")
+    q = _blocks(queries, qcols, value, pack_queries, query_rows, slices).select(
+        F.explode(F.sequence(F.lit(0), F.lit(slices - 1))).alias("slice"), F.col("block").alias("_q"))
+    # a number of partitions of its own: block rows are few and small, and a
+    # slice must not be merged with others by its bytes
+    pairs = (q.repartition(2 * slices, "slice").hint("merge")
+             .join(d.repartition(2 * slices, "slice"), "slice").select("_q", "_d"))
+
+    def run(batches):
+        held, top, qids = None, None, None
+        packed: dict[bytes, tuple] = {}
+        for pdf in batches:
+            for query, doc in zip(pdf["_q"], pdf["_d"]):
+                if query != held:  # pairs of one question block follow each other
+                    if top is not None and len(top.row):
+                        yield _emit(top, qids, qcols, doc_ids)
+                    qids, *q_block = pickle.loads(query)
+                    held, top = query, _TopK(len(qids[0]), k)
+                if doc not in packed:
+                    if len(packed) >= 8:
+                        packed.clear()
+                    packed[doc] = pickle.loads(doc)
+                ids, *d_block = packed[doc]
+                for lo, sims in score(q_block, d_block):
+                    top.offer(sims, [c[lo:lo + sims.shape[1]] for c in ids])
+        if top is not None and len(top.row):
+            yield _emit(top, qids, qcols, doc_ids)
+
+    w = Window.partitionBy(*qcols).orderBy(F.desc("similarity"), *[F.asc(c) for c in doc_ids])
+    return (pairs.mapInPandas(run, schema).withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+            .select(*qcols, "rank", *doc_ids, "similarity"))
+
+
 def _emit(top: _TopK, qvals: list[np.ndarray], qcols: list[str], doc_ids: list[str]) -> pd.DataFrame:
     data = {c: v[top.row] for c, v in zip(qcols, qvals)}
     data.update(dict(zip(doc_ids, top.ids)))
@@ -167,50 +185,35 @@ def label_centroids(vectors: DataFrame, label: str = "label", vec: str = "embedd
     )
 
 
-def _dense_scorer(bq, k: int, doc_ids: list[str], doc_vec: str, qcols: list[str]):
-    def run(batches):
-        qvals, qmat = bq.value  # broadcast: deserialised once per worker
-        qnorm = np.linalg.norm(qmat, axis=1)
-        top = _TopK(len(qnorm), k)
-        step = max(1, _CELLS_PER_STEP // max(len(qnorm), 1))  # bounds the (nq x B) block
-        for pdf in batches:
-            for lo in range(0, len(pdf), step):
-                sub = pdf.iloc[lo:lo + step]
-                mat = np.vstack([np.asarray(v, dtype=np.float64) for v in sub[doc_vec]])
-                dnorm = np.linalg.norm(mat, axis=1)
-                with np.errstate(divide="ignore", invalid="ignore"):
-                    sims = (qmat @ mat.T) / np.outer(qnorm, dnorm)
-                sims[~np.isfinite(sims)] = -np.inf
-                top.offer(sims, [sub[c].to_numpy() for c in doc_ids])
-        if len(top.row):
-            yield _emit(top, qvals, qcols, doc_ids)
+def _pack_vectors(values: np.ndarray) -> tuple:
+    mat = np.array([np.asarray(v, dtype=np.float64) for v in values])
+    return mat, np.linalg.norm(mat, axis=1)
+
 
-    return run
+def _score_vectors(queries: list, docs: list):
+    (qmat, qnorm), (mat, dnorm) = queries, docs
+    step = max(1, _CELLS_PER_STEP // max(len(qnorm), 1))  # bounds the (nq x B) block
+    for lo in range(0, len(dnorm), step):
+        with np.errstate(divide="ignore", invalid="ignore"):
+            sims = (qmat @ mat[lo:lo + step].T) / np.outer(qnorm, dnorm[lo:lo + step])
+        sims[~np.isfinite(sims)] = -np.inf
+        yield lo, sims
 
 
 def cosine_topk(docs: DataFrame, queries: DataFrame, k: int = 3, doc_id: str = "vec_id",
                 doc_vec: str = "embedding", query_id: str = "qid", query_vec: str = "vec",
-                max_broadcast_bytes: int = DEFAULT_BROADCAST_BYTES) -> DataFrame:
+                dim: int = 64) -> DataFrame:
     """R6 + R7: exact top-k documents by cosine similarity per question.
 
     Returns ``(qid, rank, doc_id, similarity)``; fewer than ``k`` documents
-    give fewer rows; documents with a zero vector are never returned.
+    give fewer rows; documents with a zero or missing vector are never
+    returned.  ``dim`` (the vectors' usual length) only sizes the blocks.
     """
-    q = queries.select(F.col(query_id).alias("qid"), F.col(query_vec).alias("vec"))
-    slim = docs.select(F.col(doc_id).alias("doc_id"), F.col(doc_vec).alias("_vec"))
-    schema = _out_schema(q, ["qid"], slim, ["doc_id"])
-    partials = []
-    stats = [F.count(F.lit(1)).alias("n"), F.max(F.size("vec")).alias("d")]
-    estimate = lambda st: int(st["n"]) * 8 * max(1, int(st["d"] or 0))
-    for rows in _question_batches(q, ["qid"], stats, estimate, max_broadcast_bytes):
-        qvals = [np.array([r["qid"] for r in rows])]
-        qmat = np.vstack([np.asarray(r["vec"], dtype=np.float64) for r in rows])
-        bq = docs.sparkSession.sparkContext.broadcast((qvals, qmat))
-        partials.append(slim.mapInPandas(_dense_scorer(bq, k, ["doc_id"], "_vec", ["qid"]), schema))
-    if not partials:
-        return docs.sparkSession.createDataFrame([], schema + ", rank INT").select(
-            "qid", "rank", "doc_id", "similarity")
-    return _merge_topk(partials, ["qid"], ["doc_id"], k)
+    q = queries.select(F.col(query_id).alias("qid"), F.col(query_vec).alias("_vec")).dropna(subset=["_vec"])
+    slim = docs.select(F.col(doc_id).alias("doc_id"), F.col(doc_vec).alias("_vec")).dropna(subset=["_vec"])
+    rows = max(1, BLOCK_BYTES // (8 * dim))
+    return _blocked_topk(slim, ["doc_id"], q, ["qid"], "_vec", k, _pack_vectors, _pack_vectors, _score_vectors,
+                         min(DOC_ROWS, rows), min(QUERY_ROWS, rows))
 
 
 # --- lexical ----------------------------------------------------------------
@@ -226,25 +229,25 @@ def term_frequencies(df: DataFrame, ids: list[str], text_col: str = "text") -> D
             .groupBy(*ids, "token").agg(F.count(F.lit(1)).alias("tf")))
 
 
-def _postings(rows, qcols: list[str]):
-    """Driver side, bounded batch: question term postings in CSR form."""
-    from collections import Counter
+def _term_counts(toks: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """``(row, code, tf)`` entries by row, the terms behind the codes, and the
+    rows' norms."""
+    lens = np.fromiter((0 if t is None else len(t) for t in toks), np.int64, len(toks))
+    flat = np.concatenate([np.asarray(t, dtype=object) for t in toks if t is not None and len(t)] or [np.zeros(0, object)])
+    codes, terms = pd.factorize(flat)
+    key, tf = np.unique(np.repeat(np.arange(len(toks)), lens) * max(len(terms), 1) + codes, return_counts=True)
+    row, code = key // max(len(terms), 1), key % max(len(terms), 1)
+    tf = tf.astype(np.float64)
+    return row, code, tf, terms, np.sqrt(np.bincount(row, weights=tf * tf, minlength=len(toks)))
 
-    per_term: dict[str, list[tuple[int, int]]] = {}
-    qnorm = np.zeros(len(rows))
-    for qi, r in enumerate(rows):
-        counts = Counter(r["_toks"] or [])
-        qnorm[qi] = np.sqrt(float(sum(v * v for v in counts.values())))
-        for t, v in counts.items():
-            per_term.setdefault(t, []).append((qi, v))
-    vocab = sorted(per_term)
-    sizes = np.array([len(per_term[t]) for t in vocab], dtype=np.int64)
-    ptr = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
-    flat = [p for t in vocab for p in per_term[t]]
-    post_q = np.array([p[0] for p in flat], dtype=np.int64)
-    post_tf = np.array([p[1] for p in flat], dtype=np.float64)
-    qvals = [np.array([r[c] for r in rows]) for c in qcols]
-    return qvals, vocab, ptr, post_q, post_tf, qnorm
+
+def _postings(toks: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The inverted index of a block of questions: terms, and per term the
+    questions that have it and how often."""
+    row, code, tf, terms, norm = _term_counts(toks)
+    order = np.argsort(code, kind="stable")
+    ptr = np.searchsorted(code[order], np.arange(len(terms) + 1))
+    return terms, ptr.astype(np.int64), row[order], tf[order], norm
 
 
 # Memory bounds inside one task: at most this many (question, document)
@@ -312,70 +315,38 @@ def _dot(d_of, term, tf, ptr, post_q, post_tf, n_docs: int, nq: int) -> np.ndarr
     return dot
 
 
-def _lexical_scorer(bq, k: int, doc_ids: list[str], qcols: list[str], payload: list[str]):
-    def run(batches):
-        qvals, vocab, ptr, post_q, post_tf, qnorm = bq.value
-        vindex = pd.Index(vocab)
-        nq = len(qnorm)
-        top = _TopK(nq, k, n_keys=len(doc_ids))
-        step = max(1, _CELLS_PER_STEP // max(nq, 1))  # bounds the (nq x B) block
-        for pdf in batches:
-            for lo in range(0, len(pdf), step):
-                sub = pdf.iloc[lo:lo + step]
-                toks = sub["_toks"].to_numpy()
-                lens = np.fromiter((0 if t is None else len(t) for t in toks), np.int64, len(toks))
-                if lens.sum() == 0:
-                    continue
-                flat = np.concatenate([np.asarray(t, dtype=object) for t in toks if t is not None and len(t)])
-                doc = np.repeat(np.arange(len(sub)), lens)
-                codes, uniq = pd.factorize(flat)
-                key = doc * len(uniq) + codes
-                ukey, tf = np.unique(key, return_counts=True)
-                d_of, c_of = ukey // len(uniq), ukey % len(uniq)
-                tf = tf.astype(np.float64)
-                dnorm = np.sqrt(np.bincount(d_of, weights=tf * tf, minlength=len(sub)))
-                term = vindex.get_indexer(uniq)[c_of]
-                m = term >= 0
-                d_of, tf, term = d_of[m], tf[m], term[m]
-                dot = _dot(d_of, term, tf, ptr, post_q, post_tf, len(sub), nq)
-                with np.errstate(divide="ignore", invalid="ignore"):
-                    sims = dot / (qnorm[:, None] * dnorm[None, :])
-                sims[dot == 0] = -np.inf
-                top.offer(sims, [sub[c].to_numpy() for c in doc_ids + payload])
-        if len(top.row):
-            yield _emit(top, qvals, qcols, doc_ids + payload)
-
-    return run
+def _score_tokens(queries: list, docs: list):
+    (vocab, ptr, post_q, post_tf, qnorm), (d_of, code, tf, terms, dnorm) = queries, docs
+    nq = len(qnorm)
+    if not len(vocab) or not len(terms):
+        return
+    term = pd.Index(vocab).get_indexer(terms)[code]
+    shared = term >= 0
+    d_of, tf, term = d_of[shared], tf[shared], term[shared]
+    step = max(1, _CELLS_PER_STEP // max(nq, 1))  # bounds the (nq x B) block
+    for lo in range(0, len(dnorm), step):
+        norm = dnorm[lo:lo + step]
+        at = slice(*np.searchsorted(d_of, [lo, lo + len(norm)]))  # entries are in order of documents
+        dot = _dot(d_of[at] - lo, term[at], tf[at], ptr, post_q, post_tf, len(norm), nq)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            sims = dot / (qnorm[:, None] * norm[None, :])
+        sims[dot == 0] = -np.inf
+        yield lo, sims
 
 
 def lexical_topk(docs: DataFrame, queries: DataFrame, k: int, doc_ids: list[str],
-                 query_ids: list[str], doc_text: str = "text", query_text: str = "text",
-                 max_broadcast_bytes: int = DEFAULT_BROADCAST_BYTES,
-                 payload: tuple[str, ...] = ()) -> DataFrame:
+                 query_ids: list[str], doc_text: str = "text", query_text: str = "text") -> DataFrame:
     """R7 over the lexical encoder (R8): ``(query ids, rank, doc ids, similarity)``.
 
     cosine = sum(tf_q * tf_d) / (|q| |d|) over shared tokens, exact.  Only
-    documents sharing a token with the question can be returned.  Question
-    postings are broadcast in byte-checked hash batches; each document
-    partition scores its Arrow batches with vectorised sparse products and
-    keeps its own top-k; documents and pairs are never shuffled.  ``payload``
-    columns of the winning documents (e.g. their text) ride along, so callers
-    need no second pass over the documents.
+    documents sharing a token with the question can be returned.  Each pair of
+    blocks multiplies the postings of the terms both have; terms that a large
+    share of both sides has go through one dense product.
     """
     q = queries.select(*query_ids, tokens(F.col(query_text)).alias("_toks"))
-    payload = list(payload)
-    slim = docs.select(*doc_ids, *payload, tokens(F.col(doc_text)).alias("_toks"))
-    schema = _out_schema(q, query_ids, slim, doc_ids + payload)
-    partials = []
-    stats = [F.count(F.lit(1)).alias("n"), F.sum(F.size("_toks")).alias("t")]
-    estimate = lambda st: int(st["n"]) * 64 + int(st["t"] or 0) * 48
-    for rows in _question_batches(q, query_ids, stats, estimate, max_broadcast_bytes):
-        bq = docs.sparkSession.sparkContext.broadcast(_postings(rows, query_ids))
-        partials.append(slim.mapInPandas(_lexical_scorer(bq, k, doc_ids, query_ids, payload), schema))
-    if not partials:
-        return docs.sparkSession.createDataFrame([], schema + ", rank INT").select(
-            *query_ids, "rank", *doc_ids, "similarity", *payload)
-    return _merge_topk(partials, query_ids, doc_ids, k, payload)
+    slim = docs.select(*doc_ids, tokens(F.col(doc_text)).alias("_toks"))
+    return _blocked_topk(slim, doc_ids, q, query_ids, "_toks", k, _term_counts, _postings, _score_tokens,
+                         DOC_ROWS, QUERY_ROWS)
 
 
 def metadata_filter(docs: DataFrame, **where: str) -> DataFrame:
@@ -395,14 +366,15 @@ def answer_questions(questions: DataFrame, docs: DataFrame, k: int = 2, qid: str
     Every question row gets a row: ``context`` (top-k texts, best first),
     ``answer`` (context-only answer) and ``prompt``.  Each distinct question
     text is scored once, so repeated questions -- and even repeated ids --
-    get the same context and cost no extra search.
+    get the same context and cost no extra search.  Document ids are unique;
+    only the winners' texts are joined back by them.
     """
     key = F.sha2(F.coalesce(F.col(question), F.lit("")), 256)
     asked = questions.select(qid, question, key.alias("_text"))
     distinct = asked.groupBy("_text").agg(F.first(question).alias("_question"))
-    hits = lexical_topk(docs.select(doc_id, F.col(doc_text).alias("_dtext")), distinct,
-                        k, [doc_id], ["_text"], "_dtext", "_question", payload=("_dtext",))
-    ctx = T.contexts(hits, qid="_text", rank="rank", text="_dtext")
+    named = docs.select(F.col(doc_id).alias("_doc"), F.col(doc_text).alias("_dtext"))
+    hits = lexical_topk(named, distinct, k, ["_doc"], ["_text"], "_dtext", "_question")
+    ctx = T.contexts(hits.join(named, "_doc"), qid="_text", rank="rank", text="_dtext")
     out = asked.join(ctx, "_text", "left")
     return out.select(
         qid, question,

@@ -542,6 +542,44 @@ register(
     ratio=("similarity",), ops="R9",
 )
 
+# --- 9b. approximate search (R7b) ----------------------------------------------------
+
+from periodix.operators import approximate as AN  # noqa: E402
+
+ANN_K = 10
+
+
+def _ann_sides(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """All vectors, and as questions every one whose id is divisible by 20."""
+    emb = read_table(spark, sf, "embeddings", "vec_id", "embedding")
+    return R.spread(emb), emb.filter("vec_id % 20 = 0").select(F.col("vec_id").alias("qid"), F.col("embedding").alias("vec"))
+
+
+def _lsh_topk(spark: SparkSession, sf: str) -> DataFrame:
+    docs, asked = _ann_sides(spark, sf)
+    return AN.approximate_topk(docs, asked, ANN_K, skip_same_id=True)
+
+
+def _lsh_recall(spark: SparkSession, sf: str) -> DataFrame:
+    """Per question the hits found, and whether all of them together reach a
+    recall of 0.9 against the exact search."""
+    docs, asked = _ann_sides(spark, sf)
+    found = _lsh_topk(spark, sf)
+    exact = AN.exact_topk(docs, asked, ANN_K, skip_same_id=True)
+    recall = AN.recall(found, exact).select((F.col("recall") >= 0.9).alias("recall_ok"))
+    hits = found.groupBy("qid").agg(F.count("*").alias("n_hits"))
+    return hits.withColumn("_one", F.lit(1)).join(recall.withColumn("_one", F.lit(1)), "_one").drop("_one")
+
+
+register("lsh_topk", lambda sp, sf: _lsh_topk(sp, sf).withColumn("rank", F.col("rank").cast("int")), None,
+         ratio=("similarity",), ops="R7b")
+register(
+    "lsh_recall", _lsh_recall,
+    S.rounded(f"""SELECT vec_id AS qid, least({ANN_K}, (SELECT count(*) FROM embeddings) - 1) AS n_hits, true AS recall_ok
+        FROM embeddings WHERE vec_id % 20 = 0""", panel=False),
+    ops="R7b",
+)
+
 # --- 10. question answering (R10-R13, R15) and evaluation (R16) ------------------
 
 from periodix.operators import evaluation as EV  # noqa: E402

@@ -52,9 +52,9 @@ def test_cosine_topk_exact_and_batched(spark):
     queries = emb.filter(F.col("label") == 3).select(F.col("vec_id").alias("qid"),
                                                      F.col("embedding").alias("vec"))
     want = _brute_cosine(emb.toPandas(), queries.toPandas(), 5)
-    for budget in (R.DEFAULT_BROADCAST_BYTES, 4096):  # 4 KiB forces several query batches
+    for dim in (64, 1 << 19):  # the second makes blocks of two vectors
         got = {}
-        for r in R.cosine_topk(emb.repartition(4), queries, k=5, max_broadcast_bytes=budget).collect():
+        for r in R.cosine_topk(emb.repartition(4), queries, k=5, dim=dim).collect():
             got.setdefault(r["qid"], []).append((r["rank"], r["doc_id"]))
         got = {q: [d for _, d in sorted(v)] for q, v in got.items()}
         assert got == want
@@ -175,14 +175,32 @@ def test_batch_question_file(spark):
     assert {r["context"] for r in recs if "2024" in r["question"]} == {"2024 NPL 7.6%"}
 
 
-@pytest.mark.parametrize("budget", [1 << 20])
-def test_cosine_plan_has_no_cartesian(spark, budget):
+def test_cosine_plan_has_no_cartesian(spark):
     emb = spark.read.parquet(f"{SF_SMALL}/embeddings.parquet")
     cents = R.label_centroids(emb).select(F.col("label").alias("qid"), F.col("centroid").alias("vec"))
-    plan = R.cosine_topk(emb, cents, k=3, max_broadcast_bytes=budget)._jdf.queryExecution().executedPlan().toString()
+    plan = R.cosine_topk(emb, cents, k=3)._jdf.queryExecution().executedPlan().toString()
     assert "Cartesian" not in plan and "BroadcastNestedLoopJoin" not in plan
 
 
+def test_retrieval_keeps_questions_off_the_driver(spark, monkeypatch):
+    """Blocks are joined on Spark: building the plan collects nothing, partial
+    rows have no text column, and small blocks give the same rows."""
+    docs = spark.range(500).select(F.concat(F.lit("d"), "id").alias("id"),
+                                   F.concat_ws(" ", F.lit("npl"), F.col("id") % 7, F.col("id") % 11).alias("text"))
+    qs = spark.range(90).select("id", F.concat_ws(" ", F.lit("npl of"), F.col("id") % 9, F.col("id") % 5).alias("question"))
+    monkeypatch.setattr(type(docs), "collect", lambda self: pytest.fail("collected"))
+    monkeypatch.setattr(type(docs), "toArrow", lambda self: pytest.fail("collected"))
+    plan = R.answer_questions(qs, docs, k=2, qid="id")
+    monkeypatch.undo()
+    lines = plan._jdf.queryExecution().executedPlan().toString().splitlines()
+    scored = [ln for ln in lines if "MapInPandas run" in ln and "similarity" in ln]
+    assert scored and not any("_dtext" in ln for ln in scored)
+    want = sorted(map(tuple, plan.collect()))
+    monkeypatch.setattr(R, "DOC_ROWS", 17)
+    monkeypatch.setattr(R, "QUERY_ROWS", 5)
+    assert sorted(map(tuple, R.answer_questions(qs, docs.repartition(5), k=2, qid="id").collect())) == want
+
+
 def _hashing_encoder(texts: pd.Series, dim: int = 64) -> list:
     """The default encoder's vectors, text by text."""
     out = []
@@ -231,9 +249,8 @@ def test_dense_term_path_equals_sparse(monkeypatch, share):
     rng = np.random.default_rng(7)
     nq, n_docs, vocab = 37, 53, 40
     zipf = 1.0 / np.arange(1, vocab + 1)
-    rows = [{"qid": i, "_toks": [f"t{t}" for t in rng.choice(vocab, rng.integers(0, 12), p=zipf / zipf.sum())]}
-            for i in range(nq)]
-    _, terms, ptr, post_q, post_tf, _ = R._postings(rows, ["qid"])
+    rows = [[f"t{t}" for t in rng.choice(vocab, rng.integers(0, 12), p=zipf / zipf.sum())] for _ in range(nq)]
+    terms, ptr, post_q, post_tf, _ = R._postings(rows)
     entries = {(int(d), int(t)): int(rng.integers(1, 4))
                for d, t in zip(rng.integers(0, n_docs, 400), rng.choice(len(terms), 400))}
     d_of = np.array([d for d, _ in entries], dtype=np.int64)
