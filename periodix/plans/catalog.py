@@ -891,3 +891,125 @@ register(
   WHERE rank <= 3""", ratio=("similarity",), panel=False),
     ratio=("similarity",), ops="R4 R5 R7",
 )
+
+# --- 13. workbooks written and read back (S1-S5) ------------------------------------
+
+from periodix.sources import workbooks as WB  # noqa: E402
+
+
+def _workbook_read(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    from periodix.session import shared_folder
+    from periodix.sources.xlsx import read_filings
+
+    folder = shared_folder(spark, "workbooks")
+    WB.write_workbooks(panel.filings_parsed(spark, sf), folder).write.format("noop").mode("overwrite").save()
+    return read_filings(spark, folder)
+
+
+_WB_FILE = f"regexp_replace(file, '[.]xlsx$', '_') || printf('%04d', CAST(no AS INTEGER) // {WB.FIRMS}) || '.xlsx'"
+register(
+    "workbook_ingest", lambda sp, sf: _workbook_read(sp, sf)[0],
+    S.rounded(f"""SELECT * REPLACE ({_SHIFTED} || substr(quarter, 5) AS quarter, CAST(year + 20 AS INTEGER) AS year,
+        {_WB_FILE} AS file) FROM filings""", money=MONEY_ROW[:6]),
+    money=MONEY_ROW[:6], ops="S1 S2 S3 S5",
+)
+register(
+    "workbook_errors",
+    lambda sp, sf: _workbook_read(sp, sf)[1].withColumn("error", F.substring_index("error", ":", 1)),
+    S.rounded(f"""WITH f AS (SELECT {_WB_FILE} AS file, '01.' || substr(quarter, 6, 2) || '.' || {_SHIFTED} AS sheet FROM parsed),
+        h AS (SELECT file, min(sheet) AS sheet FROM f WHERE file LIKE '%!_h1!_0000.xlsx' ESCAPE '!' GROUP BY file)
+        SELECT '~$' || file AS file, CAST(NULL AS VARCHAR) AS sheet, 'unreadable workbook' AS error FROM h
+        UNION ALL SELECT 'cut_' || file, NULL, 'unreadable workbook' FROM h
+        UNION ALL SELECT 'torn_' || file, sheet, 'unreadable sheet' FROM h"""),
+    ops="S1 S4",
+)
+
+# --- 14. mergeable counts, stored results, vector collection (A4, S6, S8) --------------
+
+from periodix.plans import store as ST  # noqa: E402
+
+
+def _sketched_counts(spark: SparkSession, sf: str) -> DataFrame:
+    """Firms per year and of all years: the exact count, and whether the one
+    from the stored quarterly sketches is within its stated error."""
+    from periodix.session import shared_folder
+
+    e = enriched(spark, sf)
+    folder = shared_folder(spark, "sketches")
+    agg.entity_sketches(e).write.parquet(folder)
+    sketches = spark.read.parquet(folder)
+    every = lambda df: df.withColumn("year", F.lit(None).cast("int")).select("year", "mfo_count")
+    near = agg.sketch_counts(sketches, "year").unionByName(every(agg.sketch_counts(sketches)))
+    count = F.countDistinct("mfo_name").alias("mfo_count")
+    exact = e.groupBy("year").agg(count).unionByName(every(e.agg(count))).withColumnRenamed("year", "_year")
+    near = near.withColumnRenamed("mfo_count", "_near")
+    off = F.abs(F.col("_near") - F.col("mfo_count"))
+    return exact.join(near, F.col("_year").eqNullSafe(F.col("year"))).select(
+        "year", "mfo_count", (off <= F.ceil(F.col("mfo_count") * agg.SKETCH_ERROR)).alias("within_error"))
+
+
+register(
+    "sketched_counts", _sketched_counts,
+    S.rounded("SELECT year, count(DISTINCT mfo_name) AS mfo_count, true AS within_error FROM marked GROUP BY ROLLUP (year)"),
+    ops="A4 (sketches)",
+)
+
+
+def publish_results(spark: SparkSession, sf: str, root: str) -> None:
+    """The yearly market table and the ranking, as the newest version of a store."""
+    from pyspark import StorageLevel
+
+    m = marked(spark, sf).persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        ST.publish({"yearly_market": agg.yearly_market(m), "top_mfos": rankings.top_n(m, n=10)}, root)
+    finally:
+        m.unpersist()
+
+
+def _stored_query(spark: SparkSession, sf: str) -> DataFrame:
+    from periodix.session import shared_folder
+
+    root = shared_folder(spark, "results")
+    publish_results(spark, sf, root)
+    return ST.Store(spark, root).query("yearly_market", year=2000)
+
+
+register(
+    "stored_query", _stored_query,
+    S.rounded(f"SELECT year, {S.MARKET_AGGS} FROM marked WHERE year = 2000 GROUP BY year",
+              money=MARKET_MONEY, ratio=("avg_npl_pct",)),
+    money=MARKET_MONEY, ratio=("avg_npl_pct",), ops="S6 P24 P18",
+)
+
+
+def _collection_search(spark: SparkSession, sf: str) -> DataFrame:
+    """A collection written, replaced, left alone by an empty write, read back
+    and searched; the winners' texts come by a join on the collection's buckets."""
+    from periodix.session import shared_folder
+    from periodix.sources.sinks import read_vector_collection, write_vector_collection
+
+    emb = read_table(spark, sf, "embeddings", "vec_id", "embedding", "label")
+    docs = emb.select(
+        F.col("vec_id").cast("string").alias("id"), F.concat(F.lit("vector "), F.col("vec_id").cast("string")).alias("text"),
+        "embedding", F.create_map(F.lit("label"), F.col("label").cast("string")).alias("metadata"))
+    path = shared_folder(spark, "collection")
+    write_vector_collection(docs.filter("metadata['label'] < '5'"), path)
+    write_vector_collection(docs, path)
+    write_vector_collection(docs.filter("id IS NULL"), path)
+    stored = read_vector_collection(spark, path)
+    asked = emb.filter("vec_id % 20 = 0").select(F.col("vec_id").alias("qid"), F.col("embedding").alias("vec"))
+    hits = R.cosine_topk(stored, asked, k=3, doc_id="id").withColumnRenamed("doc_id", "id")
+    return hits.join(stored.select("id", "text"), "id").select(
+        "qid", F.col("rank").cast("int").alias("rank"), "id", "text", "similarity")
+
+
+register(
+    "collection_search", _collection_search,
+    S.rounded("""SELECT qid, CAST(rank AS INTEGER) AS rank, id, 'vector ' || id AS text, similarity FROM (
+        SELECT *, row_number() OVER (PARTITION BY qid ORDER BY similarity DESC, id) AS rank FROM (
+          SELECT q.vec_id AS qid, CAST(d.vec_id AS VARCHAR) AS id,
+                 list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), CAST(d.embedding AS DOUBLE[])) AS similarity
+          FROM embeddings q CROSS JOIN embeddings d WHERE q.vec_id % 20 = 0)) WHERE rank <= 3""",
+              ratio=("similarity",), panel=False),
+    ratio=("similarity",), ops="S8 R5 R7",
+)

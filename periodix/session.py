@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 import zipfile
 
 from pyspark.sql import SparkSession
@@ -72,6 +73,11 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return path
 
 
+def shared_folder(spark: SparkSession, what: str) -> str:
+    """A fresh folder name below the shared checkpoint folder."""
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/{what}-{uuid.uuid4().hex}"
+
+
 _SHIPPED: set[str] = set()
 
 

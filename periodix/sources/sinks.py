@@ -6,6 +6,8 @@ overwrite mode, so a re-run after a failure replaces partial output.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -33,13 +35,43 @@ def export_csv(df: DataFrame, path: str) -> None:
     flat.write.mode("overwrite").option("header", True).option("encoding", "UTF-8").csv(path)
 
 
-def write_vector_collection(docs: DataFrame, path: str) -> None:
-    """Replace a collection of ``(id, text, embedding, metadata)``."""
-    docs.select("id", "text", "embedding", "metadata").write.mode("overwrite").parquet(path)
+COLLECTION = "id", "text", "embedding", "metadata"
+BUCKETS = 16
+
+
+def write_vector_collection(docs: DataFrame, path: str, buckets: int = BUCKETS) -> bool:
+    """Replaces a collection of ``(id, text, embedding, metadata)``, sorted
+    into buckets by id, so that joins on the id shuffle the other side only.
+
+    The documents are written as a version of their own that readers see once
+    it is whole; without any document nothing changes (False)."""
+    from periodix.plans.store import publish_version
+
+    spark = docs.sparkSession
+    slim = docs.select(*COLLECTION)
+    version = uuid.uuid4().hex
+    folder, name = f"{path.rstrip('/')}/versions/{version}", f"collection_{version}"
+    slim.repartition(buckets, "id").write.bucketBy(buckets, "id").sortBy("id").option("path", folder).saveAsTable(name)
+    if spark.table(name).isEmpty():
+        spark.sql(f"DROP TABLE {name}")
+        return False
+    publish_version(spark, path.rstrip("/"), version)
+    return True
+
 
+def read_vector_collection(spark: SparkSession, path: str, buckets: int = BUCKETS) -> DataFrame:
+    """The newest version of a collection, by its buckets in any session."""
+    from periodix.plans.store import versions
 
-def read_vector_collection(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(path)
+    version = next(iter(versions(spark, path.rstrip("/"))), None)
+    if version is None:
+        raise ValueError(f"no collection in {path}")
+    folder, name = f"{path.rstrip('/')}/versions/{version}", f"collection_{version}"
+    if not spark.catalog.tableExists(name):
+        columns = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in spark.read.parquet(folder).schema)
+        spark.sql(f"CREATE TABLE {name} ({columns}) USING parquet CLUSTERED BY (id) SORTED BY (id) "
+                  f"INTO {buckets} BUCKETS LOCATION '{folder}'")
+    return spark.table(name)
 
 
 def read_questions(spark: SparkSession, path: str) -> DataFrame:
