@@ -95,6 +95,11 @@ def fmt_fixed(x: Column, decimals: int) -> Column:
     return F.call_function("format_number", x, F.lit(pattern))
 
 
+def fmt_thousands(x: Column) -> Column:
+    """``f"{x:,.0f}"``: whole numbers in groups of three."""
+    return F.call_function("format_number", x, F.lit("#,##0"))
+
+
 def basename(path: Column) -> Column:
     """Last path segment (file lineage)."""
     return F.element_at(F.split(path, "/"), -1)

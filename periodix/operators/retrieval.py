@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from periodix.operators import text as T
+from periodix.operators.routing import asked_tables
 
 TOKEN_SPLIT = r"[^\p{L}\p{N}]+"
 DOC_ROWS = 4096       # documents of a block
@@ -385,19 +386,11 @@ def answer_questions(questions: DataFrame, docs: DataFrame, k: int = 2, qid: str
 
 
 YEAR_PATTERN = r"((?:19|20)\d{2})"
-# Words that send a question to the ranking or the segment table; the first
-# list that matches wins, other questions about a year go to the yearly table.
-ROUTE_WORDS = {
-    "ranking": ["top", "largest", "biggest", "first", "ranking"],
-    "segment": ["segment", "segments", "leaders", "smaller"],
-}
 
 
 def structured_facts(yearly: DataFrame, segments: DataFrame, top: DataFrame) -> DataFrame:
     """Lines ``(kind, year, no, line)`` of the three result tables."""
-    figures = lambda: F.concat(
-        F.lit("Assets "), T.fmt_fixed(F.col("assets") / F.lit(T.BILLION), 1), F.lit("B KZT, NPL "),
-        F.coalesce(T.fmt_fixed(F.col("npl"), 2), F.lit("nan")), F.lit("%"))
+    figures = lambda: T.figures(F.col("assets"), F.col("npl"))
     year = F.col("year").cast("string")
     line = T.summary_line(F.col("year"), F.col("mfo_count"), F.col("total_assets"), F.col("avg_npl_pct"))
     market = yearly.select(F.lit("yearly").alias("kind"), "year", F.lit(0).alias("no"), line.alias("line"))
@@ -414,17 +407,17 @@ def structured_facts(yearly: DataFrame, segments: DataFrame, top: DataFrame) ->
 def route_questions(questions: DataFrame, facts: DataFrame, qid: str = "qid", question: str = "question") -> DataFrame:
     """``(qid, kind, year)`` of the facts each question asks for.
 
-    The kind comes from ``ROUTE_WORDS``; the years are those the question
-    names, or, for a ranking or segment question without one, the latest year
-    there is.  A question that names no table has no row, nor has one whose
-    years have no data: those are left to search.
+    The kinds are the tables its words ask for (``routing``), the yearly table
+    if they ask for none; the years are those the question names, or, for a
+    ranking or segment question without one, the latest year there is.  A
+    question that names no table has no row, nor has one whose years have no
+    data: those are left to search.
     """
-    words = tokens(F.col(question))
-    kind = F.lit("yearly")
-    for name, listed in reversed(ROUTE_WORDS.items()):
-        kind = F.when(F.arrays_overlap(words, F.array(*map(F.lit, listed))), F.lit(name)).otherwise(kind)
     named = F.array_distinct(F.regexp_extract_all(F.col(question), F.lit(YEAR_PATTERN), 1))
-    q = questions.select(qid, kind.alias("kind"), named.alias("_years"))
+    q = questions.select(qid, asked_tables(F.coalesce(tokens(F.col(question)), F.array().cast("array<string>"))).alias("_kinds"),
+                         named.alias("_years"))
+    kinds = F.when(F.size("_kinds") == 0, F.array(F.lit("yearly"))).otherwise(F.col("_kinds"))
+    q = q.select(qid, F.explode(kinds).alias("kind"), "_years")
     known = facts.select("kind", "year").distinct()
     latest = known.groupBy("kind").agg(F.max("year").alias("year"))
     by_year = q.select(qid, "kind", F.explode(F.col("_years").cast("array<int>")).alias("year")).join(known, ["kind", "year"])
@@ -438,16 +431,16 @@ def hybrid_answers(questions: DataFrame, yearly: DataFrame, segments: DataFrame,
     """R13 + R14: structured facts and search results in one context.
 
     Output: ``qid, question, route, context, answer, n_sources``: the route
-    (``yearly``, ``segment``, ``ranking``, or ``semantic`` for questions
-    without structured facts), the facts of the asked years in order followed
-    by the ``k`` nearest texts, and the number of source files behind the
+    (``yearly``, ``segment``, ``ranking``, several joined by ``+``, or
+    ``semantic`` for questions without structured facts), the facts of the
+    asked years in order followed by the ``k`` nearest texts, and the number of source files behind the
     facts (listed by ``answer_sources``).  Ids must be unique.
     """
     facts = structured_facts(yearly, segments, top)
     routed = route_questions(questions, facts, qid, question)
-    lines = F.array_sort(F.collect_list(F.struct("year", "no", "line")))  # a few lines per year asked
+    lines = F.array_sort(F.collect_list(F.struct("year", "kind", "no", "line")))  # a few lines per year asked
     structured = routed.join(facts, ["kind", "year"]).groupBy(qid).agg(
-        F.first("kind").alias("_kind"),
+        F.array_join(F.array_sort(F.collect_set("kind")), "+").alias("_kind"),
         F.array_join(F.transform(lines, lambda x: x["line"]), T.CONTEXT_SEPARATOR).alias("_facts"))
     files = answer_sources(routed, sources, qid).groupBy(qid).agg(F.count(F.lit(1)).alias("_files"))
     found = answer_questions(questions, docs, k, qid, question).select(qid, question, F.col("context").alias("_near"))

@@ -25,13 +25,15 @@ PROMPT_TEMPLATE = (
 # -----------------------------------------------------------------------------
 
 
+def figures(assets: Column, npl_pct: Column, unit: float = BILLION) -> Column:
+    """Assets and NPL as the lines show them (missing NPL prints ``nan``)."""
+    return F.concat(F.lit("Assets "), fmt_fixed(assets / F.lit(unit), 1), F.lit("B KZT, NPL "),
+                    F.coalesce(fmt_fixed(npl_pct, 2), F.lit("nan")), F.lit("%"))
+
+
 def summary_line(year: Column, n: Column, assets: Column, npl_pct: Column, unit: float = BILLION) -> Column:
-    """One overview line as a column (missing NPL prints ``nan``)."""
-    return F.concat(
-        year.cast("string"), F.lit(": "), n.cast("string"), F.lit(" MFOs, Assets "),
-        fmt_fixed(assets / F.lit(unit), 1), F.lit("B KZT, NPL "),
-        F.coalesce(fmt_fixed(npl_pct, 2), F.lit("nan")), F.lit("%"),
-    )
+    """One overview line as a column."""
+    return F.concat(year.cast("string"), F.lit(": "), n.cast("string"), F.lit(" MFOs, "), figures(assets, npl_pct, unit))
 
 
 def summary_lines(yearly: DataFrame, unit: float = BILLION) -> DataFrame:

@@ -583,6 +583,7 @@ register(
 # --- 10. question answering (R10-R13, R15) and evaluation (R16) ------------------
 
 from periodix.operators import evaluation as EV  # noqa: E402
+from periodix.operators import routing as RT  # noqa: E402
 
 
 def _chunk_docs(spark: SparkSession, sf: str) -> DataFrame:
@@ -654,15 +655,16 @@ register(
 
 
 def _tables(spark: SparkSession, sf: str) -> dict[str, DataFrame]:
-    """The small result tables that questions are asked and answered from: a
-    few rows a year, aggregated once and kept in the shared checkpoint folder
-    (questions read each of them several times)."""
+    """The small result tables that questions are asked and answered from: the
+    panel is computed once, its aggregates (a few rows a year; questions read
+    each of them several times) are kept in the shared checkpoint folder."""
     from periodix.session import ensure_checkpoint_dir
 
     ensure_checkpoint_dir(spark)
-    m, e = marked(spark, sf), enriched(spark, sf)
-    small = {"yearly": agg.yearly_market(e), "segments": agg.yearly_segments(m), "top": rankings.top_n(m, n=3)}
-    return {k: v.coalesce(1).checkpoint(eager=True) for k, v in small.items()} | {"sources": agg.source_attribution(e)}
+    m = marked(spark, sf).checkpoint(eager=True)
+    small = {"yearly": agg.yearly_market(m), "segments": agg.yearly_segments(m), "top": rankings.top_n(m, n=3),
+             "sources": agg.source_attribution(m)}
+    return {k: v.coalesce(1).checkpoint(eager=True) for k, v in small.items()}
 
 
 def _questions(t: dict[str, DataFrame]) -> DataFrame:
@@ -679,7 +681,7 @@ def _questions(t: dict[str, DataFrame]) -> DataFrame:
     by_year = base.select(F.explode(F.array(
         row(F.concat(F.lit("Market NPL ratio of "), y, F.lit("?")), F.col("avg_npl_pct").cast("string"), "numerical"),
         row(F.concat(F.lit("Which firm was biggest in "), y, F.lit("?")), F.col("leader"), "text"),
-        row(F.concat(F.lit("Compare leaders and smaller firms of "), y, F.lit(".")), any_text, "analytical"),
+        row(F.concat(F.lit("Both segments side by side, year "), y, F.lit("?")), any_text, "analytical"),
     )).alias("q"))
     others = last.select(F.explode(F.array(
         row(F.concat(F.lit("Market NPL ratio of "), (F.col("y") + 30).cast("string"), F.lit("?")), any_text, "analytical"),
@@ -732,7 +734,20 @@ def _repeated_qa(spark: SparkSession, sf: str) -> DataFrame:
 
 
 # The rules of routing, written out for SQL: words are lower-case runs of
-# letters and digits, the ranking list goes before the segment list.
+# letters and digits, every table with enough weight is asked for.
+
+
+def _kinds_sql(words: str) -> str:
+    def points(term: str, weight: int) -> str:
+        hit = (f"len(list_filter({words}, lambda w: starts_with(w, '{term[:-1]}'))) > 0" if term.endswith("*")
+               else f"list_contains({words}, '{term}')")
+        return f"CASE WHEN {hit} THEN {weight} ELSE 0 END"
+
+    asked = ", ".join(f"CASE WHEN {' + '.join(points(*x) for x in terms.items())} >= {RT.ENOUGH} THEN '{kind}' END"
+                      for kind, terms in sorted(RT.DESCRIPTIONS.items()))
+    return f"list_filter([{asked}], lambda k: k IS NOT NULL)"
+
+
 _YEARLY_CTE = f"yearly AS (SELECT year, {S.MARKET_AGGS} FROM marked GROUP BY year)"
 _FACTS_CTE = f"""{_YEARLY_CTE},
   seg AS (SELECT year, {_SEG} AS segment, {S.SEGMENT_AGGS} FROM marked GROUP BY year, is_leader),
@@ -754,7 +769,7 @@ _QUESTIONS_SQL = f"""
            CAST(avg_npl_pct AS VARCHAR) AS expected, 'numerical' AS type FROM yearly
     UNION ALL SELECT 'Which firm was biggest in ' || CAST(y.year AS VARCHAR) || '?', l.mfo_name, 'text'
       FROM yearly y LEFT JOIN lead l ON y.year = l.year
-    UNION ALL SELECT 'Compare leaders and smaller firms of ' || CAST(year AS VARCHAR) || '.', 'any text', 'analytical' FROM yearly
+    UNION ALL SELECT 'Both segments side by side, year ' || CAST(year AS VARCHAR) || '?', 'any text', 'analytical' FROM yearly
     UNION ALL SELECT 'Market NPL ratio of ' || CAST(y + 30 AS VARCHAR) || '?', 'any text', 'analytical' FROM final
     UNION ALL SELECT 'Who tops the ranking?', leader, 'text' FROM final
     UNION ALL SELECT 'How do the segments differ?', 'any text', 'analytical' FROM final
@@ -768,15 +783,15 @@ def _routing_cte(asked: str) -> str:
     return f"""{_FACTS_CTE},
   derived AS ({_QUESTIONS_SQL}),
   qs0 AS ({asked}),
-  kinds AS (SELECT qid, regexp_extract_all(question, '{_YEAR_RE}', 1) AS ys,
-      CASE WHEN list_has_any({words}, ['top', 'largest', 'biggest', 'first', 'ranking']) THEN 'ranking'
-           WHEN list_has_any({words}, ['segment', 'segments', 'leaders', 'smaller']) THEN 'segment'
-           ELSE 'yearly' END AS kind FROM qs0),
+  worded AS (SELECT qid, question, {words} AS words FROM qs0),
+  kinded AS (SELECT qid, regexp_extract_all(question, '{_YEAR_RE}', 1) AS ys, {_kinds_sql("words")} AS ks FROM worded),
+  kinds AS (SELECT qid, ys, unnest(CASE WHEN len(ks) = 0 THEN ['yearly'] ELSE ks END) AS kind FROM kinded),
   named AS (SELECT DISTINCT qid, kind, CAST(unnest(ys) AS INTEGER) AS year FROM kinds),
   routed AS (SELECT n.* FROM named n WHERE EXISTS (SELECT 1 FROM facts f WHERE f.kind = n.kind AND f.year = n.year)
              UNION ALL SELECT qid, kind, (SELECT max(year) FROM facts f WHERE f.kind = k.kind) FROM kinds k
              WHERE len(ys) = 0 AND kind <> 'yearly'),
-  said AS (SELECT qid, any_value(r.kind) AS kind, string_agg(line, {_NL2} ORDER BY f.year, f.no) AS facts
+  said AS (SELECT qid, array_to_string(list_sort(list_distinct(list(r.kind))), '+') AS kind,
+                  string_agg(line, {_NL2} ORDER BY f.year, f.kind, f.no) AS facts
            FROM routed r JOIN facts f ON r.kind = f.kind AND r.year = f.year GROUP BY qid),
   per_file AS (SELECT year, file, count(*) AS n_records FROM marked GROUP BY year, file),
   used AS (SELECT qid, file, CAST(sum(n_records) AS BIGINT) AS n_records
@@ -843,9 +858,8 @@ register(
 )
 register(
     "structured_query",
-    lambda sp, sf: RS.structured_query(
-        {"yearly_market": agg.yearly_market(metrics.enrich_metrics(panel.filings_panel(sp, sf, 2000)))},
-        "yearly_market", year=2000),
+    lambda sp, sf: RS.structured_query({"yearly_market": _plan("market of 2000", sp, sf, lambda: agg.yearly_market(
+        metrics.enrich_metrics(panel.filings_panel(sp, sf, 2000))))}, "yearly_market", year=2000),
     S.rounded(f"SELECT year, {S.MARKET_AGGS} FROM marked WHERE year = 2000 GROUP BY year",
               money=MARKET_MONEY, ratio=("avg_npl_pct",)),
     money=MARKET_MONEY, ratio=("avg_npl_pct",), ops="P24 P18",

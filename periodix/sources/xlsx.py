@@ -242,12 +242,12 @@ def read_filings(spark: SparkSession, directory: str, mode: str = "quarantine",
         listing = (spark.read.format("binaryFile").option("pathGlobFilter", "*.xlsx")
                    .option("recursiveFileLookup", "false").load(directory).select("path"))
         if listing.isEmpty():  # S1: only the file listing, contents are not read
-            raise ValueError(f"No Excel files found in {directory}")
+            raise ValueError(f"{directory} holds no workbook")
     raw = scan_workbooks(spark, directory).persist(StorageLevel.MEMORY_AND_DISK)
     cells = raw.filter(F.col("error").isNull()).drop("error")
     decode_errors = raw.filter(F.col("error").isNotNull()).select("file", "sheet", "error")
     filings, sheet_errors = normalise_sheets(cells, mode=mode)
     if require_rows and filings.isEmpty():  # S5
         raw.unpersist()
-        raise ValueError("No data extracted from any files")
+        raise ValueError("no workbook holds a usable filing row")
     return filings, decode_errors.unionByName(sheet_errors)

@@ -143,10 +143,10 @@ def test_cell_types(tmp_path):
 
 def test_empty_directory_guard(spark):
     d = tempfile.mkdtemp(prefix="periodix-empty-")
-    with pytest.raises(ValueError, match="No Excel files found"):
+    with pytest.raises(ValueError, match="holds no workbook"):
         read_filings(spark, d)
     assert read_filings(spark, workbook_of_nothing(d), require_rows=False)[0].count() == 0
-    with pytest.raises(ValueError, match="No data extracted"):
+    with pytest.raises(ValueError, match="usable filing row"):
         read_filings(spark, d)
 
 

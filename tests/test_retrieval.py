@@ -142,6 +142,29 @@ def test_routes(spark):
     assert got[4]["context"] == "overview of npl" and got[4]["n_sources"] == 0 and got[1]["n_sources"] == 2
 
 
+@pytest.mark.parametrize("question,want", [
+    ("Is this the first time in 2000 you saw leaders?", ["segment"]),
+    ("Who are the top three and the segments of 2000?", ["ranking", "segment"]),
+    ("Кто крупнейший в 2000 году?", ["ranking"]), ("Обзор рынка за 2000 год", ["yearly"]),
+    ("Сегменты и рейтинг 2000", ["ranking", "segment"]), ("2000 жылғы нарық шолуы", ["yearly"]),
+    ("2000 жылғы ең ірі ұйым", ["ranking"]), ("2000년 상위 회사는?", ["ranking"]), ("2000년 시장 부문 비교", ["segment", "yearly"]),
+    ("average NPL of market leaders in 2000", ["segment", "yearly"]), ("topics of 2000", []), ("the first small step", []), (None, [])])
+def test_asked_tables(spark, question, want):
+    from periodix.operators.routing import asked_tables
+
+    df = spark.createDataFrame([(question,)], "q STRING")
+    words = F.coalesce(R.tokens(F.col("q")), F.array().cast("array<string>"))
+    assert df.select(asked_tables(words).alias("k")).first()["k"] == want
+
+
+def test_thousands(spark):
+    from periodix.functions.columns import fmt_thousands
+
+    xs = [0.0, 999.0, 1234567.5, 2.5, -1234.0, None]
+    got = [r[0] for r in spark.createDataFrame([(x,) for x in xs], "x DOUBLE").select(fmt_thousands(F.col("x"))).collect()]
+    assert got == [None if x is None else f"{x:,.0f}" for x in xs]
+
+
 def test_summary_lines_format(spark):
     yearly = spark.createDataFrame([(2024, 3, 386706828.0, 14.831986), (2023, 2, 0.125e9, None)],
                                    "year INT, mfo_count BIGINT, total_assets DOUBLE, avg_npl_pct DOUBLE")
