@@ -107,7 +107,12 @@ def running_share(df: DataFrame, period: str = "quarter", size: str = "assets",
     upto = Window.partitionBy("_p", "_slice").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     joined = sliced.withColumn("_local", F.sum("_units").over(upto)).join(
         offsets, F.col("_p").eqNullSafe(F.col("_q")) & (F.col("_slice") == F.col("_s")))
-    share = F.try_divide((F.col("_above") + F.col("_local")).cast("double"), F.col("_total").cast("double"))
+    run, total = F.col("_above") + F.col("_local"), F.col("_total")
+    amount_of = lambda units: F.concat(units.cast("string"), F.lit("E"), F.col("_unit").cast("string")).cast("double")
+    # beyond the range of doubles with all their digits, units are divided
+    whole = F.abs(amount_of(total))
+    share = F.when((whole > 1e-290) & (whole < float("inf")), F.try_divide(amount_of(run), amount_of(total))).otherwise(
+        F.try_divide(run.cast("double"), total.cast("double")))
     has = F.col("_units").isNotNull() & ~F.coalesce("_endless", F.lit(False))
     return joined.withColumn("cumulative_share", F.when(has, share)).select(*df.columns, "cumulative_share")
 
