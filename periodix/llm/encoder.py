@@ -1,15 +1,15 @@
 """Byte-pair encoding of many texts in one Python worker.
 
 The tokenizers library encodes a text unit by unit: its pre-tokenizer never
-lets a token span a unit boundary.  ``UnitEncoder`` splits texts at places
-that are such boundaries for certain, hands each distinct unit to the library
-once and remembers the ids of the first ``memory`` distinct units a worker
-sees (a fixed bound on its size); other units are encoded anew in each batch.
-Unseen units go to the library many at a time, as one text, and are told apart
-by the bytes their ids stand for; where those do not fit, one by one.  A text
-that holds one of the vocabulary's special strings is encoded as a whole, since
-the library cuts texts there.  The result equals the library's default call
-``encode(text, add_special_tokens=False)`` id for id.
+lets a token span a unit boundary (``units``).  ``UnitEncoder`` hands each
+distinct unit to the library once and remembers the ids of the first ``memory``
+distinct units a worker sees (a fixed bound on its size); other units are
+encoded anew in each chunk of texts.  Unseen units go to the library many at a
+time, as one text, and are told apart by the bytes their ids stand for; where
+those do not fit, one by one.  A text that holds one of the vocabulary's special
+strings is encoded as a whole, since the library cuts texts there.  The result
+equals the library's default call ``encode(text, add_special_tokens=False)`` id
+for id.
 """
 
 from __future__ import annotations
@@ -17,51 +17,43 @@ from __future__ import annotations
 import os
 import re
 import unicodedata
+from array import array
+from collections.abc import Iterator
 
 import numpy as np
 
 from periodix.llm.common import no_collection
+from periodix.llm.units import Cut, Memory, cuts, gather
 
-MEMORY = 1_200_000  # distinct units a worker remembers (about 200 bytes each)
-BATCH_CHARS = 1 << 22
+MEMORY = 3_000_000  # distinct units a worker remembers (about 35 bytes each)
 JOINED = 2048       # characters of unseen units encoded in one call (one unit at least)
 
-# Characters that Python counts as white space and the library does not.
-_ODD_SPACE = re.compile("[\x1c-\x1f]")
-_ASCII_SPACE = re.compile("[ \t\n\r]+")
-_UNIT_START = re.compile(r"(?<=\S)(?=[ \n]\S)")
-
-
-def word_units(text: str) -> list[str]:
-    """Units of a vocabulary that drops white space: the words."""
-    if _ODD_SPACE.search(text):
-        return [w for w in _ASCII_SPACE.split(text) if w]
-    return text.split()
-
-
-def spaced_units(text: str) -> list[str]:
-    """Units of a byte-level vocabulary: a word with the one blank or line
-    feed before it.  Other runs of white space stay inside a unit."""
-    if "\0" not in text:
-        plain = text.replace("\n", " ").split(" ")
-        if plain == text.split():   # only single separators, none at an end
-            return text.replace(" ", "\0 ").replace("\n", "\0\n").split("\0")
-    return _UNIT_START.split(text) if text else []
-
+SIGNS = 10_000      # runs of signs remembered
 
+# One word of letters whose kind and lower case (of one letter each; U+0130 has
+# two) every Unicode version has alike, the blank before it, and ASCII signs
+# behind it: such a unit has two pre-tokens at most.
+_PLAIN = re.compile(r"( ?)((?:(?!\u0130)[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f])+)([!-/:-@\[-`{-~]*)\Z").match
+# how a byte-level vocabulary writes bytes, given as the characters of their numbers
+_VISIBLE = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+_SHOWN = {b: 256 + k for k, b in enumerate(b for b in range(256) if b not in _VISIBLE)}
 # spaced units with white space at no outer end but the one sign before them
 _CLEAN = re.compile(r"[ \n]\S(?:.*\S)?\Z", re.DOTALL).match
 
 
 class UnitEncoder:
-    def __init__(self, path: str, units, memory: int = MEMORY):
+    """``spaced``: the vocabulary keeps white space; otherwise it drops it and
+    folds letters to lower case."""
+
+    def __init__(self, path: str, spaced: bool, memory: int = MEMORY):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # one task, one core
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.units, self.memory, self.known = units, memory, {}
+        self.spaced, self.signs = spaced, {}
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
+        self.known = Memory(self.dtype, memory)
         self.lengths = np.zeros(self.tokenizer.get_vocab_size(), np.int64)  # bytes of each entry
         for entry, k in self.tokenizer.get_vocab().items():
             self.lengths[k] = len(entry.removesuffix("</w>"))
@@ -72,69 +64,101 @@ class UnitEncoder:
 
     def _joined(self, units: list[str]) -> list[bytes]:
         """Codes of units that boundaries part for certain, from one call."""
-        words = self.units is word_units
-        e = self.tokenizer.encode_batch_fast([(" " if words else "").join(units)], add_special_tokens=False)[0]
+        e = self.tokenizer.encode_batch_fast([("" if self.spaced else " ").join(units)], add_special_tokens=False)[0]
         ids = np.array(e.ids, self.dtype)
-        sizes = [len(u) if u.isascii() else len((unicodedata.normalize("NFC", u).lower() if words else u).encode())
+        sizes = [len(u) if u.isascii() else len((u if self.spaced else unicodedata.normalize("NFC", u).lower()).encode())
                  for u in units]
         ends, want = np.cumsum(self.lengths[ids]), np.cumsum(sizes)
-        cuts = np.searchsorted(ends, want) + 1
-        if not len(ids) or cuts[-1] != len(ids) or (ends[cuts - 1] != want).any():
+        cut = np.searchsorted(ends, want) + 1
+        if not len(ids) or cut[-1] != len(ids) or (ends[cut - 1] != want).any():
             return self._one_by_one(units)
         data, size = ids.tobytes(), self.dtype.itemsize
-        edges = [0, *(cuts * size).tolist()]
+        edges = [0, *(cut * size).tolist()]
         return [data[a:b] for a, b in zip(edges, edges[1:])]
 
-    def _codes(self, units: list[str]) -> dict[str, bytes]:
-        """Codes of distinct units."""
-        clean = units if self.units is word_units else [u for u in units if _CLEAN(u)]
-        out = {}
-        if len(clean) < len(units):
-            rest = [u for u in units if not _CLEAN(u)]
-            out.update(zip(rest, self._one_by_one(rest)))
+    def _model(self, pretoken: str) -> bytes:
+        """Code of one pre-token, by the library's model alone."""
+        shown = pretoken.encode().decode("latin-1").translate(_SHOWN)
+        return array(self.dtype.char, [t.id for t in self.tokenizer.model.tokenize(shown)]).tobytes()
+
+    def _new(self, units: list[bytes]) -> dict[bytes, bytes]:
+        """Codes of distinct units from the library: those of one word, maybe
+        with signs behind it, pre-token by pre-token, other clean ones joined."""
+        out, clean, rest = {}, [], []
+        for u in units:
+            text = u.decode("utf-8", "surrogatepass")
+            plain = _PLAIN(text)
+            if plain and (plain[1] == " ") == self.spaced:
+                word, signs = plain[1] + plain[2], plain[3]
+                word = word if self.spaced else word.lower()
+                code = self._model(word)
+                if signs:
+                    if signs not in self.signs:
+                        if len(self.signs) >= SIGNS:
+                            self.signs.clear()
+                        self.signs[signs] = self._model(signs)
+                    code += self.signs[signs]
+                out[u] = code
+            elif not self.spaced or _CLEAN(text):
+                clean.append((u, text))
+            else:
+                rest.append((u, text))
+        if rest:
+            out.update(zip([u for u, _ in rest], self._one_by_one([t for _, t in rest])))
         if clean:
-            step = np.cumsum(list(map(len, clean))) // JOINED
+            step = np.cumsum([len(u) for u, _ in clean]) // JOINED
             edges = [0, *(np.flatnonzero(np.diff(step)) + 1).tolist(), len(clean)]
             for a, b in zip(edges, edges[1:]):
-                out.update(zip(clean[a:b], self._joined(clean[a:b])))
+                out.update(zip([u for u, _ in clean[a:b]], self._joined([t for _, t in clean[a:b]])))
         return out
 
-    def _batch(self, texts: list[str]) -> list[bytes]:
-        with no_collection():
-            whole = {k for k, t in enumerate(texts) if any(s in t for s in self.special)}
-            split = [[] if k in whole else self.units(t) for k, t in enumerate(texts)]
-            known, here = self.known, {}
-            new = list(set().union(*split).difference(known))
-            if new:
-                here = self._codes(new)
-                for u in new[:self.memory - len(known)]:
-                    known[u] = here.pop(u)
-            if here:
-                out = [b"".join([known[u] if u in known else here[u] for u in units]) for units in split]
-            else:
-                out = [b"".join(map(known.__getitem__, units)) for units in split]
-            for k in whole:
-                out[k] = self._one_by_one([texts[k]])[0]
-            return out
-
-    def encode(self, texts: list[str]):
-        """Yield each text's ids as little-endian bytes of ``dtype``."""
-        batch, chars = [], 0
-        for text in texts:
-            batch.append(text or "")
-            chars += len(batch[-1])
-            if chars >= BATCH_CHARS:
-                yield from self._batch(batch)
-                batch, chars = [], 0
-        yield from self._batch(batch)
+    def _ids(self, cut: Cut) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all units of a chunk, and how many each has."""
+        at = self.known.find(cut.names)
+        gaps = np.flatnonzero(at < 0)
+        starts, sizes = np.zeros(len(at), np.int64), np.zeros(len(at), np.int64)
+        starts[at >= 0], sizes[at >= 0] = self.known.starts[at[at >= 0]], self.known.sizes[at[at >= 0]]
+        values = self.known.values
+        if len(gaps):
+            with no_collection():
+                units = cut.bytes_of(gaps)
+                new = self._new(units)
+                codes = list(map(new.__getitem__, units))
+            found = np.frombuffer(b"".join(codes), self.dtype)
+            sizes[gaps] = np.array(list(map(len, codes)), np.int64) // self.dtype.itemsize
+            starts[gaps] = len(values) + np.cumsum(sizes[gaps]) - sizes[gaps]
+            values = np.concatenate([values, found])
+            self.known.add((cut.names[0][gaps], cut.names[1][gaps]), sizes[gaps], found)
+        return gather(values, starts, sizes, cut.which), sizes[cut.which]
+
+    def encode(self, texts: list[str | None]) -> Iterator[np.ndarray]:
+        """Each text's ids, in order."""
+        whole = {k for k, t in enumerate(texts) if t and any(s in t for s in self.special)}
+        done, parts = 0, []  # texts given out, and what there is of the next one
+
+        def ids_of(k):
+            if k in whole:
+                return np.frombuffer(self._one_by_one([texts[k]])[0], self.dtype)
+            return parts[0] if len(parts) == 1 else np.concatenate(parts or [np.zeros(0, self.dtype)])
+
+        for owner, cut in cuts(["" if k in whole else t or "" for k, t in enumerate(texts)], self.spaced):
+            ids, sizes = self._ids(cut)
+            ends = np.concatenate([[0], np.cumsum(sizes)])[cut.edges].tolist()
+            for k, a, b in zip(owner, ends, ends[1:]):
+                if k > done:
+                    yield ids_of(done)
+                    done, parts = k, []
+                parts.append(ids[a:b])
+        if texts:
+            yield ids_of(done)
 
 
 _ENCODERS: dict[tuple, UnitEncoder] = {}
 
 
-def encoder(path: str, units) -> UnitEncoder:
+def encoder(path: str, spaced: bool) -> UnitEncoder:
     """The worker's encoder for a vocabulary file (workers are reused)."""
-    key = (path, units.__name__)
+    key = (path, spaced)
     if key not in _ENCODERS:
-        _ENCODERS[key] = UnitEncoder(path, units)
+        _ENCODERS[key] = UnitEncoder(path, spaced)
     return _ENCODERS[key]

@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from periodix.llm.common import cut_lineage, prepare, shuffle_partitions, table
-from periodix.llm.encoder import encoder, spaced_units
+from periodix.llm.encoder import encoder
 
 WINDOW = 1024
 ROUNDS = 300   # of the least-squares iteration
@@ -54,11 +54,11 @@ def pieces(docs: DataFrame, tokenizer_path: str, end_id: int = 0, window: int =
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, no = TaskContext.get().partitionId(), 0
-        code = encoder(tokenizer_path, spaced_units)
+        code = encoder(tokenizer_path, spaced=True)
         for batch in batches:
             ids, starts, lengths, crcs, totals, heads, tails = columns = [[] for _ in range(7)]
-            for doc_id, data in zip(batch.column(0).to_pylist(), code.encode(batch.column(1).to_pylist())):
-                tokens = np.append(np.frombuffer(data, code.dtype).astype("<u4"), np.uint32(end_id))
+            for doc_id, found in zip(batch.column(0).to_pylist(), code.encode(batch.column(1).to_pylist())):
+                tokens = np.append(found.astype("<u4"), np.uint32(end_id))
                 for at in range(0, len(tokens), window):
                     piece = tokens[at:at + window]
                     ids.append(doc_id)

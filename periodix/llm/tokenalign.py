@@ -7,8 +7,8 @@ start reaches that maximum; inside the groups, tokens of A and B that overlap
 are pairs.  A *link* is a pair whose intervals end together.
 
 Texts are cut into units at places where tokens of both vocabularies end for
-certain (before a single blank or line feed between two characters that are no
-white space: no piece of either spans it).  Each distinct unit is encoded and
+certain (before a blank or line feed behind a character that is no white space:
+no piece of either spans it).  Each distinct unit is encoded and
 aligned once and remembered, the first ``memory`` of a worker (a fixed bound);
 unseen units are encoded many at a time and told apart by their bytes.
 
@@ -41,7 +41,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from periodix.llm.common import no_collection, prepare, shared_folder, table
-from periodix.llm.encoder import spaced_units
+from periodix.llm.units import cuts, gather
 
 MEMORY = 500_000     # distinct units a worker remembers (about 350 bytes each)
 JOINED = 2048        # characters of unseen units encoded in one call (one unit at least)
@@ -143,15 +143,6 @@ def pair_bound(a_path: str, b_path: str) -> int:
     return bound
 
 
-def _units(text: str) -> list[str]:
-    """Units of a text with a blank before it."""
-    if text[0].isspace():
-        return spaced_units(" " + text)
-    units = spaced_units(text)
-    units[0] = " " + units[0]
-    return units
-
-
 class UnitAligner:
     """Aligns units and remembers them: a unit's groups as text, its links as
     packed id pairs, and its numbers of tokens (negative: not restored)."""
@@ -223,21 +214,36 @@ class UnitAligner:
             return self._rows(texts)
 
     def _rows(self, texts: list[str | None]) -> list[tuple]:
-        split = [_units(t) if t else [] for t in texts]
-        known, here = self.known, {}
-        new = list(set().union(*split).difference(known))
-        if new:
-            here = self._new(new)
-            for u in new[:self.memory - len(known)]:
-                known[u] = here.pop(u)
-        out = []
-        for units in split:
-            if not units:
-                out.append((0, 0, 0, 0, "", b""))
+        parts: list[list[tuple]] = [[] for _ in texts]
+        for owner, cut in cuts([" " + t if t else "" for t in texts], True):
+            units = [u.decode("utf-8", "surrogatepass") for u in cut.bytes_of()]
+            found = list(map(self.known.get, units))
+            gaps = [k for k, row in enumerate(found) if row is None]
+            if gaps:
+                new = self._new([units[k] for k in gaps])
+                for k in gaps:
+                    found[k] = new[units[k]]
+                for k in gaps[:max(0, self.memory - len(self.known))]:
+                    self.known[units[k]] = found[k]
+            if not found:
                 continue
-            found = [known.get(u) or here[u] for u in units] if here else map(known.__getitem__, units)
             shown, links, n_a, n_b = zip(*found)
-            if min(n_a) < 0:
+            sizes = np.array(list(map(len, links))) // 4
+            flat = gather(np.frombuffer(b"".join(links), "<u4"), np.cumsum(sizes) - sizes, sizes, cut.which)
+            n_a = np.array(n_a)
+            upto = lambda v: np.concatenate([[0], np.cumsum(v[cut.which])])[cut.edges].tolist()
+            a, b, lost, at = upto(n_a), upto(np.array(n_b)), upto(n_a < 0), upto(sizes)
+            edges = cut.edges.tolist()
+            for k, text in enumerate(owner):
+                if lost[k] < lost[k + 1]:
+                    parts[text].append(self.LOST)
+                else:
+                    groups = "".join(map(shown.__getitem__, cut.which[edges[k]:edges[k + 1]].tolist()))
+                    parts[text].append((groups, flat[at[k]:at[k + 1]].tobytes(), a[k + 1] - a[k], b[k + 1] - b[k]))
+        out = []
+        for pieces in parts:
+            shown, links, n_a, n_b = zip(*pieces) if pieces else ((), (), (), ())
+            if not pieces or min(n_a) < 0:
                 out.append((0, 0, 0, 0, "", b""))
                 continue
             groups, packed = "".join(shown)[:-1], b"".join(links)

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from periodix.llm.common import shared_folder, shuffle_partitions, store, table
-from periodix.llm.encoder import encoder, word_units
+from periodix.llm.encoder import encoder
 
 LENGTH = 2048        # ids of a sequence
 BATCH = 64           # sequences of a record batch
@@ -108,15 +108,15 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer_path: str, end_id:
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = TaskContext.get().partitionId()
-        code, out = encoder(tokenizer_path, word_units), None
+        code, out = encoder(tokenizer_path, spaced=False), None
         end = np.array([end_id], code.dtype)
         for batch in batches:
             if out is None:
                 uri = f"{folder}/part-{part:06d}-{uuid.uuid4().hex}.arrow"
                 out = SequenceWriter(uri, code.dtype, length, end_id)
             ids = batch.column(0).to_pylist()
-            for doc_id, data in zip(ids, code.encode(batch.column(1).to_pylist())):
-                out.add(doc_id, np.concatenate([np.frombuffer(data, code.dtype), end]))
+            for doc_id, tokens in zip(ids, code.encode(batch.column(1).to_pylist())):
+                out.add(doc_id, np.concatenate([tokens, end]))
         if out is not None:
             out.close()
             yield pa.RecordBatch.from_pylist([{"part": part, "path": uri, "n_docs": out.n_docs,

@@ -7,7 +7,8 @@ import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
-from periodix.llm.encoder import UnitEncoder, spaced_units, word_units
+from periodix.llm import units as U
+from periodix.llm.encoder import UnitEncoder
 from periodix.llm.tokenfiles import read_token_files, write_token_files
 
 WORD, BYTE = (public_tokenizers.path(f"{n}.json") for n in ("word_bpe_49k", "byte_bpe_50k"))
@@ -16,17 +17,50 @@ ODD = ["", " ", "\n", "a  b", "a \n b", "\n\nx\n\n\ny ", "tab\there", "It's we'l
        "a <|endoftext|> b", "<|endoftext|><|startoftext|>x", "no<|endoftext|>blank <|EndOfText|> <|endoftext |>", "İstanbul ΣΑΣ ǅ ﬀ Å é"]
 
 
-@pytest.mark.parametrize("path,units", [(WORD, word_units), (BYTE, spaced_units)])
-def test_units_equal_whole_text(path, units):
+@pytest.mark.parametrize("path,spaced", [(WORD, False), (BYTE, True)])
+@pytest.mark.parametrize("chunk", [40, 1 << 21])
+def test_units_equal_whole_text(monkeypatch, path, spaced, chunk):
     rnd = random.Random(5)
     parts = [" ", "\n", "  ", "\t", "\n\n", "The", "er.", "é", "’s", "'s", "12", "\x1d", " ", "ß", "!?", "\0", "́", "<|endoftext|>", "İ", "Σ", "Å"]
     texts = ODD + ["".join(rnd.choices(parts, k=rnd.randint(1, 30))) for _ in range(2000)]
     whole = Tokenizer.from_file(path)
+    want = [e.ids for e in whole.encode_batch(texts, add_special_tokens=False)]
+    monkeypatch.setattr(U, "CHUNK", chunk)
+    monkeypatch.setattr(U.pieces, "__defaults__", (chunk,))
     for memory in (10, 100_000):
-        code = UnitEncoder(path, units, memory)
+        code = UnitEncoder(path, spaced, memory)
         for _ in range(2):
-            got = [np.frombuffer(b, code.dtype).tolist() for b in code.encode(texts)]
-            assert got == [e.ids for e in whole.encode_batch(texts, add_special_tokens=False)]
+            assert [ids.tolist() for ids in code.encode(texts)] == want
+        assert len(code.known) <= memory
+        assert list(code.encode([])) == [] and [len(x) for x in code.encode([None, "", " "])][:2] == [0, 0]
+
+
+def test_memory_against_a_dictionary():
+    rng = np.random.default_rng(3)
+    known, want = U.Memory(np.dtype("<u2"), 300), {}
+    for _ in range(30):
+        units = rng.choice(1000, 40, replace=False)
+        names = ((units // 2).astype(np.uint64), units.astype(np.uint64))  # pairs share their first hash
+        at = known.find(names)
+        for u, k in zip(units, at):
+            assert (k >= 0) == (u in want)
+            if k >= 0:
+                assert known.values[known.starts[k]:][:known.sizes[k]].tolist() == want[u]
+        new = [k for k in np.flatnonzero(at < 0) if not {units[k], units[k] ^ 1} & want.keys()]
+        new = [k for k in new if units[k] ^ 1 not in units[new]]
+        sizes = rng.integers(0, 4, len(new))
+        values = rng.integers(0, 99, sizes.sum()).astype("<u2")
+        known.add((names[0][new], names[1][new]), sizes, values)
+        for k, size, end in list(zip(new, sizes, np.cumsum(sizes)))[:300 - len(want)]:
+            want[units[k]] = values[end - size:end].tolist()
+    assert len(known) == len(want) <= 300
+
+
+def test_units_that_differ_in_one_hash_only(monkeypatch):
+    monkeypatch.setattr(U.wordhash, "_BYTE", np.zeros(256, np.uint64))  # the first hash sees lengths only
+    cut = U.Cut(["ab cd ab", "cd x"], False)
+    units = cut.bytes_of()
+    assert [units[k] for k in cut.which] == [b"ab", b"cd", b"ab", b"cd", b"x"] and cut.edges.tolist() == [0, 3, 5]
 
 
 def expected(rows):
