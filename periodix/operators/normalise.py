@@ -5,11 +5,10 @@ is a header-less positional grid, one row per sheet row (S3).  Everything
 here is DataFrame code; the only Python in ingest is the workbook decoder
 in ``sources/xlsx.py``.
 
-Plan shape: one partial aggregation per (file, sheet) finds the header row
-and the sheet width, one equi-join picks each sheet's layout row, both tiny
-per-sheet tables are joined back (broadcast by AQE), and a single
-projection dispatches both layouts -- no per-sheet Python, no driver loop,
-no task holding a whole sheet.
+Plan shape: one aggregation over slim rows gives each sheet's header row,
+width and layout, that small table is joined back (broadcast by AQE), and a
+single projection dispatches both layouts -- ``cells`` is read twice, with no
+per-sheet Python, no driver loop and no task holding a whole sheet.
 """
 
 from __future__ import annotations
@@ -33,6 +32,7 @@ FILINGS_COLUMNS = [
 ]
 NEW_LAYOUT_WIDTH = 10
 OLD_LAYOUT_WIDTH = 6
+BLOCK_ROWS = 64  # rows of a sheet whose layout terms are noted in one long
 ERROR_SCHEMA = "file STRING, sheet STRING, error STRING"
 
 
@@ -66,11 +66,45 @@ def _cell(i: int) -> Column:
 
 
 def _layout_hit() -> Column:
-    terms = "|".join(BUCKET_TERMS)
-    hit = F.exists(F.slice(F.col("cells"), 1, NEW_LAYOUT_WIDTH), lambda x: F.lower(x).rlike(terms))
+    """Whether a layout term occurs in the first cells: plain substring tests
+    on the joined cells, since every row of a grid is asked."""
+    cells = F.lower(F.array_join(F.slice(F.col("cells"), 1, NEW_LAYOUT_WIDTH), "\n"))
+    hit = F.lit(False)
+    for term in BUCKET_TERMS:
+        hit = hit | cells.contains(term)
     return F.coalesce(hit, F.lit(False))
 
 
+def sheet_facts(cells: DataFrame) -> DataFrame:
+    """``(file, sheet, header_row, width, has_buckets)`` of every
+    sheet with a header row, in one pass over the grid.
+
+    The layout is told by the row after the header, which is not known before
+    the pass has ended: rows that have a layout term are noted as bits, one long
+    for ``BLOCK_ROWS`` rows, so a block of rows combines on the map side into
+    three numbers.  The block of the header then holds the bit of the next row;
+    for a header at the end of its block it is the first bit of the next one.
+    """
+    at = F.pmod(F.col("row_idx"), F.lit(BLOCK_ROWS))
+    is_header = F.coalesce(F.lower(_cell(1)).contains(HEADER_MARKER), F.lit(False))
+    blocks = cells.groupBy("file", "sheet", (F.col("row_idx") - at).alias("_first")).agg(
+        F.min(F.when(is_header, F.col("row_idx"))).alias("_header"),
+        F.max(F.size("cells")).alias("_width"),
+        F.bit_or(F.when(_layout_hit(), F.call_function("shiftleft", F.lit(1).cast("long"), at))).alias("_hits"),
+    ).withColumn("_hits", F.coalesce("_hits", F.lit(0).cast("long")))
+    facts = blocks.groupBy("file", "sheet").agg(
+        F.min("_header").alias("header_row"),
+        F.max("_width").alias("width"),
+        F.min_by("_hits", "_header").alias("_hits"),
+        F.collect_set(F.when(F.col("_hits").bitwiseAND(1) == 1, F.col("_first"))).alias("_starts"),
+    ).filter(F.col("header_row").isNotNull())
+    after = F.col("header_row") + 1
+    bit = F.call_function("shiftright", F.col("_hits"), F.pmod(after, F.lit(BLOCK_ROWS))).bitwiseAND(1) == 1
+    starts = F.pmod(after, F.lit(BLOCK_ROWS)) == 0
+    return facts.select("file", "sheet", "header_row", "width",
+                        F.when(starts, F.array_contains("_starts", after)).otherwise(bit).alias("has_buckets"))
+
+
 def annotate_sheets(cells: DataFrame) -> DataFrame:
     """Attach per-sheet facts to every data-region row.
 
@@ -78,30 +112,16 @@ def annotate_sheets(cells: DataFrame) -> DataFrame:
     file, sheet, row_idx, cells, quarter, header_row, width, has_buckets,
     is_record (P6 serial test).
 
-    Per-sheet facts come from one partial aggregation (a few bytes per
-    sheet) and one equi-join that picks the row after each header (at most
-    one row per sheet); both small tables are joined back on (file, sheet)
-    and AQE broadcasts them once their real size is known.  No task ever
-    holds a whole sheet.  ``cells`` is read three times: persist or
-    checkpoint it when it is expensive to recompute (``read_filings`` does).
+    The facts come from ``sheet_facts``, one slim aggregate joined back on
+    (file, sheet); AQE broadcasts it once its real size is known.  ``cells`` is
+    read twice, for the facts and for the rows.
     """
     dated = cells.withColumn("quarter", quarter_from_sheet(F.col("sheet"))).filter(
         F.col("quarter").isNotNull()
     )
-    is_header = F.coalesce(F.lower(_cell(1)).contains(HEADER_MARKER), F.lit(False))
-    meta = dated.groupBy("file", "sheet").agg(
-        F.min(F.when(is_header, F.col("row_idx"))).alias("header_row"),
-        F.max(F.size("cells")).alias("width"),
-    ).filter(F.col("header_row").isNotNull())
-    after_header = meta.select("file", "sheet", (F.col("header_row") + 1).alias("row_idx"))
-    layout = dated.join(after_header, ["file", "sheet", "row_idx"]).select(
-        "file", "sheet", _layout_hit().alias("has_buckets")
-    )
     return (
-        dated.join(meta, ["file", "sheet"])
+        dated.join(sheet_facts(dated), ["file", "sheet"])
         .filter(F.col("row_idx") >= F.col("header_row") + 2)
-        .join(layout, ["file", "sheet"], "left")
-        .withColumn("has_buckets", F.coalesce("has_buckets", F.lit(False)))
         .withColumn("is_record", F.coalesce(_cell(0).rlike(SERIAL_PATTERN), F.lit(False)))
     )
 

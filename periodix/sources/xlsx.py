@@ -236,8 +236,8 @@ def read_filings(spark: SparkSession, directory: str, mode: str = "quarantine",
 
     from pyspark import StorageLevel
 
-    # Decoding is the expensive step and the normaliser reads cells three
-    # times: keep the decoded grid (lost blocks are recomputed from lineage).
+    # Decoding is the expensive step and the normaliser reads cells twice:
+    # keep the decoded grid (lost blocks are recomputed from lineage).
     if require_rows:
         listing = (spark.read.format("binaryFile").option("pathGlobFilter", "*.xlsx")
                    .option("recursiveFileLookup", "false").load(directory).select("path"))

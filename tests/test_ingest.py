@@ -159,3 +159,24 @@ def test_layout_row_all_null_is_old_layout(spark):
     r = filings.first()
     assert r["format"] == "old" and abs(r["portfolio_gross"] - 10.0) < 1e-9
     assert errors.count() == 0
+
+
+def test_sheet_facts_over_blocks(spark):
+    """The row after the header tells the layout, wherever the header is."""
+    from periodix.operators.normalise import BLOCK_ROWS, annotate_sheets, sheet_facts
+
+    rows, want = [], {}
+    for n, (header, hit) in enumerate([(0, 1), (BLOCK_ROWS - 1, BLOCK_ROWS), (BLOCK_ROWS, BLOCK_ROWS + 1), (BLOCK_ROWS - 2, BLOCK_ROWS - 1),
+                                       (BLOCK_ROWS - 1, 0), (5, 5), (5, 7), (2 * BLOCK_ROWS - 1, 2 * BLOCK_ROWS), (3, None)]):
+        sheet = f"01.04.20{n:02d}"
+        for r in range(3 * BLOCK_ROWS):
+            first = "31" if r == hit else str(r) if r > 200 else "7"
+            rows.append(("f", sheet, r, [first, "Наименование" if r in (header, header + 40) else "x"] + ["y"] * (r % 3)))
+        want[sheet] = (header, 4, hit == header + 1)
+    rows += [("f", "01.05.2050", 0, ["31", "x"]), ("f", "01.06.2050", 9, ["1", "наименование организации"])]
+    want["01.06.2050"] = (9, 2, False)
+    cells = spark.createDataFrame(rows, "file STRING, sheet STRING, row_idx INT, cells ARRAY<STRING>").repartition(5)
+    got = {r["sheet"]: (r["header_row"], r["width"], r["has_buckets"]) for r in sheet_facts(cells).collect()}
+    assert got == want
+    plan = annotate_sheets(cells)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("RepartitionByExpression") + plan.count("Repartition 5") <= 2  # the grid is read twice
