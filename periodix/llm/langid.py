@@ -8,16 +8,21 @@ bytes of training text), so ``phrases * log2(N) / bytes`` estimates the cross
 entropy; the language with the fewest normalised phrases wins, and ``score``
 is its share of ``2^-bits`` tempered by ``TEMPER``.
 
-The sample to learn from is bounded (``TRAIN_DOCS`` documents and
-``TRAIN_BYTES`` bytes per language, drawn by hash over all rows), so the
-automata are of fixed size.  Texts are parsed whole, in blocks of ``BLOCK``
+Every label is learned.  The sample to learn from is bounded: ``TRAIN_DOCS``
+documents and ``TRAIN_BYTES`` bytes per language, drawn by hash over all rows,
+for up to ``FULL`` languages; more of them share the same total, so the automata
+of a worker are of bounded size for any number of labels.  They are held in
+groups of ``GROUP`` languages; the fewest bits over all groups win.  Texts are parsed whole, in blocks of ``BLOCK``
 bytes that end a phrase: all blocks of a batch and all languages advance
 together, one table look-up per byte, which keeps the work in numpy.
 
-Defined results: ``und`` with score 0 for a null text, one without a letter,
-or when no labelled row exists; ties go to the smaller language code; a null
-id is never held out nor learned from; repeated rows get equal results; an
-empty table gives no rows.  Other input columns are not looked at.
+Defined results: ``und`` with score 0 for a null text, one without a letter
+(``str.isalpha``; signs like a half or a superscript two are none), or when no
+labelled row exists; ties go to the smaller language code; a null
+id is never held out nor learned from; of rows with one label and id the
+smallest text is learned; repeated rows get equal results; an empty table gives
+no rows.  Other input columns are not looked at; one named ``language`` is
+replaced by the result.
 """
 
 from __future__ import annotations
@@ -34,7 +39,8 @@ from periodix.llm.common import prepare, table
 TRAIN_DOCS = 400       # documents per language in the sample (expected)
 TRAIN_CHARS = 4000     # characters used of each of them
 TRAIN_BYTES = 40_000   # bytes per language in the automaton
-LANGUAGES = 200        # most frequent labels that are learned
+FULL = 16              # languages that get the whole of these; more share FULL times as much
+GROUP = 16             # languages of one table of automata
 BLOCK = 512            # bytes of a block of parallel parsing
 LANES = 8192           # blocks parsed at a time
 ROWS = 512             # texts normalised at a time
@@ -51,7 +57,10 @@ def held_out(doc_id: Column) -> Column:
 
 def letters(text: str | None) -> bytes:
     """Runs of letters in lower case, one blank between them, as UTF-8."""
-    return " ".join(_LETTERS.findall((text or "").lower())).encode()
+    runs = _LETTERS.findall((text or "").lower())
+    if not "".join(runs).isalpha():  # the pattern takes numeric signs along
+        runs = "".join(c if c.isalpha() else " " for c in " ".join(runs)).split()
+    return " ".join(runs).encode()
 
 
 def sample(docs: DataFrame) -> dict[str, bytes]:
@@ -59,18 +68,20 @@ def sample(docs: DataFrame) -> dict[str, bytes]:
     rows are drawn by hash at a rate taken from the counts of all rows."""
     rows = docs.where(docs["lang"].isNotNull() & docs["doc_id"].isNotNull() & docs["text"].isNotNull()
                       & ~held_out(docs["doc_id"])).select("doc_id", "text", "lang")
-    counts = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()
+    counts = rows.groupBy("lang").count().orderBy("lang").collect()
     if not counts:
         return {}
-    rate = F.create_map(*[x for r in counts for x in (F.lit(r["lang"]), F.lit(TRAIN_DOCS / r["count"]))])
+    part = min(1.0, FULL / len(counts))  # of the sample of one language
+    most = max(1, int(TRAIN_BYTES * part))
+    rate = F.create_map(*[x for r in counts for x in (F.lit(r["lang"]), F.lit(max(1, TRAIN_DOCS * part) / r["count"]))])
     drawn = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40)) < rate[F.col("lang")] * float(1 << 40)
-    chosen = rows.where(drawn).select(
-        "lang", "doc_id", F.xxhash64("doc_id").alias("draw"), F.substring("text", 1, TRAIN_CHARS).alias("text")).collect()
+    chosen = rows.where(drawn).groupBy("lang", "doc_id").agg(F.min(F.substring("text", 1, TRAIN_CHARS)).alias("text")).select(
+        "lang", "doc_id", F.xxhash64("doc_id").alias("draw"), "text").collect()
     texts: dict[str, bytes] = {}
-    for r in sorted(chosen, key=lambda r: (r["lang"], r["draw"], r["doc_id"], r["text"])):
+    for r in sorted(chosen, key=lambda r: (r["lang"], r["draw"], r["doc_id"])):
         have = texts.get(r["lang"], b"")
-        if len(have) < TRAIN_BYTES:
-            texts[r["lang"]] = (have + b" " + letters(r["text"]))[:TRAIN_BYTES]
+        if len(have) < most:
+            texts[r["lang"]] = (have + b" " + letters(r["text"]))[:most]
     return {k: v for k, v in sorted(texts.items()) if v.strip()}
 
 
@@ -105,7 +116,7 @@ def suffix_automaton(text: bytes) -> list[dict[int, int]]:
 
 
 class CrossParser:
-    """The automata of all languages as one table ``next[state, symbol]``.
+    """The automata of some languages as one table ``next[state, symbol]``.
 
     The bits above ``SHIFT`` count the phrases that a look-up completes: one
     if the automaton has no transition (the state is then that of a fresh
@@ -174,12 +185,24 @@ class CrossParser:
         for k, row in enumerate(ends):
             out[:, k] += np.bincount(owner, weights=row, minlength=len(out))
 
+
+class Languages:
+    """All languages of a model, ``GROUP`` of them to a parser."""
+
+    def __init__(self, texts: dict[str, bytes]):
+        self.names = list(texts)
+        self.parsers = [CrossParser({k: texts[k] for k in self.names[at:at + GROUP]})
+                        for at in range(0, len(self.names), GROUP)]
+
+    def bits(self, data: list[bytes]) -> np.ndarray:
+        return np.hstack([p.phrases(data) * p.cost for p in self.parsers])
+
     def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray, np.ndarray]:
         data = [letters(t) for t in texts]
         if not self.names:
             return ["und"] * len(data), np.zeros(len(data)), np.zeros(len(data))
         size = np.array([len(d) for d in data])
-        bits = self.phrases(data) * self.cost
+        bits = self.bits(data)
         best = bits.argmin(axis=1)
         least = bits[np.arange(len(data)), best]
         share = 1 / np.exp2(-np.minimum(1000, (bits - least[:, None]) / TEMPER)).sum(axis=1)
@@ -187,22 +210,16 @@ class CrossParser:
         return names, np.where(size > 0, share, 0.0), np.where(size > 0, least / np.maximum(size, 1), 0.0)
 
 
-_PARSERS: dict[tuple, CrossParser] = {}
+_MODELS: dict[tuple, Languages] = {}
 
 
-def _parser(texts: dict[str, bytes]) -> CrossParser:
+def _model(texts: dict[str, bytes]) -> Languages:
     """A worker builds the automata once per model (workers are reused)."""
     key = tuple(texts.items())
-    if key not in _PARSERS:
-        _PARSERS.clear()
-        _PARSERS[key] = CrossParser(texts) if texts else _none()
-    return _PARSERS[key]
-
-
-def _none() -> CrossParser:
-    parser = CrossParser.__new__(CrossParser)
-    parser.names = []
-    return parser
+    if key not in _MODELS:
+        _MODELS.clear()
+        _MODELS[key] = Languages(texts)
+    return _MODELS[key]
 
 
 def identify(docs: DataFrame, texts: dict[str, bytes], text_col: str = "text") -> DataFrame:
@@ -218,9 +235,9 @@ def _udf(texts: dict[str, bytes]):
 
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for series in batches:
-            parser, parts = _parser(texts), []
+            model, parts = _model(texts), []
             for at in range(0, len(series), ROWS):
-                names, score, bits = parser.predict(series.iloc[at:at + ROWS].tolist())
+                names, score, bits = model.predict(series.iloc[at:at + ROWS].tolist())
                 parts.append(pd.DataFrame({"lang_pred": names, "score": score, "bits": bits}))
             yield pd.concat(parts) if parts else pd.DataFrame({"lang_pred": [], "score": [], "bits": []})
 

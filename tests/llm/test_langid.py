@@ -77,3 +77,36 @@ def test_edges(docs_of):
     assert 0 <= by[205][2] <= 1
     assert L.sample(docs_of([])) == {} and L.identify(docs_of([]), {}).count() == 0
     assert L.identify(docs_of([(1, "a")]), {}).collect()[0]["language"]["lang_pred"] == "und"
+
+
+def test_letters_are_letters():
+    assert L.letters("\u00bd \u00b2 \u2460 12_") == b""
+    assert L.letters("x\u00b2y \u00c9t\u00e9 3a") == "x y \u00e9t\u00e9 a".encode()
+    names, score, _ = L.Languages({"en": b"the cat"}).predict(["\u00bd \u00b2 \u2460", "the"])
+    assert names == ["und", "en"] and list(score) == [0, 1]
+
+
+def test_many_labels(docs_of):
+    """Each of 300 labels is learned and predicted, with bounded automata."""
+    rnd = random.Random(3)
+    words = {f"l{n:03d}": ["".join(rnd.choices("abcdefghijklmnop", k=6)) for _ in range(30)] for n in range(300)}
+    docs = docs_of([(3 * k + i, " ".join(rnd.choices(w, k=60)), label)
+                    for k, (label, w) in enumerate(words.items()) for i in range(3)])
+    texts = L.sample(docs)
+    learned = set(r["lang"] for r in docs.where(~L.held_out(docs["doc_id"])).select("lang").distinct().collect())
+    assert set(texts) == learned and len(learned) > 290
+    assert sum(map(len, texts.values())) <= L.FULL * L.TRAIN_BYTES
+    model = L.Languages(texts)
+    assert sum(p.next.nbytes for p in model.parsers) < 200 << 20
+    asked = [(label, " ".join(rnd.choices(words[label], k=40))) for label in sorted(learned)]
+    got = model.predict([t for _, t in asked])[0]
+    assert np.mean([g == label for g, (label, _) in zip(got, asked)]) > 0.99
+    rows = [phrases(texts[k], L.letters(asked[0][1])) * np.log2(max(2, len(texts[k]))) for k in model.names]
+    assert np.allclose(model.bits([L.letters(asked[0][1])])[0], rows)
+
+
+def test_repeated_ids(docs_of):
+    docs = docs_of([(1, "b c", "en"), (1, "a b", "en"), (1, "a b", "en"), (3, "x", "en")])
+    assert sorted(L.sample(docs)["en"].split()) == [b"a", b"b", b"x"]
+    clash = docs_of([(1, "a b")]).selectExpr("doc_id", "text", "5 AS language")
+    assert L.identify(clash, {"en": b"a b"}).select("language.lang_pred").first()[0] == "en"
