@@ -22,19 +22,43 @@ EVAL_SCHEMA = (
 NUMBER_PATTERN = r"-?\d+(?:[.,]\d+)?"
 
 
-def read_evaluation(spark: SparkSession, path: str) -> DataFrame:
-    """Evaluation JSON file(s) -> one row per test record."""
-    raw = spark.read.schema(EVAL_SCHEMA).option("multiLine", True).json(path)
-    return raw.select("timestamp", F.explode("tests").alias("t")).select("timestamp", "t.*")
+DOCUMENT_TESTS = 1000  # records of one written document at most
 
 
-def write_evaluation(records: DataFrame, path: str) -> None:
-    """One JSON document per run (timestamp) with its test records.
+def parse_evaluation(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """Evaluation files -> ``(records, faulty)``.
 
-    Records of one run are nested into one document; a run is bounded by its
-    question set.
+    A file with at least one line that is a whole document is read line by line,
+    in splits; any other file is one document over several lines.  ``faulty``
+    has ``(file, text)`` of every line or file that is no document with tests.
     """
-    runs = records.groupBy("timestamp").agg(
+    schema, options = EVAL_SCHEMA + ", _corrupt STRING", {"columnNameOfCorruptRecord": "_corrupt", "mode": "PERMISSIVE"}
+
+    def parsed(whole: bool) -> DataFrame:
+        text = spark.read.text(path, wholetext=whole).select(F.col("_metadata.file_path").alias("file"), "value")
+        out = text.withColumn("doc", F.from_json("value", schema, options))
+        good = F.col("doc.tests").isNotNull() & F.col("doc._corrupt").isNull()
+        return out.withColumn("good", F.coalesce(good, F.lit(False)))
+
+    lines = parsed(False).filter(F.trim("value") != "")
+    by_line = lines.filter("good").select("file").distinct()
+    docs = lines.join(by_line, "file").unionByName(parsed(True).join(by_line, "file", "left_anti"))
+    records = docs.filter("good").select("doc.timestamp", F.explode("doc.tests").alias("t")).select("timestamp", "t.*")
+    return records, docs.filter(~F.col("good")).select("file", F.col("value").alias("text"))
+
+
+def read_evaluation(spark: SparkSession, path: str) -> DataFrame:
+    """Evaluation JSON file(s) -> one row per test record; what is no
+    document is left out (``parse_evaluation`` has it)."""
+    return parse_evaluation(spark, path)[0]
+
+
+def write_evaluation(records: DataFrame, path: str) -> None:
+    """JSON lines, one document per run (timestamp) and up to
+    ``DOCUMENT_TESTS`` records: a longer run fills several documents, each made
+    of neighbouring records of one task, so no run is gathered in one place."""
+    part = F.floor(F.monotonically_increasing_id() / DOCUMENT_TESTS)
+    runs = records.withColumn("_part", part).groupBy("timestamp", "_part").agg(
         F.count(F.lit(1)).alias("total_tests"),
         F.collect_list(F.struct("question", "answer", "expected", "type")).alias("tests"),
     )

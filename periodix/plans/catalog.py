@@ -1028,3 +1028,59 @@ register(
               ratio=("similarity",), panel=False),
     ratio=("similarity",), ops="S8 R5 R7",
 )
+
+# --- 15. question and record files written and read back (S9, S10) --------------------
+
+
+def _question_files(spark: SparkSession, sf: str) -> DataFrame:
+    """Every user turn written as a line and read back: times it was asked, by ids."""
+    from periodix.session import shared_folder
+    from periodix.sources.sinks import read_questions
+
+    folder = shared_folder(spark, "questions")
+    _user_turns(spark, sf).select(F.translate("question", "\n", " ").alias("value")).write.text(folder)
+    return read_questions(spark, folder).groupBy("question").agg(F.countDistinct("qid").alias("n_asked"))
+
+
+register(
+    "question_files", _question_files,
+    """SELECT replace(text, chr(10), ' ') AS question, count(*) AS n_asked FROM conversations
+       WHERE role = 'user' AND trim(replace(text, chr(10), ' ')) <> '' GROUP BY 1""",
+    ops="S10",
+)
+
+
+def _record_files(spark: SparkSession, sf: str) -> DataFrame:
+    """Each answered user turn as an evaluation record, written, read back and
+    scored; a file cut in the middle of a document is told apart."""
+    from periodix.session import shared_folder
+
+    conv = read_table(spark, sf, "conversations", "conv_id", "turn", "role", "text")
+    asked = conv.filter("role = 'user'").select("conv_id", (F.col("turn") + 1).alias("turn"), F.col("text").alias("question"))
+    records = conv.filter("role = 'assistant'").join(asked, ["conv_id", "turn"]).select(
+        F.concat(F.lit("run "), F.col("conv_id") % 4).alias("timestamp"), "question", F.col("text").alias("answer"),
+        F.substring_index("question", " ", 1).alias("expected"),
+        F.when(F.col("conv_id") % 3 == 0, "analytical").otherwise("text").alias("type"))
+    folder = shared_folder(spark, "records")
+    EV.write_evaluation(records, folder)
+    cut = records.agg(F.concat(F.lit('{"total_tests": 1, "tests": [{"question": "'), F.min("timestamp")).alias("value"))
+    cut.write.mode("append").text(folder)
+    read, faulty = EV.parse_evaluation(spark, folder)
+    counts = EV.score(read).groupBy("timestamp", "type").agg(
+        F.count(F.lit(1)).alias("n_tests"), F.count_if("passed").alias("n_passed"))
+    return counts.unionByName(faulty.agg(
+        F.lit(None).cast("string").alias("timestamp"), F.lit("faulty").alias("type"),
+        F.count(F.lit(1)).alias("n_tests"), F.lit(0).cast("long").alias("n_passed")))
+
+
+register(
+    "record_files", _record_files,
+    """SELECT 'run ' || CAST(a.conv_id % 4 AS VARCHAR) AS timestamp,
+              CASE WHEN a.conv_id % 3 = 0 THEN 'analytical' ELSE 'text' END AS type, count(*) AS n_tests,
+              count_if(CASE WHEN a.conv_id % 3 = 0 THEN trim(a.text) <> ''
+                       ELSE contains(lower(a.text), lower(split_part(q.text, ' ', 1))) END) AS n_passed
+       FROM conversations a JOIN conversations q ON a.conv_id = q.conv_id AND a.turn = q.turn + 1
+       WHERE a.role = 'assistant' AND q.role = 'user' GROUP BY 1, 2
+       UNION ALL SELECT NULL, 'faulty', 1, 0""",
+    ops="S9 R16",
+)

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -75,17 +75,28 @@ def read_vector_collection(spark: SparkSession, path: str, buckets: int = BUCKET
 
 
 def read_questions(spark: SparkSession, path: str) -> DataFrame:
-    """A text file of questions, one per line -> ``(qid, question)``.
+    """Text files of questions, one per line -> ``(qid, question)``.
 
-    The id hashes the file name and the line's position, so it is stable
-    across runs and a repeated question has an id of its own.
+    Files are read in splits.  The id hashes the file and the byte at which the
+    line begins (a byte order mark not counted), so it is stable across runs and
+    split sizes and a repeated question has an id of its own: bytes of a file's
+    earlier splits come from one small aggregate, those of earlier lines of the
+    split from a window over the split's lines, which are bounded by its size.
     """
-    lines = spark.read.text(path, wholetext=True).select(
-        F.posexplode(F.split("value", "\r?\n")).alias("_line", "question"), F.input_file_name().alias("_file")
-    )
-    return lines.filter(F.trim("question") != "").select(
-        F.sha2(F.concat_ws("\u0000", "_file", "_line"), 256).alias("qid"), "question"
-    )
+    lines = spark.read.option("lineSep", "\n").text(path).select(
+        F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_split"),
+        F.monotonically_increasing_id().alias("_at"), "value", (F.octet_length("value") + 1).cast("long").alias("_bytes"))
+    earlier = (Window.unboundedPreceding, -1)
+    splits = lines.groupBy("_file", "_split").agg(F.sum("_bytes").alias("_size")).select(
+        "_file", "_split", F.sum("_size").over(
+            Window.partitionBy("_file").orderBy("_split").rowsBetween(*earlier)).alias("_before"))
+    inside = F.sum("_bytes").over(Window.partitionBy("_file", "_split").orderBy("_at").rowsBetween(*earlier))
+    placed = lines.withColumn("_inside", inside).join(splits, ["_file", "_split"])
+    start = F.coalesce("_before", F.lit(0)) + F.coalesce("_inside", F.lit(0))
+    return placed.select(
+        F.sha2(F.concat_ws("\u0000", "_file", start.cast("string")), 256).alias("qid"),
+        F.regexp_replace("value", "\r$", "").alias("question"),
+    ).filter(F.trim("question") != "")
 
 
 def write_answers(answers: DataFrame, path: str) -> None:
