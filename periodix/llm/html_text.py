@@ -6,13 +6,16 @@ element out when it closes, so no part of it recurses and a page of any depth
 or length is handled in one pass over its bytes.
 
 * Visibility: nothing of ``head``, ``script``, ``style``, ``template``,
-  ``noscript`` and embedded media, of elements with ``hidden``, ``display:
+  ``noscript`` and embedded media, of descriptions inside ``svg`` and ``math``
+  (their other text is shown), of elements with ``hidden``, ``display:
   none`` or ``visibility: hidden`` (which a descendant may lift), of closed
   ``dialog`` or, but for its summary, ``details``.
 * Blocks start on a line of their own, paragraphs and headings with a blank
   line around them; white space folds as in a browser, ``pre`` and ``br``
   keep theirs.
-* Lists have markers (``-`` or numbers) and indent what they hold; tables are
+* Lists have markers (``-``, or numbers by ``start``, ``value``, ``reversed`` and
+  ``type``) and indent what they hold, by ``INDENT`` columns at most: indents are
+  counted and written once, so nesting of any depth takes linear time; tables are
   set in columns padded to the widest cell of ``ALIGN`` characters or fewer,
   spanning cells included.
 
@@ -35,11 +38,15 @@ from pyspark.sql import functions as F
 
 from periodix.llm.common import prepare, table
 
-ALIGN = 60  # a longer cell is not padded to
+ALIGN = 60     # a longer cell is not padded to
+INDENT = 100   # columns of indentation that are shown
+SHARED = 8     # longer runs of lines are referred to, not copied, by what holds them
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-HIDDEN = frozenset("head script style template noscript noframes iframe object svg canvas audio video datalist "
-                   "map title math".split())
+HIDDEN = frozenset("head script style template noscript noframes iframe object canvas audio video datalist "
+                   "title".split())
+# of drawings and formulas: what describes or defines, and is not drawn
+HIDDEN_INSIDE = {"svg": frozenset("defs desc metadata symbol".split()), "math": frozenset("annotation annotation-xml".split())}
 RAW = frozenset("script style textarea title xmp iframe noembed noframes noscript".split())
 SPACED = frozenset("p h1 h2 h3 h4 h5 h6 ul ol dl blockquote pre figure table fieldset hr menu dir".split())
 BLOCK = SPACED | frozenset("html body div section article aside header footer nav main address form li dt dd tr td th "
@@ -66,18 +73,67 @@ BREAK = "\0"
 
 
 class Element:
-    __slots__ = ("tag", "flow", "shown", "count", "rows", "spans", "pre")
+    __slots__ = ("tag", "flow", "shown", "count", "rows", "spans", "pre", "step", "kind", "items")
 
     def __init__(self, tag, flow, shown, pre):
         self.tag, self.flow, self.shown, self.pre = tag, flow, shown, pre
-        self.count = None   # next number of an ordered list
+        self.count = None   # next number of an ordered list, own number of an item
+        self.step = 1       # -1 in a reversed list
+        self.kind = "1"     # numbers, letters or roman ones
+        self.items = None   # of a reversed list whose first number is its length: its items so far
         self.rows = None    # of a table: lists of (lines, columns, rows)
         self.spans = (1, 1)
 
 
-def lay_out(flow: list) -> list[str]:
-    """Lines of a flow: inline strings, and blocks as (lines, spaced)."""
+ROMAN = ((1000, "m"), (900, "cm"), (500, "d"), (400, "cd"), (100, "c"), (90, "xc"), (50, "l"), (40, "xl"),
+         (10, "x"), (9, "ix"), (5, "v"), (4, "iv"), (1, "i"))  # fixed values
+
+
+def numeral(n: int, kind: str) -> str:
+    """Number ``n`` as a list of that ``type`` shows it."""
+    out, low = "", kind.lower()
+    if low == "a" and n > 0:
+        while n:
+            n, k = divmod(n - 1, 26)
+            out = chr(97 + k) + out
+    elif low == "i" and 0 < n < 4000:
+        for value, letters in ROMAN:
+            out, n = out + letters * (n // value), n % value
+    else:
+        return str(n)
+    return out if kind == low else out.upper()
+
+
+def flat(lines: list) -> list[str]:
+    """Lines as text.  A line is a string or ``[mark, indent, lines]``: lines
+    set in by ``indent``, the first of them after ``mark``."""
     out: list[str] = []
+    stack = [(iter(lines), 0)]
+    marks: list[str] = []  # that wait for the next line
+    base = 0               # its indent before them
+    while stack:
+        rest, indent = stack[-1]
+        x = next(rest, None)
+        if x is None:
+            stack.pop()
+        elif isinstance(x, str):
+            if not marks:
+                base = indent
+            out.append(" " * min(base, INDENT) + "".join(marks) + x if x else "")
+            marks = []
+        else:
+            mark, more, inner = x
+            if mark.strip() and not marks:
+                base = indent
+            if mark.strip() or marks and mark:
+                marks.append(mark)
+            stack.append((iter(inner), indent + more))
+    return out
+
+
+def lay_out(flow: list) -> list:
+    """Lines of a flow: inline strings, and blocks as (lines, spaced)."""
+    out: list = []
     inline: list[str] = []
     gap = False
 
@@ -86,7 +142,10 @@ def lay_out(flow: list) -> list[str]:
         if lines:
             if out and (gap or spaced):
                 out.append("")
-            out.extend(lines)
+            if len(lines) > SHARED:
+                out.append(["", 0, lines])
+            else:
+                out.extend(lines)
             gap = spaced
         elif spaced:
             gap = True
@@ -188,6 +247,7 @@ class Builder:
             elif "visibility:visible" in style:
                 shown = True
             if (tag in HIDDEN or "hidden" in attributes or "display:none" in style
+                    or any(tag in tags and self.opened.get(holder) for holder, tags in HIDDEN_INSIDE.items())
                     or tag == "dialog" and "open" not in attributes
                     or parent.tag == "details" and parent.count == 0 and tag != "summary"):
                 shown = None
@@ -196,8 +256,16 @@ class Builder:
         if tag == "details":
             element.count = 1 if "open" in attributes else 0
         elif tag == "ol":
-            start = attributes.get("start", "1")
-            element.count = int(start) if re.fullmatch(r"-?\d{1,9}", start) else 1
+            start = re.fullmatch(r"-?\d{1,9}", attributes.get("start", ""))
+            element.count = int(start[0]) if start else 1
+            if attributes.get("type", "") in ("a", "A", "i", "I"):
+                element.kind = attributes["type"]
+            if "reversed" in attributes:
+                element.step = -1
+                element.items = None if start else []
+        elif tag == "li":
+            own = re.fullmatch(r"-?\d{1,9}", attributes.get("value", ""))
+            element.count = int(own[0]) if own else None
         elif tag == "table":
             element.rows = []
         elif tag in ("td", "th"):
@@ -247,11 +315,11 @@ class Builder:
         tag = e.tag
         if tag in ("td", "th"):
             if parent.rows is not None:
-                parent.rows.append((lay_out(e.flow), *e.spans))
+                parent.rows.append((flat(lay_out(e.flow)), *e.spans))
                 return
         elif tag == "tr":
             k = self.within({"table"}, set())
-            loose = lay_out(e.flow)
+            loose = flat(lay_out(e.flow))
             if loose:
                 e.rows.append((loose, 1, 1))
             if any(c[0] for c in e.rows):
@@ -268,16 +336,28 @@ class Builder:
         lines = lay_out(e.flow)
         if tag == "li" and lines:
             k = self.within({"ul", "ol", "menu", "dir"}, set())
-            mark = "- "
+            node = ["- ", 2, lines]
             if k is not None and self.stack[k].count is not None:
-                mark = f"{self.stack[k].count}. "
-                self.stack[k].count += 1
-            lines = [(mark if n == 0 else " " * len(mark)) + x if x else x for n, x in enumerate(lines)]
-        elif tag in ("blockquote", "dd"):
-            lines = ["  " + x if x else x for x in lines]
+                self.number(self.stack[k], e, node)
+            lines = [node]
+        elif tag in ("blockquote", "dd") and lines:
+            lines = [["  ", 2, lines]]
+        elif tag == "ol" and e.items:  # reversed, from the number of its items
+            e.count, items, e.items = len(e.items), e.items, None
+            for item, node in items:
+                self.number(e, item, node)
         nested = tag in ("ul", "ol", "dl", "menu", "dir") and self.within({"li", "dd"}, {"td", "th", "table"}) is not None
         parent.flow.append((lines, tag in SPACED and not nested))
 
+    def number(self, holder: Element, item: Element, node: list) -> None:
+        if holder.items is not None:
+            holder.items.append((item, node))
+            return
+        n = holder.count if item.count is None else item.count
+        holder.count = n + holder.step
+        node[0] = numeral(n, holder.kind) + ". "
+        node[1] = len(node[0])
+
     def text(self, data: str) -> None:
         top = self.stack[-1]
         if not top.shown or top.tag == "details" and top.count == 0:
@@ -294,7 +374,7 @@ class Builder:
 
     def finish_all(self) -> list[str]:
         self.pop_to(1)
-        return lay_out(self.stack[0].flow)
+        return flat(lay_out(self.stack[0].flow))
 
 
 def extract(page: str | None) -> str:

@@ -1,3 +1,6 @@
+import random
+import time
+
 import pytest
 
 from periodix.llm.html_text import extract, page_texts
@@ -50,3 +53,60 @@ def test_query_rows(spark):
     assert sorted(map(tuple, got), key=str) == sorted(
         [(1, "a", 1), (1, "a", 1), (2, "", 0), (None, "", 0), (3, "x\n\ny", 3)], key=str)
     assert page_texts(pages.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("page,want", [
+    ("E = <math><mi>m</mi><mo>c</mo><annotation>tex</annotation></math> done", "E = mc done"),
+    ("<svg><title>no</title><desc>no</desc><defs><text>no</text></defs><text>yes</text></svg>a", "yesa"),
+    ("<map><area><p>in the map</map>", "in the map"), ("<desc>shown</desc>", "shown"),
+    ("<ol><li>a<li value=7>b<li>c</ol>", "1. a\n7. b\n8. c"),
+    ("<ol reversed><li>a<li>b<li>c</ol>", "3. a\n2. b\n1. c"), ("<ol reversed start=9><li>a<li>b</ol>", "9. a\n8. b"),
+    ("<ol type=a start=26><li>a<li>b</ol>", "z. a\naa. b"), ("<ol type=I start=9><li>x<br>y</ol>", "IX. x\n    y"),
+    ("<ol reversed><li>a<ol><li>x</ol><li>b</ol>", "2. a\n   1. x\n1. b"),
+    ("<ul><li><ul><li>a<li>b</ul></ul>", "- - a\n  - b"), ("<ul><li><blockquote>a<br>b</blockquote></ul>", "-   a\n    b"),
+])
+def test_drawings_and_numbers(page, want):
+    assert extract(page) == want
+
+
+def test_deep_nesting_is_linear():
+    for tag in ("<ul><li>a", "<blockquote>a", "<div>a", "<ol reversed><li>a"):
+        page = tag * 50_000
+        start = time.perf_counter()
+        got = extract(page)
+        assert time.perf_counter() - start < 20
+        assert got.count("a") == 50_000 and len(got) < 120 * 2 * 50_000
+    assert extract("<ul><li>" * 50_000 + "x") == "- " * 50_000 + "x"
+
+
+def written(node):
+    """A tree as HTML and, by plain recursion, the lines it must give."""
+    tag, parts = node
+    if tag == "text":
+        return parts, [parts]
+    shown = [written(p) for p in parts]
+    html = f"<{tag}>" + "".join(h for h, _ in shown) + f"</{tag}>"
+    lines = [x for _, part in shown for x in part]
+    if tag == "li":
+        lines = [("- " if n == 0 else "  ") + x for n, x in enumerate(lines)]
+    elif tag == "dd":
+        lines = ["  " + x for x in lines]
+    return html, lines
+
+
+def test_generated_trees_against_recursion():
+    rnd = random.Random(5)
+
+    def tree(depth):
+        kind = rnd.choice(["text", "div", "ul", "dd"]) if depth else "text"
+        if kind == "text":
+            return "div", [("text", "w%d" % rnd.randint(0, 99))]
+        if kind == "ul":  # inside an item, so that no blank lines surround it
+            return "ul", [("li", [tree(depth - 1) for _ in range(rnd.randint(1, 3))]) for _ in range(rnd.randint(1, 3))]
+        if kind == "dd":  # in a list of its own: one dd ends another
+            return "dl", [("dd", [tree(depth - 1) for _ in range(rnd.randint(1, 12))])]
+        return kind, [tree(depth - 1) for _ in range(rnd.randint(1, 12))]
+
+    for _ in range(300):
+        html, lines = written(("ul", [("li", [tree(4) for _ in range(3)])]))
+        assert extract(html) == "\n".join(lines)
