@@ -283,3 +283,62 @@ def test_dense_term_path_equals_sparse(monkeypatch, share):
     monkeypatch.setattr(R, "_DENSE_TERM_SHARE", share)
     got = R._dot(d_of, term, tf, ptr, post_q, post_tf, n_docs, nq)
     assert np.array_equal(got, want)
+
+
+def _token_blocks(rng, n, vocab=300):
+    share = 1.0 / np.arange(1, vocab + 1)
+    texts = [[f"t{t}" for t in rng.choice(vocab, rng.integers(0, 25), p=share / share.sum())] for _ in range(n)]
+    return np.array([np.array(t, dtype=object) for t in texts] + [None], dtype=object)[:-1]
+
+
+def test_bounds_spare_products_and_lose_nothing(monkeypatch):
+    """The scorer multiplies few pairs term by term (not every question with
+    every document), and finds what scoring all pairs finds, ties included."""
+    rng = np.random.default_rng(11)
+    asked, docs, k = _token_blocks(rng, 60), _token_blocks(rng, 900), 3
+    docs[500:520] = [docs[3]] * 20  # ties are won by the smaller id
+    counted, searched = [], np.searchsorted
+    queries = R._postings(asked)
+    qids = [R._term_counts(docs[lo:lo + 300]) for lo in range(0, 900, 300)]
+    want = R._TopK(60, k)
+    for lo, block in zip(range(0, 900, 300), qids):
+        d_of, code, tf, terms, norm = block
+        term = pd.Index(queries[0]).get_indexer(terms)[code]
+        some = term >= 0
+        dot = R._dot(d_of[some], term[some], tf[some], queries[1], queries[2], queries[3], 300, 60)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            sims = dot / (queries[4][:, None] * norm[None, :])
+        sims[dot == 0] = -np.inf
+        want.offer(sims, [np.array([f"d{i}" for i in range(lo, lo + 300)], dtype=object)])
+    monkeypatch.setattr(R, "_FIRST_DOCS", 20)
+    whole = R._dot
+
+    def dot(*args):
+        counted.append(args[-2])
+        return whole(*args)
+
+    def search(where, what, *args, **kw):
+        counted.append(len(what) / (20 * 60) if np.ndim(what) else 0)  # entries of about 20 terms a pair
+        return searched(where, what, *args, **kw)
+
+    monkeypatch.setattr(R, "_dot", dot)
+    monkeypatch.setattr(R.np, "searchsorted", search)
+    got = R._TopK(60, k)
+    score = R._token_scorer(list(queries), got)
+    for lo, block in zip(range(0, 900, 300), qids):
+        score(list(block), [np.array([f"d{i}" for i in range(lo, lo + 300)], dtype=object)])
+    monkeypatch.undo()
+    rows = lambda top: sorted(zip(top.row.tolist(), top.sim.tolist(), top.ids[0].tolist()))
+    assert rows(got) == rows(want)
+    assert sum(counted) < 900 / 3  # documents' worth of whole products
+
+
+def test_grid_copies_the_longer_side_least():
+    """Many questions on a few lines: each question block goes to one cell."""
+    assert R._grid(30, 1_000_000, 4096, 4096, 36) == (36, 1)
+    assert R._grid(5_000_000, 140_000, 4096, 4096, 36) == (1, 36)
+    assert R._grid(5, 5, 4096, 4096, 36) == (1, 1) == R._grid(0, 0, 4096, 4096, 36)
+    for n_docs, n_queries in ((20_000, 20_000), (9_000, 300_000), (41_000, 5_000)):
+        rows, columns = R._grid(n_docs, n_queries, 4096, 4096, 24)
+        assert rows * columns >= min(24, -(-n_docs // 4096) * -(-n_queries // 4096))
+        assert rows <= -(-n_queries // 4096) and columns <= -(-n_docs // 4096)
