@@ -61,3 +61,26 @@ def test_edges(spark):
         (20, 1, 20), (20, 2, 23), (20, 3, 40), (40, 1, 40), (40, 2, 20), (40, 3, 23)]
     empty, none = sides(spark, [])
     assert A.approximate_topk(empty, none, 3).count() == 0
+
+
+def test_candidates_are_marks_not_rows(spark, monkeypatch):
+    """Crowded buckets: no row per band or pair of vectors is made, a pair that
+    agrees in many bands counts once, copies tie and the smaller id wins."""
+    monkeypatch.setattr(A, "band_keys", lambda *a: pytest.fail("a row per band"))
+    rng = np.random.default_rng(6)
+    mat = np.repeat(rng.normal(size=(3, 8)), 60, axis=0)
+    docs, asked = sides(spark, mat)
+    got = A.approximate_topk(docs, asked, 5, bands=4, rows=2, length=0.5, skip_same_id=True).collect()
+    found = {(r["qid"], r["rank"]): r["doc_id"] for r in got}
+    assert len(found) == len(got) == 9 * 5
+    for q in range(0, 180, 20):
+        first = q // 60 * 60
+        assert [found[q, r] for r in range(1, 6)] == [i for i in range(first, first + 6) if i != q][:5]
+
+
+def test_marks_equal_the_definition():
+    rng = np.random.default_rng(7)
+    asked, keys = rng.integers(0, 9, (23, 5)), rng.integers(0, 9, (41, 5))
+    order = np.argsort(asked.T, axis=1, kind="stable")
+    got = A._candidates(keys, order, np.take_along_axis(asked.T, order, axis=1), 23)
+    assert np.array_equal(got, (asked[:, None, :] == keys[None, :, :]).any(axis=2))
