@@ -342,3 +342,17 @@ def test_grid_copies_the_longer_side_least():
         rows, columns = R._grid(n_docs, n_queries, 4096, 4096, 24)
         assert rows * columns >= min(24, -(-n_docs // 4096) * -(-n_queries // 4096))
         assert rows <= -(-n_queries // 4096) and columns <= -(-n_docs // 4096)
+
+
+def test_few_documents_go_to_many_questions(spark, monkeypatch):
+    """A few lines and many questions: the lines are copied, no question is."""
+    seen, blocks = [], R._blocks
+    monkeypatch.setattr(R, "QUERY_ROWS", 5)
+    monkeypatch.setattr(R, "_blocks", lambda *a: seen.append(a[-1]) or blocks(*a))
+    docs = spark.createDataFrame([("a", "npl of 3"), ("b", "npl")], "doc STRING, text STRING")
+    qs = spark.range(90).select("id", F.concat_ws(" ", F.lit("npl of"), F.col("id") % 9).alias("text"))
+    got = R.lexical_topk(docs, qs, 1, ["doc"], ["id"])
+    cells = min(18, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    assert seen == [1, cells]  # documents in one column, questions in all rows
+    found = {r["id"]: r["doc"] for r in got.collect()}
+    assert len(found) == 90 and all(found[i] == "a" for i in range(90))
