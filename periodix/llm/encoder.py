@@ -25,7 +25,7 @@ import numpy as np
 from periodix.llm.common import no_collection
 from periodix.llm.units import Cut, Memory, cuts, gather
 
-MEMORY = 3_000_000  # distinct units a worker remembers (about 35 bytes each)
+MEMORY = 1_000_000  # distinct units a worker remembers (about 37 bytes each)
 JOINED = 2048       # characters of unseen units encoded in one call (one unit at least)
 
 SIGNS = 10_000      # runs of signs remembered

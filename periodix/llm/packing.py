@@ -204,6 +204,14 @@ def cut_ranks(hist: np.ndarray, cuts: np.ndarray) -> list[tuple[int, int, int, i
     return out
 
 
+def small(spark: SparkSession, rows: list[tuple[int, ...]], *names: str) -> DataFrame:
+    """A table of the driver's integers, handed over as Arrow columns: a list of
+    rows would be read by further Python workers, beside those that encode and
+    keep their memory."""
+    columns = np.array(rows, np.int64).reshape(-1, len(names)).T
+    return spark.createDataFrame(pa.table([pa.array(c) for c in columns], names=list(names)))
+
+
 def pack(docs: DataFrame, tokenizer_path: str, end_id: int = 0, window: int = WINDOW) -> DataFrame:
     """``doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset`` of every piece."""
     spark = docs.sparkSession
@@ -213,9 +221,8 @@ def pack(docs: DataFrame, tokenizer_path: str, end_id: int = 0, window: int = WI
     for r in counts.groupBy("length").agg(F.sum("_n").alias("_n")).collect():  # at most `window` rows
         hist[r["length"]] = r["_n"]
     strategies, cuts = plan_with_cuts(hist)
-    places = spark.createDataFrame(
-        blocks(strategies), "length INT, _first LONG, _count LONG, _sequence LONG, _offset LONG")
-    halves = spark.createDataFrame(cut_ranks(hist, cuts), "length INT, _cut LONG, _heads LONG, _tails LONG")
+    places = small(spark, blocks(strategies), "length", "_first", "_count", "_sequence", "_offset")
+    halves = small(spark, cut_ranks(hist, cuts), "length", "_cut", "_heads", "_tails")
 
     before = Window.partitionBy("length").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     bases = counts.select("length", "_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))

@@ -44,6 +44,7 @@ from periodix.llm.common import no_collection, prepare, shared_folder, table
 from periodix.llm.units import cuts, gather
 
 MEMORY = 500_000     # distinct units a worker remembers (about 350 bytes each)
+CHUNK = 1 << 21      # characters cut at a time
 JOINED = 2048        # characters of unseen units encoded in one call (one unit at least)
 CALLS = 16           # such calls aligned in one step
 ROW = ("doc_id LONG, n_a LONG, n_b LONG, n_groups LONG, n_links LONG, groups_sha256 STRING, "
@@ -215,7 +216,7 @@ class UnitAligner:
 
     def _rows(self, texts: list[str | None]) -> list[tuple]:
         parts: list[list[tuple]] = [[] for _ in texts]
-        for owner, cut in cuts([" " + t if t else "" for t in texts], True):
+        for owner, cut in cuts([" " + t if t else "" for t in texts], True, CHUNK):
             units = [u.decode("utf-8", "surrogatepass") for u in cut.bytes_of()]
             found = list(map(self.known.get, units))
             gaps = [k for k, row in enumerate(found) if row is None]

@@ -15,7 +15,7 @@ import pandas as pd
 
 from periodix.llm import wordhash
 
-CHUNK = 1 << 21  # characters cut at a time (one piece at least)
+CHUNK = 1 << 19  # characters cut at a time (one piece at least; some 100 bytes each while at it)
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _BREAK = np.zeros(256, bool)
@@ -90,16 +90,17 @@ def pieces(text: str, most: int = CHUNK) -> Iterator[str]:
     yield text[at:]
 
 
-def cuts(texts: list[str], spaced: bool) -> Iterator[tuple[list[int], Cut]]:
-    """Chunks of texts: the number of the text behind each piece of the chunk,
-    in order, and their units."""
+def cuts(texts: list[str], spaced: bool, most: int | None = None) -> Iterator[tuple[list[int], Cut]]:
+    """Chunks of texts of about ``most`` characters (``CHUNK``): the number of
+    the text behind each piece of the chunk, in order, and their units."""
+    most = most or CHUNK
     owner, held, size = [], [], 0
     for k, text in enumerate(texts):
-        for piece in pieces(text):
+        for piece in pieces(text, most):
             owner.append(k)
             held.append(piece)
             size += len(piece)
-            if size >= CHUNK:
+            if size >= most:
                 yield owner, Cut(held, spaced)
                 owner, held, size = [], [], 0
     if held:

@@ -90,3 +90,11 @@ def test_least_squares_against_active_pairs():
         for k in c[c > 0]:
             fit[k] += n
     assert np.abs(fit - hist).max() < 0.1
+
+
+def test_plan_needs_no_further_workers(docs_of, capsys):
+    """The tables of the plan are no Python rows: those are read by workers
+    beside the ones that encode."""
+    P.pack(docs_of([(i, "word " * i) for i in range(40)]), BYTE, window=32).explain()
+    shown = capsys.readouterr().out
+    assert shown.count("LocalTableScan [length#") == 2 and "ExistingRDD[length#" not in shown

@@ -1,4 +1,5 @@
 import random
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -35,6 +36,21 @@ def test_units_equal_whole_text(monkeypatch, path, spaced, chunk):
         assert list(code.encode([])) == [] and [len(x) for x in code.encode([None, "", " "])][:2] == [0, 0]
 
 
+def test_memory_of_a_worker():
+    """Beside what it remembers, a worker takes little for the texts at hand."""
+    rnd = random.Random(7)
+    texts = [" ".join(rnd.choices(["alpha", "beta", "gamma,", "delta."], k=600)) for _ in range(1000)]
+    code = UnitEncoder(BYTE, True)
+    sum(map(len, code.encode(texts[:1])))
+    tracemalloc.start()
+    try:
+        assert sum(map(len, code.encode(texts))) >= 600_000
+        assert tracemalloc.get_traced_memory()[1] < 60e6
+    finally:
+        tracemalloc.stop()
+    assert code.known.most * 40 <= 40e6
+
+
 def test_memory_against_a_dictionary():
     rng = np.random.default_rng(3)
     known, want = U.Memory(np.dtype("<u2"), 300), {}
