@@ -138,3 +138,13 @@ def test_link_counts_match_oracle(spark):
     got = E.queries()["op9_link_counts"](spark, SF_SMALL).toPandas()
     assert _rows(got) == _rows(con.execute(E.oracle_sql()["op9_link_counts"]).df())
     assert got["n_links"].sum() > 0
+
+
+def test_a_class_travels_once_to_its_group(docs_of, monkeypatch):
+    rnd = random.Random(5)
+    base = [f"w{rnd.randrange(10 ** 6)}" for _ in range(300)]
+    rows = list(enumerate([near(rnd, base, rnd.randint(1, 4)) for _ in range(25)]))
+    asked, search = [], J.search
+    monkeypatch.setattr(J, "search", lambda docs, cells, *rest: asked.append(cells.count()) or search(docs, cells, *rest))
+    assert sorted(map(tuple, J.join(docs_of(rows).repartition(4)).drop("label", "row").collect()), key=str) == brute(rows)
+    assert asked[0] == len(rows)  # not a row for each of the 300 pairs
