@@ -356,3 +356,18 @@ def test_few_documents_go_to_many_questions(spark, monkeypatch):
     assert seen == [1, cells]  # documents in one column, questions in all rows
     found = {r["id"]: r["doc"] for r in got.collect()}
     assert len(found) == 90 and all(found[i] == "a" for i in range(90))
+
+
+def test_documents_stream_past_held_questions(spark, monkeypatch):
+    """No join collects a cell's document blocks, and question blocks beyond
+    those a task holds wait in a file: the results are the same."""
+    docs = spark.range(300).select(F.col("id").cast("string").alias("doc"),
+                                   F.concat_ws(" ", F.lit("npl"), F.col("id") % 7, F.col("id") % 11, F.col("id")).alias("text"))
+    qs = spark.range(90).select("id", F.concat_ws(" ", F.lit("npl of"), F.col("id") % 9, F.col("id")).alias("text")).repartition(6)
+    want = sorted(map(tuple, R.lexical_topk(docs, qs, 2, ["doc"], ["id"]).collect()))
+    monkeypatch.setattr(R, "DOC_ROWS", 9)
+    monkeypatch.setattr(R, "QUERY_ROWS", 5)
+    monkeypatch.setattr(R, "HELD_BLOCKS", 1, raising=False)
+    got = R.lexical_topk(docs, qs, 2, ["doc"], ["id"])
+    assert "Join" not in got._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted(map(tuple, got.collect())) == want and len(want) == 180
