@@ -371,3 +371,19 @@ def test_documents_stream_past_held_questions(spark, monkeypatch):
     got = R.lexical_topk(docs, qs, 2, ["doc"], ["id"])
     assert "Join" not in got._jdf.queryExecution().optimizedPlan().toString()
     assert sorted(map(tuple, got.collect())) == want and len(want) == 180
+
+
+def test_vectors_stream_past_held_questions(spark, monkeypatch):
+    """The same for vectors: no join, one question block held at a time."""
+    rng = np.random.default_rng(8)
+    vecs, asked = rng.normal(size=(200, 8)), rng.normal(size=(40, 8))
+    docs = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vecs)], "vec_id LONG, embedding ARRAY<DOUBLE>")
+    qs = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(asked)], "qid LONG, vec ARRAY<DOUBLE>")
+    monkeypatch.setattr(R, "DOC_ROWS", 9)
+    monkeypatch.setattr(R, "QUERY_ROWS", 5)
+    monkeypatch.setattr(R, "HELD_BLOCKS", 1, raising=False)
+    got = R.cosine_topk(docs, qs, 3, dim=8)
+    assert "Join" not in got._jdf.queryExecution().optimizedPlan().toString()
+    sims = (asked @ vecs.T) / np.outer(np.linalg.norm(asked, axis=1), np.linalg.norm(vecs, axis=1))
+    best = {(r["qid"], r["rank"]): r["doc_id"] for r in got.collect()}
+    assert best == {(i, k + 1): int(d) for i in range(40) for k, d in enumerate(np.argsort(-sims[i])[:3])}
