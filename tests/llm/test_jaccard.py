@@ -148,3 +148,18 @@ def test_a_class_travels_once_to_its_group(docs_of, monkeypatch):
     monkeypatch.setattr(J, "search", lambda docs, cells, *rest: asked.append(cells.count()) or search(docs, cells, *rest))
     assert sorted(map(tuple, J.join(docs_of(rows).repartition(4)).drop("label", "row").collect()), key=str) == brute(rows)
     assert asked[0] == len(rows)  # not a row for each of the 300 pairs
+
+
+def test_sizes_that_cannot_link_do_not_travel(docs_of, monkeypatch):
+    """The pipeline's stage: a text inside a text twice as long is no candidate."""
+    rnd = random.Random(6)
+    base = [f"w{rnd.randrange(10 ** 6)}" for _ in range(300)]
+    rows = [(k, " ".join(base[:150 * (1 + k % 2)] + [f"x{k}"])) for k in range(8)]
+    asked, search = [], J.search
+    monkeypatch.setattr(J, "search", lambda docs, cells, *rest: asked.append(cells) or search(docs, cells, *rest))
+    kept = sorted(r["doc_id"] for r in J.keep_one(docs_of(rows).repartition(3)).collect())
+    assert kept == sorted({c for _, _, c in brute(rows)}) == [0, 1]
+    by_cell = {}
+    for r in asked[0].collect():
+        by_cell.setdefault(r["cell"], set()).add(r["class"])
+    assert sorted(map(len, by_cell.values())) == [4, 4]
